@@ -6,24 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash, suffix
+from tessera.llm import bpe, chat, langid, licences, packing, pii, simhash, suffix, telephony, vectors
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.media_features(telephony.text_media(_table(spark, sf_dir, "documents")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents"))
+
+
+def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_telephony": op1_telephony,
     "op2_simhash": op2_simhash,
+    "op3_licences": op3_licences,
+    "op4_bpe": op4_bpe,
+    "op5_chat": op5_chat,
+    "op6_packing": op6_packing,
     "op7_suffix_array": op7_suffix_array,
+    "op8_language": op8_language,
+    "op9_pseudonyms": op9_pseudonyms,
+    "op10_quantised": op10_quantised,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.CHAT_SQL}
