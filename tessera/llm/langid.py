@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits
 
-TRAIN_DOCS, GRAMS, ORDERS, CACHE = 8_000, 300_000, (5, 4, 3, 2, 1), 300_000
+TRAIN_DOCS, GRAMS, ORDERS, CACHE = 3_000, 300_000, (5, 4, 3, 2, 1), 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
