@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, text_or_empty
+from tessera.llm.common import arrow_limits, plain_names, schema_of, text_or_empty
 
 SHORT, CACHE = 64, 200_000
 NONE = 1 << 60
@@ -126,14 +126,15 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.letters = byte_letters()
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.digits = list(map(str, range(max(self.names) + 1)))
 
-    def _encoded(self, word: str) -> tuple[int, str, str]:
-        """Of a normalised word: number of ids, the ids and the parts, each joined by spaces."""
+    def _encoded(self, word: str) -> tuple[int, ...]:
+        """The ids of a normalised word."""
         parts = self.words.parts("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        found = self.cache[word] = (len(parts), " ".join(map(str, self.words.ids(parts))), " ".join(parts))
+        found = self.cache[word] = tuple(self.words.ids(parts))
         return found
 
     def normalised_words(self, text: str) -> list[str]:
@@ -144,29 +145,25 @@ class Codec:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in pieces]
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Of a text: number of ids, the ids joined by spaces, and the text that decoding the ids gives."""
-        n, ids, parts, at = 0, [], [], 0
-        cuts = [*((m.start(), m.end()) for m in self.special.finditer(text)), (len(text), len(text))] if "<|" in text else [(0, len(text))]
-        if len(cuts) == 1:
-            cuts = [(len(text), len(text))]
-        for start, end in cuts:
-            cache = self.cache
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        ids: list[int] = []
+        at, cache = 0, self.cache
+        cuts = [(m.start(), m.end()) for m in self.special.finditer(text)]
+        for start, end in [*cuts, (len(text), len(text))]:
             for word in self.normalised_words(text[at:start]):
-                k, i, p = cache.get(word) or self._encoded(word)
-                n += k
-                ids.append(i)
-                parts.append(p)
+                ids += cache.get(word) or self._encoded(word)
             if end > start:
-                n += 1
-                ids.append(str(self.special_ids[text[start:end]]))
-                parts.append(text[start:end])
+                ids.append(self.special_ids[text[start:end]])
             at = end
-        return n, " ".join(ids), " ".join(parts)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens joined by spaces: a file without a decoder leaves them so."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        """The tokens joined by spaces: a file without a decoder leaves them so. Unknown ids are left out."""
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.names[i] for i in ids if i in self.names)
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -179,8 +176,8 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
-                n, ids, _ = codec.encode(text)
-                rows.append((n, digest(ids), digest(codec.decode(list(map(int, ids.split()))))))
+                ids = codec.encode(text)
+                rows.append((len(ids), digest(" ".join(map(codec.digits.__getitem__, ids))), digest(codec.decode(ids))))
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -190,23 +187,27 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
 def encode_column(table: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The table with a column ids (array of int): the text's token ids; null texts give null."""
     arrow_limits(table.sparkSession)
-    others = [c for c in table.columns if c not in (text, "ids")]
-    schema = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in [text, *others]), "ids array<int>"])
+    kept = table.drop("ids") if text != "ids" else table
+    names, plain = kept.columns, plain_names(kept.withColumnRenamed(text, "given"), "given")
+    others = [c for c in plain.columns if c != "given"]
+    schema = f"{schema_of(plain, ['given', *others])}, ids array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for b in batches:
-            ids = [None if t is None else list(map(int, codec.encode(t)[1].split())) for t in b.column(0).to_pylist()]
+            ids = [None if t is None else codec.encode(t) for t in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
-    return table.select(text, *others).mapInArrow(work, schema)
+    return plain.select("given", *others).mapInArrow(work, schema).select(*plain.columns, "ids").toDF(*names, "ids")
 
 
 def decode_column(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The table with a column decoded: the text that the ids give; null ids give null."""
     arrow_limits(table.sparkSession)
-    others = [c for c in table.columns if c not in (ids, "decoded")]
-    schema = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in [ids, *others]), "decoded string"])
+    kept = table.drop("decoded") if ids != "decoded" else table
+    names, plain = kept.columns, plain_names(kept.withColumnRenamed(ids, "given"), "given")
+    others = [c for c in plain.columns if c != "given"]
+    schema = f"{schema_of(plain, ['given', *others])}, decoded string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
@@ -214,4 +215,4 @@ def decode_column(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = [None if x is None else codec.decode(x) for x in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return table.select(ids, *others).mapInArrow(work, schema)
+    return plain.select("given", *others).mapInArrow(work, schema).select(*plain.columns, "decoded").toDF(*names, "decoded")

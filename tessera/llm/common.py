@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,9 +108,14 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", F.col("label").alias("component"))
 
 
-def text_or_empty(df: DataFrame) -> Column:
-    return F.coalesce(df["text"], F.lit(""))
+def plain_names(df: DataFrame, *needed: str) -> DataFrame:
+    """The table with every column but the needed ones renamed by its place, so no name can clash; toDF() undoes it."""
+    return df.toDF(*(c if c in needed else f"other{i}" for i, c in enumerate(df.columns)))
+
 
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+
+def text_or_empty(df: DataFrame) -> Column:
+    return F.coalesce(df["text"], F.lit(""))

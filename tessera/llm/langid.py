@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits
+from tessera.llm.common import arrow_limits, plain_names, schema_of
 
 TRAIN_DOCS, GRAMS, ORDERS, CACHE = 3_000, 300_000, (5, 4, 3, 2, 1), 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -131,12 +131,14 @@ def train(labelled: DataFrame) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """The table with lang_pred and score."""
+    """The table with lang_pred and score, in place of its own columns of these names."""
     spark = docs.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["text", *others]), "lang_pred string, score double"])
+    names, docs = [c for c in docs.columns if c not in ("lang_pred", "score")], docs.drop("lang_pred", "score")
+    docs = plain_names(docs, "text")
+    others = [c for c in docs.columns if c != "text"]
+    schema = f"{schema_of(docs, ['text', *others])}, lang_pred string, score double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
@@ -145,7 +147,15 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = zip(*got) if got else ((), ())
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.select("text", *others).mapInArrow(work, schema)
+    out = docs.select("text", *others).mapInArrow(work, schema)
+    return out.select(*docs.columns, "lang_pred", "score").toDF(*names, "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, with their own columns, whose language is found with at least this score."""
+    plain = plain_names(docs, "text")
+    found = predicted(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

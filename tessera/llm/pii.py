@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits
+from tessera.llm.common import arrow_limits, plain_names, schema_of
 
 ROUNDS = 8
 DEFAULT_KEY = "replace-me-by-a-secret"
@@ -221,8 +221,10 @@ def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False, c
     """The table with pseudonyms in text; with n_pii and pii_kinds (`kind:count`, comma-joined) if counts."""
     arrow_limits(docs.sparkSession)
     added = ["n_pii", "pii_kinds"] if counts else []
-    others = [c for c in docs.columns if c != "text" and c not in added]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["text", *others]), *(["n_pii long, pii_kinds string"] if counts else [])])
+    docs = docs.drop(*added)
+    names, docs = docs.columns, plain_names(docs, "text", "n_chars")
+    others = [c for c in docs.columns if c != "text"]
+    schema = schema_of(docs, ["text", *others]) + (", n_pii long, pii_kinds string" if counts else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms = Pseudonyms(key)
@@ -237,4 +239,4 @@ def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False, c
     out = docs.select("text", *others).mapInArrow(work, schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    return out.select(*docs.columns, *added).toDF(*names, *added)

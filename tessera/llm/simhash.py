@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, components, local_stars, mix, numbers, stored, text_or_empty
+from tessera.llm.common import arrow_limits, components, local_stars, mix, numbers, plain_names, stored, text_or_empty
 
 RADIUS = 4
 PIVOTS = 24
@@ -285,7 +285,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Similar: the sketches of five-word shingles differ in at most WIDE_RADIUS bits, which takes in a Jaccard
     similarity of 0.8 or more. Candidates agree in two of six blocks of either of two fingerprints of their
-    words. Texts without a word are one group, and rows without doc_id stay.
+    words. Texts without a word are one group, rows without doc_id stay, and so do all rows of a doc_id that stays.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = stored(_sketches(docs), "sketches")
@@ -303,4 +303,6 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     groups = components(edges)
     kept = reps.join(groups, reps["rep"] == groups["node"], "left").where("component is null or component = rep")
     kept = stored(kept.select(F.col("rep").alias("kept_id")), "kept")
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left").where("kept_id is not null or doc_id is null").select(*[docs[c] for c in docs.columns])
+    names, plain = docs.columns, plain_names(docs, "doc_id")
+    out = plain.join(kept, plain["doc_id"] == kept["kept_id"], "left").where("kept_id is not null or doc_id is null")
+    return out.select(*plain.columns).toDF(*names)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, mix, numbers, stored, text_or_empty
+from tessera.llm.common import arrow_limits, mix, numbers, plain_names, schema_of, stored, text_or_empty
 
 WINDOW, NAME = 100, 37
 SPAN = WINDOW - NAME + 1
@@ -315,10 +315,12 @@ def kept_spans(size: int, low: list[int], high: list[int]) -> list[tuple[int, in
     return [*out, (at, size)] if at < size else out
 
 
-def _with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _with_ranges(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, with arrays low and high of their ranges at the end."""
     found = stored(found, "ranges")
     found = found.groupBy(F.col("doc_id").alias("range_doc")).agg(F.collect_list("low").alias("range_low"), F.collect_list("high").alias("range_high"))
-    return docs.join(found, docs["doc_id"] == found["range_doc"], "left")
+    joined = docs.join(found, docs["doc_id"] == found["range_doc"], "left")
+    return joined.select(*(docs[c] for c in columns), found["range_low"], found["range_high"])
 
 
 def suffix_digest(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -336,7 +338,7 @@ def suffix_digest(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
             yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts = docs.select("doc_id", F.encode(text_or_empty(docs), "utf-8").alias("data"))
-    rows = _with_ranges(texts, repeated_ranges(docs, heavy)).select("doc_id", "data", "range_low", "range_high")
+    rows = _with_ranges(texts, repeated_ranges(docs, heavy), ["doc_id", "data"])
     return rows.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -349,8 +351,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, low, high in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not low:
+            n = b.num_columns
+            for text, low, high in zip(*(b.column(i).to_pylist() for i in (0, n - 2, n - 1))):
+                if text is None or not low:
                     out.append(text)
                     continue
                 data = text.encode("utf-8", "surrogatepass")
@@ -362,12 +365,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         z += 1
                     spans.append(data[a:z])
                 out.append(b"".join(spans).decode("utf-8", "surrogatepass"))
-            yield pa.record_batch([pa.array(out, pa.string()), *b.columns[3:]], names=["text", *b.schema.names[3:]])
+            yield pa.record_batch([pa.array(out, pa.string()), *b.columns[1:-2]], names=b.schema.names[:-2])
 
-    rows = _with_ranges(docs, repeated_ranges(docs))
+    names, docs = docs.columns, plain_names(docs, "doc_id", "text", "n_chars")
     others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(["text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)])
-    out = rows.select("text", "range_low", "range_high", *(docs[c] for c in others)).mapInArrow(work, schema)
+    out = _with_ranges(docs, repeated_ranges(docs), ["text", *others]).mapInArrow(work, schema_of(docs, ["text", *others]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("text is null or trim(text) <> ''").select(*docs.columns)
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
+    return out.where(F.col("text").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns).toDF(*names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, text_or_empty
+from tessera.llm.common import arrow_limits, plain_names, schema_of, text_or_empty
 
 RATE, PAD, UNIT = 8_000, 0xFF, 576
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
@@ -150,7 +150,9 @@ def text_media(docs: DataFrame) -> DataFrame:
 def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
     """The table with a column pcm16: a 16 kHz PCM WAV file's samples as little-endian bytes."""
     arrow_limits(table.sparkSession)
-    others = [c for c in table.columns if c not in (media, "pcm16")]
+    kept = table.drop("pcm16")
+    names, plain = kept.columns, plain_names(kept.withColumnRenamed(media, "given"), "given")
+    others = [c for c in plain.columns if c != "given"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,8 +161,8 @@ def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
                 pcm = None if got is None else resample(expand(*got)).astype("<i2").tobytes()
                 yield pa.record_batch([*(c.slice(row, 1) for c in b.columns), pa.array([pcm], pa.binary())], names=[*b.schema.names, "pcm16"])
 
-    schema = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in [media, *others]), "pcm16 binary"])
-    return table.select(media, *others).mapInArrow(work, schema)
+    schema = f"{schema_of(plain, ['given', *others])}, pcm16 binary"
+    return plain.select("given", *others).mapInArrow(work, schema).select(*plain.columns, "pcm16").toDF(*names, "pcm16")
 
 
 def _adpcm_levels(payloads: list[bytes]) -> list[int]:
