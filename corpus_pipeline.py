@@ -22,8 +22,7 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model finds; it learns from the labelled documents that aren't held out."""
     model = langid.train(docs.where(~F.coalesce(langid.held_out(), F.lit(False))))
-    found = langid.predicted(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*docs.columns)
+    return langid.accepted(docs, model, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
