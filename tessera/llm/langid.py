@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, plain_names, schema_of
+from tessera.llm.common import arrow_limits, forget, mix, plain_names, schema_of, stored
 
 TRAIN_DOCS, GRAMS, ORDERS, CACHE = 3_000, 300_000, (5, 4, 3, 2, 1), 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: An odd multiplier for the hashes of n-grams.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out() -> Column:
@@ -58,62 +60,100 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(lang), pa.array(order, pa.int32()), pa.array(gram), pa.array(list(rows.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
 
+def _ends(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words with their ends marked, the word of each, and how many its word has from there on."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    return points, word, np.cumsum(sizes)[word] - np.arange(len(points))
+
+
+def _gram_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """At n - 1: a hash of the n code points from each place on."""
+    out = [mix(points + STEP)]
+    for n in range(1, max(ORDERS)):
+        out.append(mix(out[-1][:-1] * STEP + points[n:]))
+    return out
+
+
 class Model:
-    """Log frequencies by order: word or n-gram to an array over the sorted languages."""
+    """Log frequencies by order: words by name, n-grams by sorted hashes, each with a row over the sorted languages."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in totals})
         place = {x: i for i, x in enumerate(self.langs)}
-        size = np.zeros((6, max(1, len(self.langs))))
+        size = np.zeros((max(ORDERS) + 1, max(1, len(self.langs))))
         for lang, n, k in totals:
             size[n, place[lang]] = k
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(6)]
+        counts: list[dict[str, np.ndarray]] = [{} for _ in range(max(ORDERS) + 1)]
         for lang, n, gram, k in rows:
             counts[n].setdefault(gram, np.zeros(len(self.langs)))[place[lang]] = k
-        self.logs = [{g: np.log((v + 0.5) / (size[n] + 0.5 * (len(own) + 1))) for g, v in own.items()} for n, own in enumerate(counts)]
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one lower-cased word by language."""
-        known = self.logs[0].get(word)
-        if known is not None:
-            return known
+        logs = [np.log((np.array(list(own.values())).reshape(len(own), size.shape[1]) + 0.5) / (size[n] + 0.5 * (len(own) + 1))) for n, own in enumerate(counts)]
+        self.words, self.word_logs = {w: i for i, w in enumerate(counts[0])}, logs[0]
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in ORDERS:
-            own = self.logs[n]
-            found = [own[g] for g in grams_of(word, n) if g in own]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            points = np.frombuffer("".join(counts[n]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            keys = _gram_hashes(points)[n - 1][::n] if len(points) else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            self.grams[n] = keys[order], logs[n][order]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row over the languages for each lower-cased word."""
+        out = np.zeros((len(words), max(1, len(self.langs))))
+        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[known >= 0] = self.word_logs[known[known >= 0]]
+        unseen = np.flatnonzero(known < 0)
+        if not len(unseen) or not self.langs:
+            return out
+        points, word, left = _ends([words[i] for i in unseen])
+        hashes, open_words = _gram_hashes(points), np.ones(len(unseen), bool)
+        for n in ORDERS:  # the longest first; a word with a known n-gram is done
+            keys, logs = self.grams[n]
+            at = np.flatnonzero(open_words[word] & (left >= n))
+            if not len(keys) or not len(at):
+                continue
+            h = hashes[n - 1][at]
+            row = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[row] == h
+            own, row = word[at[hit]], row[hit]
+            times = np.bincount(own, minlength=len(unseen))
+            got = times > 0
+            for lang in range(len(self.langs)):
+                total = np.bincount(own, weights=logs[row, lang], minlength=len(unseen))
+                out[unseen[got], lang] = total[got] / times[got]
+            open_words &= ~got
+        return out
 
 
 class Predictor:
-    """Scores texts; keeps up to CACHE words' scores, then starts anew."""
+    """Scores batches of texts; keeps up to CACHE words' scores, then starts anew."""
 
     def __init__(self, model: Model):
         self.model, self.width = model, max(1, len(model.langs))
-        self._fresh()
-
-    def _fresh(self) -> None:
         self.row: dict[str, int] = {}
-        self.table, self.used = np.zeros((1024, self.width)), 0
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        if self.used > CACHE:
-            self._fresh()
-        for w in set(words) - self.row.keys():
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = self.model.word(w)
-            self.row[w] = self.used
-            self.used += 1
-        return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        total = sum(self._rows(words[i : i + 50_000]).sum(0) for i in range(0, len(words), 50_000))
-        best = int(np.argmax(total))
-        return self.model.langs[best], float(1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum())
+        self.table = np.zeros((0, self.width))
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words - self.row.keys())
+        if len(self.row) + len(new) > CACHE:
+            self.row, self.table, new = {}, np.zeros((0, self.width)), list(words)
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        self.table = np.concatenate([self.table, self.model.scores(new)])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        self._learn(set().union(*words))
+        out = []
+        for own in words:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.table[np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))].sum(0)
+            best = int(np.argmax(total))
+            out.append((self.model.langs[best], float(1 / np.exp((total - total[best]) / np.sqrt(len(own))).sum())))
+        return out
 
 
 def train(labelled: DataFrame) -> Model:
@@ -125,8 +165,10 @@ def train(labelled: DataFrame) -> Model:
         return Model([], [])
     sample = usable.where(F.col("by") <= bound).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    counts = stored(counts, "language_counts")
     totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()]
     top = counts.where("k > 1 or n = 1").orderBy(F.desc("k"), "n", "gram", "lang").limit(GRAMS).toPandas()
+    forget(counts)
     return Model(list(top[["lang", "n", "gram", "k"]].itertuples(index=False, name=None)), totals)
 
 
@@ -143,7 +185,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for b in batches:
-            got = [predictor.predict(t) for t in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
+            got = [x for at in range(0, len(texts), 500) for x in predictor.predict(texts[at : at + 500])]
             lang, score = zip(*got) if got else ((), ())
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

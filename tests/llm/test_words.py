@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -99,10 +100,37 @@ def test_language(spark, small, hostile, nothing):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    model = langid.Model([("a", 0, "the", 5), ("b", 5, "\x02quel", 3), ("a", 1, "x", 2), ("b", 1, "x", 9)], [("a", 0, 5), ("b", 0, 5), ("a", 5, 3), ("b", 5, 3), ("a", 1, 11), ("b", 1, 11)])
-    assert model.word("the")[0] > model.word("the")[1]
-    assert model.word("quelle")[1] > model.word("quelle")[0]
-    assert model.word("x")[1] > model.word("x")[0] and not model.word("zzz").any()
+    rows = [("a", 0, "the", 5), ("b", 5, "\x02quel", 3), ("a", 1, "x", 2), ("b", 1, "x", 9)]
+    totals = [("a", 0, 5), ("b", 0, 5), ("a", 5, 3), ("b", 5, 3), ("a", 1, 11), ("b", 1, 11)]
+    the, quelle, x, z = langid.Model(rows, totals).scores(["the", "quelle", "x", "zzz"])
+    assert the[0] > the[1] and quelle[1] > quelle[0] and x[1] > x[0] and not z.any()
+
+
+def test_scores_match_a_plain_backoff(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    counts = {}
+    for r in docs.collect():
+        for w in langid.LETTERS.findall(r.text.lower()):
+            counts[r.lang, 0, w] = counts.get((r.lang, 0, w), 0) + 1
+            for n in langid.ORDERS:
+                for g in langid.grams_of(w, n):
+                    counts[r.lang, n, g] = counts.get((r.lang, n, g), 0) + 1
+    rows = [(*k, v) for k, v in counts.items() if v > 3]
+    totals = {}
+    for (lang, n, _), v in counts.items():
+        totals[lang, n] = totals.get((lang, n), 0) + v
+    model = langid.Model(rows, [(lang, n, v) for (lang, n), v in totals.items()])
+    by = {(n, g): {} for _, n, g, _ in rows}
+    for lang, n, g, v in rows:
+        by[n, g][lang] = v
+    sizes = {n: sum(1 for m, _ in by if m == n) for n in range(6)}
+    logs = lambda n, g: [math.log((by[n, g].get(x, 0) + 0.5) / (totals.get((x, n), 0) + 0.5 * (sizes[n] + 1))) for x in model.langs]
+    words = [w for _, n, w in list(counts)[::97] if n == 0] + ["zzqzz", "thqx", "é"]
+    for w, got in zip(words, model.scores(words)):
+        found = [logs(0, w)] if (0, w) in by else []
+        for n in langid.ORDERS:
+            found = found or [logs(n, g) for g in langid.grams_of(w, n) if (n, g) in by]
+        assert got.tolist() == pytest.approx([sum(v) / len(found) for v in zip(*found)] if found else [0.0] * len(model.langs))
 
 
 VALUES = [
