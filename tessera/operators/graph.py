@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
 from tessera.storage import forget, stored
 
 
@@ -279,8 +280,8 @@ def modularity_communities(adj: DataFrame, rounds: int = 8, levels: int = 2) ->
 def compact(labels: DataFrame) -> DataFrame:
     """(node, community) with communities numbered by size from the largest, then by name."""
     sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1  # a row a community
-    return labels.join(sizes.select("community", number.cast("long").alias("number")), "community").select("node", F.col("number").alias("community"))
+    number = numbered(sizes, [F.desc("size"), F.col("community")], "number").select("community", (F.col("number") - 1).alias("number"))
+    return labels.join(number, "community").select("node", F.col("number").alias("community"))
 
 
 def explained(edges: DataFrame, paths: DataFrame) -> DataFrame:

@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators import graph
+from tessera.operators.ranking import percentile_rank
 
 # fixed values: weights of the priority factors
 PRIORITY_WEIGHTS = {"degree": 0.24, "betweenness": 0.20, "interactions": 0.16, "money": 0.14, "cases": 0.12, "recency": 0.08, "locations": 0.06}
 
 
-def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """The share of rows of strictly smaller value. Counts by value come first, so only distinct values are ranked."""
-    counts = df.groupBy(value).agg(F.count("*").alias("same"))
-    upto = F.sum("same").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.select(F.col(value).alias("ranked"), (F.coalesce(upto, F.lit(0)) / F.sum("same").over(Window.partitionBy())).alias(name))
-    return df.join(ranked, F.col(value).eqNullSafe(F.col("ranked")), "left").drop("ranked")
-
-
 def endpoint_activity(relations: DataFrame, as_of: str, days: int = 45) -> DataFrame:
     """By entity at either end of relations that aren't rejected: counts, money, recent share, evidence."""
     live = relations.where("status <> 'REJECTED'")

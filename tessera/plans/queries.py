@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import text as X
-from tessera.operators import extraction, graph, patterns, places, resolution, scoring, writes
+from tessera.operators import extraction, graph, patterns, places, ranking, resolution, scoring, writes
 from tessera.operators.components import components
 from tessera.plans import model as M
 from tessera.storage import stored
@@ -75,7 +75,7 @@ def _hubs(s: SparkSession, d: str, k: int) -> DataFrame:
 )
 def projection_rank(s: SparkSession, d: str) -> DataFrame:
     degree = graph.degrees(_nodes(s, d), _adj(s, d))
-    out = scoring.percentile_rank(degree, "weighted", "r")
+    out = ranking.percentile_rank(degree, "weighted", "r")
     return out.select("uid", "degree", "weighted", F.round("r", 6).alias("weighted_rank"), geo.band(F.col("r") * 100, geo.SCORE_BANDS, "LOW").alias("band"))
 
 
@@ -351,7 +351,7 @@ def dashboard(s, d):
 
 @query("E01_percentile_rank", "SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1)::DOUBLE / count(*) OVER (), 6) AS r FROM customer")
 def percentile(s, d):
-    return scoring.percentile_rank(M.table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "r").select("c_custkey", F.round("r", 6).alias("r"))
+    return ranking.percentile_rank(M.table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "r").select("c_custkey", F.round("r", 6).alias("r"))
 
 
 @query("E03_top_per_group", "SELECT c_mktsegment, c_custkey, place FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 8")
@@ -387,7 +387,7 @@ def share_of_peak(s, d):
 
 @query("E10_sequence", f"SELECT incident_id, 'INC-' || lpad((row_number() OVER (ORDER BY seen_at, incident_id))::VARCHAR, 6, '0') AS ref FROM {INC}")
 def sequence(s, d):
-    return stateful.numbered(M.incidents(s, d).select("incident_id", "seen_at"), ["seen_at", "incident_id"]).select("incident_id", F.concat(F.lit("INC-"), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("ref"))
+    return ranking.numbered(M.incidents(s, d).select("incident_id", "seen_at"), ["seen_at", "incident_id"]).select("incident_id", F.concat(F.lit("INC-"), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("ref"))
 
 
 # ---- order and paging

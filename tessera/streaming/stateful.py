@@ -118,20 +118,6 @@ def history(accepted: DataFrame, key: str, at: str) -> DataFrame:
     return accepted.withColumns({"seq": F.row_number().over(w), "before": F.lag("status").over(w)})
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with a gapless seq over all of them: counts by partition of a range sort, then places within it.
-
-    No task sees more than its own range; only one count for each partition is collected.
-    """
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("own", own).join(F.broadcast(before), "part").withColumn("seq", F.col("before") + F.col("own")).drop("part", "own", "before")
-
-
 def ring(rows: DataFrame, size: int = 100) -> DataFrame:
     """The last rows by seq, as a replay buffer keeps them."""
     return rows.orderBy(F.desc("seq")).limit(size)

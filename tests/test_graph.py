@@ -3,7 +3,7 @@ from collections import deque
 
 import pytest
 
-from tessera.operators import graph, places, scoring
+from tessera.operators import graph, places, ranking, scoring
 from tessera.operators.components import components
 
 BRIDGED = ["ab", "bc", "ac", "cd", "de", "ef", "df", "fg"]
@@ -96,4 +96,4 @@ def test_hidden_links_and_ranks(spark):
     got = scoring.hidden_links(ent, rel).collect()
     assert {(r.a, r.b) for r in got} >= {("a", "b"), ("m", "n")}
     values = spark.createDataFrame([(1,), (1,), (3,), (9,)], "v int")
-    assert sorted(r.p for r in scoring.percentile_rank(values, "v", "p").collect()) == [0, 0, 0.5, 0.75]
+    assert sorted(r.p for r in ranking.percentile_rank(values, "v", "p").collect()) == [0, 0, 0.5, 0.75]

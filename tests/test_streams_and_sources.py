@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
 from tessera.sources import readers
 from tessera.streaming import stateful as S
 
@@ -49,7 +50,7 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
 
 
 def test_numbers_and_replay(spark):
-    rows = S.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), ["k"])
+    rows = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), ["k"])
     assert sorted((r.k, r.seq) for r in rows.collect()) == [(i, i + 1) for i in range(1000)]
     assert S.ring(rows, 100).count() == 100 and S.replay(rows, 990).count() == 10
 
