@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ranking import numbered
 from tessera.sources import readers
+from tessera.streaming import feeds
 from tessera.streaming import stateful as S
 
 
@@ -90,3 +91,25 @@ def test_uploads_and_exports(spark, tmp_path):
     readers.write_json(df, f"{tmp_path}/json")
     readers.write_table(spark.range(10).toDF("k"), f"{tmp_path}/table", "k")
     assert spark.read.parquet(f"{tmp_path}/table").count() == 10
+
+
+def test_feeds(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 28.5 + i * 0.01, 77.0 if i != 3 else None) for i in range(6)], "incident_id int, lat double, lng double")
+    for part in range(2):
+        rows.where(F.col("incident_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    zones = spark.createDataFrame([("a", 28.5, 77.0), ("b", 28.55, 77.0)], "zone string, clat double, clng double")
+    queries = [
+        feeds.placed_incidents(stream, zones, f"{tmp_path}/placed", f"{tmp_path}/c1"),
+        feeds.numbered_feed(stream, ["incident_id"], f"{tmp_path}/feed", f"{tmp_path}/c2"),
+    ]
+    for q in queries:
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    placed = {r.incident_id: r.zone for r in feeds.read_feed(spark, f"{tmp_path}/placed").collect()}
+    assert placed == {0: "a", 1: "a", 2: "a", 3: None, 4: "b", 5: "b"}
+    feed = feeds.read_feed(spark, f"{tmp_path}/feed")
+    assert sorted(r.seq for r in feed.collect()) == [1, 2, 3, 4, 5, 6]
+    assert S.replay(feed, 4).count() == 2
