@@ -1,47 +1,18 @@
-"""What several of the text operators share: stored tables, Arrow sizes, hashes, components."""
+"""What several of the text operators share: Arrow sizes, hashes, names of columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of a batch handed to Python. Long texts make small batches.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
-
-_own_folder: list[str] = []
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage; one of our own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tessera-"))
-    return f"file://{_own_folder[0]}"
-
+from tessera.operators.components import components
+from tessera.storage import forget, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once as Parquet in the shared folder and go on from the written table."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
+__all__ = ["arrow_limits", "components", "forget", "local_stars", "mix", "numbers", "plain_names", "schema_of", "stored", "text_or_empty"]
 
-
-def forget(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows and bytes of a batch handed to Python. Long texts make small batches.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -82,32 +53,6 @@ def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids[far], ids[label[far]]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(src, dst) edges between long ids, in any direction, to (node, component): the smallest id reachable.
-
-    Ids without edges aren't returned. Minimum labels go along the edges, then each label is replaced by
-    its own label, until nothing changes; so the rounds grow with the logarithm of the diameter. Both sides
-    of each join are read from stored tables, so AQE can split a hub's partition.
-    """
-    e = edges.where("src <> dst")
-    both = e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    loops = both.select("src", F.col("src").alias("dst"))
-    pairs = stored(both.union(loops).distinct(), "edges")
-    label = stored(pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")), "labels")
-    while True:
-        near = pairs.join(label, pairs["dst"] == label["node"]).groupBy("src").agg(F.min("label").alias("label"))
-        near = stored(near.select(F.col("src").alias("node"), "label"), "near")
-        up = near.select(F.col("node").alias("over"), F.col("label").alias("top"))
-        jumped = stored(near.join(up, near["label"] == up["over"]).select("node", F.least("label", "top").alias("label")), "labels")
-        old = label.select("node", F.col("label").alias("old"))
-        same = jumped.join(old, "node").where("label <> old").isEmpty()
-        forget(label, near)
-        label = jumped
-        if same:
-            forget(pairs)
-            return label.select("node", F.col("label").alias("component"))
-
-
 def plain_names(df: DataFrame, *needed: str) -> DataFrame:
     """The table with every column but the needed ones renamed by its place, so no name can clash; toDF() undoes it."""
     return df.toDF(*(c if c in needed else f"other{i}" for i, c in enumerate(df.columns)))

@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quantised": op10_quantised,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.CHAT_SQL, "op10_quantised": vectors.VECTORS_SQL}

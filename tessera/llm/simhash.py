@@ -29,6 +29,8 @@ PIVOTS = 24
 #: First bit and width of the six blocks of a fingerprint.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 HEAVY = 4_096
+#: Pairs that a task holds before their components stand for them.
+DENSE = 1 << 17
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -111,7 +113,7 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
         near = np.bitwise_count(u[a] ^ u[b]) <= radius
         found.append((a[near], b[near]))
         kept += int(near.sum())
-        if kept > 1 << 20:  # a dense bucket: its forest so far stands for its pairs
+        if kept > DENSE:  # a dense bucket: its forest so far stands for its pairs
             found = [local_stars(*map(np.concatenate, zip(*found)))]
             kept = len(found[0][0])
         step += 1
@@ -247,7 +249,7 @@ def linked_wide(wide: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
         near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int32) <= radius
         found.append((i[near], j[near]))
         kept += int(near.sum())
-        if kept > 1 << 20:
+        if kept > DENSE:
             found = [local_stars(*map(np.concatenate, zip(*found)))]
             kept = len(found[0][0])
         step += 1

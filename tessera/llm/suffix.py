@@ -38,7 +38,7 @@ from tessera.llm.common import arrow_limits, mix, numbers, plain_names, schema_o
 WINDOW, NAME = 100, 37
 SPAN = WINDOW - NAME + 1
 #: Bytes of text worked on at once, and sampled suffixes held before they leave a task.
-SLICE, HELD = 4 << 20, 1_000_000
+SLICE, HELD = 1 << 20, 400_000
 #: Different contexts of one first name, from which its windows go by themselves.
 HEAVY = 1_000
 BASE, SEED = np.uint64(0x9E3779B97F4A7C15 | 1), 11

@@ -152,7 +152,7 @@ def _found(index: Index, width: int, threshold: float, chunks: np.ndarray):
                 np.add.at(links, b[unseen], copies[a[unseen]])
                 edges.append((rep[a], rep[b]))
                 held += len(a)
-                if held > 1 << 20:
+                if held > 1 << 17:
                     edges = [local_stars(*map(np.concatenate, zip(*edges)))]
                     held = len(edges[0][0])
         some = links > 0
@@ -216,3 +216,14 @@ def vector_components(table: DataFrame, threshold: float = THRESHOLD, probes: in
     out = keyed.join(result, F.col("key") == F.col("own"), "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: All pairs by brute force; the query's approximate search is right where it equals this.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * a.size * b.size),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT r.x AS vec_id, (SELECT count(*) FROM link WHERE link.x = r.x) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM reach r GROUP BY r.x
+"""
