@@ -130,7 +130,7 @@ def date_range(s, d):
     bounds = {"from": "1996-01-01", "to": "1996-06-30", "other": "no date"}
     as_time = lambda k: F.try_to_timestamp(F.lit(bounds[k]), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
     at = F.col("o_orderdate")
-    return M.table(s, d, "orders").where(F.coalesce(seen_at >= as_time("from"), F.lit(True)) & F.coalesce(at <= as_time("to"), F.lit(True)) & F.coalesce(seen_at >= as_time("other"), F.lit(True))).select("o_orderkey", "o_totalprice")
+    return M.table(s, d, "orders").where(F.coalesce(at >= as_time("from"), F.lit(True)) & F.coalesce(at <= as_time("to"), F.lit(True)) & F.coalesce(at >= as_time("other"), F.lit(True))).select("o_orderkey", "o_totalprice")
 
 
 @query("B13_hour_window", f"SELECT incident_id, hour FROM {INC} WHERE hour >= 21 OR hour <= 4")

@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
+from tessera.plans import composites as more
 from tessera.plans import queries as Q
 
+assert more
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
