@@ -34,13 +34,13 @@ KINDS = ("email", "secret", "iban", "ipv4", "date", "ssn", "phone", "card")
 
 PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?i:\b(?:token|secret|password|passwd|api[_-]?key)\b\s{0,3}[=:]\s{0,3}["'](?P<secret>[A-Za-z0-9+/_.-]{8,})["'])
+    |(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}(?:["'](?=[^"'\s]{6,}["'])|(?=[A-Za-z0-9+/_.-]{0,64}[0-9])))(?P<secret>[A-Za-z0-9+/_.-]{6,})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ipv4>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
     |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))
     |(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))
-    |(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))""",
+    |(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?![0-9A-Za-z]))""",
     re.X,
 )
 LIKELY = re.compile(r"[@0-9]|[=:]\s{0,3}[\"']")

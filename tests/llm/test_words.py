@@ -152,6 +152,14 @@ def test_pseudonyms_keep_the_format_and_undo(kind, value):
     assert value not in text and sum(counts.values()) == 1 and p.replaced(text, True)[0].endswith((f"{value}.", f'{value}".'))
 
 
+def test_values_side_by_side_and_bare_secrets():
+    p = pii.Pseudonyms("key")
+    text, counts = p.replaced("4451718024887799 27.65.93.188 password=135299847ac0e0f0dc 4111-1111-1111-1111 password: see below, 5555 5555 5555 4444.")
+    assert counts == {"card": 3, "ipv4": 1, "secret": 1} and "password: see below" in text
+    assert not any(v in text for v in ("4451718024887799", "27.65.93.188", "135299847ac0e0f0dc", "4111-1111", "5555 5555"))
+    assert p.replaced(text, True)[0].startswith("4451718024887799 27.65.93.188 password=135299847ac0e0f0dc 4111-1111-1111-1111")
+
+
 def test_pseudonyms_are_a_permutation():
     p = pii.Pseudonyms("key")
     assert len({p.feistel.permute(v, 7, 11, "t") for v in range(77)}) == 77
