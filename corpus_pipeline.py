@@ -16,7 +16,7 @@ from tessera.llm.common import stored
 from tessera.llm.queries import vocabulary
 
 #: A document stays if its language is known and has at least this score.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
