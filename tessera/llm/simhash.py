@@ -287,19 +287,19 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Similar: the sketches of five-word shingles differ in at most WIDE_RADIUS bits, which takes in a Jaccard
     similarity of 0.8 or more. Candidates agree in two of six blocks of either of two fingerprints of their
-    words. Texts without a word are one group, rows without doc_id stay, and so do all rows of a doc_id that stays.
+    words, and where many documents do, in one block of the other fingerprint too. Texts without a word are one group, rows without doc_id stay, and so do all rows of a doc_id that stays.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = stored(_sketches(docs), "sketches")
     reps = stored(sketches.where("doc_id is not null").groupBy("a", "b", "wide").agg(F.min("doc_id").alias("rep")), "sketch_groups")
     keys = [_bucket_keys(reps.select(F.col(c).alias("fp"), "rep")).select((F.col("bucket") + F.lit(k << 40)).alias("bucket"), "rep") for k, c in enumerate("ab")]
-    wide = reps.select("rep", "wide")
     own = keys[0].union(keys[1])
     heavy = own.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket", F.lit(True).alias("heavy"))
-    marked = own.join(heavy, "bucket", "left").join(wide, "rep")
-    # a heavy bucket is dealt anew by parts of the sketch: similar sketches agree in some 12 bits of 64 places
-    cuts = [F.concat(F.lit("/"), F.lit(str(k)), F.hex(F.substring("wide", 2 * k + 1, 2))) for k in range(WIDE // 16)]
-    finer = F.when(F.col("heavy"), F.transform(F.array(*cuts), lambda c: F.xxhash64("bucket", c))).otherwise(F.array("bucket"))
+    marked = own.join(heavy, "bucket", "left").join(reps, "rep")
+    # a heavy bucket of one fingerprint is dealt anew by each of the six blocks of the other
+    other = F.when(F.shiftright("bucket", 40) == 0, F.col("b")).otherwise(F.col("a"))
+    blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(other, first).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for k, (first, width) in enumerate(BLOCKS)))
+    finer = F.when(F.col("heavy"), F.transform(blocks, lambda x: F.xxhash64("bucket", x["k"], x["bits"]))).otherwise(F.array("bucket"))
     dealt = marked.select(F.explode(finer).alias("bucket"), "rep", "wide")
     edges = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links, "src long, dst long")
     groups = components(edges)
