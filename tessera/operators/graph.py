@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import numbered
+from tessera.session import reachable
 from tessera.storage import forget, stored
 
 
@@ -150,6 +151,7 @@ class Compact:
 def _searched(adj: DataFrame, sources: DataFrame) -> DataFrame:
     """(uid, delta, r, d): sums over sources of dependencies, of nodes that reach them, and of distances; small graphs."""
     spark = adj.sparkSession
+    reachable(spark)
     shared = spark.sparkContext.broadcast(Compact(adj.select("u", "v").toPandas()))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

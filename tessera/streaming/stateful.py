@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import reachable
+
 State = tuple | None
 Step = Callable[[State, Any], tuple[State, Any]]
 
@@ -86,6 +88,7 @@ def folded(rows: DataFrame, key: str, order: list[str], step: Step, kind: str) -
                 out.append(result)
             yield b.assign(result=out)[[*names, "result"]]
 
+    reachable(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.where(F.col(key).isNotNull()).repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(work, schema)
 
@@ -107,6 +110,7 @@ def folded_stream(rows: DataFrame, key: str, order: list[str], step: Step, kind:
         store.update((json.dumps(state),))
         yield b.assign(result=out)[[*names, "result"]]
 
+    reachable(rows.sparkSession)
     return rows.groupBy(key).applyInPandasWithState(work, schema, state_kind, "append", GroupStateTimeout.NoTimeout)
 
 
