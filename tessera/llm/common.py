@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
+from tessera.session import reachable
 from tessera.storage import forget, stored
 
 __all__ = ["arrow_limits", "components", "forget", "local_stars", "mix", "numbers", "plain_names", "schema_of", "stored", "text_or_empty"]
@@ -16,7 +17,8 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep the batches for Python small, whatever the length of the texts."""
+    """Keep the batches for Python small, whatever the length of the texts; let workers find the package."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
