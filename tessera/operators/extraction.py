@@ -62,9 +62,10 @@ TRIGGERS = {
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (text, start, stop) of all matches, start from 0."""
+    kind = "array<struct<text:string,start:int,stop:int>>"
     between = F.transform(F.split(text, pattern), lambda s: F.length(s))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,stop:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
@@ -72,7 +73,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(m["text"].alias("text"), start.alias("start"), stop.alias("stop")))).alias("out"))
 
     paired = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), lambda m, gap: F.struct(m.alias("text"), gap.alias("gap")))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<text:string,start:int,stop:int>>")).otherwise(F.aggregate(paired, zero, step, lambda acc: acc["out"]))
+    return F.when(text.rlike(pattern), F.aggregate(paired, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
 def _spans(found: Column, kind: str, confidence: Column | float) -> Column:
