@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = ["kind", "descriptor", "n", "confidence"]
-
 
 def shared(incidents: DataFrame, key: Column, kind: str, least: int, cap: float, base: float, step: float, per_place: float = 0.0) -> DataFrame:
     """Groups of at least `least` incidents with one key; confidence grows with the incidents and their places."""

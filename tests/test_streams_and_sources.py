@@ -27,6 +27,13 @@ def test_status_machine(spark):
     assert [(r.seq, r.before) for r in kept] == [(1, None), (2, "RECEIVED"), (3, "ASSIGNED"), (4, "RESPONDING")]
 
 
+def test_case_machine(spark):
+    steps = ["OPEN", "UNDER_INVESTIGATION", "CLOSED", "RESOLVED", "CLOSED", "OPEN"]
+    table = spark.createDataFrame([("c", s, float(i), i) for i, s in enumerate(steps)], "key string, status string, seconds double, id int")
+    done = S.folded(table, "key", ["seconds"], S.status_machine(S.CASE_CHANGES, "OPEN"), "boolean")
+    assert [r.result for r in done.orderBy("id").collect()] == [True, True, False, True, True, False]
+
+
 def test_lock_out(spark):
     tries = [(t, ok) for t, ok in [(0, False), (1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, True), (800, False), (906, True), (907, False)]]
     table = spark.createDataFrame([("k", float(t), ok, i) for i, (t, ok) in enumerate(tries)], "key string, seconds double, success boolean, id int")
