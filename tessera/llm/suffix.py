@@ -43,7 +43,6 @@ SLICE, HELD = 1 << 20, 400_000
 HEAVY = 1_000
 BASE, SEED = np.uint64(0x9E3779B97F4A7C15 | 1), 11
 LETTERS = numbers(256, SEED)
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
