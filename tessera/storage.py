@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_made: set[str] = set()
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -26,14 +27,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once as Parquet in the shared folder and go on from the written table."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all tables that this process has stored, once no result is read any more."""
+    for path in sorted(_made):
+        _delete(spark, path)

@@ -3,6 +3,7 @@ from collections import deque
 
 import pytest
 
+from tessera import storage
 from tessera.operators import graph, places, ranking, scoring
 from tessera.operators.components import components
 
@@ -97,3 +98,16 @@ def test_hidden_links_and_ranks(spark):
     assert {(r.a, r.b) for r in got} >= {("a", "b"), ("m", "n")}
     values = spark.createDataFrame([(1,), (1,), (3,), (9,)], "v int")
     assert sorted(r.p for r in ranking.percentile_rank(values, "v", "p").collect()) == [0, 0, 0.5, 0.75]
+
+
+def test_stored_tables_can_be_deleted(spark):
+    import os
+
+    table = storage.stored(spark.range(5), "five")
+    path = table.stored_path.removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    storage.forget(table)
+    assert not os.path.isdir(path)
+    again = storage.stored(spark.range(5), "five").stored_path.removeprefix("file://")
+    storage.forget_all(spark)
+    assert not os.path.isdir(again) and not storage._made
