@@ -2,14 +2,17 @@
 
 Equal vectors are one row from the start, with their number. Coarse centroids and the codebooks of PARTS
 subspaces are fitted on SAMPLE vectors (the smallest hashes of vec_id); every vector is then indexed. A vector's
-home list is its nearest centroid's; as a query it visits its PROBES nearest lists. In a list, a query's table
-of inner products with the codewords gives its approximate cosine to each member; the member's own code error
-bounds how far off that is, so only pairs that can reach the threshold go to the exact cosine in double
-precision. A pair that two lists see counts once.
-
-A list of over CHUNK members is dealt in chunks that each meet all of its queries, so a dense region with a third
-of all rows is many tasks. Links aren't listed: tasks give each vector's number of links and, for components,
-a spanning star.
+home list is its nearest centroid's, and a list's radius is the largest angle between a member and its centroid.
+A link is at most acos(threshold) wide, so a list can hold one only where the query's angle to the centroid is
+at most the radius plus that: all such lists are visited, and no link is lost. In a list, a query's table of inner
+products with the codewords gives its approximate cosine to each member; the member's own code error bounds how
+far off that is, so only pairs that can reach the threshold go to the exact cosine in double precision.
+
+Lists make groups of about GROUP members, a list of over CHUNK members in chunks, so a dense region with a third of
+all rows is many tasks. A query is sent once to a group, and of two groups one is sent to the other, so a pair is
+seen from one side. A task holds a group's members; queries stream past. Where no list can be ruled out (vectors
+without clusters) all pairs are looked up, so work grows with the square there. Links aren't listed: tasks give
+each vector's number of links and, for components, a spanning star.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without
 vec_id; they are returned with 0 links as their own component. Vectors of different lengths don't link. Repeated
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_limits, components, local_stars, stored
 
 THRESHOLD = 0.9
-SAMPLE, LIST_ROWS, LISTS, PROBES = 20_000, 256, 4_096, 12
-PARTS, WORDS, CHUNK, ROUNDS = 8, 256, 1_024, 10
+SAMPLE, LIST_ROWS, LISTS = 20_000, 256, 4_096
+PARTS, WORDS, CHUNK, GROUP, ROUNDS = 8, 256, 1_024, 4_096, 10
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -70,9 +73,9 @@ class Index:
 
     def approximate(self, queries: np.ndarray, codes: np.ndarray, home: int) -> np.ndarray:
         """Inner products of queries with coded members, by table look-up."""
-        out = np.repeat((queries @ self.centre[home])[:, None], len(codes), axis=1)
+        out = np.repeat((queries @ self.centre[home])[:, None].astype(np.float32), len(codes), axis=1)
         for i, ((a, z), w) in enumerate(zip(self.parts, self.words)):
-            out += (queries[:, a:z] @ w.T)[:, codes[:, i]]
+            out += np.take((queries[:, a:z] @ w.T).astype(np.float32), codes[:, i], axis=1)
         return out
 
 
@@ -91,94 +94,199 @@ def _to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), _packed(b.column(2))], names=["rep", "copies", "vec"])
 
 
-DEALT = "list int, chunk int, rep long, copies long, home int, probes binary, vec binary"
+HOMED = "rep long, copies long, home int, angle double, vec binary"
+DEALT = "grp int, role int, rep long, copies long, home int, vec binary"
+#: Angles are compared with this much slack, looked-up cosines with the other.
+SLACK, LOOSE = 1e-6, 1e-5
+
+
+def _angles(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors and centroids; a centroid of length zero is at a right angle to all."""
+    size = np.linalg.norm(centre, axis=1)
+    return np.arccos(np.clip(x @ (centre / np.where(size > 0, size, 1)[:, None]).T, -1, 1))
 
 
-def _dealer(index: Index, width: int, probes: int, chunks: np.ndarray):
+def _homes(index: Index, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            near = index.nearest(_unit(b.column(2), width), probes)
-            rep = b.column(0).to_numpy()
-            times = chunks[near]  # a query visits each chunk of a list
-            row = np.repeat(np.arange(len(b)), times.sum(1))
-            lists, flat = np.repeat(near.ravel(), times.ravel()), times.ravel()
-            chunk = np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat)
-            ways = pa.array([p.tobytes() for p in near], pa.binary())
-            cols = {"list": lists.astype(np.int32), "chunk": chunk.astype(np.int32), "rep": rep[row], "copies": b.column(1).to_numpy()[row], "home": near[row, 0]}
-            for at in range(0, len(row), 10_000):
-                part = pa.array(row[at : at + 10_000])
-                yield pa.record_batch([*(pa.array(c[at : at + 10_000]) for c in cols.values()), ways.take(part), b.column(2).take(part)], names=[*cols, "probes", "vec"])
+            if len(b):
+                x = _unit(b.column(2), width)
+                home = index.nearest(x, 1)[:, 0]
+                angle = _angles(x, index.centre)[np.arange(len(b)), home]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(home), pa.array(angle), b.column(2)], names=["rep", "copies", "home", "angle", "vec"])
 
     return work
 
 
-def _homes(index: Index, width: int):
+class Layout:
+    """Which lists, and chunks of large ones, make a group, and how far each list's members reach from its centroid."""
+
+    def __init__(self, index: Index, sizes: list[tuple[int, int, float]], threshold: float):
+        lists = len(index.centre)
+        self.chunks = np.zeros(lists, np.int64)
+        self.reach = np.zeros(lists)
+        rows = np.zeros(lists, np.int64)
+        for k, n, radius in sizes:
+            self.chunks[k], rows[k] = -(-n // CHUNK), n
+            self.reach[k] = radius + np.arccos(min(1.0, max(-1.0, threshold))) + SLACK
+        # near centroids lie side by side, so that a query meets few groups
+        most = max(1, int(rows.sum()) // GROUP)
+        coarse = _kmeans(index.centre, most)
+        place = (index.centre @ coarse.T - 0.5 * (coarse * coarse).sum(1)).argmax(1)
+        order = np.lexsort((np.arange(lists), place))
+        self.unit_list = np.repeat(order, self.chunks[order])
+        unit_rows = rows[self.unit_list] / self.chunks[self.unit_list]
+        group = ((np.cumsum(unit_rows) - unit_rows) // GROUP).astype(np.int64)
+        self.unit_group = np.unique(group, return_inverse=True)[1]
+        self.starts = np.searchsorted(self.unit_group, np.arange(self.unit_group.max() + 1))
+        self.first_unit = np.full(lists, -1)
+        seen, at = np.unique(self.unit_list, return_index=True)
+        self.first_unit[seen] = at
+
+    def own(self, home: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        """The group of each member."""
+        return self.unit_group[self.first_unit[home] + rep % self.chunks[home]]
+
+    def visits(self, angles: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, group) for each other group that can hold a link, from one of the two sides of each pair of groups."""
+        can = np.logical_or.reduceat((angles <= self.reach)[:, self.unit_list], self.starts, axis=1)
+        g = np.arange(len(self.starts))
+        mine = own[:, None]
+        # of two groups the lower goes to the higher where their sum is even, else the other way
+        return np.nonzero(can & (mine != g) & ((mine < g) == ((mine + g) % 2 == 0)))
+
+
+def _dealer(index: Index, width: int, layout: Layout):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                yield pa.record_batch([pa.array(index.nearest(_unit(b.column(2), width), 1)[:, 0])], names=["list"])
+            if not len(b):
+                continue
+            rep, copies, home = (b.column(i).to_numpy() for i in range(3))
+            own = layout.own(home, rep)
+            query, group = layout.visits(_angles(_unit(b.column(4), width), index.centre), own)
+            row, group = np.concatenate([np.arange(len(b)), query]), np.concatenate([own, group])
+            role = (np.arange(len(row)) >= len(b)).astype(np.int32)
+            for at in range(0, len(row), 10_000):
+                r = row[at : at + 10_000]
+                cols = [group[at : at + 10_000].astype(np.int32), role[at : at + 10_000], rep[r], copies[r], home[r]]
+                yield pa.record_batch([*map(pa.array, cols), b.column(4).take(pa.array(r))], names=["grp", "role", "rep", "copies", "home", "vec"])
 
     return work
 
 
-def _found(index: Index, width: int, threshold: float, chunks: np.ndarray):
-    """Rows sorted by list and chunk to (rep, links, other): links to count, or an edge of a star."""
-
-    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        here, chunk = t.column("list")[0].as_py(), t.column("chunk")[0].as_py()
-        rep, copies, home = (t.column(k).to_numpy() for k in ("rep", "copies", "home"))
-        x = _unit(t.column("vec"), width)
-        ways = np.frombuffer(b"".join(t.column("probes").to_pylist()), np.int32).reshape(len(t), -1)
-        member = np.flatnonzero((home == here) & (rep % chunks[here] == chunk))
-        if not len(member):
-            return
-        codes, error = index.encode(x[member], here)
-        links = np.zeros(len(t), np.int64)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for q in np.array_split(np.arange(len(t)), max(1, len(t) * len(member) // 1_000_000)):
-            near = index.approximate(x[q], codes, here) + error >= threshold - 1e-9
-            i, j = np.nonzero(near & (rep[q][:, None] != rep[member][None]))
-            i, j = q[i], member[j]
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000], j[at : at + 100_000]
-                hit = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                a, b = a[hit], b[hit]
-                np.add.at(links, a, copies[b])
-                # the member sees the query too, unless it doesn't visit the query's home
-                unseen = (home[a] != here) & ~(ways[b] == home[a][:, None]).any(1)
-                np.add.at(links, b[unseen], copies[a[unseen]])
-                edges.append((rep[a], rep[b]))
-                held += len(a)
-                if held > 1 << 17:
-                    edges = [local_stars(*map(np.concatenate, zip(*edges)))]
-                    held = len(edges[0][0])
-        some = links > 0
-        yield pa.record_batch([pa.array(rep[some]), pa.array(links[some]), pa.nulls(int(some.sum()), pa.int64())], names=["rep", "links", "other"])
-        if edges:
-            a, b = local_stars(*map(np.concatenate, zip(*edges)))
-            yield pa.record_batch([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(b)], names=["rep", "links", "other"])
+class Group:
+    """The members of a group, what queries find among them, and their components so far."""
+
+    def __init__(self, index: Index, width: int, threshold: float, layout: Layout, t: pa.Table):
+        self.index, self.width, self.threshold, self.layout = index, width, threshold, layout
+        home = t.column("home").to_numpy()
+        order = np.argsort(home, kind="stable")
+        self.rep, self.copies = t.column("rep").to_numpy()[order], t.column("copies").to_numpy()[order]
+        self.x, home = _unit(t.column("vec"), width)[order], home[order]
+        self.links, self.label = np.zeros(len(order), np.int64), np.arange(len(order))
+        names, starts = np.unique(home, return_index=True)
+        self.lists = []
+        for k, s, e in zip(names.tolist(), starts, [*starts[1:], len(home)]):
+            self.lists.append((k, s, e, *index.encode(self.x[s:e], k)))
+        for at in range(0, len(order), 2_000):
+            rows = np.arange(at, min(at + 2_000, len(order)))
+            self.links[rows] += self._search(self.x[rows], rows, None)
+
+    def _merge(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        far = label[a] != label[b]
+        if not far.any():
+            return label
+        ids, low = local_stars(label[a[far]], label[b[far]])
+        to = np.arange(len(label))
+        to[ids] = low
+        return to[label]
+
+    def _search(self, x: np.ndarray, node: np.ndarray, copies: np.ndarray | None) -> np.ndarray:
+        """Links of queries; members (copies is None) are at node, others come after the members in label."""
+        links = np.zeros(len(x), np.int64)
+        angles = _angles(x, self.index.centre[[k for k, *_ in self.lists]])
+        for n, (k, s, e, codes, error) in enumerate(self.lists):
+            q = np.flatnonzero(angles[:, n] <= self.layout.reach[k])
+            for s2 in range(s, e, CHUNK) if len(q) else ():
+                e2 = min(e, s2 + CHUNK)
+                i, j = self._hits(x[q], node[q], s2, e2, self.index.approximate(x[q], codes[s2 - s : e2 - s], k) + error[s2 - s : e2 - s])
+                if not len(i):
+                    continue
+                links[q] += np.bincount(i, weights=self.copies[s2 + j], minlength=len(q)).astype(np.int64)
+                if copies is not None:
+                    self.links[s2:e2] += np.bincount(j, weights=copies[q[i]], minlength=e2 - s2).astype(np.int64)
+                a, b = node[q[i]], s2 + j
+                first = np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]])
+                self.label = self._merge(self._merge(self.label, a[first], b[first]), a, b)
+        return links
+
+    def _hits(self, x: np.ndarray, node: np.ndarray, s: int, e: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (bound >= self.threshold - LOOSE) & (node[:, None] != np.arange(s, e))
+        if np.count_nonzero(near) * 16 > near.size:  # a dense block: most pairs are settled by one product
+            product = x @ self.x[s:e].T
+            near &= product >= self.threshold - 1e-12
+            i, j = np.nonzero(near)
+            unsure = np.flatnonzero(product[i, j] < self.threshold + 1e-12)
+        else:
+            i, j = np.nonzero(near)
+            unsure = np.arange(len(i))
+        keep = np.ones(len(i), bool)
+        for at in range(0, len(unsure), 100_000):
+            u = unsure[at : at + 100_000]
+            keep[u] = np.einsum("ij,ij->i", x[i[u]], self.x[s + j[u]]) >= self.threshold
+        return i[keep], j[keep]
+
+    def ask(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """What rows of other groups link with here."""
+        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        m = len(self.rep)
+        self.label = np.concatenate([self.label, m + np.arange(len(t))])
+        links = self._search(_unit(t.column("vec"), self.width), m + np.arange(len(t)), copies)
+        to, self.label = self.label[m:], self.label[:m]
+        some = np.flatnonzero(links)  # a query that links has the label of a member
+        yield _rows(rep[some], links[some], self.rep[to[some]])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield _rows(self.rep, self.links, self.rep[self.label])
+
+
+def _rows(rep: np.ndarray, links: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(rep), pa.array(links), pa.array(other)], names=["rep", "links", "other"])
+
+
+def _found(index: Index, width: int, threshold: float, layout: Layout):
+    """Rows sorted by group and role, members first, to (rep, links, other): links to count, and an edge of a star."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        now, members, group = -1, [], None
+
+        def built() -> Group:
+            return Group(index, width, threshold, layout, pa.Table.from_batches(members).combine_chunks())
+
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            key = t.column("list").to_numpy().astype(np.int64) << 32 | t.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
+            if not len(b):
+                continue
+            key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(b)]
             for s, e in zip(cuts, cuts[1:]):
-                yield from of(t.slice(s, e - s).combine_chunks())
-            rest = t.slice(cuts[-1])
-        if rest is not None and len(rest):
-            yield from of(rest.combine_chunks())
+                part, grp = b.slice(s, e - s), int(key[s] >> 1)
+                if grp != now:
+                    if now >= 0:
+                        yield from (group or built()).end()
+                    now, members, group = grp, [], None
+                if key[s] % 2 == 0:
+                    members.append(part)
+                else:
+                    group = group or built()
+                    yield from group.ask(pa.Table.from_batches([part]))
+        if now >= 0:
+            yield from (group or built()).end()
 
     return work
 
 
-def vector_components(table: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+def vector_components(table: DataFrame, threshold: float = THRESHOLD, probes: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; probes has no effect, all lists that can hold a link are visited."""
     spark = table.sparkSession
     arrow_limits(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -194,21 +302,19 @@ def vector_components(table: DataFrame, threshold: float = THRESHOLD, probes: in
         first = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "copies", "embedding").toPandas()
         sample = _unit(pa.array([np.array(x, "<f4").tobytes() for x in first["embedding"]]), width)
         index = Index(sample, max(1, min(LISTS, n // LIST_ROWS)))
-        lists = len(index.centre)
-        sizes = packed.mapInArrow(_homes(index, width), "list int").groupBy("list").count().collect()  # a row a list
-        chunks = np.ones(lists, np.int64)
-        for k, size in sizes:
-            chunks[k] = -(-size // CHUNK)
-        dealt = packed.mapInArrow(_dealer(index, width, min(probes, lists), chunks), DEALT)
-        dealt = dealt.repartition(n_parts, "list", "chunk").sortWithinPartitions("list", "chunk")
-        found.append(stored(dealt.mapInArrow(_found(index, width, threshold, chunks), "rep long, links long, other long"), "found"))
+        homed = stored(packed.mapInArrow(_homes(index, width), HOMED), "homes")
+        sizes = homed.groupBy("home").agg(F.count("*"), F.max("angle")).collect()  # a row a list
+        layout = Layout(index, [tuple(r) for r in sizes], threshold)
+        dealt = homed.mapInArrow(_dealer(index, width, layout), DEALT)
+        dealt = dealt.repartition(n_parts, "grp").sortWithinPartitions("grp", "role")
+        found.append(stored(dealt.mapInArrow(_found(index, width, threshold, layout), "rep long, links long, other long"), "found"))
     if not found:
         return table.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
-    counts = rows.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(rows.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
+    counts = rows.groupBy("rep").agg(F.sum("links").alias("links"))
+    groups = components(rows.where("other <> rep").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     result = reps.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     result = stored(result.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
     result = result.withColumnRenamed("embedding", "own")

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,22 @@ def test_vector_recall(spark, small):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in whole) == plain_links(list(zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist())))
 
 
+def test_vectors_with_a_hot_third(spark):
+    rng = np.random.default_rng(3)
+    n = 50_000
+    hot = rng.normal(size=64) + 0.3 * rng.normal(size=(n // 3, 64))
+    base = rng.normal(size=((n - len(hot)) // 2, 64))
+    x = np.concatenate([hot, base, base + 0.3 * rng.normal(size=base.shape)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}))
+    got = vectors.vector_components(table).toPandas().sort_values("vec_id")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = np.concatenate([(u[at : at + 2_000] @ u.T >= 0.9).sum(1) - 1 for at in range(0, len(u), 2_000)])
+    assert want.sum() > 50_000_000
+    assert np.array_equal(got["n_links"].to_numpy(), want)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(7, 7)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
