@@ -178,94 +178,111 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = RADIUS) ->
     return fps.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near copies: bits of the shingles' sketch and how many may differ; shingles have five words. Of pairs with a
-#: Jaccard similarity of 0.8 the sketches differ in 77 bits on average (standard deviation 8), at 0.6 in 118.
-WIDE, WIDE_RADIUS, WIDE_WORDS = 512, 96, 5
-#: One odd number for each 64 bits of hashes that are derived from one hash.
-DERIVED = numbers(WIDE // 64 + 1, 99) | np.uint64(1)
-
-
-def _majority(h: np.ndarray) -> np.ndarray:
-    """The bits set in over half of unsigned 64-bit rows; h has a column for each 64 bits."""
-    rows = h.view(np.uint8).reshape(len(h), -1)
-    counts = np.zeros(rows.shape[1] * 8, np.int64)
-    for at in range(0, len(rows), 255):
-        counts += np.add.reduce(np.unpackbits(rows[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
-
-
-def sketch(text: str) -> tuple[int, int, bytes]:
-    """Two fingerprints of a text's distinct words, and the sketch of its five-word shingles."""
+#: Near copies: five-word shingles, and the least Jaccard similarity of their sets as a fraction.
+WIDE_WORDS, LEAST = 5, (4, 5)
+#: MinHash: documents that agree in all ROWS bytes of one of BANDS bands are candidates. At a similarity of 0.8 a pair
+#: is none with a chance of (1 - 0.8 ** 4) ** 20, 1 in 38,000; at 0.9, of 1 in 10 ** 9.
+BANDS, ROWS = 20, 4
+#: Bytes of a signature that a candidate has to share; at 0.8, 64 of 80 are expected (standard deviation 3.6).
+SHARED = 44
+#: One odd number for each of the hashes that are derived from one hash.
+DERIVED = numbers(BANDS * ROWS, 99) | np.uint64(1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles of lower-cased words; of a shorter text one, without words none."""
     parts = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return 0, 0, bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    own = np.array([digest(p, 42) for p in set(parts)], "<u8")
-    a, b = _majority(np.stack([own, mix(own * DERIVED[-1])], axis=1))
     line = b" ".join(parts)
     sizes = np.array([len(p) + 1 for p in parts])
     ends = np.cumsum(sizes)
     starts, ends = (ends - sizes).tolist(), (ends - 1).tolist()[WIDE_WORDS - 1 :] or [len(line)]
-    n = len(ends)
-    h = np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends)), np.uint64, n)
-    total = np.zeros(WIDE, np.int64)
-    for at in range(0, n, 255):
-        x = mix(h[at : at + 255, None] * DERIVED[None, : WIDE // 64])
-        total += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return int(a), int(b), np.packbits(total * 2 > n, bitorder="little").tobytes()
+    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def signature(hashes: np.ndarray) -> bytes:
+    """A byte of each of the set's MinHash values."""
+    low = np.full(len(DERIVED), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1_024):
+        np.minimum(low, mix(hashes[at : at + 1_024, None] * DERIVED[None]).min(0), out=low)
+    return low.astype(np.uint8).tobytes()
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
     arrow_limits(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, z, wide = zip(*map(sketch, b.column(1).to_pylist())) if len(b) else ((), (), ())
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, z)]
-            yield pa.record_batch([b.column(0), *signed, pa.array(wide, pa.binary())], names=["doc_id", "a", "b", "wide"])
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            ids = np.array([set_id(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(ids), pa.array([signature(x) for x in sets], pa.binary())], names=["doc_id", "sid", "sig"])
 
-    return docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(work, "doc_id long, a long, b long, wide binary")
+    return docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(work, "doc_id long, sid long, sig binary")
 
 
-def linked_wide(wide: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of sketches within the radius, for rows sorted by group.
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, sig) to (bucket, sid): the band's number and its bytes."""
+    for b in batches:
+        words = np.frombuffer(b"".join(b.column(1).to_pylist()), f"<u{ROWS}").reshape(len(b), BANDS).astype(np.int64)
+        keys = words | (np.arange(BANDS, dtype=np.int64) << 32)
+        yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "sid"])
 
-    The pivot is each group's first sketch: rows are sorted by their distance to it, and what differs in that
-    by more than the radius is no link.
-    """
-    first = np.searchsorted(group, group)
-    pivot = np.bitwise_count(wide ^ wide[first]).sum(1, dtype=np.int32)
-    order = np.lexsort((pivot, group))
-    wide, pivot, group = wide[order], pivot[order], group[order]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    i, step, kept = np.arange(len(group)), 1, 0
-    while True:
-        i = i[i + step < len(group)]
-        j = i + step
-        near = (group[i] == group[j]) & (pivot[j] - pivot[i] <= radius)
-        i, j = i[near], j[near]
-        if not len(i):
-            break
-        near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int32) <= radius
-        found.append((i[near], j[near]))
-        kept += int(near.sum())
-        if kept > DENSE:
-            found = [local_stars(*map(np.concatenate, zip(*found)))]
-            kept = len(found[0][0])
-        step += 1
-    a, b = map(np.concatenate, zip(*found)) if found else (order[:0], order[:0])
-    return order[a], order[b]
+
+def _candidates(x: np.ndarray, y: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Whether rows of signatures can be near copies and agree in this band first, so that a pair is named once."""
+    same = x == y
+    whole = same.reshape(*same.shape[:-1], BANDS, ROWS).all(-1)
+    return (same.sum(-1) >= SHARED) & (whole.argmax(-1) == band)
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sig_array(t: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to pairs of each with its bucket's first."""
+    key, sid, sig = -1, 0, np.zeros(BANDS * ROWS, np.uint8)
+    for b in batches:
+        if not len(b):
+            continue
+        keys, ids, sigs = b.column("bucket").to_numpy(), b.column("sid").to_numpy(), _sig_array(b)
+        first = np.searchsorted(keys, keys)
+        head, head_sig = ids[first], sigs[first]
+        going_on = keys == key
+        head[going_on], head_sig[going_on] = sid, sig
+        some = (head != ids) & _candidates(head_sig, sigs, keys >> 32)
+        a, z = np.minimum(head, ids)[some], np.maximum(head, ids)[some]
+        yield pa.record_batch([pa.array(a), pa.array(z)], names=["a", "b"])
+        key, sid, sig = int(keys[-1]), int(head[-1]), head_sig[-1].copy()
+
+
+def _to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and label to the pairs of a bucket whose labels differ."""
     rest: pa.Table | None = None
 
-    def of(t: pa.Table) -> pa.RecordBatch:
-        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(t), -1)
-        rep = t.column("rep").to_numpy()
-        a, b = linked_wide(wide, t.column("bucket").to_numpy(), WIDE_RADIUS)
-        src, dst = local_stars(rep[a], rep[b]) if len(a) else (rep[:0], rep[:0])
-        return pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        band = t.column("bucket")[0].as_py() >> 32
+        ids, label = t.column("sid").to_numpy(), t.column("label").to_numpy()
+        if label[0] == label[-1]:
+            return
+        sigs, after = _sig_array(t), np.searchsorted(label, label, "right")
+        step = max(1, 50_000 // len(t))
+        for at in range(0, int(np.searchsorted(label, label[-1])), step):
+            lowest = int(after[at])
+            for low in range(lowest, len(t), 50_000):
+                part = slice(low, low + 50_000)
+                near = _candidates(sigs[at : at + step, None], sigs[None, part], band)
+                near &= np.arange(len(t))[None, part] >= after[at : at + step, None]
+                i, j = np.nonzero(near)
+                if len(i):
+                    x, y = ids[at + i], ids[low + j]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -273,35 +290,78 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(t):
             continue
         key = t.column("bucket").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut >= 20_000:
-            yield of(t.slice(0, cut))
-            t = t.slice(cut)
-        rest = t
-    if rest is not None:
-        yield of(rest)
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
+        for s, e in zip(cuts, cuts[1:]):
+            yield from of(t.slice(s, e - s))
+        rest = t.slice(cuts[-1])
+    if rest is not None and len(rest):
+        yield from of(rest)
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets of shingles have a Jaccard similarity of LEAST or more, exactly."""
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            ok.append(both * LEAST[1] >= ((len(x) + len(y)) // 8 - both) * LEAST[0])
+        yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(src, dst) of the candidate pairs (a, b) that are near copies; sets: (sid, hashes)."""
+    x, y = (sets.select(F.col("sid").alias(k), F.col("hashes").alias(h)) for k, h in (("a", "x"), ("b", "y")))
+    whole = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    return stored(whole.mapInArrow(_similar, "a long, b long").select(F.col("a").alias("src"), F.col("b").alias("dst")), "near_links")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, hashes) of the documents whose set is wanted (sid, doc_id)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            ids = np.array([set_id(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(ids), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "hashes"])
+
+    texts = docs.select("doc_id", text_or_empty(docs).alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.select("text").mapInArrow(work, "sid long, hashes binary")
+    return stored(found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "near_sets")
+
+
+def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(src, dst) between sets of shingles: the components of all pairs of a Jaccard similarity of 0.8 or more.
+
+    reps: (sid, sig, rep). First each row of a bucket meets the bucket's first, then rows that these links haven't
+    joined meet each other, so a large group of near copies is not listed pair by pair and no pair is left out.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = reps.select("sid", "sig").mapInArrow(_banded, "bucket long, sid long")
+    shared = stored(keys.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    rows = stored(keys.join(shared, "bucket").join(reps.select("sid", "sig"), "sid").select("bucket", "sid", "sig"), "near_buckets")
+    wanted = reps.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep").alias("doc_id"))
+    sets = _sets(docs, wanted)
+    stars = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_to_first, "a long, b long")
+    links = _verified(stars.distinct(), sets)
+    label = components(links).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+    marked = rows.join(label, "sid", "left").select("bucket", "sid", "sig", F.coalesce("label", "sid").alias("label"))
+    others = marked.repartition(n, "bucket").sortWithinPartitions("bucket", "label").mapInArrow(_to_others, "a long, b long")
+    return links.union(_verified(stored(others.distinct(), "near_pairs"), sets))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The documents less near copies: of each group that similar documents link, the smallest doc_id stays.
 
-    Similar: the sketches of five-word shingles differ in at most WIDE_RADIUS bits, which takes in a Jaccard
-    similarity of 0.8 or more. Candidates agree in two of six blocks of either of two fingerprints of their
-    words, and where many documents do, in one block of the other fingerprint too. Texts without a word are one group, rows without doc_id stay, and so do all rows of a doc_id that stays.
+    Similar: the sets of distinct five-word shingles have a Jaccard similarity of 0.8 or more, computed for every
+    candidate pair. Candidates agree in one of BANDS bands of MinHash values, whatever the size of the bucket.
+    Texts without a word are one group, rows without doc_id stay, and so do all rows of a doc_id that stays.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketches = stored(_sketches(docs), "sketches")
-    reps = stored(sketches.where("doc_id is not null").groupBy("a", "b", "wide").agg(F.min("doc_id").alias("rep")), "sketch_groups")
-    keys = [_bucket_keys(reps.select(F.col(c).alias("fp"), "rep")).select((F.col("bucket") + F.lit(k << 40)).alias("bucket"), "rep") for k, c in enumerate("ab")]
-    own = keys[0].union(keys[1])
-    heavy = own.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket", F.lit(True).alias("heavy"))
-    marked = own.join(heavy, "bucket", "left").join(reps, "rep")
-    # a heavy bucket of one fingerprint is dealt anew by each of the six blocks of the other
-    other = F.when(F.shiftright("bucket", 40) == 0, F.col("b")).otherwise(F.col("a"))
-    blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(other, first).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for k, (first, width) in enumerate(BLOCKS)))
-    finer = F.when(F.col("heavy"), F.transform(blocks, lambda x: F.xxhash64("bucket", x["k"], x["bits"]))).otherwise(F.array("bucket"))
-    dealt = marked.select(F.explode(finer).alias("bucket"), "rep", "wide")
-    edges = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links, "src long, dst long")
+    sketches = stored(_signatures(docs), "sketches")
+    reps = stored(sketches.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "sketch_groups")
+    links = near_links(docs, reps)
+    # a group stands for its smallest doc_id
+    ids = [reps.select(F.col("sid").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("src", "dst")]
+    edges = links.join(ids[0], "src").join(ids[1], "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))
     groups = components(edges)
     kept = reps.join(groups, reps["rep"] == groups["node"], "left").where("component is null or component = rep")
     kept = stored(kept.select(F.col("rep").alias("kept_id")), "kept")

@@ -103,3 +103,36 @@ def test_near_copies(spark, hostile, nothing):
     assert sorted(r.doc_id for r in kept) == sorted(first.values())
     assert sorted(r.doc_id for r in S.without_near_copies(hostile).collect()) == [1, 4, 6, 7, 8]
     assert S.without_near_copies(nothing).collect() == []
+
+
+def _varied(rng, words, kind, share):
+    """A text of 200 words and a copy with words added, cut off, put in or replaced."""
+    text, n = rng.choices(words, k=200), int(200 * share)
+    if kind == "appended":
+        return text, text + rng.choices(words, k=n)
+    if kind == "cut":
+        return text, text[: 200 - n]
+    if kind == "inserted":
+        return text, text[:90] + rng.choices(words, k=n) + text[90:]
+    own = list(text)
+    for i in rng.sample(range(200), max(1, n // 6)):
+        own[i] = rng.choice(words)
+    return text, own
+
+
+def _grams(text):
+    return {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+
+
+def test_near_copies_by_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [x for i in range(600) for x in _varied(rng, words, ("appended", "cut", "inserted", "replaced")[i % 4], rng.uniform(0.1, 0.28))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set()
+    for i in range(0, len(texts), 2):
+        a, b = _grams(texts[i]), _grams(texts[i + 1])
+        want |= {i} if 5 * len(a & b) >= 4 * len(a | b) else {i, i + 1}
+    assert 600 < len(want) < 1_100
+    assert kept == want
