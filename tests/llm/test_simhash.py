@@ -136,3 +136,14 @@ def test_near_copies_by_brute_force(spark):
         want |= {i} if 5 * len(a & b) >= 4 * len(a | b) else {i, i + 1}
     assert 600 < len(want) < 1_100
     assert kept == want
+
+
+def test_near_copies_count_distinct_shingles(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5_000)]
+    line = rng.choices(words, k=8)
+    far = [rng.choices(words, k=40) + line * 60 for _ in range(2)]  # few shingles in common, but these many times
+    body = rng.choices(words, k=200)
+    less = [body, body + rng.choices(words, k=70)]  # a similarity of 0.74
+    rows = [(i, " ".join(t)) for i, t in enumerate([*far, *less])]
+    assert sorted(r.doc_id for r in S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 2, 3]
