@@ -108,6 +108,15 @@ def pivots(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("uid").orderBy(F.sha2("uid", 256), "uid").limit(k)
 
 
+#: Nodes up to which centralities are exact, and the pivots that estimate them above.
+EXACT_NODES, CENTRALITY_PIVOTS = 700, 220
+
+
+def centrality_sources(nodes: DataFrame) -> DataFrame | None:
+    """None, for an exact centrality, of a small graph; else its pivots."""
+    return None if nodes.limit(EXACT_NODES + 1).count() <= EXACT_NODES else pivots(nodes, CENTRALITY_PIVOTS)
+
+
 #: Adjacency rows up to which a graph is sent whole to every task that searches from sources; larger ones go by rounds.
 WHOLE_GRAPH = 2_000_000
 

@@ -545,14 +545,14 @@ def degree(s, d):
 def betweenness(s, d):
     adj = _adj(s, d)
     nodes = adj.select(F.col("u").alias("uid")).distinct()
-    return graph.betweenness(nodes, adj, graph.pivots(nodes, 220))
+    return graph.betweenness(nodes, adj, graph.centrality_sources(nodes))
 
 
 @query("I08_closeness")
 def closeness(s, d):
     adj = _adj(s, d)
     nodes = adj.select(F.col("u").alias("uid")).distinct()
-    return graph.closeness(nodes, adj, graph.pivots(nodes, 220))
+    return graph.closeness(nodes, adj, graph.centrality_sources(nodes))
 
 
 @query("I10_components")
@@ -717,7 +717,7 @@ def priority_scores(s, d):
     ent, rel = M.entities(s, d), M.relations(s, d)
     cases = M.table(s, d, "orders").where("o_orderstatus = 'O'").select(M.uid("c", "o_custkey").alias("uid"), F.col("o_orderpriority").alias("case_id"))
     where = M.table(s, d, "customer").select(M.uid("c", "c_custkey").alias("uid"), F.col("c_nationkey").alias("location"))
-    sources = graph.pivots(_adj(s, d).select(F.col("u").alias("uid")).distinct(), 64)
+    sources = graph.centrality_sources(_nodes(s, d))
     p = scoring.priority(ent, rel, cases, where, "1998-01-01 00:00:00", sources)
     return p.select("uid", "score", "band", F.round("confidence", 4).alias("confidence"))
 

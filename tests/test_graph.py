@@ -2,10 +2,12 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import storage
 from tessera.operators import graph, places, ranking, scoring
 from tessera.operators.components import components
+from tessera.plans import queries
 
 BRIDGED = ["ab", "bc", "ac", "cd", "de", "ef", "df", "fg"]
 
@@ -111,3 +113,14 @@ def test_stored_tables_can_be_deleted(spark):
     again = storage.stored(spark.range(5), "five").stored_path.removeprefix("file://")
     storage.forget_all(spark)
     assert not os.path.isdir(again) and not storage._made
+
+
+def test_centralities_are_exact_up_to_700_nodes(spark, small, monkeypatch):
+    names = lambda n: spark.range(n).select(F.col("id").cast("string").alias("uid"))
+    assert graph.centrality_sources(names(700)) is None
+    assert graph.centrality_sources(names(701)).count() == 220
+    asked = []
+    monkeypatch.setattr(queries.scoring, "priority", lambda *args: asked.append(args[-1]) or names(1).select("uid", *(F.lit(0.0).alias(c) for c in ("score", "band", "confidence"))))
+    queries.QUERIES["N01_priority"](spark, small)
+    n = queries._nodes(spark, small).count()
+    assert (asked[0] is None) if n <= 700 else asked[0].count() == 220
