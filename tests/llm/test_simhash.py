@@ -147,3 +147,15 @@ def test_near_copies_count_distinct_shingles(spark):
     less = [body, body + rng.choices(words, k=70)]  # a similarity of 0.74
     rows = [(i, " ".join(t)) for i, t in enumerate([*far, *less])]
     assert sorted(r.doc_id for r in S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 2, 3]
+
+
+def test_near_copies_of_a_large_family(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(20_000)]
+    body = rng.choices(words, k=200)
+    texts = [body + rng.choices(words, k=8) for _ in range(4_500)]
+    far = [body + rng.choices(words, k=60) for _ in range(20)]  # less similar than 0.8 to all but their own copies
+    texts += [t + extra for t in far for extra in ([], rng.choices(words, k=20))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(4_500, 4_540, 2)}
