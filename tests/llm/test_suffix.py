@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import suffix as X
@@ -25,14 +26,14 @@ def digest(table, **kw):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in X.suffix_digest(table, **kw).collect()}
 
 
-@pytest.mark.parametrize("heavy", [X.HEAVY, 1, 3])
-def test_documents(spark, small, heavy):
+@pytest.mark.parametrize(("heavy", "local"), [(X.HEAVY, X.LOCAL), (1, X.LOCAL), (3, 2), (X.HEAVY, 1)])
+def test_documents(spark, small, heavy, local):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    assert digest(docs, heavy=heavy) == plain([(r.doc_id, r.text.encode()) for r in docs.collect()])
+    assert digest(docs, heavy=heavy, local=local) == plain([(r.doc_id, r.text.encode()) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("heavy", [X.HEAVY, 2])
-def test_passages_and_periods(spark, heavy):
+@pytest.mark.parametrize(("heavy", "local"), [(X.HEAVY, X.LOCAL), (2, 1)])
+def test_passages_and_periods(spark, heavy, local):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcé ", k=rng.randint(1, 9)))
     passage = " ".join(word() for _ in range(60))
@@ -44,7 +45,30 @@ def test_passages_and_periods(spark, heavy):
         rows.append((i * 3 - 20, rng.choice([own + inner, inner + own, own + inner + own, "ab" * rng.randint(1, 200), "a" * rng.randint(90, 400), inner])))
     rows += [(1000, "x" * 99), (1001, "y" * 100), (1002, "y" * 100), (1003, "y" * 101), (1004, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert digest(table, heavy=heavy) == plain([(i, t.encode()) for i, t in rows])
+    assert digest(table, heavy=heavy, local=local) == plain([(i, t.encode()) for i, t in rows])
+
+
+def test_long_documents_come_in_slices(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4_000)]
+    long = " ".join(rng.choices(words, k=110_000)).encode()
+    assert len(long) > 2 * X.SLICE
+    around = long[X.SLICE - 300 : X.SLICE + 300]
+    rows = [(1, long), (2, b"x" + long), (3, around), (4, long[X.SLICE // 2 :] + b"y" * 300)]
+    table = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    assert digest(table) == plain(rows) == digest(table, heavy=1, local=1)
+
+
+def test_second_names_tell_thue_morse_words_apart():
+    bits = [0]
+    while len(bits) < 128:
+        bits += [1 - b for b in bits]
+    word = np.array([97 + b for b in bits] + [98 - b for b in bits], np.uint8)
+    start = np.array([0, 128])
+    names = X.Names(word)
+    assert len(set(names.second(start, start + 128).tolist())) == 2
+    again = X.Names(np.concatenate([word, word]))
+    assert np.array_equal(again.second(start + 256, start + 384), names.second(start, start + 128))
 
 
 def test_hostile(hostile, nothing):
