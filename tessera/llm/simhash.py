@@ -1,7 +1,8 @@
 """Near-duplicates by SimHash: banded exact matches, a pivot distance table, and verified Hamming distances.
 
 Documents become one 64-bit fingerprint of their word shingles. Equal fingerprints are one row from then on.
-Two fingerprints within RADIUS bits agree wholly in at least two of six blocks, so each goes into 15 buckets.
+Two fingerprints within RADIUS bits agree wholly in all but RADIUS of B blocks, so each goes into a bucket for each
+choice of B - RADIUS of them: 15 for six blocks (22 bits a bucket), and more blocks, with more bits, for more rows.
 In a bucket the Hamming distances to PIVOTS reference fingerprints are a table; by the triangle inequality a
 pair whose distances to any reference differ by more than the radius is no link. What is left is verified.
 A bucket of over HEAVY fingerprints is dealt anew by four of eight parts of the bits outside its key, which
@@ -26,8 +27,8 @@ from tessera.llm.common import arrow_limits, components, local_stars, mix, numbe
 
 RADIUS = 4
 PIVOTS = 24
-#: First bit and width of the six blocks of a fingerprint.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: (rows from which, number of blocks): 2, 3 or 4 blocks agree, of 22, 27 or 32 bits together, for 15, 35 or 70 keys.
+BLOCKS_FROM = ((0, 6), (1 << 29, 7), (1 << 34, 8))
 HEAVY = 4_096
 #: Pairs that a task holds before their components stand for them.
 DENSE = 1 << 17
@@ -67,22 +68,33 @@ def _bits(x: np.ndarray, first: int, width: int) -> np.ndarray:
     return (x >> np.uint64(first)) & np.uint64((1 << width) - 1)
 
 
-def _bucket_keys(fp: DataFrame) -> DataFrame:
-    """(bucket, pair, fp, rep), 15 rows for each fingerprint: the bits of two blocks and which two."""
-    part = [F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)) for first, width in BLOCKS]
-    keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(part[j]) for k, (i, j) in enumerate(combinations(range(6), 2))]
+def blocks_of(number: int) -> list[tuple[int, int]]:
+    """First bit and width of so many blocks of a fingerprint."""
+    cuts = [64 * i // number for i in range(number + 1)]
+    return [(a, z - a) for a, z in zip(cuts, cuts[1:])]
+
+
+def _bucket_keys(fp: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
+    """(bucket, fp, rep), a row for each choice of all but RADIUS blocks: their bits (32 at most) and which choice."""
+    part = [F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)) for first, width in blocks]
+    keys = []
+    for k, chosen in enumerate(combinations(range(len(blocks)), len(blocks) - RADIUS)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, blocks[i][1]).bitwiseOR(part[i])
+        keys.append(F.shiftleft(key, 7).bitwiseOR(F.lit(k).cast("long")))
     return fp.select(F.explode(F.array(*keys)).alias("bucket"), "fp", "rep")
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of heavy buckets, 70 for each: four of eight parts of the bits outside the bucket's two blocks."""
-    pairs = list(combinations(range(6), 2))
+def _finer(batches: Iterator[pa.RecordBatch], blocks: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows of heavy buckets, 70 for each: four of eight parts of the bits outside the bucket's blocks."""
+    choices = list(combinations(range(len(blocks)), len(blocks) - RADIUS))
     for b in batches:
         bucket, fp, rep = (b.column(i).to_numpy() for i in range(3))
         out, u = [], fp.view(np.uint64)
-        for k in np.unique(bucket >> 32):
-            rows = (bucket >> 32) == k
-            x, rest = u[rows], [(f, w) for i, (f, w) in enumerate(BLOCKS) if i not in pairs[k]]
+        for k in np.unique(bucket & 127):
+            rows = (bucket & 127) == k
+            x, rest = u[rows], [(f, w) for i, (f, w) in enumerate(blocks) if i not in choices[k]]
             halves = [h for f, w in rest for h in ((f, w // 2), (f + w // 2, w - w // 2))]
             for n, four in enumerate(combinations(range(8), 4)):
                 key = mix(bucket[rows].astype(np.uint64) * np.uint64(71) + np.uint64(n))
@@ -149,19 +161,26 @@ def _links(radius: int):
     return work
 
 
-def fingerprint_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp) to (fp, component): the smallest doc_id that links of at most `radius` bits reach."""
+def fingerprint_components(fps: DataFrame, radius: int = RADIUS, number: int | None = None, heavy_rows: int = HEAVY) -> DataFrame:
+    """(doc_id, fp) to (fp, component): the smallest doc_id that links of at most `radius` bits (RADIUS at most) reach.
+
+    number (of blocks; by default by the number of rows) and heavy_rows don't change the result.
+    """
     spark = fps.sparkSession
     arrow_limits(spark)
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    keys = _bucket_keys(reps.where("rep is not null"))
-    heavy = stored(keys.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket", F.lit(True).alias("heavy")), "heavy")
+    if number is None:
+        rows = reps.count()
+        number = max(blocks for least, blocks in BLOCKS_FROM if rows >= least)
+    blocks = blocks_of(number)
+    keys = _bucket_keys(reps.where("rep is not null"), blocks)
+    heavy = stored(keys.groupBy("bucket").count().where(F.col("count") > heavy_rows).select("bucket", F.lit(True).alias("heavy")), "heavy")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if heavy.isEmpty():
         dealt = keys
     else:
         marked = keys.join(heavy, "bucket", "left").select("bucket", "fp", "rep", "heavy")
-        finer = marked.where("heavy").select("bucket", "fp", "rep").mapInArrow(_finer, "bucket long, fp long, rep long")
+        finer = marked.where("heavy").select("bucket", "fp", "rep").mapInArrow(lambda b: _finer(b, blocks), "bucket long, fp long, rep long")
         dealt = marked.where("heavy is null").select("bucket", "fp", "rep").union(finer)
     sorted_rows = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
     edges = sorted_rows.mapInArrow(_links(radius), "src long, dst long")
@@ -262,42 +281,6 @@ def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sid, sig = int(keys[-1]), int(head[-1]), head_sig[-1].copy()
 
 
-def _to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and label to the pairs of a bucket whose labels differ."""
-    rest: pa.Table | None = None
-
-    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        band = t.column("bucket")[0].as_py() >> 32
-        ids, label = t.column("sid").to_numpy(), t.column("label").to_numpy()
-        if label[0] == label[-1]:
-            return
-        sigs, after = _sig_array(t), np.searchsorted(label, label, "right")
-        step = max(1, 50_000 // len(t))
-        for at in range(0, int(np.searchsorted(label, label[-1])), step):
-            lowest = int(after[at])
-            for low in range(lowest, len(t), 50_000):
-                part = slice(low, low + 50_000)
-                near = _candidates(sigs[at : at + step, None], sigs[None, part], band)
-                near &= np.arange(len(t))[None, part] >= after[at : at + step, None]
-                i, j = np.nonzero(near)
-                if len(i):
-                    x, y = ids[at + i], ids[low + j]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if not len(t):
-            continue
-        key = t.column("bucket").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
-        for s, e in zip(cuts, cuts[1:]):
-            yield from of(t.slice(s, e - s))
-        rest = t.slice(cuts[-1])
-    if rest is not None and len(rest):
-        yield from of(rest)
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets of shingles have a Jaccard similarity of LEAST or more, exactly."""
     for b in batches:
@@ -329,11 +312,132 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "near_sets")
 
 
-def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by column 0 to a table for each of its values."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(b)]
+        for s, e in zip(cuts, cuts[1:]):
+            if rest and e > s and rest[-1].column(0)[0].as_py() != key[s]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            if e > s:
+                rest.append(b.slice(s, e - s))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+class Sets:
+    """The sets of shingles of a block's rows as bits, over the shingles that two rows or more have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        width = -(-max(1, int((times > 1).sum())) // 64) * 64
+        self.bits = np.zeros((len(sets), width // 64), np.uint64)
+        ends = np.cumsum(self.sizes)
+        for row, (s, e) in enumerate(zip(ends - self.sizes, ends)):
+            own = place[s:e]
+            flags = np.zeros(width, bool)
+            flags[column[own[times[own] > 1]]] = True
+            self.bits[row] = np.packbits(flags).view(np.uint64)
+
+    def both(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many shingles rows i have in common with other rows j."""
+        step = max(1, (4 << 20) // (8 * self.bits.shape[1]))
+        parts = [np.bitwise_count(self.bits[i[a : a + step]] & self.bits[j[a : a + step]]).sum(1, dtype=np.int64) for a in range(0, len(i), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def table(self, pivots: int) -> np.ndarray:
+        """The Jaccard distances (a metric) of all rows to some of them."""
+        n = len(self.sizes)
+        out = []
+        for p in np.unique(np.linspace(0, n - 1, min(pivots, n)).astype(int)):
+            both = self.both(np.arange(n), np.full(n, p))
+            both[p] = self.sizes[p]
+            out.append(1 - both / np.maximum(1, self.sizes + self.sizes[p] - both))
+        return np.stack(out, axis=1)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a bucket's rows (block, bucket, side, sid, label, sig, hashes) to links between different labels.
+
+    side is -1 in a block whose rows all meet each other, else 0 and 1 meet. The distances to PIVOTS reference rows
+    are a table, pairs that differ by more than a link's distance in any of them are discarded, the others verified.
+    A pair is looked at in the first band that it agrees in, and only while its labels still differ.
+    """
+    most = 1 - LEAST[0] / LEAST[1] + 1e-9
+    for t in _one_by_one(batches):
+        band = t.column("bucket")[0].as_py() >> 32
+        ids, label, side = (t.column(k).to_numpy() for k in ("sid", "label", "side"))
+        sigs, sets = _sig_array(t), Sets([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()])
+        table, n, found = sets.table(PIVOTS), len(t), []
+        step = max(1, (1 << 15) // n)
+        for at in range(0, n, step):
+            rows = slice(at, at + step)
+            near = np.arange(n)[None] > np.arange(n)[rows, None]
+            near &= label[rows, None] != label[None]
+            near &= (side[rows, None] < 0) | (side[rows, None] != side[None])
+            i, j = np.nonzero(near)
+            i += at
+            for k in range(table.shape[1]):
+                keep = np.abs(table[i, k] - table[j, k]) <= most
+                i, j = i[keep], j[keep]
+            keep = _candidates(sigs[i], sigs[j], band)
+            i, j = i[keep], j[keep]
+            both = sets.both(i, j)
+            keep = both * LEAST[1] >= (sets.sizes[i] + sets.sizes[j] - both) * LEAST[0]
+            i, j = i[keep], j[keep]
+            if len(i):
+                found.append(local_stars(ids[i], ids[j]))
+                old, new = local_stars(label[i], label[j])
+                order = np.argsort(old)
+                old, new = old[order], new[order]
+                spot = np.minimum(np.searchsorted(old, label), len(old) - 1)
+                label = np.where(old[spot] == label, new[spot], label)
+        if found:
+            src, dst = local_stars(*map(np.concatenate, zip(*found)))
+            yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+
+def _blocks(marked: DataFrame, sets: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(block, bucket, side, sid, label, sig, hashes): the rows that have to meet, of buckets with different labels.
+
+    Rows with the label of their bucket's first row are its main ones; these don't meet each other. Main and other rows
+    are each cut into parts of about `block` rows and `block_bytes` bytes; two parts are a block.
+    """
+    heads = marked.groupBy("bucket").agg(F.min_by("label", "sid").alias("first_label"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    heads = stored(heads.where("lo <> hi").select(F.col("bucket").alias("of_bucket"), "first_label"), "near_heads")
+    rows = marked.join(heads, F.col("bucket") == F.col("of_bucket")).select("bucket", "sid", "label", (F.col("label") == F.col("first_label")).alias("main"))
+    rows = stored(rows.join(sets.select("sid", F.length("hashes").alias("size")), "sid"), "near_open")
+    parts = lambda rule: F.greatest(F.ceil(F.count(F.when(rule, 1)) / block), F.ceil(F.coalesce(F.sum(F.when(rule, F.col("size"))), F.lit(0)) / block_bytes)).cast("int")
+    counts = stored(rows.groupBy("bucket").agg(parts(F.col("main")).alias("mains"), parts(~F.col("main")).alias("rests")), "near_parts")
+    rows = rows.join(counts.withColumnRenamed("bucket", "of_bucket"), F.col("bucket") == F.col("of_bucket"))
+    small = (F.col("mains") == 1) & (F.col("rests") == 1)
+    part = F.pmod(F.xxhash64("sid"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests")))
+    entry = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    others = F.sequence(F.lit(0), F.col("rests") - 1)
+    with_rests = F.transform(others, lambda d: entry(1, F.least(d, part), F.greatest(d, part), F.when(d == part, -1).otherwise((part > d).cast("int"))))
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda d: entry(2, part, d, F.lit(0)))
+    of_main = F.transform(others, lambda d: entry(2, d, part, F.lit(1)))
+    where = F.when(small, F.array(entry(0, F.lit(0), F.lit(0), F.lit(-1)))).when(F.col("main"), of_main).otherwise(F.concat(with_rests, with_mains))
+    dealt = rows.select("bucket", "sid", "label", F.explode(where).alias("to"))
+    keyed = dealt.select(F.xxhash64("bucket", "to.kind", "to.x", "to.y").alias("block"), "bucket", "to.side", "sid", "label")
+    return stored(keyed, "near_blocks").join(sets, "sid").select("block", "bucket", "side", "sid", "label", "sig", "hashes")
+
+
+#: Rows and bytes of sets of shingles that a part of a bucket has.
+PART_ROWS, PART_BYTES = 512, 16 << 20
+
+
+def near_links(docs: DataFrame, reps: DataFrame, block: int = PART_ROWS, block_bytes: int = PART_BYTES) -> DataFrame:
     """(src, dst) between sets of shingles: the components of all pairs of a Jaccard similarity of 0.8 or more.
 
     reps: (sid, sig, rep). First each row of a bucket meets the bucket's first, then rows that these links haven't
-    joined meet each other, so a large group of near copies is not listed pair by pair and no pair is left out.
+    joined meet each other, in blocks of a bounded size (block, block_bytes; the result is the same), each in a task.
+    So a large group of near copies is not listed pair by pair, and no pair is left out.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = reps.select("sid", "sig").mapInArrow(_banded, "bucket long, sid long")
@@ -344,12 +448,14 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     stars = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_to_first, "a long, b long")
     links = _verified(stars.distinct(), sets)
     label = components(links).select(F.col("node").alias("sid"), F.col("component").alias("label"))
-    marked = rows.join(label, "sid", "left").select("bucket", "sid", "sig", F.coalesce("label", "sid").alias("label"))
-    others = marked.repartition(n, "bucket").sortWithinPartitions("bucket", "label").mapInArrow(_to_others, "a long, b long")
-    return links.union(_verified(stored(others.distinct(), "near_pairs"), sets))
+    marked = stored(rows.select("bucket", "sid").join(label, "sid", "left").select("bucket", "sid", F.coalesce("label", "sid").alias("label")), "near_labels")
+    signed = stored(sets.join(reps.select("sid", "sig"), "sid"), "near_signed")
+    blocks = _blocks(marked, signed, block, block_bytes)
+    others = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_block_links, "src long, dst long")
+    return links.union(stored(others, "near_others"))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, block: int = PART_ROWS) -> DataFrame:
     """The documents less near copies: of each group that similar documents link, the smallest doc_id stays.
 
     Similar: the sets of distinct five-word shingles have a Jaccard similarity of 0.8 or more, computed for every
@@ -358,7 +464,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """
     sketches = stored(_signatures(docs), "sketches")
     reps = stored(sketches.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "sketch_groups")
-    links = near_links(docs, reps)
+    links = near_links(docs, reps, block)
     # a group stands for its smallest doc_id
     ids = [reps.select(F.col("sid").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("src", "dst")]
     edges = links.join(ids[0], "src").join(ids[1], "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))

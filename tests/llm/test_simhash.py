@@ -66,6 +66,21 @@ def test_planted_distances(spark):
     assert {k: want[v] for k, v in fp_of.items()} == got
 
 
+def test_block_numbers_and_heavy_rows_keep_the_result(spark):
+    rng = random.Random(13)
+    fps = []
+    for base in range(80):
+        x = rng.getrandbits(64)
+        fps += [x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 3, 4, 5]))) for _ in range(6)]
+    fps = sorted(set(fps))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    want = plain_components(range(len(fps)), fps, 4)
+    for number, heavy in ((6, 2), (7, S.HEAVY), (8, 2)):
+        got = {r.fp: r.component for r in S.fingerprint_components(table, number=number, heavy_rows=heavy).collect()}
+        assert got == {f: want[i] for i, f in enumerate(signed)}
+
+
 def test_heavy_buckets_lose_no_link(spark):
     rng = random.Random(4)
     x = rng.getrandbits(64) & ~0xFFFFFF
@@ -149,6 +164,39 @@ def test_near_copies_count_distinct_shingles(spark):
     assert sorted(r.doc_id for r in S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 2, 3]
 
 
+def test_near_copies_of_a_scattered_family(spark):
+    """Copies of a text with more or fewer changes: few are near the first, many near some other; blocks of all sizes."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(20_000)]
+    body = rng.choices(words, k=150)
+    texts = []
+    for _ in range(300):
+        own = list(body)
+        for i in rng.sample(range(150), rng.randint(0, 9)):
+            own[i] = rng.choice(words)
+        texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    grams = [_grams(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j in range(i):
+            both = len(a & grams[j])
+            if 5 * both >= 4 * (len(a) + len(grams[j]) - both):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    want = {find(i) for i in range(len(texts))}
+    assert 20 < len(want) < 280
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (S.PART_ROWS, 20):
+        assert {r.doc_id for r in S.without_near_copies(table, block).collect()} == want
+
+
 def test_near_copies_of_a_large_family(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(20_000)]
