@@ -1,14 +1,15 @@
 """Licence scans by a positional index of rare words.
 
-Templates (licence notices and the base phrases) are word sequences. A word's weight is its inverse document
-frequency over the templates. The index has, for each template, postings (word, place) of its RARE heaviest
-words. A file's words are looked up in the index; a template is a candidate where the places of its rare
-words, less their places in the template, meet at one start; then its mandatory key phrases must stand at
-their places. A base phrase is all mandatory: every place where its words stand consecutively counts.
+Templates (whole licence texts, short notices and the base phrases) are word sequences. A word's weight is its
+inverse document frequency over the templates. The index has postings (template, place) of each template's RARE
+heaviest words among its mandatory phrases. Of a file, the posted words are looked up, heaviest first; each gives the
+starts at which a template would have it in place, the starts that all of a template's posted words agree on are
+intersected, and there its mandatory key phrases must stand at their places. So a template is found exactly where its
+mandatory phrases are in place. A base phrase is all mandatory: every place where its words stand consecutively counts.
 
 A text's words are runs of ASCII letters and digits (lower-cased) and of non-ASCII characters. Null texts count
-as empty and give no label, null places and score 0. Equal texts get equal rows, an empty table gives an empty
-one, and only doc_id and text are read.
+as empty and give no label, null places and score 0. Very long texts are scanned whole. Equal texts get equal rows, an
+empty table gives an empty one, and only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -17,33 +18,15 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, text_or_empty
+from tessera.llm.licence_texts import BASE, NOTICES, TEXTS
 
-# fixed values: the base phrases and their labels
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-# fixed values: licence notices, label: (text, mandatory phrases)
-NOTICES = {
-    "agpl-3.0": ("gnu affero general public license version 3", ("affero general public license",)),
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    "bsd-3-clause": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    "gpl-2.0": ("this work is licensed under the gnu general public license version 2", ("general public license version 2",)),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ("general public license version 3",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
-    "lgpl-3.0": ("gnu lesser general public license version 3", ("lesser general public license",)),
-    "mit": ("released under the mit license", ("mit license",)),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-}
-RARE = 3
+RARE = 4
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -54,51 +37,61 @@ def words_of(text: str) -> list[bytes]:
 class Index:
     """Postings of each template's rare words, and its mandatory places."""
 
-    def __init__(self, notices: dict[str, tuple[str, tuple[str, ...]]] = NOTICES, base: dict[str, str] = BASE, rare: int = RARE):
+    def __init__(self, notices: dict[str, tuple[str, tuple[str, ...]]] | None = None, base: dict[str, str] = BASE, rare: int = RARE):
+        notices = NOTICES | TEXTS if notices is None else notices
         self.templates = [(label, words_of(text), phrases, False) for label, (text, phrases) in notices.items()]
         self.templates += [(label, words_of(text), (text,), True) for text, label in base.items()]
         df = Counter(w for _, words, _, _ in self.templates for w in set(words))
         self.idf = {w: math.log(1 + len(self.templates) / n) for w, n in df.items()}
+        self.weight = [sum(self.idf[w] for w in words) for _, words, _, _ in self.templates]
         self.must: list[list[tuple[int, bytes]]] = []
-        self.rare: list[list[tuple[int, bytes]]] = []
+        self.posted: list[int] = []
         postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, words, phrases, _) in enumerate(self.templates):
             places: dict[int, bytes] = {}
             for phrase in map(words_of, phrases):
                 first = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
                 places |= {first + i: w for i, w in enumerate(phrase)}
-            # rare words are taken from the mandatory ones, so a match can't lack them
             heavy = sorted(places, key=lambda i: (-self.idf[places[i]], i))[:rare]
             self.must.append(sorted(places.items()))
-            self.rare.append([(i, places[i]) for i in heavy])
-            postings[places[heavy[0]]].append((t, heavy[0]))
+            self.posted.append(len(heavy))
+            for i in heavy:
+                postings[places[i]].append((t, i))
         self.postings = dict(postings)
 
+    def candidates(self, words: list[bytes]) -> dict[int, np.ndarray]:
+        """Template to the starts that all its posted words agree on."""
+        here = self.postings.keys() & set(words)
+        if not here:
+            return {}
+        places: dict[bytes, list[int]] = {w: [] for w in here}
+        for i, w in enumerate(words):
+            if w in here:
+                places[w].append(i)
+        starts: dict[int, np.ndarray] = {}
+        met: Counter = Counter()
+        for w in sorted(here, key=lambda w: (-self.idf[w], w)):
+            at = np.array(places[w])
+            for t, place in self.postings[w]:
+                starts[t] = at - place if t not in starts else np.intersect1d(starts[t], at - place, assume_unique=True)
+                met[t] += 1
+        return {t: found for t, found in starts.items() if met[t] == self.posted[t] and len(found)}
+
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
         """(starts of base phrases, base labels, all labels, score)."""
-        starts, base, labels, score = [], set(), set(), 0.0
-        here = self.postings.keys() & set(words)
-        for lead in here:
-            places, at = [], -1
-            for _ in range(words.count(lead)):
-                at = words.index(lead, at + 1)
-                places.append(at)
-            for t, lead_at in self.postings[lead]:
-                label, template, _, is_base = self.templates[t]
-                total = sum(self.idf[w] for w in template)
-                for p in places:
-                    s = p - lead_at
-                    if any(s + i < 0 or s + i >= len(words) or words[s + i] != w for i, w in self.rare[t]):
-                        continue
-                    if any(s + i < 0 or s + i >= len(words) or words[s + i] != w for i, w in self.must[t]):
-                        continue
-                    labels.add(label)
-                    if is_base:
-                        starts.append(s)
-                        base.add(label)
-                    same = sum(self.idf[w] for i, w in enumerate(template) if 0 <= s + i < len(words) and words[s + i] == w)
-                    score = max(score, same / total)
-        return starts, base, labels, min(1.0, score)
+        found_at, base, labels, score = [], set(), set(), 0.0
+        for t, starts in self.candidates(words).items():
+            label, template, _, is_base = self.templates[t]
+            for s in starts.tolist():
+                if any(not 0 <= s + i < len(words) or words[s + i] != w for i, w in self.must[t]):
+                    continue
+                labels.add(label)
+                if is_base:
+                    found_at.append(s)
+                    base.add(label)
+                same = sum(self.idf[w] for i, w in enumerate(template) if 0 <= s + i < len(words) and words[s + i] == w)
+                score = max(score, same / self.weight[t])
+        return found_at, base, labels, min(1.0, score)
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
