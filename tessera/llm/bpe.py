@@ -7,7 +7,8 @@ and the rank of each adjacent pair; the smallest rank is found by a scan, the bo
 deleted, and the ranks left and right of it are worked out anew, until no pair has a rank.
 
 Words of over SHORT bytes (a scan for each merge would be quadratic) take their smallest ranks from a heap.
-Each task keeps the encodings of up to CACHE words, then starts anew; so memory doesn't grow with the corpus.
+A worker process keeps one codec a file, with the encodings of the last CACHE to 2 * CACHE words that it met; so
+tasks don't start cold, and memory doesn't grow with the corpus.
 
 Text whose characters are all below U+0250 or in common punctuation is normalised here; any other text by the
 library's normaliser and pre-tokeniser, so that rare scripts follow its Unicode tables.
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, plain_names, schema_of, text_or_empty
+from tessera.llm.common import arrow_limits, given_first, schema_of, text_or_empty
 
 SHORT, CACHE = 64, 200_000
 NONE = 1 << 60
@@ -127,14 +128,19 @@ class Codec:
         self.letters = byte_letters()
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.digits = list(map(str, range(max(self.names) + 1)))
 
     def _encoded(self, word: str) -> tuple[int, ...]:
-        """The ids of a normalised word."""
-        parts = self.words.parts("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))
+        """The ids of a normalised word that isn't in the newer half of the cache."""
+        found = self.older.get(word)
+        if found is None:
+            parts = self.words.parts("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))
+            found = tuple(self.words.ids(parts))
         if len(self.cache) >= CACHE:
-            self.cache.clear()
-        found = self.cache[word] = tuple(self.words.ids(parts))
+            self.older = self.cache
+            self.cache = {}
+        self.cache[word] = found
         return found
 
     def normalised_words(self, text: str) -> list[str]:
@@ -148,11 +154,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
         ids: list[int] = []
-        at, cache = 0, self.cache
+        at = 0
         cuts = [(m.start(), m.end()) for m in self.special.finditer(text)]
         for start, end in [*cuts, (len(text), len(text))]:
             for word in self.normalised_words(text[at:start]):
-                ids += cache.get(word) or self._encoded(word)
+                ids += self.cache.get(word) or self._encoded(word)
             if end > start:
                 ids.append(self.special_ids[text[start:end]])
             at = end
@@ -166,12 +172,22 @@ class Codec:
             return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """This process' codec of the file."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; path: the vocabulary file, on every machine."""
     arrow_limits(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
             rows = []
@@ -188,12 +204,12 @@ def encode_column(table: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The table with a column ids (array of int): the text's token ids; null texts give null."""
     arrow_limits(table.sparkSession)
     kept = table.drop("ids") if text != "ids" else table
-    names, plain = kept.columns, plain_names(kept.withColumnRenamed(text, "given"), "given")
+    names, plain = kept.columns, given_first(kept, text)
     others = [c for c in plain.columns if c != "given"]
     schema = f"{schema_of(plain, ['given', *others])}, ids array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             ids = [None if t is None else codec.encode(t) for t in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
@@ -205,12 +221,12 @@ def decode_column(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The table with a column decoded: the text that the ids give; null ids give null."""
     arrow_limits(table.sparkSession)
     kept = table.drop("decoded") if ids != "decoded" else table
-    names, plain = kept.columns, plain_names(kept.withColumnRenamed(ids, "given"), "given")
+    names, plain = kept.columns, given_first(kept, ids)
     others = [c for c in plain.columns if c != "given"]
     schema = f"{schema_of(plain, ['given', *others])}, decoded string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             out = [None if x is None else codec.decode(x) for x in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])

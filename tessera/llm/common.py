@@ -10,7 +10,7 @@ from tessera.operators.components import components
 from tessera.session import reachable
 from tessera.storage import forget, stored
 
-__all__ = ["arrow_limits", "components", "forget", "local_stars", "mix", "numbers", "plain_names", "schema_of", "stored", "text_or_empty"]
+__all__ = ["arrow_limits", "components", "forget", "given_first", "local_stars", "mix", "numbers", "plain_names", "schema_of", "stored", "text_or_empty"]
 
 #: Rows and bytes of a batch handed to Python. Long texts make small batches.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
@@ -60,6 +60,11 @@ def plain_names(df: DataFrame, *needed: str) -> DataFrame:
     return df.toDF(*(c if c in needed else f"other{i}" for i, c in enumerate(df.columns)))
 
 
+def given_first(df: DataFrame, column: str) -> DataFrame:
+    """The table with this column named `given` and every other one by its place, so no name can clash."""
+    return df.toDF(*("given" if c == column else f"other{i}" for i, c in enumerate(df.columns)))
+
+
 def schema_of(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, chat, langid, licences, packing, pii, simhash, suffix, telephony, vectors
+from tessera.llm.common import stored
 
 
 def vocabulary(name: str) -> str:
@@ -21,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media_features(telephony.text_media(_table(spark, sf_dir, "documents")))
+    media = stored(telephony.text_media(_table(spark, sf_dir, "documents")), "media")
+    return telephony.media_features(media)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
