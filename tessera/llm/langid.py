@@ -1,14 +1,14 @@
 """Language identification by word-first backoff.
 
 The model holds, by language, the log frequency of words and of character n-grams of 5 letters down to 1, from a
-bounded sample of labelled documents: TRAIN_DOCS of them, by the smallest hash of doc_id, whole texts. Of all
-counts the GRAMS largest are kept. A known word scores by its own frequencies. An unseen word falls back to the
+bounded sample of labelled documents: TRAIN_DOCS of them, by the smallest hash of doc_id, whole texts; all its counts
+are kept. A word is a run of Unicode letters with the combining marks among them. A known word scores by its own frequencies. An unseen word falls back to the
 longest n-grams of it (with its ends marked) that are known, scored by their mean. Every word of every text
 counts; a text's language is the one of the largest sum (ties: the first by name), its score that language's
 part of the softmax of the sums, tempered by the square root of the number of words.
 
 Null texts and texts without a letter are `und` with score 0; so is all when no labelled row can be learned
-from. lang, source and doc_id aren't inputs of a prediction. An empty table gives an empty result, and only
+from. Very long texts count whole. lang, source and doc_id aren't inputs of a prediction. An empty table gives an empty result, and only
 doc_id, text and lang are read.
 """
 
@@ -20,18 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, forget, mix, plain_names, schema_of, stored
 
-TRAIN_DOCS, GRAMS, ORDERS, CACHE = 3_000, 300_000, (5, 4, 3, 2, 1), 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+TRAIN_DOCS, ORDERS, CACHE = 3_000, (5, 4, 3, 2, 1), 300_000
+#: Letters (and marks after them) by category; of texts of Latin letters and common punctuation by a faster pattern.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LATIN, LATIN_LETTERS = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*"), re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")
 UNKNOWN = "und"
 #: An odd multiplier for the hashes of n-grams.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text."""
+    low = text.lower()
+    return LATIN_LETTERS.findall(low) if LATIN.fullmatch(low) else LETTERS.findall(low)
+
+
 def held_out() -> Column:
     """Documents that training never sees: crc32 of doc_id as text leaves 1 when divided by 3."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -47,7 +56,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         rows: Counter = Counter()
         for lang, own in words.items():
             for word, k in own.items():
@@ -143,7 +152,7 @@ class Predictor:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         self._learn(set().union(*words))
         out = []
         for own in words:
@@ -167,9 +176,9 @@ def train(labelled: DataFrame) -> Model:
     counts = sample.mapInArrow(_counted, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     counts = stored(counts, "language_counts")
     totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()]
-    top = counts.where("k > 1 or n = 1").orderBy(F.desc("k"), "n", "gram", "lang").limit(GRAMS).toPandas()
+    rows = counts.select("lang", "n", "gram", "k").toPandas()
     forget(counts)
-    return Model(list(top[["lang", "n", "gram", "k"]].itertuples(index=False, name=None)), totals)
+    return Model(list(rows.itertuples(index=False, name=None)), totals)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
