@@ -2,17 +2,21 @@
 
 Each text becomes token ids (16 bits each) and an end id. Tasks also count in how many documents each id
 occurs; summed over all of them this is one number for each entry of the vocabulary, the only thing broadcast.
-Documents are dealt by a hash of doc_id into shards of about SHARD_TOKENS. A shard's task builds an inverted
-index of each document's TERMS heaviest terms (BM25 weights with the corpus' document counts), then packs:
-the first unused document opens a window, the index returns its unused neighbours by score, and they fill the
+Documents are sorted by their KEYS rarest ids (the highest: a vocabulary lists ids by falling frequency), dealt by
+ranges of that order, and each task cuts its range into shards of about SHARD_TOKENS: so documents that share rare
+tokens meet in a shard, whatever the size of the corpus, and equal ones spread over as many tasks as they need.
+A shard's inverted index holds all terms of its documents with their BM25 weights by the corpus' document counts.
+The first unused document opens a window, the index returns its unused neighbours by score, and they fill the
 window in that order; a document that is too long is cut and goes on as the seed of the next window. Without
-neighbours left, the next unused document follows. So only the last sequence of a shard has padding.
+neighbours left, the next unused document follows. A window that a shard leaves open goes on in the task's next one,
+so only the last sequence of a task has padding.
 
 A piece is (doc_id, start, length) of a document, and lies at offset in sequence_id. A sequence shorter than
 WINDOW is padded to it unless its length is a power of two.
 
-Null texts count as empty and make one piece with only the end id. Repeated rows are packed each by itself.
-Rows with a null doc_id are packed too. An empty table gives an empty result; only doc_id and text are read.
+Null texts count as empty and make one piece with only the end id; very long texts fill many windows. Repeated rows
+are packed each by itself, ties go by the order of rows. Rows with a null doc_id are packed too. An empty table gives
+an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from tessera.llm.bpe import byte_letters
 from tessera.llm.common import arrow_limits, stored, text_or_empty
 
 WINDOW, END_ID = 2_048, 1
-SHARD_TOKENS, TERMS = 2_000_000, 16
+SHARD_TOKENS, KEYS = 250_000, 4
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,29 +67,46 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process' encoder of the file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+TOKENS = "doc_id long, n_tokens long, ids binary, rare binary, row long, is_count boolean"
+
+
 def token_table(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, is_count): ids as 16-bit integers; a task's last row holds its document counts."""
+    """TOKENS: ids as 16-bit integers, rare to sort by, row another number for each; a task's last row holds its document counts."""
     arrow_limits(docs.sparkSession)
-    names = ["doc_id", "n_tokens", "ids", "is_count"]
+    names = [x.split()[0] for x in TOKENS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = None, None
+        counts, first = None, TaskContext.get().partitionId() << 40
         for b in batches:
-            if encoder is None:
-                encoder = Encoder(path)
+            if counts is None:
+                encoder = encoder_of(path)
                 assert encoder.size <= 1 << 16
                 counts = np.zeros(encoder.size, np.int32)
-            sizes, ids = [], []
+            sizes, ids, rare = [], [], []
             for text in b.column(1).to_pylist():
                 x = np.array([*encoder.ids(text), END_ID], np.uint16)
-                counts[np.unique(x)] += 1
+                terms = np.unique(x)
+                counts[terms] += 1
                 sizes.append(len(x))
                 ids.append(x.tobytes())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([False] * len(b))], names=names)
+                rare.append((0xFFFF - terms[: -KEYS - 1 : -1]).astype(">u2").tobytes())
+            row = np.arange(first, first + len(b))
+            first += len(b)
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary()), pa.array(row), pa.array([False] * len(b))], names=names)
         if counts is not None:
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i4").tobytes()], pa.binary()), pa.array([True])], names=names)
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i4").tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([True])], names=names)
 
-    return docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(work, "doc_id long, n_tokens long, ids binary, is_count boolean")
+    return docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(work, TOKENS)
 
 
 def _vocabulary_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,52 +121,50 @@ def _vocabulary_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 class Shard:
-    """The inverted index of one shard: each document's heaviest terms with their BM25 weights."""
+    """The inverted index of one shard: all terms of its documents with their BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(docs)
-        doc, term, weight = [], [], []
-        self.query: list[np.ndarray] = []
-        for d, ids in enumerate(docs):
-            terms, tf = np.unique(ids, return_counts=True)
-            w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
-            if len(terms) > TERMS:
-                heavy = np.argpartition(-w, TERMS)[:TERMS]
-                terms, w = terms[heavy], w[heavy]
-            self.query.append(terms)
-            doc.append(np.full(len(terms), d))
-            term.append(terms)
-            weight.append(w)
-        doc, term, weight = map(np.concatenate, (doc, term, weight))
+        both = [np.unique(ids, return_counts=True) for ids in docs]
+        self.query = [terms for terms, _ in both]
+        sizes = np.array([len(terms) for terms in self.query])
+        term, tf = np.concatenate(self.query), np.concatenate([k for _, k in both])
+        length = np.repeat(np.array([len(ids) for ids in docs]), sizes)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        values, starts = np.unique(term[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        self.postings = {int(t): (int(s), int(e)) for t, s, e in zip(values, starts, ends)}
+        self.doc, self.weight = np.repeat(np.arange(self.n), sizes)[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of each document for the seed's terms."""
+        terms = self.query[seed].astype(np.int64)
+        start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, by score, then by their order."""
-        score = np.zeros(self.n)
-        for t in self.query[seed].tolist():
-            s, e = self.postings[t]
-            score[self.doc[s:e]] += self.weight[s:e]  # a document is in a term's postings once
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece of a shard."""
+Piece = tuple[int, int, int, int, int]
+
+
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, sequence: int = 0, filled: int = 0) -> Generator[Piece, None, tuple[int, int]]:
+    """(document, start, length, sequence, offset) of every piece of a shard; returns where the next shard goes on."""
     index = Shard(docs, idf, mean)
     unused = np.ones(len(docs), bool)
     at = [0] * len(docs)
     sizes = [len(d) for d in docs]
-    sequence, filled, next_seed, going_on = 0, 0, 0, -1
+    next_seed, going_on = 0, -1
     while True:
         if going_on < 0:
             while next_seed < len(docs) and not unused[next_seed]:
                 next_seed += 1
             if next_seed == len(docs):
-                return
+                return sequence, filled
             going_on = next_seed
         seed, unused[going_on] = going_on, False
         queue = iter(())
@@ -168,8 +188,9 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             unused[doc] = False
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def packed(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """PIECE rows that hold each token of each document once."""
+    spark = docs.sparkSession
     tokens = stored(token_table(docs, path), "tokens")
     counts = tokens.where("is_count").select("ids").mapInArrow(_vocabulary_counts, "term int, docs long")
     counts = counts.groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()  # at most one row an entry of the vocabulary
@@ -177,23 +198,45 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     df = np.zeros(1 << 16, np.float64)
     df[counts["term"].to_numpy(np.int64)] = counts["docs"].to_numpy(np.float64)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    mean, shards = max(1.0, total / max(n, 1)), max(1, math.ceil(total / SHARD_TOKENS))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        shard = table.column("shard")[0].as_py()
-        ids = [np.frombuffer(x, np.uint16) for x in table.column("ids").to_pylist()]
-        own = table.column("doc_id").to_pylist()
-        rows = []
-        for d, start, length, sequence, offset in pack_shard(ids, shared.value, mean, window):
-            crc = zlib.crc32(ids[d][start : start + length].astype("<u4"))
-            rows.append((own[d], start, length, crc, len(ids[d]), sequence * shards + shard, offset))
-        cols = list(zip(*rows)) or [[]] * 7
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECE.split(", ")])
-
-    dealt = tokens.where("not is_count").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "ids")
-    return dealt.groupBy("shard").applyInArrow(work, PIECE)
+    mean = max(1.0, total / max(n, 1))
+    ranges = max(1, min(math.ceil(total / shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shared = spark.sparkContext.broadcast(idf)
+    names = [x.split()[0] for x in PIECE.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        place = (first, 0)
+        own: list[int | None] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            rows, pieces = [], pack_shard(ids, shared.value, mean, window, *place)
+            while True:
+                try:
+                    d, start, length, sequence, offset = next(pieces)
+                except StopIteration as end:
+                    place = end.value
+                    break
+                crc = zlib.crc32(ids[d][start : start + length].astype("<u4"))
+                rows.append((own[d], start, length, crc, len(ids[d]), sequence, offset))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+
+        for b in batches:
+            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own.append(doc_id)
+                ids.append(np.frombuffer(x, np.uint16))
+                held += len(ids[-1])
+                if held >= shard_tokens:
+                    yield from done()
+                    own, ids, held = [], [], 0
+        if ids:
+            yield from done()
+
+    rows = tokens.where("not is_count").select("doc_id", "ids", "rare", "row")
+    dealt = rows.repartitionByRange(ranges, "rare", "row").sortWithinPartitions("rare", "row")
+    return dealt.select("doc_id", "ids").mapInArrow(work, PIECE)
 
 
 def padded_length(length: int, window: int = WINDOW) -> int:
