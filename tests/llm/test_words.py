@@ -37,7 +37,7 @@ def test_licences(spark, small, hostile, nothing):
 def test_licence_templates_need_their_mandatory_phrases():
     index = licences.Index()
     scan = lambda t: index.scan(licences.words_of(t))
-    for label, (text, _) in licences.NOTICES.items():
+    for label, (text, _) in (licences.NOTICES | licences.TEXTS).items():
         _, _, labels, score = scan(f"foo {text} bar")
         assert label in labels and score == pytest.approx(1)
     assert scan("released under the mit")[2] == set()
@@ -51,6 +51,32 @@ def test_licence_templates_need_their_mandatory_phrases():
         assert (30, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base))) == plain_licences(text)
 
 
+def test_licence_labels_by_brute_force():
+    index, rng = licences.Index(), random.Random(2)
+    templates = [(label, licences.words_of(text), [licences.words_of(p) for p in phrases]) for label, (text, phrases) in (licences.NOTICES | licences.TEXTS).items()]
+    templates += [(label, licences.words_of(text), [licences.words_of(text)]) for text, label in licences.BASE.items()]
+    several = 0
+    for _ in range(150):
+        words = []
+        for _, text, _ in rng.choices(templates, k=3):
+            own = list(text)
+            for _ in range(rng.choice([0, 0, 1, 4])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1])] = [rng.choice([b"x", rng.choice(text)])]
+            words += own + rng.choices([b"the", b"license", b"software", b"copy"], k=rng.randint(0, 5))
+        want = set()
+        for label, text, phrases in templates:
+            places = {}
+            for p in phrases:
+                first = next(i for i in range(len(text)) if text[i : i + len(p)] == p)
+                places |= {first + i: w for i, w in enumerate(p)}
+            if any(all(0 <= s + i < len(words) and words[s + i] == w for i, w in places.items()) for s in range(-len(text), len(words))):
+                want.add(label)
+        assert index.scan(words)[2] == want
+        several += len(want) > 2
+    assert several > 50
+
+
 def test_bpe_like_the_library(hostile, nothing, small, spark):
     path = vocabulary("word_bpe_49k.json")
     library, codec = Tokenizer.from_file(path), bpe.Codec(path)
@@ -71,6 +97,9 @@ def test_bpe_like_the_library(hostile, nothing, small, spark):
     table = hostile.select("doc_id", "text", "ids")
     coded = bpe.decode_column(bpe.encode_column(table, path), path).collect()
     assert next(r for r in coded if r.doc_id == 1).decoded is None
+    clash = table.select("doc_id", "text", table["ids"].alias("given"), table["ids"].alias("other0"))
+    assert bpe.encode_column(clash, path).columns == ["doc_id", "text", "given", "other0", "ids"]
+    assert bpe.encode_column(clash, path).count() == 9
 
 
 def test_long_words_and_short_words_agree():
@@ -99,6 +128,15 @@ def test_language(spark, small, hostile, nothing):
     assert [r.lang_pred for r in langid.language_id(unlabelled).collect()] == ["und"]
 
 
+def test_words_are_runs_of_letters_with_their_marks():
+    assert langid.words_of("½ ² ① Ⅷ 12 _") == [] == langid.words_of("²½¹¼¾³ 3")
+    assert langid.words_of("नमस्ते Ünïcode! l'été x²y") == ["नमस्ते", "ünïcode", "l", "été", "x", "y"]
+    for text in ("ª º Abc ß ñ²", "Straße, naïve – “quoted” 5€", "a_b c3d"):
+        assert langid.LATIN.fullmatch(text) and langid.LATIN_LETTERS.findall(text) == langid.LETTERS.findall(text)
+    model = langid.Model([("a", 1, "x", 2)], [("a", 1, 2)])
+    assert langid.Predictor(model).predict(["½ ² ①", None, ""]) == [("und", 0.0)] * 3
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
     rows = [("a", 0, "the", 5), ("b", 5, "\x02quel", 3), ("a", 1, "x", 2), ("b", 1, "x", 9)]
     totals = [("a", 0, 5), ("b", 0, 5), ("a", 5, 3), ("b", 5, 3), ("a", 1, 11), ("b", 1, 11)]
@@ -110,7 +148,7 @@ def test_scores_match_a_plain_backoff(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     counts = {}
     for r in docs.collect():
-        for w in langid.LETTERS.findall(r.text.lower()):
+        for w in langid.words_of(r.text):
             counts[r.lang, 0, w] = counts.get((r.lang, 0, w), 0) + 1
             for n in langid.ORDERS:
                 for g in langid.grams_of(w, n):
@@ -184,3 +222,24 @@ def test_pseudonym_tables(spark, small, hostile, nothing):
     assert back == texts
     assert pii.pseudonymised(hostile, counts=False).columns == hostile.columns
     assert len(pii.pseudonymised(hostile).collect()) == 9 and pii.pseudonymised(nothing).collect() == []
+
+
+def test_planted_values_are_found_and_nothing_else():
+    """Values of every kind among plain words: all are replaced by one of the kind, the words stay."""
+    rng, p = random.Random(5), pii.Pseudonyms("key")
+    words = ["alpha", "beta", "gamma", "delta.", "epsilon,", "zeta;", "(eta)", "theta:"]
+    for _ in range(200):
+        planted = rng.choices([v for v in VALUES if v[0] != "secret"], k=rng.randint(0, 4))
+        parts = []
+        for _, value in planted:
+            parts += [" ".join(rng.choices(words, k=rng.randint(1, 5))), value]
+        parts.append(" ".join(rng.choices(words, k=3)))
+        text, counts = p.replaced(" ".join(parts))
+        want = {}
+        for kind, _ in planted:
+            want[kind] = want.get(kind, 0) + 1
+        assert dict(counts) == want
+        form = " ".join(re.escape(part) if n % 2 == 0 else "(.+?)" for n, part in enumerate(parts))
+        new = re.fullmatch(form, text).groups()
+        assert all(a != value for a, (_, value) in zip(new, planted))
+        assert p.replaced(text, back=True)[0] == " ".join(parts)
