@@ -112,11 +112,15 @@ def initials(v: Column) -> Column:
 
 
 def is_abbreviation(short: Column, full: Column) -> Column:
-    """Whether a shorter name can stand for a full one: from the last part on, equal parts or matching initials."""
+    """Whether a shorter name can stand for a full one: from the last part on, equal parts or an initial for a part.
+
+    Only the short name's parts are initials; some part must be an initial or left out, and the names must differ.
+    """
     parts = lambda v: F.filter(F.split(F.lower(F.regexp_replace(v, r"\.", " ")), r"\s+"), lambda w: w != "")
     a, b = F.reverse(parts(short)), F.reverse(parts(full))
-    fits = F.zip_with(a, F.slice(b, 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: (x == y) | (((F.length(x) == 1) | (F.length(y) == 1)) & (F.substring(x, 1, 1) == F.substring(y, 1, 1))))
-    return (F.size(a) > 0) & (F.size(a) <= F.size(b)) & (a != b) & F.forall(fits, lambda x: F.coalesce(x, F.lit(False)))
+    fits = F.zip_with(a, F.slice(b, 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: (x == y) | ((F.length(x) == 1) & (x == F.substring(y, 1, 1))))
+    shorter = (F.size(a) < F.size(b)) | F.exists(a, lambda x: F.length(x) == 1)
+    return (F.size(a) > 0) & (F.size(a) <= F.size(b)) & shorter & (F.lower(F.trim(short)) != F.lower(F.trim(full))) & F.forall(fits, lambda x: F.coalesce(x, F.lit(False)))
 
 
 def label(v: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ranking import numbered
 
 
 def deduplicated(rows: DataFrame, columns: list[str], order: str, stored: DataFrame | None = None) -> DataFrame:
@@ -85,6 +86,5 @@ def conjunction(conditions: list[Column | None]) -> Column:
 
 
 def allocated(rows: DataFrame, last: int, order: list[str], pattern: str = "REL-%06d") -> DataFrame:
-    """Rows with ref, numbered on from the last one in order; for the few rows of one request."""
-    n = F.row_number().over(Window.orderBy(*order)) + F.lit(last)
-    return rows.withColumn("ref", F.format_string(pattern, n))
+    """Rows with ref, numbered on from the last one in order; no task sorts or counts all rows."""
+    return numbered(rows, order, "n").withColumn("ref", F.format_string(pattern, F.col("n") + F.lit(last))).drop("n")

@@ -9,7 +9,7 @@ from tessera.functions import geo
 from tessera.functions import text as X
 from tessera.operators import extraction, graph, patterns, places, writes
 from tessera.plans import model as M
-from tessera.plans.queries import ENT, INC, LIVE, REL, SRV, ZON, _adj, _hubs, _live, _nodes, dist, query
+from tessera.plans.queries import ALL_LIVE, ALL_REL, ENT, INC, SRV, ZON, _adj, _all_adj, _all_hubs, _all_live, _all_nodes, _hubs, dist, query
 from tessera.streaming import stateful
 
 
@@ -35,15 +35,15 @@ def audience(s, d):
     return M.table(s, d, "orders").where((F.col("o_custkey") == 7) | (F.col("o_orderpriority") == "1-URGENT") | (F.col("o_orderstatus").isNull() & F.col("o_orderpriority").isNull())).select("o_orderkey")
 
 
-@query("B15_threshold", f"SELECT rid, confidence FROM {REL} WHERE confidence >= 0.8 AND status NOT IN ('REJECTED')")
+@query("B15_threshold", f"SELECT rid, confidence FROM {ALL_REL} WHERE confidence >= 0.8 AND status NOT IN ('REJECTED')")
 def threshold(s, d):
-    return M.relations(s, d).where((F.col("confidence") >= 0.8) & ~F.col("status").isin("REJECTED")).select("rid", "confidence")
+    return M.all_relations(s, d).where((F.col("confidence") >= 0.8) & ~F.col("status").isin("REJECTED")).select("rid", "confidence")
 
 
-@query("B22_role_visibility", f"WITH perm AS (SELECT * FROM (VALUES ('analyst', 'OBSERVED'), ('analyst', 'INFERRED'), ('viewer', 'OBSERVED')) t(role, status)) SELECT role, rid FROM {REL} JOIN perm USING (status)")
+@query("B22_role_visibility", f"WITH perm AS (SELECT * FROM (VALUES ('analyst', 'OBSERVED'), ('analyst', 'INFERRED'), ('viewer', 'OBSERVED')) t(role, status)) SELECT role, rid FROM {ALL_REL} JOIN perm USING (status)")
 def role_visibility(s, d):
     allowed = s.createDataFrame([("analyst", "OBSERVED"), ("analyst", "INFERRED"), ("viewer", "OBSERVED")], "role string, status string")
-    return M.relations(s, d).join(allowed, "status").select("role", "rid")
+    return M.all_relations(s, d).join(allowed, "status").select("role", "rid")
 
 
 @query("C01_score_join", "SELECT o_orderkey, c_name, round(o_totalprice, 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000")
@@ -65,10 +65,10 @@ def colocation(s, d):
     return e.withColumnRenamed("subject", "a").join(e.withColumnRenamed("subject", "b"), ["zone_id", "day"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("C22_supporting_records", f"SELECT a, b, string_agg(rid::VARCHAR, ',' ORDER BY rid) AS records FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, rid FROM {REL}) GROUP BY a, b")
+@query("C22_supporting_records", f"SELECT a, b, string_agg(rid::VARCHAR, ',' ORDER BY rid) AS records FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, rid FROM {ALL_REL}) GROUP BY a, b")
 def supporting_records(s, d):
-    r = M.relations(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_list("rid")).alias("rids"))
-    held = r.select("a", "b", F.posexplode("rids").alias("i", "rid")).join(M.relations(s, d).select("rid").distinct(), "rid")
+    r = M.all_relations(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_list("rid")).alias("rids"))
+    held = r.select("a", "b", F.posexplode("rids").alias("i", "rid")).join(M.all_relations(s, d).select("rid").distinct(), "rid")
     return held.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "rid"))), lambda x: x["rid"].cast("string")), ",").alias("records"))
 
 
@@ -77,9 +77,9 @@ def page_total(s, d):
     return M.incidents(s, d).where("priority = 'HIGH' AND type IN ('error', 'click')").agg(F.count("*").alias("total"))
 
 
-@query("D10_most_common", f"SELECT type, count(*) AS n FROM {REL} GROUP BY type ORDER BY n DESC, type LIMIT 12")
+@query("D10_most_common", f"SELECT type, count(*) AS n FROM {ALL_REL} GROUP BY type ORDER BY n DESC, type LIMIT 12")
 def most_common(s, d):
-    return M.relations(s, d).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(12)
+    return M.all_relations(s, d).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(12)
 
 
 @query("D11_zone_types", f"SELECT zone_id, string_agg(type || ':' || n, ',' ORDER BY type) AS by_type FROM (SELECT zone_id, type, count(*) AS n FROM {INC} GROUP BY ALL) GROUP BY zone_id")
@@ -88,9 +88,9 @@ def zone_types(s, d):
     return t.groupBy("zone_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit(":"), x["n"].cast("string"))), ",").alias("by_type"))
 
 
-@query("D16_mean_confidence", f"SELECT round(coalesce(avg(c), 0), 6) AS confidence FROM (SELECT confidence AS c FROM {REL} UNION ALL SELECT 0.8::DOUBLE FROM {INC} WHERE priority = 'CRITICAL')")
+@query("D16_mean_confidence", f"SELECT round(coalesce(avg(c), 0), 6) AS confidence FROM (SELECT confidence AS c FROM {ALL_REL} UNION ALL SELECT 0.8::DOUBLE FROM {INC} WHERE priority = 'CRITICAL')")
 def mean_confidence(s, d):
-    c = M.relations(s, d).select("confidence").union(M.incidents(s, d).where("priority = 'CRITICAL'").select(F.lit(0.8)))
+    c = M.all_relations(s, d).select("confidence").union(M.incidents(s, d).where("priority = 'CRITICAL'").select(F.lit(0.8)))
     return c.agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("confidence"))
 
 
@@ -99,9 +99,9 @@ def corpus_summary(s, d):
     return M.entities(s, d).groupBy("type").agg(F.count("*").alias("n"), F.count_if("active").alias("active"))
 
 
-@query("E05_keep_best", f"SELECT src, type, dst, rid FROM (SELECT *, row_number() OVER (PARTITION BY src, type, dst ORDER BY confidence DESC, rid) AS p FROM {REL}) WHERE p = 1")
+@query("E05_keep_best", f"SELECT src, type, dst, rid FROM (SELECT *, row_number() OVER (PARTITION BY src, type, dst ORDER BY confidence DESC, rid) AS p FROM {ALL_REL}) WHERE p = 1")
 def keep_best(s, d):
-    return M.relations(s, d).groupBy("src", "type", "dst").agg(F.max_by("rid", F.struct("confidence", -F.col("rid"))).alias("rid"))
+    return M.all_relations(s, d).groupBy("src", "type", "dst").agg(F.max_by("rid", F.struct("confidence", -F.col("rid"))).alias("rid"))
 
 
 @query("E06_first_in_slot", f"SELECT zone_id, CAST(CAST(seen_at AS DATE) AS VARCHAR) AS day, min(incident_id) AS incident_id FROM {INC} GROUP BY ALL")
@@ -125,15 +125,15 @@ def slices(s, d):
     return M.table(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 5), lambda k: k.cast("string")), ",").alias("first_five"))
 
 
-@query("F11_capped_subgraph", f"WITH {LIVE}, cap AS (SELECT uid FROM act WHERE starts_with(uid, 'c') OR starts_with(uid, 'p') ORDER BY uid LIMIT 1500) SELECT rid, src, dst FROM live WHERE src IN (SELECT uid FROM cap) AND dst IN (SELECT uid FROM cap)")
+@query("F11_capped_subgraph", f"WITH {ALL_LIVE}, cap AS (SELECT uid FROM act WHERE starts_with(uid, 'c') OR starts_with(uid, 'o') ORDER BY uid LIMIT 1500) SELECT rid, src, dst FROM live WHERE src IN (SELECT uid FROM cap) AND dst IN (SELECT uid FROM cap)")
 def capped_subgraph(s, d):
-    cap = _nodes(s, d).where(F.col("uid").startswith("c") | F.col("uid").startswith("p")).orderBy("uid").limit(1500)
-    return graph.induced(_live(s, d), cap).select("rid", "src", "dst")
+    cap = _all_nodes(s, d).where(F.col("uid").startswith("c") | F.col("uid").startswith("o")).orderBy("uid").limit(1500)
+    return graph.induced(_all_live(s, d), cap).select("rid", "src", "dst")
 
 
-@query("G04_concatenated", f"SELECT 'relation' AS kind, rid AS id FROM {REL} UNION ALL SELECT 'incident', incident_id FROM {INC}")
+@query("G04_concatenated", f"SELECT 'relation' AS kind, rid AS id FROM {ALL_REL} UNION ALL SELECT 'incident', incident_id FROM {INC}")
 def concatenated(s, d):
-    return M.relations(s, d).select(F.lit("relation").alias("kind"), F.col("rid").alias("id")).unionByName(M.incidents(s, d).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("id")))
+    return M.all_relations(s, d).select(F.lit("relation").alias("kind"), F.col("rid").alias("id")).unionByName(M.incidents(s, d).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("id")))
 
 
 @query("G07_ordered_distinct", "SELECT l_orderkey, array_to_string(list_distinct_ordered, ',') AS modes FROM (SELECT l_orderkey, list(f ORDER BY first, f) AS list_distinct_ordered FROM (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey)")
@@ -190,25 +190,25 @@ def shortest(s, d):
     return graph.shortest_paths(_adj(s, d), pairs, 8).select("src", "dst", F.array_join("path", ">").alias("path"))
 
 
-@query("I20_edges_between", f"WITH {LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 3) SELECT rid, src, dst FROM live WHERE src IN (SELECT u FROM hub) OR dst IN (SELECT u FROM hub)")
+@query("I20_edges_between", f"WITH {ALL_LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 3) SELECT DISTINCT rid, src, dst FROM live WHERE src IN (SELECT u FROM hub) OR dst IN (SELECT u FROM hub)")
 def edges_for(s, d):
-    hub, live = _hubs(s, d, 3), _live(s, d)
+    hub, live = _all_hubs(s, d, 3), _all_live(s, d)
     a = live.join(hub.withColumnRenamed("uid", "src"), "src", "left_semi").select("rid", "src", "dst")
     return a.union(live.join(hub.withColumnRenamed("uid", "dst"), "dst", "left_semi").select("rid", "src", "dst")).distinct()
 
 
-@query("I26_case_subgraph", f"WITH {LIVE} SELECT rid, src, dst FROM live WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("I26_case_subgraph", f"WITH {ALL_LIVE} SELECT rid, src, dst FROM live WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def case_subgraph(s, d):
     case = M.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(M.uid("c", "c_custkey").alias("src"))
-    return _live(s, d).join(case, "src", "left_semi").select("rid", "src", "dst")
+    return _all_live(s, d).join(case, "src", "left_semi").select("rid", "src", "dst")
 
 
-@query("I28_common_connections", f"WITH {LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 40), s AS (SELECT x.u AS a, y.u AS b, x.v AS shared FROM adj x JOIN adj y ON x.v = y.v AND x.u < y.u WHERE x.u IN (SELECT u FROM hub) AND y.u IN (SELECT u FROM hub)), e AS (SELECT src AS x, dst AS y, rid FROM live UNION ALL SELECT dst, src, rid FROM live) SELECT a, b, shared, (SELECT string_agg(rid::VARCHAR, ',' ORDER BY rid) FROM e WHERE e.x = a AND e.y = shared) AS via_a, (SELECT string_agg(rid::VARCHAR, ',' ORDER BY rid) FROM e WHERE e.x = b AND e.y = shared) AS via_b FROM s")
+@query("I28_common_connections", f"WITH {ALL_LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 40), s AS (SELECT x.u AS a, y.u AS b, x.v AS shared FROM adj x JOIN adj y ON x.v = y.v AND x.u < y.u WHERE x.u IN (SELECT u FROM hub) AND y.u IN (SELECT u FROM hub)), e AS (SELECT src AS x, dst AS y, rid FROM live UNION ALL SELECT dst, src, rid FROM live) SELECT a, b, shared, (SELECT string_agg(rid::VARCHAR, ',' ORDER BY rid) FROM e WHERE e.x = a AND e.y = shared) AS via_a, (SELECT string_agg(rid::VARCHAR, ',' ORDER BY rid) FROM e WHERE e.x = b AND e.y = shared) AS via_b FROM s")
 def common_connections(s, d):
-    live = _live(s, d)
+    live = _all_live(s, d)
     ends = live.select(F.col("src").alias("x"), F.col("dst").alias("shared"), "rid").union(live.select("dst", "src", "rid"))
     own = ends.groupBy("x", "shared").agg(F.array_join(F.transform(F.array_sort(F.collect_list("rid")), lambda k: k.cast("string")), ",").alias("via"))
-    own = own.join(_hubs(s, d, 40).withColumnRenamed("uid", "x"), "x", "left_semi")
+    own = own.join(_all_hubs(s, d, 40).withColumnRenamed("uid", "x"), "x", "left_semi")
     a, b = own.select(F.col("x").alias("a"), "shared", F.col("via").alias("via_a")), own.select(F.col("x").alias("b"), "shared", F.col("via").alias("via_b"))
     return a.join(b, "shared").where("a < b").select("a", "b", "shared", "via_a", "via_b")
 
@@ -246,24 +246,24 @@ def shared_vehicle(s, d):
 
 @query(
     "N07_entity_profile",
-    f"WITH {LIVE} SELECT a.uid, coalesce(degree, 0)::BIGINT AS degree, (SELECT count(*) FROM live WHERE live.src = a.uid) AS outgoing, (SELECT count(*) FROM live WHERE live.dst = a.uid) AS incoming, (SELECT count(*) FROM orders WHERE 'c' || o_custkey = a.uid) AS orders FROM act a LEFT JOIN deg ON deg.u = a.uid WHERE starts_with(a.uid, 'c')",
+    f"WITH {ALL_LIVE} SELECT a.uid, coalesce(degree, 0)::BIGINT AS degree, (SELECT count(*) FROM live WHERE live.src = a.uid) AS outgoing, (SELECT count(*) FROM live WHERE live.dst = a.uid) AS incoming, (SELECT count(*) FROM orders WHERE 'c' || o_custkey = a.uid) AS orders FROM act a LEFT JOIN deg ON deg.u = a.uid WHERE starts_with(a.uid, 'c')",
 )
 def entity_profile(s, d):
-    live = _live(s, d)
-    deg = _adj(s, d).groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree"))
+    live = _all_live(s, d)
+    deg = _all_adj(s, d).groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree"))
     out = live.groupBy(F.col("src").alias("uid")).agg(F.count("*").alias("outgoing"))
     back = live.groupBy(F.col("dst").alias("uid")).agg(F.count("*").alias("incoming"))
     own = M.table(s, d, "orders").groupBy(M.uid("c", "o_custkey").alias("uid")).agg(F.count("*").alias("orders"))
-    p = _nodes(s, d).where(F.col("uid").startswith("c"))
+    p = _all_nodes(s, d).where(F.col("uid").startswith("c"))
     for part in (deg, out, back, own):
         p = p.join(part, "uid", "left")
     return p.select("uid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "outgoing", "incoming", "orders")))
 
 
-@query("N10_evidence_lineage", f"SELECT src, dst, count(*) AS edges, min(strftime(seen_at, '%Y-%m-%d')) AS first_seen, max(strftime(seen_at, '%Y-%m-%d')) AS last_seen, round(sum(amount), 2) AS amount FROM {REL} GROUP BY src, dst")
+@query("N10_evidence_lineage", f"SELECT src, dst, count(*) AS edges, min(strftime(seen_at, '%Y-%m-%d')) AS first_seen, max(strftime(seen_at, '%Y-%m-%d')) AS last_seen, round(sum(amount), 2) AS amount FROM {ALL_REL} GROUP BY src, dst")
 def evidence_lineage(s, d):
     day = F.date_format("seen_at", "yyyy-MM-dd")
-    return M.relations(s, d).groupBy("src", "dst").agg(F.count("*").alias("edges"), F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.round(F.sum("amount"), 2).alias("amount"))
+    return M.all_relations(s, d).groupBy("src", "dst").agg(F.count("*").alias("edges"), F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 @query("O07_alert_machine")

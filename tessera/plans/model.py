@@ -42,8 +42,54 @@ ENTITIES_SQL = """
 """
 
 
+def all_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities, and each order as a transaction: the ends of all_relations."""
+    o = table(spark, d, "orders")
+    return entities(spark, d).union(o.select(uid("o", "o_orderkey"), F.lit("transaction"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.lit(True)))
+
+
+ALL_ENTITIES_SQL = f"""{ENTITIES_SQL}
+  UNION ALL SELECT 'o' || o_orderkey, 'transaction', 'Order ' || o_orderkey, TRUE FROM orders
+"""
+
+
+def _status(n: Column) -> Column:
+    return F.when(n % 5 == 4, "REJECTED").when(n % 5 == 3, "INFERRED").otherwise("OBSERVED")
+
+
+def all_relations(spark: SparkSession, d: str) -> DataFrame:
+    """(rid, src, dst, type, status, confidence, seen_at, amount): every order, every line of one, and every residence."""
+    t = lambda n: table(spark, d, n)
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    o = F.col("o_orderkey")
+    paid = t("orders").select(
+        (o * 10).alias("rid"), uid("c", "o_custkey").alias("src"), uid("o", "o_orderkey").alias("dst"), F.lit("TRANSFERRED_MONEY").alias("type"),
+        _status(o).alias("status"), ((50 + o * 7 % 50) / 100).alias("confidence"), F.col("o_orderdate").alias("seen_at"), F.col("o_totalprice").alias("amount"),
+    )
+    supplied = t("lineitem").select((k * 10 + n).alias("rid"), uid("o", "l_orderkey"), uid("s", "l_suppkey"), F.lit("ASSOCIATED_WITH"), _status(n), (50 + (k * 7 + n * 13) % 50) / 100, "l_shipdate", "l_extendedprice")
+    none = [F.lit("RESIDES_AT"), F.lit("OBSERVED"), F.lit(0.9), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("double")]
+    person = t("customer").select(-(F.col("c_custkey") * 2), uid("c", "c_custkey"), uid("n", "c_nationkey"), *none)
+    firm = t("supplier").select(-(F.col("s_suppkey") * 2 + 1), uid("s", "s_suppkey"), uid("n", "s_nationkey"), *none)
+    return paid.union(supplied).union(person).union(firm)
+
+
+ALL_RELATIONS_SQL = """
+  SELECT o_orderkey * 10 AS rid, 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'TRANSFERRED_MONEY' AS type,
+    CASE o_orderkey % 5 WHEN 4 THEN 'REJECTED' WHEN 3 THEN 'INFERRED' ELSE 'OBSERVED' END AS status,
+    (50 + o_orderkey * 7 % 50) / 100.0::DOUBLE AS confidence, o_orderdate AS seen_at, o_totalprice AS amount FROM orders
+  UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'o' || l_orderkey, 's' || l_suppkey, 'ASSOCIATED_WITH',
+    CASE l_linenumber % 5 WHEN 4 THEN 'REJECTED' WHEN 3 THEN 'INFERRED' ELSE 'OBSERVED' END,
+    (50 + (l_orderkey * 7 + l_linenumber * 13) % 50) / 100.0::DOUBLE, l_shipdate, l_extendedprice FROM lineitem
+  UNION ALL SELECT -(c_custkey * 2), 'c' || c_custkey, 'n' || c_nationkey, 'RESIDES_AT', 'OBSERVED', 0.9::DOUBLE, NULL, NULL FROM customer
+  UNION ALL SELECT -(s_suppkey * 2 + 1), 's' || s_suppkey, 'n' || s_nationkey, 'RESIDES_AT', 'OBSERVED', 0.9::DOUBLE, NULL, NULL FROM supplier
+"""
+
+
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    """(rid, src, dst, type, status, confidence, seen_at, amount): a customer's large returned parts, and where it lives."""
+    """Like all_relations, but a sparse graph for pairs, paths, centralities and communities: a customer's large returned parts.
+
+    Customers and suppliers share so many orders that nearly every pair of them would be a link's candidate.
+    """
     line = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45")
     order = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     m = F.col("l_linenumber") % 5

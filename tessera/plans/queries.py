@@ -36,13 +36,14 @@ def dist(a: str, c: str, b: str, d: str) -> str:
     return DIST.format(a=a, b=b, c=c, d=d)
 
 
-ENT, REL, INC, ZON, SRV = (f"({x})" for x in (M.ENTITIES_SQL, M.RELATIONS_SQL, M.INCIDENTS_SQL, M.ZONES_SQL, M.SERVICES_SQL))
-#: Common table expressions: live edges, both directions, degrees.
-LIVE = f"""ent AS {ENT}, rel AS {REL},
+ENT, REL, INC, ZON, SRV, ALL_ENT, ALL_REL = (f"({x})" for x in (M.ENTITIES_SQL, M.RELATIONS_SQL, M.INCIDENTS_SQL, M.ZONES_SQL, M.SERVICES_SQL, M.ALL_ENTITIES_SQL, M.ALL_RELATIONS_SQL))
+#: Common table expressions: live edges, both directions, degrees; of the sparse graph and of the whole one.
+GRAPH = """ent AS {ent}, rel AS {rel},
   act AS (SELECT uid FROM ent WHERE active),
   live AS (SELECT * FROM rel WHERE status <> 'REJECTED' AND src IN (SELECT uid FROM act) AND dst IN (SELECT uid FROM act)),
   adj AS (SELECT u, v, count(*) AS n FROM (SELECT src AS u, dst AS v FROM live UNION ALL SELECT dst, src FROM live) GROUP BY u, v),
   deg AS (SELECT u, count(*) AS degree, sum(n)::BIGINT AS weighted FROM adj GROUP BY u)"""
+LIVE, ALL_LIVE = GRAPH.format(ent=ENT, rel=REL), GRAPH.format(ent=ALL_ENT, rel=ALL_REL)
 
 
 def _live(s: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,27 @@ def _nodes(s: SparkSession, d: str) -> DataFrame:
 
 def _hubs(s: SparkSession, d: str, k: int) -> DataFrame:
     """The k entities of the highest degree (ties by id): a fixed set of starting points."""
-    return _adj(s, d).groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "uid").limit(k).select("uid")
+    return _top(_adj(s, d), k)
+
+
+def _top(adj: DataFrame, k: int) -> DataFrame:
+    return adj.groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "uid").limit(k).select("uid")
+
+
+def _all_live(s: SparkSession, d: str) -> DataFrame:
+    return graph.project(M.all_entities(s, d), M.all_relations(s, d))
+
+
+def _all_adj(s: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency(_all_live(s, d))
+
+
+def _all_nodes(s: SparkSession, d: str) -> DataFrame:
+    return M.all_entities(s, d).where("active").select("uid")
+
+
+def _all_hubs(s: SparkSession, d: str, k: int) -> DataFrame:
+    return _top(_all_adj(s, d), k)
 
 
 # ---- flagship: projection, degree, percentile rank, band
@@ -67,14 +88,14 @@ def _hubs(s: SparkSession, d: str, k: int) -> DataFrame:
 
 @query(
     "I24_projection_rank",
-    f"""WITH {LIVE},
+    f"""WITH {ALL_LIVE},
   base AS (SELECT a.uid, coalesce(degree, 0)::BIGINT AS degree, coalesce(weighted, 0)::BIGINT AS weighted FROM act a LEFT JOIN deg ON a.uid = deg.u),
   ranked AS (SELECT *, (rank() OVER (ORDER BY weighted) - 1)::DOUBLE / count(*) OVER () AS r FROM base)
   SELECT uid, degree, weighted, round(r, 6) AS weighted_rank,
     CASE WHEN r * 100 >= 75 THEN 'CRITICAL' WHEN r * 100 >= 55 THEN 'HIGH' WHEN r * 100 >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM ranked""",
 )
 def projection_rank(s: SparkSession, d: str) -> DataFrame:
-    degree = graph.degrees(_nodes(s, d), _adj(s, d))
+    degree = graph.degrees(_all_nodes(s, d), _all_adj(s, d))
     out = ranking.percentile_rank(degree, "weighted", "r")
     return out.select("uid", "degree", "weighted", F.round("r", 6).alias("weighted_rank"), geo.band(F.col("r") * 100, geo.SCORE_BANDS, "LOW").alias("band"))
 
@@ -104,9 +125,9 @@ def optional_filters(s, d):
     return M.incidents(s, d).where(writes.conjunction([*equal, F.col("priority").isin("HIGH", "CRITICAL"), F.col("device").isNotNull()])).select("incident_id", "type", "priority")
 
 
-@query("B03_inequality", f"SELECT rid, src, dst, status FROM {REL} WHERE status <> 'REJECTED'")
+@query("B03_inequality", f"SELECT rid, src, dst, status FROM {ALL_REL} WHERE status <> 'REJECTED'")
 def inequality(s, d):
-    return M.relations(s, d).where("status <> 'REJECTED'").select("rid", "src", "dst", "status")
+    return M.all_relations(s, d).where("status <> 'REJECTED'").select("rid", "src", "dst", "status")
 
 
 @query("B05_semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -140,27 +161,27 @@ def hour_window(s, d):
     return M.incidents(s, d).where(h.between(first, last) if first <= last else (h >= first) | (h <= last)).select("incident_id", "hour")
 
 
-@query("B17_typed_subgraph", f"WITH {LIVE} SELECT rid, src, dst FROM live WHERE src IN (SELECT uid FROM ent WHERE type IN ('person', 'vehicle')) AND dst IN (SELECT uid FROM ent WHERE type IN ('person', 'vehicle'))")
+@query("B17_typed_subgraph", f"WITH {ALL_LIVE} SELECT rid, src, dst FROM live WHERE src IN (SELECT uid FROM ent WHERE type IN ('person', 'transaction')) AND dst IN (SELECT uid FROM ent WHERE type IN ('person', 'transaction'))")
 def typed_subgraph(s, d):
-    return graph.induced(_live(s, d), M.entities(s, d).where(F.col("type").isin("person", "vehicle"))).select("rid", "src", "dst")
+    return graph.induced(_all_live(s, d), M.all_entities(s, d).where(F.col("type").isin("person", "transaction"))).select("rid", "src", "dst")
 
 
 @query(
     "B18_event_types",
-    f"SELECT rid, CASE type WHEN 'TRANSFERRED_MONEY' THEN 'FINANCIAL' WHEN 'OWNED' THEN 'OWNERSHIP' ELSE 'OTHER' END AS event_type, status IN ('OBSERVED', 'VALIDATED') AS is_observed FROM {REL}",
+    f"SELECT rid, CASE type WHEN 'TRANSFERRED_MONEY' THEN 'FINANCIAL' WHEN 'OWNED' THEN 'OWNERSHIP' ELSE 'OTHER' END AS event_type, status IN ('OBSERVED', 'VALIDATED') AS is_observed FROM {ALL_REL}",
 )
 def event_types(s, d):
     kinds = F.create_map(*(F.lit(x) for x in ("TRANSFERRED_MONEY", "FINANCIAL", "OWNED", "OWNERSHIP", "VISITED", "MOVEMENT")))
-    return M.relations(s, d).select("rid", F.coalesce(kinds[F.col("type")], F.lit("OTHER")).alias("event_type"), F.col("status").isin("OBSERVED", "VALIDATED").alias("is_observed"))
+    return M.all_relations(s, d).select("rid", F.coalesce(kinds[F.col("type")], F.lit("OTHER")).alias("event_type"), F.col("status").isin("OBSERVED", "VALIDATED").alias("is_observed"))
 
 
 @query(
     "B20_directions",
-    f"SELECT uid, direction, count(*) AS n, count(DISTINCT other) AS others FROM (SELECT src AS uid, 'outgoing' AS direction, dst AS other FROM {REL} UNION ALL SELECT dst, 'incoming', src FROM {REL}) GROUP BY ALL",
+    f"SELECT uid, direction, count(*) AS n, count(DISTINCT other) AS others FROM (SELECT src AS uid, 'outgoing' AS direction, dst AS other FROM {ALL_REL} UNION ALL SELECT dst, 'incoming', src FROM {ALL_REL}) GROUP BY ALL",
 )
 def directions(s, d):
     ends = F.array(F.struct(F.col("src").alias("uid"), F.lit("outgoing").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("uid"), F.lit("incoming").alias("direction"), F.col("src").alias("other")))
-    return M.relations(s, d).select(F.explode(ends).alias("e")).select("e.*").groupBy("uid", "direction").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+    return M.all_relations(s, d).select(F.explode(ends).alias("e")).select("e.*").groupBy("uid", "direction").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
 
 
 # ---- joins
@@ -168,12 +189,12 @@ def directions(s, d):
 
 @query(
     "C04_endpoint_names",
-    f"WITH e AS {ENT} SELECT rid, a.name AS src_name, b.name AS dst_name FROM {REL} r LEFT JOIN e a ON r.src = a.uid LEFT JOIN e b ON r.dst = b.uid",
+    f"WITH e AS {ALL_ENT} SELECT rid, a.name AS src_name, b.name AS dst_name FROM {ALL_REL} r LEFT JOIN e a ON r.src = a.uid LEFT JOIN e b ON r.dst = b.uid",
 )
 def endpoint_names(s, d):
-    e = M.entities(s, d)
+    e = M.all_entities(s, d)
     a, b = e.select(F.col("uid").alias("src"), F.col("name").alias("src_name")), e.select(F.col("uid").alias("dst"), F.col("name").alias("dst_name"))
-    return M.relations(s, d).join(a, "src", "left").join(b, "dst", "left").select("rid", "src_name", "dst_name")
+    return M.all_relations(s, d).join(a, "src", "left").join(b, "dst", "left").select("rid", "src_name", "dst_name")
 
 
 @query(
@@ -191,9 +212,9 @@ def left_default(s, d):
     return M.table(s, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query("C11_new_edges", f"SELECT DISTINCT src, dst, type FROM {REL} r WHERE status = 'OBSERVED' AND NOT EXISTS (SELECT 1 FROM {REL} o WHERE o.src = r.src AND o.dst = r.dst AND o.type = r.type AND o.status = 'INFERRED')")
+@query("C11_new_edges", f"SELECT DISTINCT src, dst, type FROM {ALL_REL} r WHERE status = 'OBSERVED' AND NOT EXISTS (SELECT 1 FROM {ALL_REL} o WHERE o.src = r.src AND o.dst = r.dst AND o.type = r.type AND o.status = 'INFERRED')")
 def new_edges(s, d):
-    r, key = M.relations(s, d), ["src", "dst", "type"]
+    r, key = M.all_relations(s, d), ["src", "dst", "type"]
     return writes.removed(r.where("status = 'OBSERVED'").select(*key), r.where("status = 'INFERRED'").select(*key), key).distinct()
 
 
@@ -275,13 +296,13 @@ def by_hour(s, d):
 
 @query(
     "D08_endpoint_activity",
-    f"""WITH r AS {REL}, e AS (SELECT src AS uid, dst AS other, * FROM r WHERE status <> 'REJECTED' UNION ALL SELECT dst, src, * FROM r WHERE status <> 'REJECTED')
+    f"""WITH r AS {ALL_REL}, e AS (SELECT src AS uid, dst AS other, * FROM r WHERE status <> 'REJECTED' UNION ALL SELECT dst, src, * FROM r WHERE status <> 'REJECTED')
   SELECT uid, count(*) AS interactions, count(*) FILTER (WHERE type = 'TRANSFERRED_MONEY') AS payments, round(coalesce(sum(amount) FILTER (WHERE type = 'TRANSFERRED_MONEY'), 0), 2) AS paid,
     count(DISTINCT other) AS others, min(rid) AS first_rid,
     round(CASE WHEN count(*) >= 2 THEN count(*) FILTER (WHERE seen_at >= TIMESTAMP '1998-01-01' - INTERVAL 45 DAY)::DOUBLE / count(*) ELSE 0.2 END, 6) AS recency FROM e GROUP BY uid""",
 )
 def activity(s, d):
-    out = scoring.endpoint_activity(M.relations(s, d), "1998-01-01 00:00:00")
+    out = scoring.endpoint_activity(M.all_relations(s, d), "1998-01-01 00:00:00")
     return out.select("uid", "interactions", "payments", F.round("paid", 2).alias("paid"), "others", "first_rid", F.round("recency", 6).alias("recency"))
 
 
@@ -293,21 +314,21 @@ def having(s, d):
 
 @query(
     "D14_nested_lists",
-    f"SELECT src AS uid, string_agg(rid::VARCHAR, ',' ORDER BY confidence DESC, rid) AS rids FROM {REL} GROUP BY src",
+    f"SELECT src AS uid, string_agg(rid::VARCHAR, ',' ORDER BY confidence DESC, rid) AS rids FROM {ALL_REL} GROUP BY src",
 )
 def nested_lists(s, d):
     rows = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "rid")))
-    return M.relations(s, d).groupBy(F.col("src").alias("uid")).agg(F.array_join(F.transform(rows, lambda r: r["rid"].cast("string")), ",").alias("rids"))
+    return M.all_relations(s, d).groupBy(F.col("src").alias("uid")).agg(F.array_join(F.transform(rows, lambda r: r["rid"].cast("string")), ",").alias("rids"))
 
 
-@query("D15_status_counts", f"SELECT src AS uid, count(*) FILTER (WHERE status = 'OBSERVED') AS observed, count(*) FILTER (WHERE status = 'INFERRED') AS inferred, round(avg(confidence), 6) AS mean FROM {REL} GROUP BY src")
+@query("D15_status_counts", f"SELECT src AS uid, count(*) FILTER (WHERE status = 'OBSERVED') AS observed, count(*) FILTER (WHERE status = 'INFERRED') AS inferred, round(avg(confidence), 6) AS mean FROM {ALL_REL} GROUP BY src")
 def status_counts(s, d):
-    return M.relations(s, d).groupBy(F.col("src").alias("uid")).agg(F.count_if(F.col("status") == "OBSERVED").alias("observed"), F.count_if(F.col("status") == "INFERRED").alias("inferred"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return M.all_relations(s, d).groupBy(F.col("src").alias("uid")).agg(F.count_if(F.col("status") == "OBSERVED").alias("observed"), F.count_if(F.col("status") == "INFERRED").alias("inferred"), F.round(F.avg("confidence"), 6).alias("mean"))
 
 
-@query("D18_best_edge", f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_max(rid, (confidence, -rid)) AS rid, max(confidence) AS confidence FROM {REL} GROUP BY 1, 2")
+@query("D18_best_edge", f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_max(rid, (confidence, -rid)) AS rid, max(confidence) AS confidence FROM {ALL_REL} GROUP BY 1, 2")
 def best_edge(s, d):
-    return M.relations(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max_by("rid", F.struct("confidence", -F.col("rid"))).alias("rid"), F.max("confidence").alias("confidence"))
+    return M.all_relations(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max_by("rid", F.struct("confidence", -F.col("rid"))).alias("rid"), F.max("confidence").alias("confidence"))
 
 
 @query(
@@ -321,15 +342,15 @@ def growth(s, d):
     return g.withColumn("growth", F.when((prior > 0) & (F.col("recent") > 0), F.round(F.col("recent") * 100.0 / prior, 1)))
 
 
-@query("D20_density", f"WITH {LIVE} SELECT (SELECT count(*) FROM act) AS nodes, (SELECT count(*) FROM live) AS edges, round(2 * (SELECT count(*) FROM live)::DOUBLE / greatest(1, (SELECT count(*) FROM act) * ((SELECT count(*) FROM act) - 1)), 6) AS density")
+@query("D20_density", f"WITH {ALL_LIVE} SELECT (SELECT count(*) FROM act) AS nodes, (SELECT count(*) FROM live) AS edges, round(2 * (SELECT count(*) FROM live)::DOUBLE / greatest(1, (SELECT count(*) FROM act) * ((SELECT count(*) FROM act) - 1)), 6) AS density")
 def density(s, d):
-    n, e = _nodes(s, d).agg(F.count("*").alias("nodes")), _live(s, d).agg(F.count("*").alias("edges"))
+    n, e = _all_nodes(s, d).agg(F.count("*").alias("nodes")), _all_live(s, d).agg(F.count("*").alias("edges"))
     return n.crossJoin(e).select("nodes", "edges", F.round(2 * F.col("edges") / F.greatest(F.lit(1), F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"))
 
 
 @query(
     "D21_dashboard",
-    f"""WITH i AS {INC}, r AS {REL} SELECT (SELECT count(*) FROM customer) AS persons, (SELECT count(*) FROM supplier) AS organisations, (SELECT count(*) FROM i) AS incidents, (SELECT count(*) FROM i WHERE priority = 'CRITICAL') AS critical,
+    f"""WITH i AS {INC}, r AS {ALL_REL} SELECT (SELECT count(*) FROM customer) AS persons, (SELECT count(*) FROM supplier) AS organisations, (SELECT count(*) FROM i) AS incidents, (SELECT count(*) FROM i WHERE priority = 'CRITICAL') AS critical,
   (SELECT count(*) FROM r) AS relations, (SELECT count(*) FROM r WHERE status = 'INFERRED') AS inferred, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS open_orders""",
 )
 def dashboard(s, d):
@@ -337,7 +358,7 @@ def dashboard(s, d):
         M.table(s, d, "customer").agg(F.count("*").alias("persons")),
         M.table(s, d, "supplier").agg(F.count("*").alias("organisations")),
         M.incidents(s, d).agg(F.count("*").alias("incidents"), F.count_if(F.col("priority") == "CRITICAL").alias("critical")),
-        M.relations(s, d).agg(F.count("*").alias("relations"), F.count_if(F.col("status") == "INFERRED").alias("inferred")),
+        M.all_relations(s, d).agg(F.count("*").alias("relations"), F.count_if(F.col("status") == "INFERRED").alias("inferred")),
         M.table(s, d, "orders").agg(F.count_if(F.col("o_orderstatus") != "F").alias("open_orders")),
     ]
     out = one[0]
@@ -414,9 +435,9 @@ def limit_then_rank(s, d):
     return M.incidents(s, d).orderBy(F.desc("seen_at"), "incident_id").limit(50).orderBy(rank, "seen_at", "incident_id").limit(20).select("incident_id", "priority")
 
 
-@query("F12_merged_queues", f"SELECT * FROM ((SELECT rid AS id, 'relation' AS kind, confidence FROM {REL} WHERE status = 'INFERRED' ORDER BY confidence DESC, rid LIMIT 6) UNION ALL (SELECT incident_id, 'incident', 0.8::DOUBLE FROM {INC} WHERE priority = 'CRITICAL' ORDER BY seen_at DESC, incident_id LIMIT 6)) ORDER BY confidence DESC, kind, id LIMIT 6")
+@query("F12_merged_queues", f"SELECT * FROM ((SELECT rid AS id, 'relation' AS kind, confidence FROM {ALL_REL} WHERE status = 'INFERRED' ORDER BY confidence DESC, rid LIMIT 6) UNION ALL (SELECT incident_id, 'incident', 0.8::DOUBLE FROM {INC} WHERE priority = 'CRITICAL' ORDER BY seen_at DESC, incident_id LIMIT 6)) ORDER BY confidence DESC, kind, id LIMIT 6")
 def merged_queues(s, d):
-    a = M.relations(s, d).where("status = 'INFERRED'").orderBy(F.desc("confidence"), "rid").limit(6).select(F.col("rid").alias("id"), F.lit("relation").alias("kind"), "confidence")
+    a = M.all_relations(s, d).where("status = 'INFERRED'").orderBy(F.desc("confidence"), "rid").limit(6).select(F.col("rid").alias("id"), F.lit("relation").alias("kind"), "confidence")
     b = M.incidents(s, d).where("priority = 'CRITICAL'").orderBy(F.desc("seen_at"), "incident_id").limit(6).select("incident_id", F.lit("incident"), F.lit(0.8))
     return a.union(b).orderBy(F.desc("confidence"), "kind", "id").limit(6)
 
@@ -446,9 +467,9 @@ def content_duplicates(s, d):
     return t.join(first, "content_hash").select("doc_id", "content_hash", (F.col("doc_id") != F.col("first")).alias("is_duplicate"))
 
 
-@query("G08_canonical_pairs", f"SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {REL}")
+@query("G08_canonical_pairs", f"SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {ALL_REL}")
 def canonical_pairs(s, d):
-    return M.relations(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return M.all_relations(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
 # ---- scalar functions
@@ -587,10 +608,10 @@ def adamic_adar(s, d):
     return graph.adamic_adar(adj, graph.two_hop(adj)).select("a", "b", "shared", F.round("score", 6).alias("score"))
 
 
-@query("I18_neighbourhood", f"WITH RECURSIVE {LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 1), walk AS (SELECT u AS node, 0 AS hop FROM hub UNION SELECT adj.v, hop + 1 FROM walk JOIN adj ON adj.u = node WHERE hop < 2) SELECT rid, src, dst, status FROM live WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
+@query("I18_neighbourhood", f"WITH RECURSIVE {ALL_LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 1), walk AS (SELECT u AS node, 0 AS hop FROM hub UNION SELECT adj.v, hop + 1 FROM walk JOIN adj ON adj.u = node WHERE hop < 2) SELECT rid, src, dst, status FROM live WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
 def neighbourhood(s, d):
-    live = _live(s, d)
-    near = graph.k_hop(graph.adjacency(live), _hubs(s, d, 1).withColumnRenamed("uid", "start"), 2)
+    live = _all_live(s, d)
+    near = graph.k_hop(graph.adjacency(live), _all_hubs(s, d, 1).withColumnRenamed("uid", "start"), 2)
     return graph.induced(live, near.select(F.col("node").alias("uid"))).select("rid", "src", "dst", "status")
 
 
@@ -753,13 +774,13 @@ def timeline(s, d):
 
 @query(
     "N11_derived_events",
-    f"""WITH e AS {ENT} SELECT rid, CASE r.type WHEN 'TRANSFERRED_MONEY' THEN 'FINANCIAL' ELSE 'OWNERSHIP' END AS event_type, a.name || ' to ' || b.name AS title FROM {REL} r JOIN e a ON a.uid = r.src JOIN e b ON b.uid = r.dst""",
+    f"""WITH e AS {ALL_ENT} SELECT rid, CASE r.type WHEN 'TRANSFERRED_MONEY' THEN 'FINANCIAL' ELSE 'OWNERSHIP' END AS event_type, a.name || ' to ' || b.name AS title FROM {ALL_REL} r JOIN e a ON a.uid = r.src JOIN e b ON b.uid = r.dst""",
 )
 def derived_events(s, d):
-    e = M.entities(s, d)
+    e = M.all_entities(s, d)
     a, b = e.select(F.col("uid").alias("src"), F.col("name").alias("x")), e.select(F.col("uid").alias("dst"), F.col("name").alias("y"))
     kind = F.when(F.col("type") == "TRANSFERRED_MONEY", "FINANCIAL").otherwise("OWNERSHIP")
-    return M.relations(s, d).join(a, "src").join(b, "dst").select("rid", kind.alias("event_type"), F.concat("x", F.lit(" to "), "y").alias("title"))
+    return M.all_relations(s, d).join(a, "src").join(b, "dst").select("rid", kind.alias("event_type"), F.concat("x", F.lit(" to "), "y").alias("title"))
 
 
 # ---- keyed state
@@ -793,11 +814,11 @@ def locked_out(s, d):
 
 @query(
     "P02_decisions",
-    f"WITH r AS {REL}, dec AS (SELECT l_orderkey * 10 + l_linenumber AS rid, l_shipdate AS decided_at, CASE WHEN l_linestatus = 'O' THEN 'VALIDATED' ELSE 'REJECTED' END AS status FROM lineitem WHERE l_quantity >= 49), l AS (SELECT rid, arg_max(status, (decided_at, status)) AS s FROM dec GROUP BY rid) SELECT r.rid, coalesce(s, status) AS status FROM r LEFT JOIN l ON l.rid = r.rid",
+    f"WITH r AS {ALL_REL}, dec AS (SELECT l_orderkey * 10 + l_linenumber AS rid, l_shipdate AS decided_at, CASE WHEN l_linestatus = 'O' THEN 'VALIDATED' ELSE 'REJECTED' END AS status FROM lineitem WHERE l_quantity >= 49), l AS (SELECT rid, arg_max(status, (decided_at, status)) AS s FROM dec GROUP BY rid) SELECT r.rid, coalesce(s, status) AS status FROM r LEFT JOIN l ON l.rid = r.rid",
 )
 def decisions(s, d):
     made = M.table(s, d, "lineitem").where("l_quantity >= 49").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), F.col("l_shipdate").alias("decided_at"), F.when(F.col("l_linestatus") == "O", "VALIDATED").otherwise("REJECTED").alias("status"))
-    return writes.decided(M.relations(s, d).select("rid", "status"), made, "rid").select("rid", "status")
+    return writes.decided(M.all_relations(s, d).select("rid", "status"), made, "rid").select("rid", "status")
 
 
 @query("P03_entity_upsert", "WITH m AS (SELECT DISTINCT lower(trim(p_name)) AS norm FROM part), k AS (SELECT DISTINCT lower(trim(p_name)) AS norm FROM part WHERE p_size > 40) SELECT m.norm, k.norm IS NULL AS created FROM m LEFT JOIN k ON k.norm = m.norm")

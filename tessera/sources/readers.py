@@ -36,9 +36,14 @@ def sniffed_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """All columns as strings, named by the header in lower case with _ for spaces; cells made safe."""
+    """All columns as strings, named by the header in lower case with _ for spaces; cells made safe.
+
+    Quoted cells may hold line breaks, so a file (an upload of at most LARGEST bytes) is read by one task. A path with
+    bytes that aren't UTF-8 is read as Latin-1.
+    """
     sep = separator or sniffed_separator(spark, path)
-    df = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", encoding="UTF-8", multiLine=False)
+    bad = not spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
+    df = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", encoding="ISO-8859-1" if bad else "UTF-8", multiLine=True, escape='"')
     names = [re.sub(r"\s+", "_", c.replace("﻿", "").strip().lower()) for c in df.columns]
     df = df.toDF(*names)
     return df.select(*(F.when(F.trim(c).isin("", "-", "NA", "N/A"), None).otherwise(X.safe_cell(F.col(c))).alias(c) for c in names))

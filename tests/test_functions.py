@@ -42,6 +42,7 @@ def test_similarity(spark):
     assert value(spark, X.edit_ratio(F.lit(""), F.lit(""))) == 1 and value(spark, X.edit_ratio(F.lit("abcd"), F.lit("abxd"))) == 0.75
     short = lambda a, b: value(spark, X.is_abbreviation(F.lit(a), F.lit(b)))
     assert short("R. Sharma", "Rahul Sharma") and short("Rahul S.", "Rahul Sharma") and not short("A. Verma", "Rahul Sharma") and not short("Rahul Sharma", "Rahul Sharma")
+    assert short("R.S.", "Rahul Sharma") and short("Sharma", "Rahul Sharma") and not short("Rahul Sharma", "R. Sharma") and not short("Rahul Sharma", "Rahul  Sharma")
 
 
 def test_places(spark):

@@ -5,8 +5,9 @@ import pytest
 
 from tessera.plans import composites as more
 from tessera.plans import queries as Q
+from tessera.plans import workflows as flows
 
-assert more
+assert more and flows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
