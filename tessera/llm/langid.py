@@ -85,26 +85,40 @@ def _gram_hashes(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def count_rows(rows: list[tuple[str, int, str, int]]) -> pa.Table:
+    """(lang, n, gram, k) as a table."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+    return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(("lang", "n", "gram", "k"), kinds))})
+
+
 class Model:
     """Log frequencies by order: words by name, n-grams by sorted hashes, each with a row over the sorted languages."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: list[tuple[str, int, int]]):
+    def __init__(self, rows: pa.Table, totals: list[tuple[str, int, int]]):
+        """rows: (lang, n, gram, k), totals: (lang, n, sum of k)."""
         self.langs = sorted({lang for lang, _, _ in totals})
         place = {x: i for i, x in enumerate(self.langs)}
         size = np.zeros((max(ORDERS) + 1, max(1, len(self.langs))))
         for lang, n, k in totals:
             size[n, place[lang]] = k
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(max(ORDERS) + 1)]
-        for lang, n, gram, k in rows:
-            counts[n].setdefault(gram, np.zeros(len(self.langs)))[place[lang]] = k
-        logs = [np.log((np.array(list(own.values())).reshape(len(own), size.shape[1]) + 0.5) / (size[n] + 0.5 * (len(own) + 1))) for n, own in enumerate(counts)]
-        self.words, self.word_logs = {w: i for i, w in enumerate(counts[0])}, logs[0]
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
+        lang = np.array([place[x] for x in lang.dictionary.to_pylist()] or [0])[lang.indices.to_numpy()]
+        order, k = rows.column("n").to_numpy(), rows.column("k").to_numpy()
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in ORDERS:
-            points = np.frombuffer("".join(counts[n]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for n in (0, *ORDERS):
+            own = np.flatnonzero(order == n)
+            grams = rows.column("gram").take(pa.array(own)).combine_chunks().dictionary_encode()
+            counts = np.zeros((len(grams.dictionary), size.shape[1]))
+            counts[grams.indices.to_numpy(), lang[own]] = k[own]
+            logs = np.log((counts + 0.5) / (size[n] + 0.5 * (len(counts) + 1)))
+            names = grams.dictionary.to_pylist()
+            if n == 0:
+                self.words, self.word_logs = {w: i for i, w in enumerate(names)}, logs
+                continue
+            points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             keys = _gram_hashes(points)[n - 1][::n] if len(points) else np.zeros(0, np.uint64)
-            order = np.argsort(keys)
-            self.grams[n] = keys[order], logs[n][order]
+            by_key = np.argsort(keys)
+            self.grams[n] = keys[by_key], logs[by_key]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row over the languages for each lower-cased word."""
@@ -171,14 +185,14 @@ def train(labelled: DataFrame) -> Model:
     usable = labelled.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("by"), "lang", "text")
     bound = usable.select("by").orderBy("by").limit(TRAIN_DOCS).agg(F.max("by")).first()[0]
     if bound is None:
-        return Model([], [])
+        return Model(count_rows([]), [])
     sample = usable.where(F.col("by") <= bound).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     counts = stored(counts, "language_counts")
     totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()]
-    rows = counts.select("lang", "n", "gram", "k").toPandas()
+    rows = counts.select("lang", "n", "gram", "k").toArrow()  # of the bounded sample
     forget(counts)
-    return Model(list(rows.itertuples(index=False, name=None)), totals)
+    return Model(rows, totals)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

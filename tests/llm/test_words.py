@@ -133,14 +133,14 @@ def test_words_are_runs_of_letters_with_their_marks():
     assert langid.words_of("नमस्ते Ünïcode! l'été x²y") == ["नमस्ते", "ünïcode", "l", "été", "x", "y"]
     for text in ("ª º Abc ß ñ²", "Straße, naïve – “quoted” 5€", "a_b c3d"):
         assert langid.LATIN.fullmatch(text) and langid.LATIN_LETTERS.findall(text) == langid.LETTERS.findall(text)
-    model = langid.Model([("a", 1, "x", 2)], [("a", 1, 2)])
+    model = langid.Model(langid.count_rows([("a", 1, "x", 2)]), [("a", 1, 2)])
     assert langid.Predictor(model).predict(["½ ² ①", None, ""]) == [("und", 0.0)] * 3
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
     rows = [("a", 0, "the", 5), ("b", 5, "\x02quel", 3), ("a", 1, "x", 2), ("b", 1, "x", 9)]
     totals = [("a", 0, 5), ("b", 0, 5), ("a", 5, 3), ("b", 5, 3), ("a", 1, 11), ("b", 1, 11)]
-    the, quelle, x, z = langid.Model(rows, totals).scores(["the", "quelle", "x", "zzz"])
+    the, quelle, x, z = langid.Model(langid.count_rows(rows), totals).scores(["the", "quelle", "x", "zzz"])
     assert the[0] > the[1] and quelle[1] > quelle[0] and x[1] > x[0] and not z.any()
 
 
@@ -157,7 +157,7 @@ def test_scores_match_a_plain_backoff(spark, small):
     totals = {}
     for (lang, n, _), v in counts.items():
         totals[lang, n] = totals.get((lang, n), 0) + v
-    model = langid.Model(rows, [(lang, n, v) for (lang, n), v in totals.items()])
+    model = langid.Model(langid.count_rows(rows), [(lang, n, v) for (lang, n), v in totals.items()])
     by = {(n, g): {} for _, n, g, _ in rows}
     for lang, n, g, v in rows:
         by[n, g][lang] = v
