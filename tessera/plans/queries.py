@@ -51,7 +51,8 @@ def _live(s: SparkSession, d: str) -> DataFrame:
 
 
 def _adj(s: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(_live(s, d))
+    """Stored once: searches by rounds read it again and again."""
+    return stored(graph.adjacency(_live(s, d)), "adjacency")
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def _all_live(s: SparkSession, d: str) -> DataFrame:
 
 
 def _all_adj(s: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(_all_live(s, d))
+    return stored(graph.adjacency(_all_live(s, d)), "all_adjacency")
 
 
 def _all_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -610,8 +611,9 @@ def adamic_adar(s, d):
 
 @query("I18_neighbourhood", f"WITH RECURSIVE {ALL_LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 1), walk AS (SELECT u AS node, 0 AS hop FROM hub UNION SELECT adj.v, hop + 1 FROM walk JOIN adj ON adj.u = node WHERE hop < 2) SELECT rid, src, dst, status FROM live WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
 def neighbourhood(s, d):
-    live = _all_live(s, d)
-    near = graph.k_hop(graph.adjacency(live), _all_hubs(s, d, 1).withColumnRenamed("uid", "start"), 2)
+    live, adj = _all_live(s, d), _all_adj(s, d)
+    hub = stored(_top(adj, 1).withColumnRenamed("uid", "start"), "hub")
+    near = stored(graph.k_hop(adj, hub, 2), "near")
     return graph.induced(live, near.select(F.col("node").alias("uid"))).select("rid", "src", "dst", "status")
 
 
