@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
 Parquet and read again as the next one's documents. All stages but the last keep the columns of documents.
+
+Null texts and texts without a letter go in the first stage. Of equal texts and near copies the smallest doc_id stays;
+rows without doc_id stay and are not compared. Rows that repeat a doc_id stay or go together. Very long texts are worked
+on whole. Columns beside doc_id, text, lang and n_chars pass through unread, whatever their names; an empty table gives
+empty results of the same columns.
 """
 
 from __future__ import annotations
