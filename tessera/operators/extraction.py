@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 SPAN = "struct<text string, kind string, start int, stop int, confidence double, uid string>"
+# fixed values: names of months in dates
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 
 # fixed values: recognisers of well-formed values, kind: (pattern, confidence)
@@ -76,6 +77,15 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(paired, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
+def exploded(df: DataFrame, items: Column, name: str, *others: str) -> DataFrame:
+    """Other columns and a row for each item that isn't null.
+
+    A plain explode has the optimizer filter rows by the size of the array first, which works out a costly array
+    once more for the filter and once for the scan.
+    """
+    return df.select(*others, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def _spans(found: Column, kind: str, confidence: Column | float) -> Column:
     value = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return F.transform(found, lambda m: F.struct(m["text"].alias("text"), F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), value.cast("double").alias("confidence"), F.lit(None).cast("string").alias("uid")))
@@ -108,7 +118,7 @@ def gazetteer_spans(docs: DataFrame, known: DataFrame, longest: int = 6) -> Data
     """(id, span) of known surfaces among the word n-grams of (id, text), longest first, each word once."""
     grouped = docs.select("id", "text", matches(F.col("text"), r"\S+").alias("tokens"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.size("tokens") - n), lambda i: F.struct(n.alias("n"), i.alias("i"), F.get("tokens", i)["start"].alias("from"), F.get("tokens", i + n - 1)["stop"].alias("to")))).otherwise(F.array().cast("array<struct<n:int,i:int,from:int,to:int>>"))))
-    rows = grouped.select("id", "text", F.explode(grams).alias("g")).select("id", "g.*", F.expr("substring(text, g.from + 1, g.to - g.from)").alias("surface"))
+    rows = exploded(grouped, grams, "g", "id", "text").select("id", "g.*", F.expr("substring(text, g.from + 1, g.to - g.from)").alias("surface"))
     clean = F.expr("trim(BOTH '.,;:!?()[]\"''' FROM surface)")
     rows = rows.withColumn("clean", clean).where(F.length("clean") >= 2).withColumn("norm", T.normal_name(F.col("clean")))
     upper = F.substring("clean", 1, 1) != F.lower(F.substring("clean", 1, 1))
@@ -153,11 +163,11 @@ def _trigger(kind: str):
 
 def relations_in(found: DataFrame) -> DataFrame:
     """(id, source, target, type, confidence, source_uid, target_uid, trigger_start) of documents (id, text, spans)."""
-    s = found.select("id", "spans", F.explode(sentences(F.col("text"))).alias("s"))
+    s = exploded(found, sentences(F.col("text")), "s", "id", "spans")
     inside = F.filter("spans", lambda e: (e["start"] >= F.col("s.start")) & (e["stop"] <= F.col("s.stop")))
     s = s.select("id", "s", inside.alias("spans")).where(F.size("spans") >= 2)
     verbs = F.concat(*(F.transform(matches(F.col("s.text"), f"(?i){p}"), _trigger(k)) for k, p in TRIGGERS.items()))
-    t = s.select("id", "s", "spans", F.explode(verbs).alias("t"))
+    t = exploded(s, verbs, "t", "id", "s", "spans")
     before = F.filter("spans", lambda e: e["stop"] <= F.col("t.start"))
     after = F.filter("spans", lambda e: e["start"] >= F.col("t.stop"))
     t = t.select("id", "s", "t", before.alias("before"), after.alias("after")).where((F.size("before") > 0) & (F.size("after") > 0))

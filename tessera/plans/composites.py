@@ -9,6 +9,7 @@ from tessera.functions import geo
 from tessera.functions import text as X
 from tessera.operators import extraction, graph, patterns, places, writes
 from tessera.plans import model as M
+from tessera.storage import spread, stored
 from tessera.plans.queries import ALL_LIVE, ALL_REL, ENT, INC, SRV, ZON, _adj, _all_adj, _all_hubs, _all_live, _all_nodes, _hubs, dist, query
 from tessera.streaming import stateful
 
@@ -221,7 +222,7 @@ def gazetteer(s, d):
 
 @query("J13_extraction_summary")
 def extraction_summary(s, d):
-    found = extraction.entities_in(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    found = stored(extraction.entities_in(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))), "spans")
     return extraction.summary(found, extraction.relations_in(found)).withColumn("confidence", F.round("confidence", 4))
 
 

@@ -12,7 +12,7 @@ from tessera.functions import text as X
 from tessera.operators import extraction, graph, patterns, places, ranking, resolution, scoring, writes
 from tessera.operators.components import components
 from tessera.plans import model as M
-from tessera.storage import stored
+from tessera.storage import spread, stored
 from tessera.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -630,9 +630,9 @@ def explained_path(s, d):
 
 @query("J01_extraction")
 def extracted(s, d):
-    docs = M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     found = extraction.entities_in(docs)
-    return found.select("id", F.explode("spans").alias("s")).select("id", "s.text", "s.kind", "s.start", "s.stop", "s.confidence")
+    return extraction.exploded(found, F.col("spans"), "s", "id").select("id", "s.text", "s.kind", "s.start", "s.stop", "s.confidence")
 
 
 @query("J10_relations")

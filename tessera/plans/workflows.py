@@ -9,6 +9,7 @@ from tessera.functions import geo
 from tessera.functions import text as X
 from tessera.operators import places, writes
 from tessera.plans import model as M
+from tessera.storage import spread
 from tessera.plans.queries import ALL_ENT, ALL_LIVE, ALL_REL, ENT, INC, ORACLE_SQL, QUERIES, REL, SRV, ZON, _all_adj, _all_live, _all_nodes, dist, query
 from tessera.sources import ingestion
 
@@ -184,7 +185,7 @@ def insert_rows(s, d):
 
 @query("P05_narrative_edges")
 def narrative(s, d):
-    return ingestion.narrative_edges(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return ingestion.narrative_edges(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 
 @query("P09_audit_append", "SELECT 'e' || event_id AS target, upper(event_type) AS action, NULL AS old, NULL AS new FROM events UNION ALL SELECT 'o' || o_orderkey, 'STATUS', 'O', o_orderstatus FROM orders WHERE o_orderstatus <> 'O'")

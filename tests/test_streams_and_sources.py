@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.extraction import exploded
 from tessera.operators.ranking import numbered
 from tessera.sources import readers
+from tessera.storage import spread
 from tessera.streaming import feeds
 from tessera.streaming import stateful as S
 
@@ -120,3 +122,15 @@ def test_feeds(spark, tmp_path):
     feed = feeds.read_feed(spark, f"{tmp_path}/feed")
     assert sorted(r.seq for r in feed.collect()) == [1, 2, 3, 4, 5, 6]
     assert S.replay(feed, 4).count() == 2
+
+
+def test_spread(spark):
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == cores and spread(many).rdd.getNumPartitions() == 9
+    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+
+
+def test_exploded(spark):
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None)], "id int, v array<string>")
+    assert [tuple(r) for r in exploded(rows, F.col("v"), "x", "id").collect()] == [(1, "a"), (1, "b")]
