@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, chat, langid, licences, packing, pii, simhash, suffix, telephony, vectors
 from tessera.llm.common import stored
+from tessera.storage import spread
 
 
 def vocabulary(name: str) -> str:
@@ -18,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.chat_digest(spark, _table(spark, sf_dir, "conversations"))
+    return chat.chat_digest(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
