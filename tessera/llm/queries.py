@@ -18,25 +18,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(telephony.text_media(_table(spark, sf_dir, "documents")), "media")
+    media = stored(telephony.text_media(_documents(spark, sf_dir)), "media")
     return telephony.media_features(media)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(_documents(spark, sf_dir))
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_scan(_table(spark, sf_dir, "documents"))
+    return licences.licence_scan(_documents(spark, sf_dir))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digest(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return bpe.bpe_digest(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,23 +44,23 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.packed(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_digest(_table(spark, sf_dir, "documents"))
+    return suffix.suffix_digest(_documents(spark, sf_dir))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_id(_table(spark, sf_dir, "documents"))
+    return langid.language_id(_documents(spark, sf_dir))
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(_documents(spark, sf_dir))
 
 
 def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.vector_components(_table(spark, sf_dir, "embeddings"))
+    return vectors.vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
