@@ -10,7 +10,7 @@ from tessera.functions import text as X
 from tessera.operators import extraction, graph, patterns, places, writes
 from tessera.plans import model as M
 from tessera.storage import spread, stored
-from tessera.plans.queries import ALL_LIVE, ALL_REL, ENT, INC, SRV, ZON, _adj, _all_adj, _all_hubs, _all_live, _all_nodes, _hubs, dist, query
+from tessera.plans.queries import ALL_LIVE, ALL_REL, ENT, INC, SRV, ZON, _adj, _all_adj, _all_hubs, _all_live, _all_nodes, _hubs, dist, machine_sql, paths_sql, query
 from tessera.streaming import stateful
 
 
@@ -155,7 +155,15 @@ def day_labels(s, d):
     return M.table(s, d, "nation").select("n_nationkey", F.date_format(X.day_label(text, F.lit("2024-01-01").cast("date")), "yyyy-MM-dd").alias("day"))
 
 
-@query("H13_sound")
+@query(
+    "H13_sound",
+    """WITH w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(trim(p_name), '\\s+'), lambda x: x <> '')) AS word FROM part),
+  l AS (SELECT word, upper(regexp_replace(word, '[^A-Za-z]', '', 'g')) AS letters FROM w),
+  c AS (SELECT word, letters, translate(letters[1], 'HW', '77') || regexp_replace(letters[2:], '[HW]', '', 'g') AS code FROM l),
+  d AS (SELECT word, letters, translate(code, 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556') AS code FROM c),
+  r AS (SELECT word, letters, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS code FROM d)
+  SELECT CASE WHEN letters = '' THEN '' ELSE letters[1] || left(replace(code[2:], '0', '') || '000', 3) END AS sound, count(*) AS words FROM r GROUP BY 1""",
+)
 def sounds(s, d):
     return M.table(s, d, "part").select(F.explode(X.words(F.col("p_name"))).alias("word")).groupBy(X.sound(F.col("word")).alias("sound")).agg(F.count_distinct("word").alias("words"))
 
@@ -184,7 +192,10 @@ def digests(s, d):
     return M.table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.substring("text", 1, 160).alias("head"))
 
 
-@query("I03_shortest_paths")
+@query(
+    "I03_shortest_paths",
+    f"WITH RECURSIVE {paths_sql(10, 8)} SELECT src, dst, array_to_string(path, '>') AS path FROM path WHERE node = dst",
+)
 def shortest(s, d):
     h = _hubs(s, d, 10)
     pairs = h.select(F.col("uid").alias("src")).join(h.select(F.col("uid").alias("dst")), F.col("src") < F.col("dst"))
@@ -267,9 +278,15 @@ def evidence_lineage(s, d):
     return M.all_relations(s, d).groupBy("src", "dst").agg(F.count("*").alias("edges"), F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query("O07_alert_machine")
+ALERT_EVENTS = {"view": "NEW", "click": "ACKNOWLEDGED", "signup": "ASSIGNED", "purchase": "RESPONDING", "error": "RESOLVED"}
+
+
+@query(
+    "O07_alert_machine",
+    machine_sql(ALERT_EVENTS, stateful.ALERT_CHANGES, "NEW", "event_id, status, accepted"),
+)
 def alert_machine(s, d):
-    names = F.create_map(*(F.lit(x) for x in ("view", "NEW", "click", "ACKNOWLEDGED", "signup", "ASSIGNED", "purchase", "RESPONDING", "error", "RESOLVED")))
+    names = F.create_map(*(F.lit(x) for pair in ALERT_EVENTS.items() for x in pair))
     e = M.table(s, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"), names[F.col("event_type")].alias("status"))
     return stateful.folded(e, "user_id", ["seconds", "event_id"], stateful.status_machine(stateful.ALERT_CHANGES, "NEW"), "boolean").select("event_id", "status", F.col("result").alias("accepted"))
 

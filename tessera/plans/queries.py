@@ -45,6 +45,43 @@ GRAPH = """ent AS {ent}, rel AS {rel},
   deg AS (SELECT u, count(*) AS degree, sum(n)::BIGINT AS weighted FROM adj GROUP BY u)"""
 LIVE, ALL_LIVE = GRAPH.format(ent=ENT, rel=REL), GRAPH.format(ent=ALL_ENT, rel=ALL_REL)
 
+#: Searches from all nodes of the sparse graph, or from the pivots of a large one: found has distances and counts of shortest paths.
+SEARCH = f"""{LIVE}, size AS (SELECT count(*) AS n FROM deg),
+  source AS (SELECT u FROM deg WHERE (SELECT n FROM size) <= {graph.EXACT_NODES} OR u IN (SELECT u FROM deg ORDER BY sha256(u), u LIMIT {graph.CENTRALITY_PIVOTS})),
+  found(source, node, hop, paths) USING KEY (source, node) AS (SELECT u, u, 0, 1.0::DOUBLE FROM source
+    UNION SELECT f.source, adj.v, f.hop + 1, sum(f.paths) FROM found f JOIN adj ON adj.u = f.node
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.found r WHERE r.source = f.source AND r.node = adj.v) GROUP BY f.source, adj.v, f.hop)"""
+
+
+def paths_sql(hubs: int, longest: int) -> str:
+    """SQL of path, which holds the first shortest path of each pair of hubs once it ends in dst.
+
+    At each node it goes on to the smallest neighbour that lies nearer to the end.
+    """
+    return f"""{LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT {hubs}), pair AS (SELECT a.u AS src, b.u AS dst FROM hub a JOIN hub b ON a.u < b.u),
+  walk AS (SELECT u AS dst, u AS node, 0 AS hop FROM hub UNION SELECT dst, adj.v, hop + 1 FROM walk JOIN adj ON adj.u = node WHERE hop < {longest}),
+  near AS (SELECT dst, node, min(hop) AS hop FROM walk GROUP BY ALL),
+  onward AS (SELECT x.dst, x.node, min(y.node) AS next FROM near x JOIN adj ON adj.u = x.node JOIN near y ON y.dst = x.dst AND y.node = adj.v AND y.hop = x.hop - 1 GROUP BY ALL),
+  path AS (SELECT src, dst, src AS node, [src] AS path FROM pair SEMI JOIN near ON near.dst = pair.dst AND near.node = pair.src
+    UNION ALL SELECT p.src, p.dst, next, list_append(p.path, next) FROM path p JOIN onward o ON o.dst = p.dst AND o.node = p.node WHERE p.node <> p.dst)"""
+
+
+def turns_sql(what: str, where: str = "TRUE") -> str:
+    """SQL of turn: each user's events in order, numbered by i from 1."""
+    order = "epoch_us(ts) // 1000000, event_id"
+    return f"turn AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS seconds, {what}, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS i FROM events WHERE user_id IS NOT NULL AND {where})"
+
+
+def machine_sql(names: dict[str, str], changes: dict[str, tuple[str, ...]], first: str, columns: str, where: str = "TRUE") -> str:
+    """SQL of a status machine over each user's events, one event after the other; names: an event type's status."""
+    status = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+    allowed = ", ".join(f"'{a}>{b}'" for a, bs in changes.items() for b in bs)
+    return f"""WITH RECURSIVE {turns_sql(f"{status} AS status", where)},
+  step AS (SELECT user_id, event_id, i, status, CASE WHEN status = '{first}' THEN status END AS present, coalesce(status = '{first}', FALSE) AS accepted FROM turn WHERE i = 1
+    UNION ALL SELECT user_id, event_id, i, status, CASE WHEN good THEN status ELSE present END, good
+      FROM (SELECT t.*, present, coalesce(CASE WHEN present IS NULL THEN t.status = '{first}' ELSE present || '>' || t.status IN ({allowed}) END, FALSE) AS good FROM step s JOIN turn t ON t.user_id = s.user_id AND t.i = s.i + 1))
+  SELECT {columns} FROM step"""
+
 
 def _live(s: SparkSession, d: str) -> DataFrame:
     return graph.project(M.entities(s, d), M.relations(s, d))
@@ -563,21 +600,43 @@ def degree(s, d):
     return graph.degrees(_nodes(s, d), _adj(s, d)).select("uid", "degree", "weighted", F.round("centrality", 8).alias("centrality"))
 
 
-@query("I07_betweenness")
+@query(
+    "I07_betweenness",
+    f"""WITH RECURSIVE {SEARCH},
+  back(hop, source, node, paths, delta) AS (SELECT max(hop) + 1, NULL::VARCHAR, NULL::VARCHAR, 1.0::DOUBLE, 0.0::DOUBLE FROM found
+    UNION ALL SELECT f.hop, f.source, f.node, f.paths, coalesce(f.paths * sum((1 + b.delta) / b.paths), 0) FROM (SELECT DISTINCT hop FROM back) k JOIN found f ON f.hop = k.hop - 1
+      LEFT JOIN adj ON adj.u = f.node LEFT JOIN back b ON b.source = f.source AND b.node = adj.v GROUP BY f.hop, f.source, f.node, f.paths),
+  sums AS (SELECT node, sum(delta) AS delta FROM back WHERE hop > 0 GROUP BY node)
+  SELECT deg.u AS uid, round(coalesce(delta, 0) * (n::DOUBLE / greatest((SELECT count(*) FROM source), 1)) / 2 * CASE WHEN n > 2 THEN 2 / ((n - 1.0::DOUBLE) * (n - 2)) ELSE 1 END, 8) AS betweenness
+  FROM deg CROSS JOIN size LEFT JOIN sums ON sums.node = deg.u""",
+)
 def betweenness(s, d):
     adj = _adj(s, d)
     nodes = adj.select(F.col("u").alias("uid")).distinct()
-    return graph.betweenness(nodes, adj, graph.centrality_sources(nodes))
+    return graph.betweenness(nodes, adj, graph.centrality_sources(nodes)).select("uid", F.round("betweenness", 8).alias("betweenness"))
 
 
-@query("I08_closeness")
+@query(
+    "I08_closeness",
+    f"""WITH RECURSIVE {SEARCH}, sums AS (SELECT node, count(*)::DOUBLE AS r, sum(hop)::DOUBLE AS d FROM found WHERE hop > 0 GROUP BY node)
+  SELECT deg.u AS uid, round(coalesce(r / d * (r / greatest(CASE WHEN n <= {graph.EXACT_NODES} THEN n - 1 ELSE {graph.CENTRALITY_PIVOTS} END, 1)), 0), 8) AS closeness FROM deg CROSS JOIN size LEFT JOIN sums ON sums.node = deg.u""",
+)
 def closeness(s, d):
     adj = _adj(s, d)
     nodes = adj.select(F.col("u").alias("uid")).distinct()
-    return graph.closeness(nodes, adj, graph.centrality_sources(nodes))
+    return graph.closeness(nodes, adj, graph.centrality_sources(nodes)).select("uid", F.round("closeness", 8).alias("closeness"))
 
 
-@query("I10_components")
+@query(
+    "I10_components",
+    f"""WITH RECURSIVE {LIVE},
+  label AS (SELECT DISTINCT u AS node, u AS component, TRUE AS moving FROM adj
+    UNION ALL SELECT node, component, bool_or(moved) OVER () FROM (
+      SELECT node, min(component) AS component, min(component) < max(own) AS moved FROM (
+        SELECT node, component, component AS own, moving FROM label UNION ALL SELECT adj.v, component, NULL, moving FROM label JOIN adj ON adj.u = node) WHERE moving GROUP BY node)),
+  last AS (SELECT node, min(component) AS component FROM label GROUP BY node)
+  SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM last""",
+)
 def connected(s, d):
     found = components(_live(s, d).select("src", "dst"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
@@ -617,7 +676,14 @@ def neighbourhood(s, d):
     return graph.induced(live, near.select(F.col("node").alias("uid"))).select("rid", "src", "dst", "status")
 
 
-@query("I27_explained_path")
+@query(
+    "I27_explained_path",
+    f"""WITH RECURSIVE {paths_sql(6, 6)},
+  step AS (SELECT src, dst, path, unnest(range(1, len(path)))::INTEGER AS hop FROM path WHERE node = dst),
+  best AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, rid, status FROM live QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY confidence DESC, rid) = 1),
+  hop AS (SELECT src, dst, hop, path[hop] AS a, path[hop + 1] AS b FROM step)
+  SELECT src, dst, hop, a, b, rid, status, bool_and(status = 'OBSERVED') OVER (PARTITION BY src, dst) AS all_observed FROM hop JOIN best ON x = least(a, b) AND y = greatest(a, b)""",
+)
 def explained_path(s, d):
     h = _hubs(s, d, 6)
     pairs = h.select(F.col("uid").alias("src")).join(h.select(F.col("uid").alias("dst")), F.col("src") < F.col("dst"))
@@ -697,7 +763,23 @@ def segment_pressure(s, d):
     return m.select("seg", F.round("km", 4).alias("km"), F.round("pressure", 4).alias("pressure"), F.round("service_km", 4).alias("service_km"))
 
 
-@query("L05_routes")
+@query(
+    "L05_routes",
+    f"""WITH RECURSIVE z AS {ZON}, half AS (SELECT a.zone_id AS u, b.zone_id AS v, (a.zlat + b.zlat) / 2 AS mlat, (a.zlng + b.zlng) / 2 AS mlng, {dist('a.zlat', 'a.zlng', 'b.zlat', 'b.zlng')} AS km
+    FROM z a JOIN z b ON (b.zone_id = a.zone_id + 1 AND a.zone_id % 5 < 4) OR b.zone_id = a.zone_id + 5),
+  n AS (SELECT u, v, CASE priority WHEN 'LOW' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 2.0 WHEN 'HIGH' THEN 3.5 ELSE 5.0 END AS weight, {dist('lat', 'lng', 'mlat', 'mlng')} AS dd FROM {INC} i JOIN half ON lat IS NOT NULL),
+  p AS (SELECT u, v, sum(weight * (1 - dd / 0.6)) AS pressure FROM n WHERE dd <= 0.6 GROUP BY ALL),
+  c AS (SELECT u, v, min({dist('mlat', 'mlng', 'slat', 'slng')}) AS service_km FROM half JOIN {SRV} ON TRUE GROUP BY ALL),
+  m AS (SELECT u, v, km, km * 1.45::DOUBLE * (1 + 0.22::DOUBLE * coalesce(pressure, 0)) * CASE WHEN u % 4 = 0 THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN v % 7 = 0 THEN 1.25::DOUBLE ELSE 1 END + 0.12::DOUBLE * coalesce(service_km, 5.0) AS w
+    FROM half LEFT JOIN p USING (u, v) LEFT JOIN c USING (u, v)),
+  seg AS (SELECT u::VARCHAR AS u, v::VARCHAR AS v, km, w FROM m UNION ALL SELECT v::VARCHAR, u::VARCHAR, km, w FROM m),
+  walk AS (SELECT src, dst, [src] AS path, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS km FROM (VALUES ('0', '7'), ('3', '15')) t(src, dst)
+    UNION ALL SELECT src, dst, list_append(path, seg.v), cost + w, walk.km + seg.km FROM walk JOIN seg ON seg.u = path[len(path)] WHERE path[len(path)] <> dst AND len(path) <= 7 AND NOT list_contains(path, seg.v)),
+  best AS (SELECT *, round(greatest(5.0, least(97.0, 100 - (cost / greatest(km, 0.05) - 1) * 26)), 1)::DOUBLE AS score FROM walk WHERE path[len(path)] = dst
+    QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY cost, len(path), path) <= 3),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, cost, path)::INTEGER AS rank FROM best)
+  SELECT src, dst, array_to_string(path, '>') AS path, round(cost, 4) AS cost, round(km, 4) AS km, score, rank, rank = 1 AS recommended FROM placed""",
+)
 def routes(s, d):
     m = places.segment_metrics(_segments(s, d), M.incidents(s, d), M.services(s, d), M.WEIGHTS)
     m = m.withColumn("w", places.segment_cost(F.lit(21), F.col("u") % 4 == 0, F.col("v") % 7 == 0))
@@ -793,19 +875,41 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"), "event_type")
 
 
-@query("O05_rate_limit")
+@query(
+    "O05_rate_limit",
+    f"""WITH RECURSIVE {turns_sql('event_type')},
+  step AS (SELECT user_id, event_id, i, [seconds] AS recent, TRUE AS accepted FROM turn WHERE i = 1
+    UNION ALL SELECT user_id, event_id, i, CASE WHEN len(kept) < 3 THEN list_append(kept, seconds) ELSE kept END, len(kept) < 3
+      FROM (SELECT t.*, list_filter(recent, lambda x: x >= t.seconds - 86400) AS kept FROM step JOIN turn t ON t.user_id = step.user_id AND t.i = step.i + 1))
+  SELECT event_id, user_id, accepted FROM step""",
+)
 def rate_limited(s, d):
     return stateful.folded(_calls(s, d), "user_id", ["seconds", "event_id"], stateful.rate_limit(3, 86_400), "boolean").select("event_id", "user_id", F.col("result").alias("accepted"))
 
 
-@query("O06_status_machine")
+SOS_EVENTS = {"view": "RECEIVED", "click": "ASSIGNED", "signup": "RESPONDING", "purchase": "RESOLVED"}
+
+
+@query(
+    "O06_status_machine",
+    machine_sql(SOS_EVENTS, stateful.SOS_CHANGES, "RECEIVED", "event_id, user_id, status, accepted", f"event_type IN {tuple(SOS_EVENTS)}"),
+)
 def status_changes(s, d):
-    names = F.create_map(*(F.lit(x) for x in ("view", "RECEIVED", "click", "ASSIGNED", "signup", "RESPONDING", "purchase", "RESOLVED")))
+    names = F.create_map(*(F.lit(x) for pair in SOS_EVENTS.items() for x in pair))
     rows = _calls(s, d).withColumn("status", names[F.col("event_type")]).where("status is not null")
     return stateful.folded(rows, "user_id", ["seconds", "event_id"], stateful.status_machine(stateful.SOS_CHANGES, "RECEIVED"), "boolean").select("event_id", "user_id", "status", F.col("result").alias("accepted"))
 
 
-@query("O10_lock_out")
+@query(
+    "O10_lock_out",
+    f"""WITH RECURSIVE {turns_sql("event_type NOT IN ('error', 'view', 'click') AS success")},
+  step AS (SELECT user_id, event_id, i, CASE WHEN success THEN 0 ELSE 1 END AS failed, 0 AS until, CASE WHEN success THEN 'OK' ELSE 'FAILED' END AS result FROM turn WHERE i = 1
+    UNION ALL SELECT user_id, event_id, i, CASE result WHEN 'FAILED' THEN failed + 1 WHEN 'REFUSED' THEN failed ELSE 0 END,
+        CASE result WHEN 'ACCOUNT_LOCKED' THEN seconds + 900 WHEN 'REFUSED' THEN until ELSE 0 END, result
+      FROM (SELECT t.*, failed, until, CASE WHEN seconds < until THEN 'REFUSED' WHEN success THEN 'OK' WHEN failed >= 4 THEN 'ACCOUNT_LOCKED' ELSE 'FAILED' END AS result
+        FROM step s JOIN turn t ON t.user_id = s.user_id AND t.i = s.i + 1))
+  SELECT event_id, user_id, result FROM step""",
+)
 def locked_out(s, d):
     rows = _calls(s, d).withColumn("success", ~F.col("event_type").isin("error", "view", "click"))
     return stateful.folded(rows, "user_id", ["seconds", "event_id"], stateful.lock_out(), "string").select("event_id", "user_id", "result")
