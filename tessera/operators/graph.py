@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import numbered
@@ -48,6 +48,8 @@ def k_hop(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     for hop in range(1, depth + 1):
         step = last.join(adj, last["node"] == adj["u"]).select("start", F.col("v").alias("node")).distinct()
         last = step.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        if hop < depth:  # read again by the next hop and by the result
+            last = stored(last, "hop")
         seen = seen.union(last)
     return seen
 
@@ -86,6 +88,63 @@ def simple_paths(adj: DataFrame, pairs: DataFrame, longest: int, cost: Column |
     return done
 
 
+def least_costs(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """(dst, node, least): the cost of the cheapest way from each node to each of ends (dst); steps: (u, v, w), w >= 0."""
+    best = stored(ends.select("dst", F.col("dst").alias("node"), F.lit(0.0).alias("least"), F.lit(True).alias("fresh")), "costs")
+    while True:
+        step = best.where("fresh").join(steps, F.col("node") == F.col("v"))
+        offers = best.select("dst", "node", "least", F.col("least").alias("had")).union(step.select("dst", "u", F.col("least") + F.col("w"), F.lit(None).cast("double")))
+        offers = offers.groupBy("dst", "node").agg(F.min("least").alias("least"), F.max("had").alias("had"))
+        after = stored(offers.select("dst", "node", "least", F.coalesce(F.col("least") < F.col("had"), F.lit(True)).alias("fresh")), "costs")
+        forget(best)
+        best = after
+        if best.where("fresh").isEmpty():
+            return best.drop("fresh")
+
+
+def _cheapest(steps: DataFrame, rest: DataFrame, start: DataFrame, bound: DataFrame, k: int, beam: bool) -> DataFrame:
+    """The k cheapest loopless paths of each pair whose cost stays within its bound (src, dst, bound).
+
+    A path goes on if its cost and the least rest to the end are within the bound and the cost of the k-th path
+    found. With beam only k of the paths that stand at a node in a round go on, so some are missed, but all is small.
+    """
+    order = Window.partitionBy("src", "dst").orderBy("cost", F.size("path"), "path")
+    last, done = start.where("src <> dst"), start.where("src = dst").select("src", "dst", "path", "cost")
+    limits = bound.select("src", "dst", F.col("bound").alias("limit"))
+    while True:
+        grown = last.join(steps, F.element_at("path", -1) == steps["u"]).where(~F.array_contains("path", F.col("v")))
+        grown = grown.select("src", "dst", F.concat("path", F.array("v")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"), F.col("v").alias("node"))
+        grown = grown.join(rest, ["dst", "node"]).join(limits, ["src", "dst"], "left")
+        grown = grown.where("limit is null or cost + least <= limit * (1 + 1e-9)")
+        if beam:
+            grown = grown.withColumn("place", F.row_number().over(Window.partitionBy("src", "dst", "node").orderBy("cost", "path"))).where(F.col("place") <= k)
+        grown = stored(grown.select("src", "dst", "path", "cost", "node"), "routes")
+        rows, ended = grown.agg(F.count("*"), F.count_if(F.col("node") == F.col("dst"))).first()
+        if not rows:
+            return done
+        if ended:
+            whole = grown.where("node = dst").select("src", "dst", "path", "cost")
+            done = stored(done.union(whole).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place"), "routes")
+            full = done.groupBy("src", "dst").agg(F.max("cost").alias("found"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+            limits = stored(bound.join(full, ["src", "dst"], "full").select("src", "dst", F.least("bound", "found").alias("limit")), "limits")
+        last = grown.where("node <> dst")
+
+
+def cheapest_paths(adj: DataFrame, pairs: DataFrame, k: int, cost: Column) -> DataFrame:
+    """(src, dst, path, cost): the k cheapest loopless paths of each pair (src, dst), of any number of steps.
+
+    Ties go by the number of steps, then by the path. cost: of an adjacency row, not negative. A beam finds k paths of
+    each pair first; their largest cost then bounds the whole search, which misses none.
+    """
+    steps = stored(adj.select("u", "v", cost.cast("double").alias("w")), "steps")
+    rest = least_costs(steps, pairs.select("dst").distinct())
+    start = stored(pairs.select("src", "dst", F.array("src").alias("path"), F.lit(0.0).alias("cost")).distinct(), "routes")
+    none = start.select("src", "dst", F.lit(None).cast("double").alias("bound")).limit(0)
+    soon = _cheapest(steps, rest, start, none, k, True)
+    full = soon.groupBy("src", "dst").agg(F.max("cost").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+    return _cheapest(steps, rest, start, stored(full, "limits"), k, False)
+
+
 def two_hop(adj: DataFrame, mids: DataFrame | None = None) -> DataFrame:
     """(a, b, mid) for a < b that share a neighbour mid and aren't neighbours; mids (mid) restricts the middles."""
     left, right = adj.select(F.col("v").alias("mid"), F.col("u").alias("a")), adj.select(F.col("v").alias("mid"), F.col("u").alias("b"))

@@ -774,7 +774,7 @@ def segment_pressure(s, d):
     FROM half LEFT JOIN p USING (u, v) LEFT JOIN c USING (u, v)),
   seg AS (SELECT u::VARCHAR AS u, v::VARCHAR AS v, km, w FROM m UNION ALL SELECT v::VARCHAR, u::VARCHAR, km, w FROM m),
   walk AS (SELECT src, dst, [src] AS path, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS km FROM (VALUES ('0', '7'), ('3', '15')) t(src, dst)
-    UNION ALL SELECT src, dst, list_append(path, seg.v), cost + w, walk.km + seg.km FROM walk JOIN seg ON seg.u = path[len(path)] WHERE path[len(path)] <> dst AND len(path) <= 7 AND NOT list_contains(path, seg.v)),
+    UNION ALL SELECT src, dst, list_append(path, seg.v), cost + w, walk.km + seg.km FROM walk JOIN seg ON seg.u = path[len(path)] WHERE path[len(path)] <> dst AND NOT list_contains(path, seg.v)),
   best AS (SELECT *, round(greatest(5.0, least(97.0, 100 - (cost / greatest(km, 0.05) - 1) * 26)), 1)::DOUBLE AS score FROM walk WHERE path[len(path)] = dst
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY cost, len(path), path) <= 3),
   placed AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, cost, path)::INTEGER AS rank FROM best)
@@ -786,7 +786,7 @@ def routes(s, d):
     m = stored(m.select(F.col("u").cast("string"), F.col("v").cast("string"), "w", "km"), "segments")
     both = m.union(m.select("v", "u", "w", "km"))
     pairs = s.createDataFrame([("0", "7"), ("3", "15")], "src string, dst string")
-    return places.ranked_routes(graph.simple_paths(both, pairs, 7, F.col("w")), both).select("src", "dst", F.array_join("path", ">").alias("path"), F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), "score", "rank", "recommended")
+    return places.ranked_routes(graph.cheapest_paths(both, pairs, 3, F.col("w")), both).select("src", "dst", F.array_join("path", ">").alias("path"), F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), "score", "rank", "recommended")
 
 
 @query(

@@ -124,3 +124,28 @@ def test_centralities_are_exact_up_to_700_nodes(spark, small, monkeypatch):
     queries.QUERIES["N01_priority"](spark, small)
     n = queries._nodes(spark, small).count()
     assert (asked[0] is None) if n <= 700 else asked[0].count() == 220
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_cheapest_paths(spark, k):
+    """Against all loopless paths of random graphs, with ties, an unreachable end and a pair of one node."""
+    draw = random.Random(k)
+    edges = [(a, b, draw.randint(0, 3)) for a in "abcdefg" for b in "abcdefg" if a < b and draw.random() < 0.5] + [("x", "y", 1)]
+    steps = {}
+    for a, b, w in edges:
+        steps.setdefault(a, []).append((b, w))
+        steps.setdefault(b, []).append((a, w))
+
+    def walks(path, cost, end):
+        if path[-1] == end:
+            yield cost, len(path), list(path)
+        else:
+            for v, w in steps.get(path[-1], ()):
+                if v not in path:
+                    yield from walks((*path, v), cost + w, end)
+
+    pairs = [("a", "g"), ("b", "f"), ("a", "x"), ("c", "c")]
+    adj = spark.createDataFrame([e for a, b, w in edges for e in ((a, b, w), (b, a, w))], "u string, v string, w int")
+    got = graph.cheapest_paths(adj, spark.createDataFrame(pairs, "src string, dst string"), k, F.col("w")).collect()
+    want = [(a, b, path, float(cost)) for a, b in pairs for cost, _, path in sorted(walks((a,), 0, b))[:k]]
+    assert sorted((r.src, r.dst, r.path, r.cost) for r in got) == sorted(want)
