@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, langid, licences, packing, pii, simhash, suffix, telephony, vectors
+from tessera.llm import alignment, bpe, chat, langid, licences, neighbours, packing, pii, ranked, simhash, suffix, telephony, vectors
 from tessera.llm.common import stored
 from tessera.storage import spread
 
@@ -63,6 +63,18 @@ def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony": op1_telephony,
     "op2_simhash": op2_simhash,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_quantised": op10_quantised,
+    "op11_cross_polytope": op11_cross_polytope,
+    "op12_ranked": op12_ranked,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.CHAT_SQL, "op10_quantised": vectors.VECTORS_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.CHAT_SQL, "op10_quantised": vectors.VECTORS_SQL, "op11_cross_polytope": neighbours.NEIGHBOURS_SQL, "op12_ranked": ranked.RANKED_SQL}
