@@ -43,12 +43,14 @@ def first_filled(*columns: Column) -> Column:
 
 
 # fixed values: accepted date formats, in order
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss")
+DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss")
+#: Other forms, after those.
+ISO_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "dd MMM yyyy")
 
 
 def any_date(v: Column) -> Column:
     """The first format that fits; null if none does."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(v), F.lit(f)) for f in DATE_FORMATS))
+    return F.coalesce(*(F.try_to_timestamp(F.trim(v), F.lit(f)) for f in DATE_FORMATS + ISO_FORMATS))
 
 
 def day_label(v: Column, anchor: Column) -> Column:

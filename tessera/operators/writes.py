@@ -34,22 +34,25 @@ def upserted_entities(mentions: DataFrame, known: DataFrame, prefix: str) -> Dat
     return out.select("type", "norm", F.coalesce("old", new).alias("uid"), F.col("old").isNull().alias("created"))
 
 
-#: A row's pairs of columns and the relation between them.
+#: A row's pairs of columns, the kinds of their entities, and the relation between them.
 ROW_RELATIONS = (
-    ("person", "person_b", "ASSOCIATED_WITH"),
-    ("person", "phone", "OWNED"),
-    ("person", "vehicle", "OWNED"),
-    ("person", "location", "VISITED"),
-    ("person", "organization", "WORKED_FOR"),
-    ("person", "amount", "TRANSFERRED_MONEY"),
+    ("person", "person_b", "person", "ASSOCIATED_WITH"),
+    ("person", "phone", "phone", "OWNED"),
+    ("person", "location", "location", "VISITED"),
+    ("person", "organization", "organization", "ASSOCIATED_WITH"),
+    ("person", "vehicle", "vehicle", "OWNED"),
+    ("person", "transaction", "transaction", "TRANSFERRED_MONEY"),
 )
 
 
-def row_edges(rows: DataFrame, status: str = "OBSERVED", confidence: float = 0.9) -> DataFrame:
-    """(src, dst, type, status, confidence) of each filled pair of columns of a row, without loops."""
-    have = [(a, b, t) for a, b, t in ROW_RELATIONS if a in rows.columns and b in rows.columns]
-    edges = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("type")) for a, b, t in have))
-    out = rows.select(F.explode(edges).alias("e")).select("e.*").where("src is not null and dst is not null and src <> dst")
+def row_edges(rows: DataFrame, status: str = "OBSERVED", confidence: float = 0.9, columns: tuple[str, ...] = (), first: str = "ASSOCIATED_WITH") -> DataFrame:
+    """(src_type, src, dst_type, dst, type, status, confidence) and columns of each filled pair of a row, without loops.
+
+    first: the relation between two persons of a row.
+    """
+    have = [(a, b, kind, first if b == "person_b" else t) for a, b, kind, t in ROW_RELATIONS if a in rows.columns and b in rows.columns]
+    edges = F.array(*(F.struct(F.lit("person").alias("src_type"), F.col(a).alias("src"), F.lit(kind).alias("dst_type"), F.col(b).alias("dst"), F.lit(t).alias("type")) for a, b, kind, t in have))
+    out = rows.select(F.explode(edges).alias("e"), *columns).select("e.*", *columns).where("src is not null and dst is not null and src <> dst")
     return out.withColumns({"status": F.lit(status), "confidence": F.lit(confidence)})
 
 

@@ -297,7 +297,7 @@ def linked_status(s, d):
     return M.incidents(s, d).select("incident_id").join(o, "incident_id")
 
 
-@query("P04_row_edges", "SELECT 'c' || o_custkey AS src, 'PRI' || o_orderpriority AS dst, 'WORKED_FOR' AS type, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'c' || o_custkey, o_orderstatus, 'VISITED', count(*) FROM orders GROUP BY ALL")
+@query("P04_row_edges", "SELECT 'c' || o_custkey AS src, 'PRI' || o_orderpriority AS dst, 'ASSOCIATED_WITH' AS type, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'c' || o_custkey, o_orderstatus, 'VISITED', count(*) FROM orders GROUP BY ALL")
 def row_edges(s, d):
     rows = M.table(s, d, "orders").select(M.uid("c", "o_custkey").alias("person"), F.concat(F.lit("PRI"), "o_orderpriority").alias("organization"), F.col("o_orderstatus").alias("location"))
     return writes.row_edges(rows).groupBy("src", "dst", "type").agg(F.count("*").alias("n"))

@@ -182,3 +182,54 @@ SERVICES_SQL = """
   SELECT s_suppkey AS service_id, 28.40::DOUBLE + (s_suppkey * 7919 % 1000) * 0.00035::DOUBLE AS slat,
     76.95::DOUBLE + (s_suppkey * 104729 % 1000) * 0.0005::DOUBLE AS slng FROM supplier
 """
+
+
+#: Names for people and firms in rendered sentences.
+FIRST_NAMES, LAST_NAMES, FIRMS = ("Asha", "Mohan", "Rahul", "Anita", "Vikram", "Meera", "Sunil"), ("Sharma", "Verma", "Gupta", "Nair", "Rao"), ("Shivam", "Orient", "Ganga", "Metro")
+
+
+def _name(k: Column) -> Column:
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    return F.concat_ws(" ", pick(FIRST_NAMES, k), pick(LAST_NAMES, F.floor(k / len(FIRST_NAMES))))
+
+
+def narratives(spark: SparkSession, d: str) -> DataFrame:
+    """(id, person, other, amount, firm, text): a paragraph an order; what each states is known by its kind, id modulo 4.
+
+    The supplied texts state no relations that rules find, so these are rendered from the rows of orders.
+    """
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        k.alias("id"), _name(c).alias("person"), _name(c + k % 34 + 1).alias("other"), F.floor("o_totalprice").cast("string").alias("amount"),
+        F.concat(F.element_at(F.array(*map(F.lit, FIRMS)), (k % len(FIRMS) + 1).cast("int")), F.lit(" Traders")).alias("firm"),
+    )
+    who = F.concat(F.lit("Mr "), "person")
+    kind = F.col("id") % 4
+    text = F.when(kind == 0, F.concat(who, F.lit(" transferred Rs "), "amount", F.lit(" to "), "firm", F.lit(".")))
+    text = text.when(kind == 1, F.concat(who, F.lit(" met Ms "), "other", F.lit(" near the gate.")))
+    text = text.when(kind == 2, F.concat(F.lit("It rained. "), who, F.lit(" called 98"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(" twice.")))
+    return rows.withColumn("text", text.otherwise(F.concat(F.lit("Nothing more is known of Mr "), "person", F.lit("."))))
+
+
+def _name_sql(k: str) -> str:
+    return f"{list(FIRST_NAMES)}[({k}) % {len(FIRST_NAMES)} + 1] || ' ' || {list(LAST_NAMES)}[(({k}) // {len(FIRST_NAMES)}) % {len(LAST_NAMES)} + 1]"
+
+
+def _sure_sql(gap: str, x: float, y: float) -> str:
+    return f"round(least(0.95, 0.55 + 0.35 * greatest(0.4, 1 - ({gap}) / 220.0::DOUBLE)) * ({x} + {y}) / 2, 3)::DOUBLE"
+
+
+NARRATIVE_ROWS_SQL = f"""
+  SELECT o_orderkey AS id, {_name_sql("o_custkey")} AS person, {_name_sql("o_custkey + o_orderkey % 34 + 1")} AS other, floor(o_totalprice)::BIGINT::VARCHAR AS amount,
+    {list(FIRMS)}[o_orderkey % {len(FIRMS)} + 1] || ' Traders' AS firm FROM orders
+"""
+NARRATIVE_TEXT_SQL = """CASE id % 4 WHEN 0 THEN 'Mr ' || person || ' transferred Rs ' || amount || ' to ' || firm || '.' WHEN 1 THEN 'Mr ' || person || ' met Ms ' || other || ' near the gate.'
+  WHEN 2 THEN 'It rained. Mr ' || person || ' called 98' || lpad(id::VARCHAR, 8, '0') || ' twice.' ELSE 'Nothing more is known of Mr ' || person || '.' END"""
+#: What the paragraphs state: (id, source, type, target, confidence, trigger_start).
+NARRATIVE_FACTS_SQL = f"""
+  WITH row AS ({NARRATIVE_ROWS_SQL})
+  SELECT id, person AS source, 'TRANSFERRED_MONEY' AS type, 'Rs ' || amount AS target, {_sure_sql("13", 0.94, 0.94)} AS confidence, length(person) + 4 AS trigger_start FROM row WHERE id % 4 = 0
+  UNION ALL SELECT id, person, 'TRANSFERRED_MONEY', firm, round({_sure_sql("13", 0.94, 0.94)} * 0.97, 3), length(person) + 4 FROM row WHERE id % 4 = 0
+  UNION ALL SELECT id, person, 'MET', other, {_sure_sql("8", 0.94, 0.94)}, length(person) + 4 FROM row WHERE id % 4 = 1
+  UNION ALL SELECT id, person, 'CALLED', '98' || lpad(id::VARCHAR, 8, '0'), {_sure_sql("8", 0.94, 0.96)}, length(person) + 15 FROM row WHERE id % 4 = 2
+"""

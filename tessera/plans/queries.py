@@ -701,10 +701,9 @@ def extracted(s, d):
     return extraction.exploded(found, F.col("spans"), "s", "id").select("id", "s.text", "s.kind", "s.start", "s.stop", "s.confidence")
 
 
-@query("J10_relations")
+@query("J10_relations", f"SELECT id, source, type, target, confidence, trigger_start::INTEGER AS trigger_start, NULL::VARCHAR AS source_uid, NULL::VARCHAR AS target_uid FROM ({M.NARRATIVE_FACTS_SQL})")
 def extracted_relations(s, d):
-    texts = M.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Mr Rahul Sharma of "), F.col("c_mktsegment"), F.lit(" met Anita Verma near the station. Mohan Lal transferred Rs 5,000 to Shivam Traders on 10 January 2024.")).alias("text"))
-    return extraction.relations_in(extraction.entities_in(texts))
+    return extraction.relations_in(extraction.entities_in(spread(M.narratives(s, d).select("id", "text"))))
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:

@@ -76,7 +76,7 @@ def marked_duplicates(s, d):
 @query("H06_synonym_pick", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END, 'c' || c_custkey) AS person FROM customer")
 def synonym_pick(s, d):
     k = F.col("c_custkey")
-    rows = M.table(s, d, "customer").select("c_custkey", F.when(k % 3 == 0, " ").otherwise(F.col("c_name")).alias("person"), F.when(k % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("suspect"), M.uid("c", "c_custkey").alias("caller"))
+    rows = M.table(s, d, "customer").select("c_custkey", F.when(k % 3 == 0, " ").otherwise(F.col("c_name")).alias("person"), F.when(k % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("From Person"), M.uid("c", "c_custkey").alias("caller"))
     return ingestion.named(rows).select("c_custkey", "person")
 
 
@@ -183,9 +183,9 @@ def insert_rows(s, d):
     return M.table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).unionByName(new)
 
 
-@query("P05_narrative_edges")
+@query("P05_narrative_edges", f"SELECT id, source, type, target, 'INFERRED' AS status, confidence FROM ({M.NARRATIVE_FACTS_SQL})")
 def narrative(s, d):
-    return ingestion.narrative_edges(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+    return ingestion.narrative_edges(spread(M.narratives(s, d).select("id", "text")))
 
 
 @query("P09_audit_append", "SELECT 'e' || event_id AS target, upper(event_type) AS action, NULL AS old, NULL AS new FROM events UNION ALL SELECT 'o' || o_orderkey, 'STATUS', 'O', o_orderstatus FROM orders WHERE o_orderstatus <> 'O'")
@@ -235,24 +235,33 @@ def job_list(s, d):
     return docs.groupBy("source").agg(F.count("*").alias("received"), (F.count("digest") - F.count_distinct("digest")).alias("duplicates"), F.count_if("blank").alias("failed"), F.max("doc_id").alias("last")).orderBy(F.desc("last"))
 
 
-UPLOAD = "SELECT o_orderkey AS k, c_name AS person, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE n_name END AS location, o_orderpriority AS organization FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey"
+UPLOAD = "SELECT o_orderkey AS k, c_name AS person, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE n_name END AS location, o_orderpriority AS org, strftime(o_orderdate, '%Y-%m-01') AS date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey"
 
 
 @query(
     "T11_ingestion",
-    f"""WITH u AS ({UPLOAD}), f AS (SELECT DISTINCT person, location, organization FROM u),
-  m AS (SELECT 'person' AS type, lower(person) AS n FROM f UNION SELECT 'location', lower(location) FROM f WHERE location IS NOT NULL UNION SELECT 'organization', lower(organization) FROM f),
-  e AS (SELECT DISTINCT person, 'VISITED' AS t, location AS o FROM f WHERE location IS NOT NULL UNION SELECT DISTINCT person, 'WORKED_FOR', organization FROM f)
-  SELECT 1 AS seq, 'received' AS stage, (SELECT count(*) FROM u) AS n UNION ALL SELECT 2, 'duplicates', (SELECT count(*) FROM u) - (SELECT count(*) FROM f) UNION ALL SELECT 3, 'linked', (SELECT count(*) FROM m)
-  UNION ALL SELECT 4, 'created', (SELECT count(*) FROM m WHERE type <> 'location') UNION ALL SELECT 5, 'row_edges', (SELECT count(*) + count(location) FROM f) UNION ALL SELECT 6, 'edges', (SELECT count(*) FROM e)""",
+    f"""WITH u AS ({UPLOAD}), f AS (SELECT DISTINCT person, location, org, date FROM u),
+  block AS (SELECT {M.NARRATIVE_TEXT_SQL} AS text FROM ({M.NARRATIVE_ROWS_SQL})), fact AS ({M.NARRATIVE_FACTS_SQL}),
+  m AS (SELECT 'person' AS type, lower(person) AS n FROM f UNION SELECT 'location', lower(location) FROM f WHERE location IS NOT NULL UNION SELECT 'organization', lower(org) FROM f
+    UNION SELECT 'person', lower(person) FROM ({M.NARRATIVE_ROWS_SQL}) UNION SELECT CASE WHEN type = 'MET' THEN 'person' WHEN type = 'CALLED' THEN 'phone' WHEN target LIKE 'Rs %' THEN 'transaction' ELSE 'organization' END,
+      CASE WHEN target LIKE 'Rs %' THEN replace(lower(target), ' ', '') ELSE lower(target) END FROM fact),
+  e AS (SELECT DISTINCT person, 'VISITED' AS t, location AS o FROM f WHERE location IS NOT NULL UNION SELECT DISTINCT person, 'ASSOCIATED_WITH', org FROM f
+    UNION SELECT DISTINCT source, type, target FROM fact WHERE source <> target),
+  c AS (SELECT (SELECT count(*) FROM u) + (SELECT count(*) FROM block) AS received, (SELECT count(*) FROM f) + (SELECT count(DISTINCT text) FROM block) AS done,
+    (SELECT count(*) FROM m) AS resolved, (SELECT count(*) FROM m WHERE type <> 'location') AS created, (SELECT count(*) FROM e) AS related)
+  SELECT s.seq, s.stage, 'complete' AS status, CASE s.seq WHEN 1 THEN 0 WHEN 2 THEN received WHEN 3 THEN received WHEN 4 THEN done WHEN 5 THEN received - done WHEN 6 THEN created
+    WHEN 7 THEN resolved WHEN 8 THEN related WHEN 9 THEN done ELSE related END AS n
+  FROM c CROSS JOIN (SELECT unnest(range(1, 11))::INTEGER AS seq, unnest({list(ingestion.STAGES)}) AS stage) s""",
 )
 def ingestion_driver(s, d):
     o, c, n = (M.table(s, d, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations
-    rows = rows.select(F.col("o_orderkey").alias("k"), F.col("c_name").alias("person"), F.when(F.col("o_orderkey") % 4 != 0, F.col("n_name")).alias("location"), F.col("o_orderpriority").alias("organization"))
+    date = F.date_format("o_orderdate", "yyyy-MM-01").alias("date")
+    rows = rows.select(F.col("o_orderkey").alias("k"), F.col("c_name").alias("person"), F.when(F.col("o_orderkey") % 4 != 0, F.col("n_name")).alias("location"), F.col("o_orderpriority").alias("org"), date)
     known = n.select(F.lit("location").alias("type"), X.normal_name(F.col("n_name")).alias("norm"), M.uid("n", "n_nationkey").alias("uid"))
-    none = s.createDataFrame([], "src string, dst string, type string, status string, confidence double")
-    return ingestion.ingested(rows, "k", None, known, none, "JOB-1").stages
+    none = s.createDataFrame([], "src string, dst string, type string")
+    blocks = M.narratives(s, d).select(F.col("id").alias("record_key"), "text")
+    return ingestion.ingested(rows, "k", None, known, none, "JOB-1", blocks=blocks).stages
 
 
 @query("T12_resolution_queue", f"WITH p AS {PAIRS_SQL} SELECT a, b, name_a, name_b, apart::INTEGER AS apart, (SELECT count(*) FROM p WHERE status = 'PENDING') AS total FROM p WHERE status = 'PENDING' ORDER BY same_type DESC, apart, a, b LIMIT 60")
