@@ -6,8 +6,6 @@ without loops. Rounds that go on write their state to the shared folder, so line
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,21 +143,43 @@ def cheapest_paths(adj: DataFrame, pairs: DataFrame, k: int, cost: Column) -> Da
     return _cheapest(steps, rest, start, stored(full, "limits"), k, False)
 
 
-def two_hop(adj: DataFrame, mids: DataFrame | None = None) -> DataFrame:
-    """(a, b, mid) for a < b that share a neighbour mid and aren't neighbours; mids (mid) restricts the middles."""
-    left, right = adj.select(F.col("v").alias("mid"), F.col("u").alias("a")), adj.select(F.col("v").alias("mid"), F.col("u").alias("b"))
-    if mids is not None:
-        left = left.join(mids, "mid", "left_semi")
-    pairs = left.join(right, "mid").where("a < b")
-    linked = adj.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return pairs.join(linked, ["a", "b"], "left_anti").select("a", "b", "mid")
+#: Neighbours of a middle that meet as one block; a middle with more is cut into blocks, and each pair of them is a row of its own.
+BLOCK = 512
+
 
+def pair_sums(adj: DataFrame, ends: DataFrame | None = None, values: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, shared, ...) for a < b that share neighbours and aren't neighbours, with sums over the shared ones.
 
-def adamic_adar(adj: DataFrame, triples: DataFrame) -> DataFrame:
-    """(a, b, shared, score) of triples (a, b, mid): the sum of 1 / ln(degree) over shared neighbours of degree over 1."""
+    ends: adjacency rows whose u may be a or b (all by default). values: (mid, ...) numbers of each middle that counts;
+    their sums follow under the same names. A hub's neighbours are dealt to blocks by hash, and its pairs of blocks to
+    tasks, so no task holds all pairs round a hub; a task adds up its pairs before they are shuffled.
+    """
+    own = (adj if ends is None else ends).select(F.col("v").alias("mid"), "u")
+    names = [] if values is None else [c for c in values.columns if c != "mid"]
+    mids = own.groupBy("mid").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    if values is not None:
+        mids = mids.join(values, "mid")
+    mids = stored(mids, "middles")
+    dealt = own.join(mids.select("mid", "blocks"), "mid").groupBy("mid", F.pmod(F.xxhash64("u"), "blocks").cast("int").alias("i")).agg(F.sort_array(F.collect_list("u")).alias("us"))
+    dealt = stored(dealt, "blocks")
+    within = dealt.join(mids, "mid").select("us", *names, F.posexplode("us").alias("at", "a")).select("a", F.explode(F.slice("us", F.col("at") + 2, F.size("us"))).alias("b"), *names)
+    two = mids.where("blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
+    two = two.join(dealt.withColumnRenamed("us", "xs"), ["mid", "i"]).join(dealt.withColumnsRenamed({"i": "j", "us": "ys"}), ["mid", "j"])
+    across = two.select("ys", *names, F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"), *names)
+    pairs = within.union(across.select(F.least("x", "y"), F.greatest("x", "y"), *names))
+    sums = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.sum(c).alias(c) for c in names))
+    return sums.join(adj.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+
+
+def rarity(degree: str = "degree") -> Column:
+    """What a shared neighbour of that degree counts: 1 / ln(degree), nothing up to degree 1."""
+    return F.when(F.col(degree) > 1, 1 / F.log(F.col(degree))).otherwise(0.0)
+
+
+def adamic_adar(adj: DataFrame) -> DataFrame:
+    """(a, b, shared, score) of pairs that aren't linked: the sum of 1 / ln(degree) over shared neighbours."""
     degree = adj.groupBy(F.col("u").alias("mid")).agg(F.count("*").alias("degree"))
-    weight = F.when(F.col("degree") > 1, 1 / F.log(F.col("degree"))).otherwise(0.0)
-    return triples.join(degree, "mid").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(weight).alias("score"))
+    return pair_sums(adj, values=degree.select("mid", rarity().alias("score")))
 
 
 def pivots(nodes: DataFrame, k: int) -> DataFrame:
@@ -176,103 +196,135 @@ def centrality_sources(nodes: DataFrame) -> DataFrame | None:
     return None if nodes.limit(EXACT_NODES + 1).count() <= EXACT_NODES else pivots(nodes, CENTRALITY_PIVOTS)
 
 
-#: Adjacency rows up to which a graph is sent whole to every task that searches from sources; larger ones go by rounds.
-WHOLE_GRAPH = 2_000_000
-
-
-class Compact:
-    """A graph of checked size as arrays: names, and the neighbours of node i at near[first[i]:first[i + 1]]."""
-
-    def __init__(self, adj: pd.DataFrame):
-        self.names, flat = np.unique(np.concatenate([adj["u"].to_numpy(str), adj["v"].to_numpy(str)]), return_inverse=True)
-        u, v = flat[: len(adj)], flat[len(adj) :]
-        order = np.lexsort((v, u))
-        self.near = v[order]
-        self.first = np.searchsorted(u[order], np.arange(len(self.names) + 1))
-
-    def _edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.first[nodes + 1] - self.first[nodes]
-        at = np.repeat(self.first[nodes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(nodes, n), self.near[at]
-
-    def search(self, source: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distances from a source (-1: not reached), and each node's dependency on it."""
-        size, start = len(self.names), int(np.searchsorted(self.names, source))
-        distance, paths, depend = np.full(size, -1), np.zeros(size), np.zeros(size)
-        distance[start], paths[start], level, levels = 0, 1.0, np.array([start]), []
-        while len(level):
-            levels.append(level)
-            a, b = self._edges(level)
-            distance[b[distance[b] < 0]] = len(levels)
-            down = distance[b] == len(levels)
-            paths += np.bincount(b[down], weights=paths[a[down]], minlength=size)
-            level = np.unique(b[down])
-        for level in reversed(levels[:-1]):
-            a, b = self._edges(level)
-            down = distance[b] == distance[a] + 1
-            a, b = a[down], b[down]
-            depend += np.bincount(a, weights=paths[a] / paths[b] * (1 + depend[b]), minlength=size)
-        depend[start] = 0
-        return distance, depend
-
-
-def _searched(adj: DataFrame, sources: DataFrame) -> DataFrame:
-    """(uid, delta, r, d): sums over sources of dependencies, of nodes that reach them, and of distances; small graphs."""
-    spark = adj.sparkSession
-    reachable(spark)
-    shared = spark.sparkContext.broadcast(Compact(adj.select("u", "v").toPandas()))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        delta, r, d = (np.zeros(len(g.names)) for _ in range(3))
-        for b in batches:
-            for source in b["uid"]:
-                distance, depend = g.search(source)
-                reached = distance > 0
-                delta += depend
-                r += reached
-                d += np.where(reached, distance, 0)
-        some = np.flatnonzero(r)
-        yield pd.DataFrame({"uid": g.names[some], "delta": delta[some], "r": r[some], "d": d[some]})
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = sources.select("uid").repartition(n, "uid").mapInPandas(work, "uid string, delta double, r double, d double")
-    return parts.groupBy("uid").agg(F.sum("delta").alias("delta"), F.sum("r").alias("r"), F.sum("d").alias("d"))
-
-
-def _by_rounds(adj: DataFrame, sources: DataFrame) -> DataFrame:
-    """The same sums for graphs of any size, level by level."""
-    level = stored(sources.select(F.col("uid").alias("source"), F.col("uid").alias("node"), F.lit(1.0).alias("paths")), "level")
-    levels = [level]
+#: Sources that are searched together, as the bits of a number.
+WIDTH = 64
+
+
+def _numbered(adj: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uid, id) of the linked nodes, (u, v) by id, and the linked sources as (block, node, slot)."""
+    names = stored(numbered(adj.select(F.col("u").alias("uid")).distinct(), [F.col("uid")], "id"), "names")
+    by = lambda c: names.select(F.col("uid").alias(c), F.col("id").alias(f"{c}_id"))
+    steps = stored(adj.select("u", "v").join(by("u"), "u").join(by("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v")), "steps")
+    own = numbered(sources.select("uid").distinct().join(names, "uid"), [F.col("id")], "turn")
+    turn = F.col("turn") - 1
+    return names, steps, stored(own.select(F.floor(turn / WIDTH).alias("block"), F.col("id").alias("node"), F.pmod(turn, F.lit(WIDTH)).cast("int").alias("slot")), "sources")
+
+
+#: Adjacency rows of a graph that a task may hold to search from its share of the sources; larger ones go level by level.
+WHOLE_GRAPH = 200_000
+
+
+def _near(steps: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and the neighbours of node i (by place) at near[first[i]:first[i + 1]]."""
+    ids, flat = np.unique(steps[["u", "v"]].to_numpy().T, return_inverse=True)
+    u, v = flat.reshape(2, -1)
+    order = np.argsort(u, kind="stable")
+    return ids, v[order], np.searchsorted(u[order], np.arange(len(ids) + 1))
+
+
+def _search(near: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances from a node (-1: not reached), and each node's dependency on it."""
+    size = len(first) - 1
+    distance, paths, depend = np.full(size, -1), np.zeros(size), np.zeros(size)
+    distance[start], paths[start], level, steps = 0, 1.0, np.array([start]), []
+    while len(level):
+        n = first[level + 1] - first[level]
+        a, b = np.repeat(level, n), near[np.repeat(first[level] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        distance[b[distance[b] < 0]] = len(steps) + 1
+        down = distance[b] == len(steps) + 1
+        steps.append((a[down], b[down]))
+        paths += np.bincount(b[down], weights=paths[a[down]], minlength=size)
+        level = np.unique(b[down])
+    for a, b in reversed(steps):
+        depend += np.bincount(a, weights=paths[a] / paths[b] * (1 + depend[b]), minlength=size)
+    depend[start] = 0
+    return distance, depend
+
+
+def _shared_search(key: tuple, sources: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    ids, near, first = _near(steps)
+    delta, r, d = (np.zeros(len(ids)) for _ in range(3))
+    for start in np.searchsorted(ids, sources["node"].to_numpy()):
+        distance, depend = _search(near, first, start)
+        delta, r, d = delta + depend, r + (distance > 0), d + np.maximum(distance, 0)
+    return pd.DataFrame({"node": ids, "delta": delta, "r": r, "d": d})
+
+
+def _small_sums(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(uid, delta, r, d) of a graph of at most WHOLE_GRAPH rows: the shuffle deals a copy of it to each share of the sources."""
+    reachable(adj.sparkSession)
+    shares = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, steps, own = _numbered(adj, sources)
+    own = own.select(F.pmod(F.col("block") * WIDTH + F.col("slot"), F.lit(shares)).alias("share"), "node")
+    copies = steps.withColumn("share", F.explode(F.expr(f"sequence(0L, {shares - 1}L)")))
+    rows = own.groupBy("share").cogroup(copies.groupBy("share")).applyInPandas(_shared_search, "node long, delta double, r double, d double")
+    sums = rows.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("delta", "r", "d"))).where("r > 0")
+    return sums.join(names, F.col("node") == F.col("id")).select("uid", "delta", "r", "d")
+
+
+def _is_small(adj: DataFrame, whole: int) -> bool:
+    return adj.limit(whole + 1).count() <= whole
+
+
+def reach_sums(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(uid, r, d): how many sources reach a node, and the sum of their distances, 64 sources a row.
+
+    A level is (block, node, bits); neighbours take the bits of those before them, but for the ones that they had.
+    """
+    names, steps, own = _numbered(adj, sources)
+    last = stored(own.select("block", "node", F.expr("shiftleft(1L, slot)").alias("bits")), "level")
+    before, parts, hop = None, [], 0
     while True:
-        step = level.join(adj, level["node"] == adj["u"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        hop += 1
+        seen = last if before is None else last.union(before)  # a neighbour lies one level before, in the same level, or after
+        step = last.join(steps, last["node"] == steps["u"]).select("block", F.col("v").alias("node"), "bits", F.lit(0).cast("long").alias("had"))
+        step = step.union(seen.select("block", "node", F.lit(0).cast("long"), "bits")).groupBy("block", "node").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        level = stored(step.select("block", "node", F.col("bits").bitwiseAND(F.bitwise_not("had")).alias("bits")).where("bits <> 0"), "level")
+        if level.isEmpty():
+            break
+        parts.append(level.select("node", F.bit_count("bits").alias("r"), F.lit(hop).alias("hop")))
+        before, last = last, level
+    if not parts:
+        return names.select("uid", F.lit(0.0).alias("r"), F.lit(0.0).alias("d")).limit(0)
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.union(more)
+    sums = rows.groupBy("node").agg(F.sum("r").cast("double").alias("r"), F.sum(F.col("r") * F.col("hop")).cast("double").alias("d"))
+    return sums.join(names, F.col("node") == F.col("id")).select("uid", "r", "d")
+
+
+def dependency_sums(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(uid, delta): the sum of a node's dependencies over the sources.
+
+    Forwards, a level is (source, node, paths), the number of shortest paths; backwards, each node's share goes to the
+    neighbours one level nearer. A step is a join with the steps and one grouped sum, in which the rows of the
+    level that it meets (or of those that it must not go back to) take part, so each level is shuffled once.
+    """
+    names, steps, own = _numbered(adj, sources)
+    levels = [stored(own.select((F.col("block") * WIDTH + F.col("slot")).alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
+    while True:
+        step = levels[-1].join(steps, levels[-1]["node"] == steps["u"]).select("source", F.col("v").alias("node"), "paths", F.lit(False).alias("had"))
         for back in levels[-2:]:  # a neighbour lies one level before, in the same level, or after
-            step = step.join(back.select("source", "node"), ["source", "node"], "left_anti")
-        level = stored(step, "level")
+            step = step.union(back.select("source", "node", F.lit(0.0), F.lit(True)))
+        step = step.groupBy("source", "node").agg(F.sum("paths").alias("paths"), F.max("had").alias("had"))
+        level = stored(step.where("not had").drop("had"), "level")
         if level.isEmpty():
             forget(level)
             break
         levels.append(level)
     below, parts = None, None
-    for hop, level in reversed(list(enumerate(levels))[1:]):
-        done = level.withColumn("delta", F.lit(0.0))
+    for level in reversed(levels[1:]):
+        own = level.select("source", "node", "paths", F.lit(0.0).alias("share"))
         if below is not None:
-            back = below.select("source", ((1 + F.col("delta")) / F.col("paths")).alias("share"), F.col("node").alias("from"))
-            back = back.join(adj, back["from"] == adj["u"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("share").alias("share"))
-            done = level.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-        below = stored(done, "delta")
-        part = below.groupBy(F.col("node").alias("uid")).agg(F.sum("delta").alias("delta"), F.count("*").cast("double").alias("r"), (F.count("*") * hop).cast("double").alias("d"))
+            shares = below.select("source", "node", ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+            shares = shares.join(steps, shares["node"] == steps["u"]).select("source", F.col("v").alias("node"), F.lit(None).cast("double").alias("paths"), "share")
+            own = own.union(shares).groupBy("source", "node").agg(F.max("paths").alias("paths"), F.sum("share").alias("share")).where("paths is not null")
+        below = stored(own.select("source", "node", "paths", (F.col("paths") * F.col("share")).alias("delta")), "delta")
+        part = below.select("node", "delta")
         parts = part if parts is None else parts.union(part)
     if parts is None:
-        return sources.select("uid", *(F.lit(0.0).alias(c) for c in ("delta", "r", "d"))).limit(0)
-    return parts.groupBy("uid").agg(F.sum("delta").alias("delta"), F.sum("r").alias("r"), F.sum("d").alias("d"))
-
-
-def _sums(nodes: DataFrame, adj: DataFrame, sources: DataFrame | None, whole: int) -> DataFrame:
-    small = adj.limit(whole + 1).count() <= whole
-    linked = adj.select(F.col("u").alias("uid")).distinct()
-    chosen = (nodes if sources is None else sources).select("uid").join(linked, "uid", "left_semi")
-    return (_searched if small else _by_rounds)(adj, chosen)
+        return names.select("uid", F.lit(0.0).alias("delta")).limit(0)
+    return parts.groupBy("node").agg(F.sum("delta").alias("delta")).join(names, F.col("node") == F.col("id")).select("uid", "delta")
 
 
 def betweenness(nodes: DataFrame, adj: DataFrame, sources: DataFrame | None = None, whole: int = WHOLE_GRAPH) -> DataFrame:
@@ -280,14 +332,14 @@ def betweenness(nodes: DataFrame, adj: DataFrame, sources: DataFrame | None = No
     n = nodes.count()
     k = n if sources is None else sources.count()
     scale = (n / max(k, 1)) / 2 * (2 / ((n - 1) * (n - 2)) if n > 2 else 1)
-    sums = _sums(nodes, adj, sources, whole)
+    sums = (_small_sums if _is_small(adj, whole) else dependency_sums)(adj, nodes if sources is None else sources)
     return nodes.select("uid").join(sums, "uid", "left").select("uid", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def closeness(nodes: DataFrame, adj: DataFrame, sources: DataFrame | None = None, whole: int = WHOLE_GRAPH) -> DataFrame:
     """(uid, closeness): reached over the sum of distances, times reached over all others (or over the sources)."""
     denominator = nodes.count() - 1 if sources is None else sources.count()
-    sums = _sums(nodes, adj, sources, whole)
+    sums = (_small_sums if _is_small(adj, whole) else reach_sums)(adj, nodes if sources is None else sources)
     value = (F.col("r") / F.col("d")) * (F.col("r") / F.lit(max(denominator, 1)))
     return nodes.select("uid").join(sums, "uid", "left").select("uid", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
@@ -301,49 +353,84 @@ def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
     return by.agg((F.sum("inside") / two_m - F.sum(F.pow("total", F.lit(2))) / (two_m * two_m)).alias("modularity"))
 
 
-def _moved(adj: DataFrame, labels: DataFrame, two_m: float, turn: int) -> DataFrame:
-    """Labels after half of the nodes have gone where modularity gains most."""
-    other = labels.select(F.col("node").alias("v"), F.col("community").alias("to"))
-    own = labels.select(F.col("node").alias("u"), F.col("community").alias("own"))
-    weight = adj.groupBy("u").agg(F.sum("n").alias("k"))
-    link = adj.where("u <> v").join(other, "v").groupBy("u", "to").agg(F.sum("n").alias("link"))
-    node = own.join(weight, "u")
-    totals = node.groupBy(F.col("own").alias("to")).agg(F.sum("k").alias("total"))
-    stay = node.select("u", F.col("own").alias("to"), F.lit(0).cast("double").alias("link"))
-    options = link.select("u", "to", F.col("link").cast("double")).union(stay).groupBy("u", "to").agg(F.sum("link").alias("link"))
-    options = options.join(node, "u").join(totals, "to")
-    rest = F.col("total") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(0)
-    gain = F.col("link") - F.col("k") * rest / two_m
-    best = options.withColumn("gain", gain).groupBy("u").agg(
-        F.max(F.struct("gain", F.col("to").alias("to"))).alias("best"),
-        F.max(F.when(F.col("to") == F.col("own"), F.col("gain"))).alias("now"),
-        F.first("own").alias("own"),
-    )
-    go = (F.col("best")["gain"] > F.col("now") + 1e-12) & (F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0)
-    return best.select(F.col("u").alias("node"), F.when(go, F.col("best")["to"]).otherwise(F.col("own")).alias("community"))
-
-
-def modularity_communities(adj: DataFrame, rounds: int = 8, levels: int = 2) -> DataFrame:
-    """(node, community) by distributed local moving for modularity, on nodes and then on communities.
-
-    In a round half of the nodes, by hash, move together to the neighbouring community of the largest gain, so two
-    nodes seldom swap. The sequential multi-level search visits one node after the other in one process; its
-    results differ in detail, and it can't be split over machines.
+#: Levels and rounds a level at most, the least gain of modularity that goes on, and of a node's move.
+LEVELS, ROUNDS, LEAST_GAIN, LEAST_MOVE = 10, 200, 1e-9, 1e-12
+
+
+def moves(adj: DataFrame, labels: DataFrame, two_m: float, turn: int) -> DataFrame:
+    """(node, to, gain, some, single) of nodes that may move at once; labels: (node, community, k), adj: (u, v, n).
+
+    A node wants the neighbouring community of the largest gain. Of wants, those go whose number drawn for this turn is larger than
+    all their wanting neighbours', so movers have no common edge. Their gains then add up but for what movers to (or
+    from) the same community do to its total: some marks moves whose gain covers half of that for all of them, so
+    they can't lower modularity together; single marks the best move to and from each community, whose gains add up exactly.
+    """
+    totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
+    own = labels.join(totals, "community").select(F.col("node").alias("u"), F.col("community").alias("own"), "k", F.col("total").alias("own_total"))
+    link = adj.where("u <> v").join(labels.select(F.col("node").alias("v"), F.col("community").alias("to")), "v").groupBy("u", "to").agg(F.sum("n").alias("link"))
+    option = link.join(own, "u").join(totals.select(F.col("community").alias("to"), F.col("total").alias("to_total")), "to")
+    here = F.col("to") == F.col("own")
+    value = F.col("link") - F.col("k") * F.col("to_total") / two_m
+    best = option.groupBy("u").agg(
+        F.max(F.when(~here, F.struct(value.alias("value"), "to"))).alias("best"), F.coalesce(F.max(F.when(here, F.col("link"))), F.lit(0)).alias("stay"),
+        F.first("own").alias("own"), F.first("k").alias("k"), F.first("own_total").alias("own_total"),
+    )
+    gain = F.col("best.value") - (F.col("stay") - F.col("k") * (F.col("own_total") - F.col("k")) / two_m)
+    wants = best.select("u", "own", "k", F.col("best.to").alias("to"), gain.alias("gain"), F.xxhash64("u", F.lit(turn)).alias("drawn")).where(F.col("gain") > LEAST_MOVE)
+    wants = stored(wants, "wants")
+    rival = wants.select(F.col("u").alias("v"), F.col("drawn").alias("other"))
+    beaten = adj.where("u <> v").join(wants.select("u", "drawn"), "u").join(rival, "v").where("other > drawn or other = drawn and v > u").select("u").distinct()
+    going = stored(wants.join(beaten, "u", "left_anti").drop("drawn"), "going")
+    first = F.max(F.struct("gain", "u"))
+    arriving = going.groupBy("to").agg(F.sum("k").alias("arriving"), first.alias("first_to"))
+    leaving = going.groupBy("own").agg(F.sum("k").alias("leaving"), first.alias("first_from"))
+    both = going.join(arriving, "to").join(leaving, "own")
+    shared = F.col("k") * (F.col("arriving") + F.col("leaving") - 2 * F.col("k")) / 2 / two_m
+    single = (F.col("first_to.u") == F.col("u")) & (F.col("first_from.u") == F.col("u"))
+    return both.select(F.col("u").alias("node"), "to", "gain", (F.col("gain") >= shared).alias("some"), single.alias("single"))
+
+
+def local_moving(adj: DataFrame, two_m: float) -> DataFrame:
+    """(node, community, k) after rounds of moves from one community a node, until none gains; modularity never falls."""
+    weight = adj.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("k"))
+    labels = stored(weight.select("node", F.col("node").alias("community"), "k"), "labels")
+    for turn in range(ROUNDS):
+        found = stored(moves(adj, labels, two_m, turn), "moves")
+        some, single = found.agg(F.coalesce(F.sum(F.when(F.col("some"), F.col("gain"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("single"), F.col("gain"))), F.lit(0.0))).first()
+        if 2 * max(some, single) / two_m <= LEAST_GAIN:
+            break
+        chosen = found.where("some" if some >= single else "single").select("node", "to")
+        after = stored(labels.join(chosen, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"), "labels")
+        forget(labels, found)
+        labels = after
+    return labels
+
+
+def modularity_communities(adj: DataFrame) -> DataFrame:
+    """(node, community) by distributed local moving on nodes, then on communities, until modularity gains no more.
+
+    In place of a sequential visit of one node after another, many nodes without a common edge move at once (moves()).
+    A level merges each community into one node; up to LEVELS, and it ends when nothing merges or the gain is under LEAST_GAIN.
     """
     graph = stored(adj, "communities")
     two_m = graph.agg(F.sum("n")).first()[0]
-    names = graph.select(F.col("u").alias("node")).distinct()
-    result = stored(names.select("node", F.col("node").alias("community")), "communities")
+    result = stored(graph.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("community")), "communities")
     if not two_m:
         return result
-    for level in range(levels):
-        labels = stored(graph.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("community")), "communities")
-        for turn in range(rounds):
-            labels = stored(_moved(graph, labels, float(two_m), level * rounds + turn), "communities")
+    before = float("-inf")
+    for _ in range(LEVELS):
+        labels = local_moving(graph, float(two_m))
         up = labels.select(F.col("node").alias("community"), F.col("community").alias("top"))
-        result = stored(result.join(up, "community").select("node", F.col("top").alias("community")), "communities")
+        merged = stored(result.join(up, "community").select("node", F.col("top").alias("community")), "communities")
+        size, communities = labels.agg(F.count("*"), F.count_distinct("community")).first()
         a, b = labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), labels.select(F.col("node").alias("v"), F.col("community").alias("cv"))
         graph = stored(graph.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("n").alias("n")), "communities")
+        own = graph.groupBy("u").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("u") == F.col("v"), F.col("n")).otherwise(0)).alias("inside"))
+        now = own.agg(F.sum("inside") / two_m - F.sum(F.pow(F.col("total") / two_m, F.lit(2)))).first()[0]
+        result = merged
+        if communities == size or now <= before + LEAST_GAIN:
+            break
+        before = now
     return result
 
 

@@ -35,8 +35,8 @@ def findings(incidents: DataFrame, vehicle: Column, device: Column, place: Colum
     return shared_vehicle(incidents, vehicle).union(shared_device(incidents, device)).union(concentration(incidents, place)).union(common_subject(incidents, subject))
 
 
-def repeated_encounters(events: DataFrame, linked: DataFrame, least: float = 0.55) -> DataFrame:
-    """Events (uid, location, at) to pairs that met again and again though they aren't linked (a, b).
+def repeated_encounters(events: DataFrame, linked: DataFrame | Column, least: float = 0.55) -> DataFrame:
+    """Events (uid, location, at) to pairs that met again and again though they aren't linked: rows (a, b), or a rule over a and b.
 
     A slot is a location and day, counted once. Escalating: the later half of the slots took less time than the
     earlier half. Confidence: .28 + .14 a location + .09 a day + .08 if escalating, at most .90.
@@ -44,7 +44,11 @@ def repeated_encounters(events: DataFrame, linked: DataFrame, least: float = 0.5
     slots = events.select("uid", "location", F.to_date("seen_at").alias("day"), F.col("seen_at").alias("time")).groupBy("uid", "location", "day").agg(F.min("time").alias("time"))
     a = slots.select(F.col("uid").alias("a"), "location", "day", F.col("time").alias("ta"))
     b = slots.select(F.col("uid").alias("b"), "location", "day", F.col("time").alias("tb"))
-    met = a.join(b, ["location", "day"]).where("a < b").join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    met = a.join(b, ["location", "day"]).where("a < b")
+    if isinstance(linked, Column):
+        met = met.where(~linked)
+    else:
+        met = met.join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     met = met.select("a", "b", "location", "day", F.unix_seconds(F.least("ta", "tb").cast("timestamp")).alias("time"))
     grouped = met.groupBy("a", "b").agg(
         F.count("*").alias("slots"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo
 from tessera.operators import graph
 from tessera.operators.ranking import percentile_rank
+from tessera.storage import stored
 
 # fixed values: weights of the priority factors
 PRIORITY_WEIGHTS = {"degree": 0.24, "betweenness": 0.20, "interactions": 0.16, "money": 0.14, "cases": 0.12, "recency": 0.08, "locations": 0.06}
@@ -16,18 +17,21 @@ PRIORITY_WEIGHTS = {"degree": 0.24, "betweenness": 0.20, "interactions": 0.16, "
 def endpoint_activity(relations: DataFrame, as_of: str, days: int = 45) -> DataFrame:
     """By entity at either end of relations that aren't rejected: counts, money, recent share, evidence."""
     live = relations.where("status <> 'REJECTED'")
-    ends = live.select("rid", "type", "amount", "seen_at", F.explode(F.array(F.struct(F.col("src").alias("uid"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("uid"), F.col("src").alias("other")))).alias("end")).select("rid", "type", "amount", "seen_at", "end.*")
     money = F.col("type") == "TRANSFERRED_MONEY"
     recent = F.col("seen_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
-    n = F.count("*")
-    share = F.when(n >= 2, F.count_if(recent) / n).when(n == 1, 0.2).otherwise(0.0)
-    return ends.groupBy("uid").agg(
+    row = live.select("src", "dst", "rid", money.alias("money"), F.when(money, F.col("amount")).otherwise(0.0).alias("paid"), recent.alias("recent"))
+    ends = row.withColumn("end", F.explode(F.array(F.struct(F.col("src").alias("uid"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("uid"), F.col("src").alias("other")))))
+    # by pair first: the number of others is then a count of rows
+    pair = ends.groupBy("end.uid", "end.other").agg(F.count("*").alias("n"), F.count_if("money").alias("payments"), F.sum("paid").alias("paid"), F.count_if("recent").alias("recent"), F.min("rid").alias("first_rid"))
+    n = F.sum("n")
+    share = F.when(n >= 2, F.sum("recent") / n).when(n == 1, 0.2).otherwise(0.0)
+    return pair.groupBy("uid").agg(
         n.alias("interactions"),
-        F.count_if(money).alias("payments"),
-        F.sum(F.when(money, F.col("amount")).otherwise(0.0)).alias("paid"),
-        F.count_distinct("other").alias("others"),
+        F.sum("payments").alias("payments"),
+        F.sum("paid").alias("paid"),
+        F.count("*").alias("others"),
         share.alias("recency"),
-        F.min("rid").alias("first_rid"),
+        F.min("first_rid").alias("first_rid"),
     )
 
 
@@ -36,8 +40,7 @@ def priority(entities: DataFrame, relations: DataFrame, cases: DataFrame, locati
 
     cases: (uid, case_id) open ones; locations: (uid, location). sources: pivots for an estimated betweenness.
     """
-    live = graph.project(entities, relations)
-    adj, nodes = graph.adjacency(live), entities.where("active").select("uid")
+    adj, nodes = stored(graph.adjacency(graph.project(entities, relations)), "adjacency"), entities.where("active").select("uid")
     degree = graph.degrees(nodes, adj)
     between = graph.betweenness(nodes, adj, sources)
     activity = endpoint_activity(relations, as_of)
@@ -68,22 +71,15 @@ def priority(entities: DataFrame, relations: DataFrame, cases: DataFrame, locati
 
 def hidden_links(entities: DataFrame, relations: DataFrame, least: float = 0.35, kinds: tuple[str, ...] = ("person", "organization")) -> DataFrame:
     """(a, b, shared, score, confidence): pairs that aren't linked but share neighbours, with the shared kinds weighed."""
-    live = graph.project(entities, relations)
-    adj = graph.adjacency(live)
+    adj = stored(graph.adjacency(graph.project(entities, relations)), "adjacency")
     kind = entities.select("uid", "type")
     wanted = kind.where(F.col("type").isin(*kinds)).select(F.col("uid").alias("u"))
-    ends = adj.join(wanted, "u", "left_semi")
-    left, right = ends.select(F.col("v").alias("mid"), F.col("u").alias("a")), ends.select(F.col("v").alias("mid"), F.col("u").alias("b"))
-    pairs = left.join(right, "mid").where("a < b").join(adj.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
     degree = adj.groupBy(F.col("u").alias("mid")).agg(F.count("*").alias("degree"))
-    of = pairs.join(degree, "mid").join(kind.withColumnRenamed("uid", "mid"), "mid")
-    grouped = of.groupBy("a", "b").agg(
-        F.count("*").alias("shared"),
-        F.sum(F.when(F.col("degree") > 1, 1 / F.log(F.col("degree"))).otherwise(0.0)).alias("score"),
-        F.count_if(F.col("type").isin("person", "organization")).alias("people"),
-        F.count_if(F.col("type").isin("transaction", "bank_account")).alias("financial"),
-        F.count_if(F.col("type") == "location").alias("places"),
-    )
+    one = lambda *types: F.col("type").isin(*types).cast("int")
+    middles = degree.join(kind.withColumnRenamed("uid", "mid"), "mid").select(
+        "mid", graph.rarity().alias("score"), one("person", "organization").alias("people"), one("transaction", "bank_account").alias("financial"), one("location").alias("places"),
+    )
+    grouped = graph.pair_sums(adj, adj.join(wanted, "u", "left_semi"), middles)
     cap = lambda c, k: F.least(F.lit(1.0), F.col(c) / k)
     confidence = F.least(F.lit(0.92), 0.30 * cap("score", 2) + 0.24 * cap("people", 2) + 0.18 * cap("financial", 2) + 0.12 * cap("places", 2) + 0.16 * cap("shared", 4))
     return grouped.withColumn("confidence", confidence).where(F.col("confidence") >= least).select("a", "b", "shared", "score", "confidence")

@@ -105,6 +105,12 @@ def _top(adj: DataFrame, k: int) -> DataFrame:
     return adj.groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "uid").limit(k).select("uid")
 
 
+def _hub_pairs(adj: DataFrame, k: int) -> DataFrame:
+    """(src, dst) of the k entities of the highest degree, each pair once."""
+    h = stored(_top(adj, k), "hubs")
+    return h.select(F.col("uid").alias("src")).join(h.select(F.col("uid").alias("dst")), F.col("src") < F.col("dst"))
+
+
 def _all_live(s: SparkSession, d: str) -> DataFrame:
     return graph.project(M.all_entities(s, d), M.all_relations(s, d))
 
@@ -299,7 +305,7 @@ def blocking_pairs(s, d):
 
 @query("C19_two_hop", f"WITH {LIVE} SELECT x.u AS a, y.u AS b, count(*) AS shared FROM adj x JOIN adj y ON x.v = y.v AND x.u < y.u WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.u = x.u AND z.v = y.u) GROUP BY 1, 2")
 def two_hop_pairs(s, d):
-    return graph.two_hop(_adj(s, d)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return graph.pair_sums(_adj(s, d))
 
 
 @query(
@@ -574,7 +580,8 @@ def emails(s, d):
   SELECT start, node, min(hop)::INTEGER AS hop FROM walk GROUP BY start, node""",
 )
 def k_hop(s, d):
-    return graph.k_hop(_adj(s, d), _hubs(s, d, 5).withColumnRenamed("uid", "start"), 3)
+    adj = _adj(s, d)
+    return graph.k_hop(adj, _top(adj, 5).withColumnRenamed("uid", "start"), 3)
 
 
 @query(
@@ -584,14 +591,14 @@ def k_hop(s, d):
   SELECT src, dst, array_to_string(path, '>') AS path FROM walk WHERE path[len(path)] = dst""",
 )
 def simple_paths(s, d):
-    h = _hubs(s, d, 6)
-    pairs = h.select(F.col("uid").alias("src")).join(h.select(F.col("uid").alias("dst")), F.col("src") < F.col("dst"))
-    return graph.simple_paths(_adj(s, d), pairs, 4).select("src", "dst", F.array_join("path", ">").alias("path"))
+    adj = _adj(s, d)
+    return graph.simple_paths(adj, _hub_pairs(adj, 6), 4).select("src", "dst", F.array_join("path", ">").alias("path"))
 
 
 @query("I05_common_neighbours", f"WITH {LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 40) SELECT x.u AS a, y.u AS b, x.v AS shared FROM adj x JOIN adj y ON x.v = y.v AND x.u < y.u WHERE x.u IN (SELECT u FROM hub) AND y.u IN (SELECT u FROM hub)")
 def common_neighbours(s, d):
-    ends = _adj(s, d).join(_hubs(s, d, 40).withColumnRenamed("uid", "u"), "u", "left_semi")
+    adj = _adj(s, d)
+    ends = adj.join(_top(adj, 40).withColumnRenamed("uid", "u"), "u", "left_semi")
     return ends.select(F.col("v").alias("shared"), F.col("u").alias("a")).join(ends.select(F.col("v").alias("shared"), F.col("u").alias("b")), "shared").where("a < b").select("a", "b", "shared")
 
 
@@ -664,8 +671,7 @@ def modularity(s, d):
     f"WITH {LIVE} SELECT x.u AS a, y.u AS b, count(*) AS shared, round(sum(CASE WHEN degree > 1 THEN 1 / ln(degree) ELSE 0 END), 6) AS score FROM adj x JOIN adj y ON x.v = y.v AND x.u < y.u JOIN deg ON deg.u = x.v WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.u = x.u AND z.v = y.u) GROUP BY 1, 2",
 )
 def adamic_adar(s, d):
-    adj = _adj(s, d)
-    return graph.adamic_adar(adj, graph.two_hop(adj)).select("a", "b", "shared", F.round("score", 6).alias("score"))
+    return graph.adamic_adar(_adj(s, d)).select("a", "b", "shared", F.round("score", 6).alias("score"))
 
 
 @query("I18_neighbourhood", f"WITH RECURSIVE {ALL_LIVE}, hub AS (SELECT u FROM deg ORDER BY degree DESC, u LIMIT 1), walk AS (SELECT u AS node, 0 AS hop FROM hub UNION SELECT adj.v, hop + 1 FROM walk JOIN adj ON adj.u = node WHERE hop < 2) SELECT rid, src, dst, status FROM live WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
@@ -685,10 +691,8 @@ def neighbourhood(s, d):
   SELECT src, dst, hop, a, b, rid, status, bool_and(status = 'OBSERVED') OVER (PARTITION BY src, dst) AS all_observed FROM hop JOIN best ON x = least(a, b) AND y = greatest(a, b)""",
 )
 def explained_path(s, d):
-    h = _hubs(s, d, 6)
-    pairs = h.select(F.col("uid").alias("src")).join(h.select(F.col("uid").alias("dst")), F.col("src") < F.col("dst"))
-    live = _live(s, d)
-    return graph.explained(live, graph.shortest_paths(graph.adjacency(live), pairs, 6))
+    adj = _adj(s, d)
+    return graph.explained(_live(s, d), graph.shortest_paths(adj, _hub_pairs(adj, 6), 6))
 
 
 # ---- text and resolution
@@ -811,8 +815,7 @@ def findings(s, d):
 )
 def repeated_encounters(s, d):
     i = M.incidents(s, d).where(F.col("priority").isin("HIGH", "CRITICAL"))
-    people = i.select("subject").distinct().withColumn("g", F.col("subject") % 10)
-    linked = people.select("g", F.col("subject").alias("a")).join(people.select("g", F.col("subject").alias("b")), "g").where("a < b").select("a", "b")
+    linked = (F.col("a") % 10) == (F.col("b") % 10)
     return patterns.repeated_encounters(i.select(F.col("subject").alias("uid"), F.col("zone_id").alias("location"), "seen_at"), linked, 0.0).select("a", "b", "slots", "locations", "days")
 
 

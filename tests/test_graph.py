@@ -66,6 +66,7 @@ def test_bridged_graph(spark):
     between = {r.uid: r.betweenness for r in graph.betweenness(nodes, adj).collect()}
     assert max(between, key=between.get) in "cd"
     labels = graph.modularity_communities(adj)
+    assert {frozenset(r.n) for r in labels.groupBy("community").agg(F.collect_set("node").alias("n")).collect()} >= {frozenset("abc")}
     assert labels.select("community").distinct().count() >= 2
     assert graph.modularity(adj, labels).first()[0] > 0.2
     found = components(adj.select("u", "v").toDF("src", "dst"))
@@ -149,3 +150,77 @@ def test_cheapest_paths(spark, k):
     got = graph.cheapest_paths(adj, spark.createDataFrame(pairs, "src string, dst string"), k, F.col("w")).collect()
     want = [(a, b, path, float(cost)) for a, b in pairs for cost, _, path in sorted(walks((a,), 0, b))[:k]]
     assert sorted((r.src, r.dst, r.path, r.cost) for r in got) == sorted(want)
+
+
+def plain_modularity(edges, label):
+    degree, inside = {}, 0
+    for a, b in edges:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        inside += label[a] == label[b]
+    total = {}
+    for n, k in degree.items():
+        total[label[n]] = total.get(label[n], 0) + k
+    return inside / len(edges) - sum((t / (2 * len(edges))) ** 2 for t in total.values())
+
+
+def visited_one_by_one(edges):
+    """The modularity that single visits of nodes in order reach, each going where the whole modularity is highest."""
+    nodes = sorted({n for e in edges for n in e})
+    label = {n: n for n in nodes}
+    moved = True
+    while moved:
+        moved = False
+        for n in nodes:
+            options = {label[b if a == n else a] for a, b in edges if n in (a, b)}
+            value = lambda c: plain_modularity(edges, label | {n: c})  # noqa: E731, B023
+            best = max(sorted(options), key=value)
+            if value(best) > value(label[n]) + 1e-12:
+                label[n], moved = best, True
+    return plain_modularity(edges, label)
+
+
+def planted(seed, groups=4, size=6):
+    draw = random.Random(seed)
+    names = [f"{g}{i}" for g in range(groups) for i in range(size)]
+    return [(a, b) for a in names for b in names if a < b and draw.random() < (0.7 if a[0] == b[0] else 0.06)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_communities_gain_in_every_round(spark, seed, monkeypatch):
+    edges = planted(seed)
+    _, adj = frames(spark, edges)
+    seen, inner = [], graph.moves
+
+    def watched(adj_, labels, two_m, turn):
+        seen.append((turn, adj_, labels))
+        return inner(adj_, labels, two_m, turn)
+
+    kept = []
+    monkeypatch.setattr(graph, "moves", watched)
+    monkeypatch.setattr(graph, "forget", lambda *t: kept.extend(t))
+    labels = {r.node: r.community for r in graph.modularity_communities(adj).collect()}
+    values = [graph.modularity(a, x).first()[0] for _, a, x in seen]
+    for (turn, *_), before, now in zip(seen[1:], values, values[1:]):
+        assert now >= before - 1e-12 or turn == 0 and now == pytest.approx(before)
+    assert plain_modularity(edges, labels) == pytest.approx(max(values))
+    assert plain_modularity(edges, labels) >= visited_one_by_one(edges) - 1e-9
+
+
+def test_communities_without_edges(spark):
+    assert graph.modularity_communities(spark.createDataFrame([], "u string, v string, n long")).collect() == []
+
+
+def test_pairs_round_a_hub_are_dealt_in_blocks(spark):
+    """A planted hub beside a random graph: blocks of 8 give what a plain join gives, and no block is much larger."""
+    draw = random.Random(3)
+    edges = [("hub", f"n{i}") for i in range(300)] + [tuple(draw.sample([f"n{i}" for i in range(60)], 2)) for _ in range(80)]
+    _, adj = frames(spark, edges)
+    own = adj.select(F.col("v").alias("mid"), F.col("u"))
+    degree = adj.groupBy(F.col("u").alias("mid")).agg(F.count("*").alias("degree"))
+    plain = own.withColumnRenamed("u", "a").join(own.withColumnRenamed("u", "b"), "mid").where("a < b").join(adj.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    want = plain.join(degree, "mid").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("degree").alias("degree"))
+    for block in (8, 512):
+        got = graph.pair_sums(adj, values=degree, block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    blocks = own.where("mid = 'hub'").groupBy(F.pmod(F.xxhash64("u"), F.lit(38))).count()
+    assert blocks.agg(F.max("count")).first()[0] <= 24 and blocks.count() > 30
