@@ -182,11 +182,12 @@ class Predictor:
 def train(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang); only its bounded counts reach the driver."""
     arrow_limits(labelled.sparkSession)
-    usable = labelled.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("by"), "lang", "text")
-    bound = usable.select("by").orderBy("by").limit(TRAIN_DOCS).agg(F.max("by")).first()[0]
-    if bound is None:
+    usable = labelled.where("text is not null and lang is not null").select(F.struct(F.xxhash64("doc_id"), F.xxhash64("text")).alias("by"), "lang", "text")
+    bound = usable.select("by").distinct().orderBy("by").limit(TRAIN_DOCS).agg(F.max("by").alias("most"))
+    # equal rows count once, so at most TRAIN_DOCS are learned from, also of rows that share an id or have none
+    sample = usable.join(F.broadcast(bound), F.col("by") <= F.col("most")).groupBy("by").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).select("lang", "text")  # one row
+    if sample.isEmpty():
         return Model(count_rows([]), [])
-    sample = usable.where(F.col("by") <= bound).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     counts = stored(counts, "language_counts")
     totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()]

@@ -23,7 +23,8 @@ their sample at the same offset, which is what a difference cover is for; about
 The first name is a hash modulo 2**64, the second one of two prime moduli with bases of their own (62 bits);
 repeats agree in both. Null texts count as empty. Texts under WINDOW bytes keep all; very long texts are worked
 on in slices of SLICE windows. Of equal texts the smallest doc_id keeps its own. Rows that repeat a doc_id and
-its text are one document, and all are returned; rows without doc_id are kept whole. An empty table gives an
+its text are one document, and all are returned; different texts with one doc_id are documents of their own, the
+smaller hash first; rows without doc_id are kept whole. An empty table gives an
 empty result. Other columns may have any name.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, mix, numbers, plain_names, schema_of, stored, text_or_empty
+from tessera.operators.ranking import numbered
 
 WINDOW, NAME = 100, 37
 SPAN = WINDOW - NAME + 1
@@ -396,11 +398,25 @@ def kept_spans(size: int, low: list[int], high: list[int]) -> list[tuple[int, in
     return [*out, (at, size)] if at < size else out
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """Documents with place, a number for each distinct (doc_id, text) in order of doc_id: doc_id itself where that tells texts apart.
+
+    Of different texts with one doc_id, that of the smaller hash counts as earlier.
+    """
+    pair = F.xxhash64(text_or_empty(docs))
+    pairs = docs.where("doc_id is not null").select("doc_id", pair.alias("digest")).distinct()
+    if pairs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("place", F.col("doc_id"))
+    own = numbered(pairs, [F.col("doc_id"), F.col("digest")], "place").toDF("own_id", "own_digest", "place")
+    joined = docs.join(own, (docs["doc_id"] == own["own_id"]) & (pair == own["own_digest"]), "left")
+    return joined.select(*(docs[c] for c in docs.columns), own["place"])
+
+
 def _with_ranges(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, with arrays low and high of their ranges at the end."""
+    """The columns of documents with a place, with arrays low and high of their ranges at the end."""
     found = stored(found, "ranges")
     found = found.groupBy(F.col("doc_id").alias("range_doc")).agg(F.collect_list("low").alias("range_low"), F.collect_list("high").alias("range_high"))
-    joined = docs.join(found, docs["doc_id"] == found["range_doc"], "left")
+    joined = docs.join(found, docs["place"] == found["range_doc"], "left")
     return joined.select(*(docs[c] for c in columns), found["range_low"], found["range_high"])
 
 
@@ -418,8 +434,9 @@ def suffix_digest(docs: DataFrame, heavy: int = HEAVY, local: int = LOCAL) -> Da
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = docs.select("doc_id", F.encode(text_or_empty(docs), "utf-8").alias("data"))
-    rows = _with_ranges(texts, repeated_ranges(docs, heavy, local), ["doc_id", "data"])
+    docs = placed(docs.select("doc_id", "text"))
+    texts = docs.select("doc_id", "place", F.encode(text_or_empty(docs), "utf-8").alias("data"))
+    rows = _with_ranges(texts, repeated_ranges(docs.select(F.col("place").alias("doc_id"), "text"), heavy, local), ["doc_id", "data"])
     return rows.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -450,7 +467,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     names, docs = docs.columns, plain_names(docs, "doc_id", "text", "n_chars")
     others = [c for c in docs.columns if c != "text"]
-    out = _with_ranges(docs, repeated_ranges(docs), ["text", *others]).mapInArrow(work, schema_of(docs, ["text", *others]))
+    known = placed(docs)
+    found = repeated_ranges(known.select(F.col("place").alias("doc_id"), "text"))
+    out = _with_ranges(known, found, ["text", *others]).mapInArrow(work, schema_of(docs, ["text", *others]))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))

@@ -328,7 +328,7 @@ def vector_components(table: DataFrame, threshold: float = THRESHOLD, probes: in
 VECTORS_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
-link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * a.size * b.size),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0 AND isfinite(a.size) AND isfinite(b.size) AND list_dot_product(a.e, b.e) >= 0.9 * a.size * b.size),
 reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
 SELECT r.x AS vec_id, (SELECT count(*) FROM link WHERE link.x = r.x) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
 FROM reach r GROUP BY r.x

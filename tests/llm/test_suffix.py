@@ -87,3 +87,20 @@ def test_removed_text_is_whole_characters(spark):
     table = spark.createDataFrame([(1, a, 100, "s"), (2, b, 82, "s"), (3, None, None, "s"), (4, a, 100, "s")], "doc_id long, text string, n_chars long, source string")
     got = {r.doc_id: (r.text, r.n_chars) for r in X.remove_repeats(table).collect()}
     assert got == {1: (a, 100), 2: ("üß", 2), 3: (None, None)}
+
+
+def test_one_id_with_different_texts(spark):
+    """Places are told apart by text, so passages that they share with each other and with other documents go once."""
+    rng = random.Random(9)
+    passage = ["".join(rng.choices("abcdefg ", k=260)) for _ in range(3)]
+    rows = [(1, passage[0] + "one"), (2, "x" + passage[0] + passage[1]), (2, passage[1] + "y" * 40), (2, None), (3, passage[2] + passage[1]), (3, "short"), (3, passage[2]), (3, passage[2]), (None, passage[0])]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    hashes = {(r.doc_id, r.text): r.h for r in table.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h").collect()}
+    distinct = sorted({(i, hashes[i, t], (t or "").encode()) for i, t in rows if i is not None})
+    want = plain([((i, h), b) for i, h, b in distinct])
+    got = X.suffix_digest(table).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None} == {(i, *v) for (i, _), v in want.items()}
+    kept = X.remove_repeats(table).collect()
+    assert all(r.n_chars == len(r.text or "") for r in kept) and passage[0] in {r.text for r in kept if r.doc_id is None}
+    assert sum((r.text or "").count(passage[1][100:-100]) for r in kept if r.doc_id is not None) == 1

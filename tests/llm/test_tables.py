@@ -241,3 +241,14 @@ def test_pipeline(spark, small):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, pieces.collect()))
     for f in frames[1:]:
         f.unpersist()
+
+
+def test_vectors_sql_links_no_zero_or_nan(spark):
+    """The SQL and the operator agree on vectors that link with nothing."""
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, -1.0]), (6, [0.0, 0.0])]
+    db = duckdb.connect()
+    db.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows]), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    want = db.execute(vectors.VECTORS_SQL).fetchall()
+    got = vectors.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r[0] for r in want if r[1]} == {1, 2}

@@ -243,3 +243,21 @@ def test_planted_values_are_found_and_nothing_else():
         new = re.fullmatch(form, text).groups()
         assert all(a != value for a, (_, value) in zip(new, planted))
         assert p.replaced(text, back=True)[0] == " ".join(parts)
+
+
+def test_learned_rows_are_bounded_without_ids(spark, monkeypatch):
+    """Rows without doc_id, with one doc_id and equal rows: at most TRAIN_DOCS different ones are learned from."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 30)
+    rows = [(None, f"uno dos tres palabra{i}", "es") for i in range(100)] + [(7, f"one two three word{i}", "en") for i in range(100)] + [(8, "der die das", "de")] * 100
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned, inner = [], langid.Model
+
+    def watched(counts, totals):
+        learned.append(counts)
+        return inner(counts, totals)
+
+    monkeypatch.setattr(langid, "Model", watched)
+    langid.train(table)
+    grams = {g for g in learned[0].column("gram").to_pylist() if g.startswith(("palabra", "word")) and any(c.isdigit() for c in g)}
+    assert len({g for g in grams if g[-1].isdigit()}) <= 30
+    assert langid.train(table.limit(0)).langs == []
