@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.components import components
+from tessera.storage import stored
 
 # fixed values: weights of the factors; strength of an identifier; those that only one person has
 WEIGHTS = {"name": 0.26, "abbreviation": 0.14, "phonetic": 0.05, "identifiers": 0.33, "neighbours": 0.14, "cases": 0.08}
@@ -92,24 +94,34 @@ def proposals(records: DataFrame, decided: DataFrame | None = None, least: float
 
 
 def merged(entities: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Entities (uid, name, aliases, active) after accepted pairs (a, b): the longer name survives, the other is inactive.
+    """Entities (uid, name, aliases, active, alias_of) after accepted pairs (a, b), also where pairs make chains.
 
-    An entity in several pairs goes by its most recent survivor in order of ids; aliases carry over once.
+    Of all that accepted pairs connect, the longest name survives (ties: the smallest uid); the others are inactive,
+    point to it, and leave it their names and aliases.
     """
-    left, right = entities.alias("l"), entities.alias("r")
-    j = accepted.join(left, F.col("a") == F.col("l.uid")).join(right, F.col("b") == F.col("r.uid"))
-    keep_a = F.length("l.name") >= F.length("r.name")
-    own = j.select(
-        F.when(keep_a, F.col("a")).otherwise(F.col("b")).alias("kept"),
-        F.when(keep_a, F.col("b")).otherwise(F.col("a")).alias("gone"),
-        F.when(keep_a, F.concat(F.array("r.name"), F.col("r.aliases"))).otherwise(F.concat(F.array("l.name"), F.col("l.aliases"))).alias("names"),
-    )
-    more = own.groupBy(F.col("kept").alias("uid")).agg(F.flatten(F.collect_list("names")).alias("more"))
-    gone = own.groupBy(F.col("gone").alias("uid")).agg(F.max("kept").alias("alias_of"))
-    out = entities.join(more, "uid", "left").join(gone, "uid", "left")
-    names = F.concat("aliases", F.coalesce("more", F.array().cast("array<string>")))
-    fresh = F.filter(F.array_distinct(names), lambda n: T.normal_name(n) != T.normal_name(F.col("name")))
-    return out.select("uid", "name", F.array_sort(fresh).alias("aliases"), (F.col("active") & F.col("alias_of").isNull()).alias("active"), "alias_of")
+    known = entities.select("uid")
+    pairs = accepted.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(known.withColumnRenamed("uid", "src"), "src", "left_semi").join(known.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+    group = stored(components(pairs), "merged")
+    own = entities.join(group, F.col("uid") == F.col("node"))
+    names = F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))))
+    survivor = F.min(F.struct((-F.length("name")).alias("size"), "uid"))
+    groups = own.groupBy("component").agg(names.alias("names"), survivor.alias("kept")).select("component", "names", F.col("kept.uid").alias("kept"))
+    out = entities.join(group.join(groups, "component").select(F.col("node").alias("uid"), "names", "kept"), "uid", "left")
+    alias_of = F.when(F.col("kept") != F.col("uid"), F.col("kept"))
+    more = F.when(F.col("kept") == F.col("uid"), F.col("names")).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), more))
+    fresh = F.filter(every, lambda n: T.normal_name(n) != T.normal_name(F.col("name")))
+    return out.select("uid", "name", F.array_sort(fresh).alias("aliases"), (F.col("active") & alias_of.isNull()).alias("active"), alias_of.alias("alias_of"))
+
+
+def rewritten(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges (src, dst, type, status) with absorbed ends given to their survivors of merged(), once and without loops, and alias_of edges."""
+    gone = entities.where("alias_of is not null").select("uid", "alias_of")
+    out = edges.select("src", "dst", "type", "status")
+    for end in ("src", "dst"):
+        out = out.join(gone.toDF(end, "survivor"), end, "left").withColumn(end, F.coalesce("survivor", end)).drop("survivor")
+    own = gone.select(F.col("alias_of").alias("src"), F.col("uid").alias("dst"), F.lit("alias_of").alias("type"), F.lit("VALIDATED").alias("status"))
+    return out.where("src <> dst").dropDuplicates(["src", "dst", "type"]).unionByName(own)
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import text as X
-from tessera.operators import places, writes
+from tessera.operators import places, resolution, writes
 from tessera.plans import model as M
 from tessera.storage import spread
 from tessera.plans.queries import ALL_ENT, ALL_LIVE, ALL_REL, ENT, INC, ORACLE_SQL, QUERIES, REL, SRV, ZON, _all_adj, _all_live, _all_nodes, dist, query
@@ -177,6 +177,23 @@ def raised_alerts(s, d):
     return places.nearest(points, zones, "incident_id", "near_zone").join(calls, "incident_id", "left").select("incident_id", "near_zone", F.lit("NEW").alias("status"), "contacts")
 
 
+MERGE_ENTITIES = "SELECT 'c' || c_custkey AS uid, c_mktsegment || ' ' || c_custkey AS name, CASE WHEN c_custkey % 10 IN (1, 2, 3) THEN c_custkey // 10 END AS grp FROM customer"
+
+
+@query(
+    "K14_merged",
+    f"""WITH e AS ({MERGE_ENTITIES}), s AS (SELECT grp, count(*) AS n, first(uid ORDER BY length(name) DESC, uid) AS kept FROM e WHERE grp IS NOT NULL GROUP BY grp HAVING count(*) > 1)
+  SELECT uid, coalesce(uid = kept, TRUE) AS active, CASE WHEN uid <> kept THEN kept END AS alias_of, CASE WHEN uid = kept THEN n - 1 ELSE 0 END::INTEGER AS n_aliases FROM e LEFT JOIN s ON s.grp = e.grp""",
+)
+def merged_chains(s, d):
+    """Chains of two accepted pairs (k, k + 1), (k + 1, k + 2): one entity of each three stays."""
+    k = F.col("c_custkey")
+    c = M.table(s, d, "customer")
+    entities = c.select(M.uid("c", "c_custkey").alias("uid"), F.concat_ws(" ", "c_mktsegment", k.cast("string")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active"))
+    accepted = c.where(k % 10 <= 2).where(k % 10 >= 1).select(M.uid("c", "c_custkey").alias("a"), F.concat(F.lit("c"), (k + 1).cast("string")).alias("b"))
+    return resolution.merged(entities, accepted).select("uid", "active", "alias_of", F.size("aliases").alias("n_aliases"))
+
+
 @query("P01_insert", "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT -s_suppkey, s_name FROM supplier")
 def insert_rows(s, d):
     new = M.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("k"), F.col("s_name").alias("name"))

@@ -78,6 +78,13 @@ def test_resolution(spark):
     assert [(p.a, p.b) for p in resolution.proposals(r, decided).collect()] == []
     ent = spark.createDataFrame([("a", "Rahul Sharma", ["Raju"], True), ("b", "R. Sharma", ["Rahul Sharma"], True)], "uid string, name string, aliases array<string>, active boolean")
     merged = {m.uid: m for m in resolution.merged(ent, spark.createDataFrame([("a", "b")], "a string, b string")).collect()}
+    chain = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("x", "y", 3)], "src string, dst string, n int").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    three = spark.createDataFrame([("a", "Jo", ["J"], True), ("b", "Joseph K", None, True), ("c", "Joe K", ["J", "K."], True), ("d", "Else", None, True)], "uid string, name string, aliases array<string>, active boolean")
+    after = resolution.merged(three, chain)
+    got = {r.uid: (r.active, r.alias_of, r.aliases) for r in after.collect()}
+    assert got == {"a": (False, "b", ["J"]), "b": (True, None, ["J", "Jo", "Joe K", "K."]), "c": (False, "b", ["J", "K."]), "d": (True, None, [])}
+    links = spark.createDataFrame([("a", "d", "MET", "OBSERVED"), ("c", "d", "MET", "OBSERVED"), ("a", "c", "MET", "OBSERVED")], "src string, dst string, type string, status string")
+    assert {tuple(r) for r in resolution.rewritten(links, after).collect()} == {("b", "d", "MET", "OBSERVED"), ("b", "a", "alias_of", "VALIDATED"), ("b", "c", "alias_of", "VALIDATED")}
     assert merged["a"].aliases == ["R. Sharma", "Raju"] and not merged["b"].active and merged["b"].alias_of == "a"
 
 
