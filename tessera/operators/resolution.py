@@ -119,7 +119,7 @@ def rewritten(edges: DataFrame, entities: DataFrame) -> DataFrame:
     gone = entities.where("alias_of is not null").select("uid", "alias_of")
     out = edges.select("src", "dst", "type", "status")
     for end in ("src", "dst"):
-        out = out.join(gone.toDF(end, "survivor"), end, "left").withColumn(end, F.coalesce("survivor", end)).drop("survivor")
+        out = out.join(gone.toDF(end, "survivor"), end, "left").withColumn(end, F.coalesce("survivor", end)).select("src", "dst", "type", "status")
     own = gone.select(F.col("alias_of").alias("src"), F.col("uid").alias("dst"), F.lit("alias_of").alias("type"), F.lit("VALIDATED").alias("status"))
     return out.where("src <> dst").dropDuplicates(["src", "dst", "type"]).unionByName(own)
 
