@@ -15,7 +15,7 @@ IDENTIFIERS = {"id_proof": 0.80, "device_id": 0.78, "vehicle": 0.75, "phone": 0.
 EXCLUSIVE = ("id_proof", "device_id")
 BLOCKED = ("phone", "vehicle", "id_proof", "email", "device_id")
 STRONG, LIKE_NAMES = 0.65, 0.72
-LARGEST_BLOCK, THRESHOLD = 60, 0.55
+LARGEST_BLOCK, LARGEST_QUEUE, THRESHOLD = 60, 60, 0.55
 
 
 def blocking_keys(records: DataFrame) -> DataFrame:
@@ -45,6 +45,75 @@ def candidate_pairs(records: DataFrame, largest: int = LARGEST_BLOCK) -> DataFra
     return a.join(b, ["type", "key"]).where("a < b").select("a", "b").distinct()
 
 
+def person_records(persons: DataFrame, edges: DataFrame, held: DataFrame) -> DataFrame:
+    """Persons (uid, name, aliases, attributes, cases) as records, with the first phone and vehicle that each is linked to.
+
+    edges: (uid, neighbour, at); held: (neighbour, kind, value) of phones and vehicles. The smallest (at, neighbour) comes
+    first; an attribute that a person has of its own stays; a vehicle's value loses blanks and dashes.
+    """
+    first = edges.join(held, "neighbour").groupBy("uid", "kind").agg(F.min_by("value", F.struct("at", "neighbour")).alias("value"))
+    value = F.when(F.col("kind") == "vehicle", F.regexp_replace("value", "[ -]", "")).otherwise(F.col("value"))
+    one = first.groupBy("uid").agg(*(F.max(F.when(F.col("kind") == k, value)).alias(f"_{k}") for k in ("phone", "vehicle")))
+    out = persons.join(one, "uid", "left").withColumn("type", F.lit("person"))
+    has = lambda k: F.coalesce(F.map_contains_key("attributes", k), F.lit(False))
+    pairs = [F.when(F.col(f"_{k}").isNotNull() & ~has(k), F.struct(F.lit(k).alias("key"), F.col(f"_{k}").alias("value"))) for k in ("phone", "vehicle")]
+    more = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e.isNotNull()))
+    own = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
+    return out.select("uid", "type", "name", "aliases", F.map_concat(own, more).alias("attributes"), "cases")
+
+
+def _ends(surface: Column) -> Column:
+    """The last part of a name as abbreviations see it."""
+    return F.try_element_at(F.filter(F.split(F.lower(F.regexp_replace(surface, r"\.", " ")), r"\s+"), lambda w: w != ""), F.lit(-1))
+
+
+def neighbours_of(records: DataFrame) -> DataFrame:
+    """(uid, neighbour) of records that list their neighbours."""
+    return records.select("uid", F.explode("neighbours").alias("neighbour")).distinct()
+
+
+def exact_pairs(records: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(a, b) for a < b of one type that share a blocking key, of a block of any size, and can reach THRESHOLD.
+
+    By the weights a pair without an identifier reaches it only with a common neighbour and an abbreviation (without
+    one 0.53 at most). One with a single weak identifier (address, dob) needs one of them (0.5385 at most). So each
+    such pair agrees in one of these: a strong identifier; both weak ones; a weak one and a neighbour; a weak one
+    or a neighbour, and how names end. Abbreviations end in one word, or one of the two in its initial.
+    """
+    edges = neighbours_of(records) if edges is None else edges
+    value = lambda k: F.nullif(F.lower(F.trim(F.col("attributes")[k])), F.lit(""))
+    weak = [k for k, s in IDENTIFIERS.items() if s < STRONG]
+    tag = lambda *parts: F.to_json(F.array(*parts))
+    ends = F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), _ends), lambda e: e.isNotNull()))
+    r = stored(records.select("uid", "type", ends.alias("ends"), *(value(k).alias(k) for k in IDENTIFIERS)), "resolved")
+    filled = lambda *names: F.lit(True) if not names else F.col(names[0]).isNotNull() & filled(*names[1:])
+    whole = [F.when(filled(k), tag(F.lit(k), F.col(k))) for k in IDENTIFIERS if k not in weak] + [F.when(filled(*weak), tag(F.lit("weak"), *map(F.col, weak)))]
+    each_weak = F.filter(F.array(*(F.when(filled(k), tag(F.lit(k), F.col(k))) for k in weak)), lambda x: x.isNotNull())
+    near = edges.join(r, "uid").select("uid", "type", "ends", each_weak.alias("weak"), tag(F.lit("near"), F.col("neighbour")).alias("part"))
+    plain = r.select("uid", "type", F.explode(F.array(*whole)).alias("key"))
+    plain = plain.union(near.select("uid", "type", F.explode(F.transform("weak", lambda w: F.concat(w, F.col("part"))))))
+    by_end = r.select("uid", "type", "ends", F.explode(each_weak).alias("part")).union(near.select("uid", "type", "ends", "part"))
+    by_end = by_end.select("uid", "type", "part", F.explode("ends").alias("end"))
+    ended = by_end.select("uid", "type", F.concat("part", F.lit("="), "end").alias("key"))
+    plain, ended = stored(plain.where("key is not null").distinct(), "evidence"), stored(ended.distinct(), "ended")
+    meet = lambda x, y, on: x.withColumnRenamed("uid", "a").join(y.withColumnRenamed("uid", "b"), on)
+    same = lambda x: meet(x, x, ["type", "key"]).where("a < b").select("a", "b")
+    led = stored(by_end.withColumn("first", F.substring("end", 1, 1)).distinct(), "endings")
+    short = meet(led.where("length(end) = 1").select("uid", "type", "part", "first"), led.where("length(end) > 1").select("uid", "type", "part", "first"), ["type", "part", "first"])
+    unsure = same(ended).union(short.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")))
+    pairs = same(plain).withColumn("sure", F.lit(True)).union(unsure.withColumn("sure", F.lit(False))).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    keys = blocking_keys(records).groupBy("uid").agg(F.collect_set("key").alias("keys"))  # a few for each surface
+    own = stored(records.select("uid", "name", "aliases").join(keys, "uid"), "keys")
+    both = pairs.join(own.alias("ra"), F.col("a") == F.col("ra.uid")).join(own.alias("rb"), F.col("b") == F.col("rb.uid"))
+    return both.where(F.arrays_overlap("ra.keys", "rb.keys")).where(F.col("sure") | _short()).select("a", "b")
+
+
+def common_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, n_common): how many neighbours a pair shares; pairs that share none are absent. No neighbour set is gathered."""
+    a, b = edges.select(F.col("uid").alias("a"), "neighbour"), edges.select(F.col("uid").alias("b"), "neighbour")
+    return pairs.select("a", "b").join(a, "a").join(b, ["b", "neighbour"]).groupBy("a", "b").agg(F.count("*").alias("n_common"))
+
+
 def _surfaces(alias: str) -> Column:
     return F.array_distinct(F.transform(F.concat(F.array(F.col(f"{alias}.name")), F.coalesce(F.col(f"{alias}.aliases"), F.array().cast("array<string>"))), lambda s: F.lower(s)))
 
@@ -53,12 +122,19 @@ def _pairwise(a: Column, b: Column, f) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
 
 
-def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, score, factors) of pairs; records also have aliases, neighbours and cases (arrays of ids)."""
-    j = pairs.join(records.alias("ra"), F.col("a") == F.col("ra.uid")).join(records.alias("rb"), F.col("b") == F.col("rb.uid"))
+def _short() -> Column:
+    """Whether a surface of ra can stand for one of rb, or the other way round."""
+    return F.exists(_pairwise(_surfaces("ra"), _surfaces("rb"), lambda x, y: T.is_abbreviation(x, y) | T.is_abbreviation(y, x)), lambda v: v)
+
+
+def score_pairs(records: DataFrame, pairs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, factors) of pairs; records also have aliases and cases (arrays), and neighbours unless edges
+    (uid, neighbour; distinct rows) are given."""
+    edges = neighbours_of(records) if edges is None else edges
+    j = pairs.join(common_neighbours(pairs, edges), ["a", "b"], "left").join(records.alias("ra"), F.col("a") == F.col("ra.uid")).join(records.alias("rb"), F.col("b") == F.col("rb.uid"))
     sa, sb = _surfaces("ra"), _surfaces("rb")
     name = F.array_max(_pairwise(sa, sb, lambda x, y: F.greatest(T.jaro_winkler(x, y), T.edit_ratio(x, y))))
-    short = F.exists(_pairwise(sa, sb, lambda x, y: T.is_abbreviation(x, y) | T.is_abbreviation(y, x)), lambda v: v)
+    short = _short()
     last = lambda r: F.coalesce(T.sound(F.try_element_at(T.words(F.col(f"{r}.name")), F.lit(-1))), F.lit(""))
     phonetic = (last("ra") != "") & (last("ra") == last("rb"))
     norm = lambda r, k: F.lower(F.trim(F.coalesce(F.col(f"{r}.attributes")[k], F.lit(""))))
@@ -66,7 +142,7 @@ def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = F.filter(F.array(*hit), lambda h: h.isNotNull())
     empty = F.array().cast("array<string>")
     common = lambda c: F.size(F.array_intersect(F.coalesce(F.col(f"ra.{c}"), empty), F.coalesce(F.col(f"rb.{c}"), empty)))
-    out = j.select("a", "b", name.alias("name"), short.alias("short"), phonetic.alias("phonetic"), shared.alias("shared"), common("neighbours").alias("neighbours"), common("cases").alias("cases"))
+    out = j.select("a", "b", name.alias("name"), short.alias("short"), phonetic.alias("phonetic"), shared.alias("shared"), F.coalesce("n_common", F.lit(0)).cast("int").alias("neighbours"), common("cases").alias("cases"))
     n = F.size("shared")
     identifiers = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.array_max(F.transform("shared", lambda s: s["strength"])) + 0.06 * (n - 1)))
     values = {"name": F.col("name"), "abbreviation": F.col("short").cast("double"), "phonetic": F.col("phonetic").cast("double"), "identifiers": identifiers, "neighbours": F.least(F.lit(1.0), F.col("neighbours") / 3), "cases": F.least(F.lit(1.0), F.col("cases") / 2)}
@@ -85,12 +161,46 @@ def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", F.round(F.least(F.lit(0.99), capped), 4).alias("score"), "factors")
 
 
-def proposals(records: DataFrame, decided: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """Scored candidates of at least the threshold that nobody has decided on."""
-    pairs = candidate_pairs(records)
+def proposals(records: DataFrame, decided: DataFrame | None = None, least: float = THRESHOLD, edges: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Scored candidates of at least the threshold that nobody has decided on.
+
+    exact: also those whose common blocks are all larger than LARGEST_BLOCK; the least score can't be below THRESHOLD then.
+    """
+    if exact and least < THRESHOLD:
+        raise ValueError(f"exact pairs reach {THRESHOLD} or more")
+    pairs = stored(exact_pairs(records, edges) if exact else candidate_pairs(records), "pairs")  # scores read them twice
     if decided is not None:
         pairs = pairs.join(decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return score_pairs(records, pairs).where(F.col("score") >= least)
+    return score_pairs(records, pairs, edges).where(F.col("score") >= least)
+
+
+def refreshed(queue: DataFrame, found: DataFrame, limit: int = LARGEST_QUEUE) -> DataFrame:
+    """A queue (a, b, status, score, factors) after a search: of the best found, pending pairs are rewritten, new ones added.
+
+    Decided pairs stay as they are and aren't proposed again, but count among the best. Ties go by (a, b).
+    """
+    best = found.orderBy(F.desc("score"), "a", "b").limit(limit).select("a", "b", F.col("score").alias("new_score"), F.col("factors").alias("new_factors"))
+    both = queue.join(best, ["a", "b"], "full")
+    open_ = F.coalesce("status", F.lit("PENDING")) == "PENDING"
+    pick = lambda c: F.when(open_, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)).alias(c)
+    return both.select("a", "b", F.coalesce("status", F.lit("PENDING")).alias("status"), pick("score"), pick("factors"))
+
+
+def payload(queue: DataFrame, entities: DataFrame) -> DataFrame:
+    """Queue rows with both names and aliases, factors by contribution, the score to three places, and whether a review is due."""
+    one = lambda x: entities.select(F.col("uid").alias(x), F.col("name").alias(f"name_{x}"), F.col("aliases").alias(f"aliases_{x}"))
+    rows = queue.withColumn("factors", F.sort_array("factors", asc=False))
+    return rows.join(one("a"), "a").join(one("b"), "b").select("*", F.round("score", 3).alias("confidence"), (F.col("status") == "PENDING").alias("review_required"))
+
+
+def page(queue: DataFrame, entities: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the queue, best first, with the count of all rows of that status and of each status."""
+    chosen = queue if status is None else queue.where(F.col("status") == status.upper())
+    counts = queue.groupBy("status").agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda r: F.concat(r["status"], F.lit(":"), r["n"].cast("string"))), ",")
+    rows = payload(chosen.orderBy(F.desc("score"), "a", "b").offset(offset).limit(limit), entities)
+    one = chosen.agg(F.count("*").alias("total")).crossJoin(counts.agg(text.alias("status_counts")))  # frames of one row
+    return rows.crossJoin(one)
 
 
 def merged(entities: DataFrame, accepted: DataFrame) -> DataFrame:

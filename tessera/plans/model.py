@@ -233,3 +233,43 @@ NARRATIVE_FACTS_SQL = f"""
   UNION ALL SELECT id, person, 'MET', other, {_sure_sql("8", 0.94, 0.94)}, length(person) + 4 FROM row WHERE id % 4 = 1
   UNION ALL SELECT id, person, 'CALLED', '98' || lpad(id::VARCHAR, 8, '0'), {_sure_sql("8", 0.94, 0.96)}, length(person) + 15 FROM row WHERE id % 4 = 2
 """
+
+
+def persons(spark: SparkSession, d: str) -> DataFrame:
+    """(uid, name, aliases, attributes, cases): customers as persons; every fifth by an initial, four an address, a birthday in 200."""
+    k = F.col("c_custkey")
+    full = _name(k)
+    name = F.when(k % 5 == 3, F.concat(F.substring(full, 1, 1), F.lit(". "), F.element_at(F.split(full, " "), 2))).otherwise(full)
+    attributes = F.create_map(F.lit("address"), F.concat(F.lit("House "), F.floor(k / 4).cast("string")), F.lit("dob"), F.concat(F.lit("d"), (k % 200).cast("string")))
+    return table(spark, d, "customer").select(uid("c", "c_custkey").alias("uid"), name.alias("name"), F.array().cast("array<string>").alias("aliases"), attributes.alias("attributes"), F.array("c_mktsegment").alias("cases"))
+
+
+def person_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(uid, neighbour, at): the parts of every order's lines, places, and phones, which two of four customers share."""
+    k = F.col("c_custkey")
+    line = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = line.groupBy(uid("c", "o_custkey").alias("uid"), uid("p", "l_partkey").alias("neighbour")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    own = table(spark, d, "customer")
+    phones = own.where(k % 4 < 2).select(uid("c", "c_custkey"), F.concat(F.lit("f"), F.floor(k / 4).cast("string")), F.lit(0).cast("long"))
+    return parts.union(phones).union(own.select(uid("c", "c_custkey"), uid("n", "c_nationkey"), F.lit(0).cast("long")))
+
+
+def held(spark: SparkSession, d: str) -> DataFrame:
+    """(neighbour, kind, value): vehicles with their plates, and phones."""
+    k = F.col("c_custkey")
+    vehicles = table(spark, d, "part").select(uid("p", "p_partkey").alias("neighbour"), F.lit("vehicle").alias("kind"), F.concat(F.lit("DL-"), F.col("p_partkey").cast("string")).alias("value"))
+    j = F.floor(k / 4).cast("string")
+    return vehicles.union(table(spark, d, "customer").where(k % 4 == 0).select(F.concat(F.lit("f"), j), F.lit("phone"), F.concat(F.lit("98"), F.lpad(j, 8, "0"))))
+
+
+PERSON_EDGES_SQL = """
+  SELECT 'c' || o_custkey AS uid, 'p' || l_partkey AS neighbour, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+  UNION ALL SELECT 'c' || c_custkey, 'f' || c_custkey // 4, 0 FROM customer WHERE c_custkey % 4 < 2
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 0 FROM customer
+"""
+PERSONS_SQL = f"""
+  WITH e AS ({PERSON_EDGES_SQL}), v AS (SELECT uid, arg_min(neighbour[2:], (seq, neighbour)) AS p FROM e WHERE neighbour[1] = 'p' GROUP BY uid), called AS (SELECT *, {_name_sql("c_custkey")} AS whole FROM customer)
+  SELECT 'c' || c_custkey AS uid, CASE WHEN c_custkey % 5 = 3 THEN whole[1] || '. ' || split_part(whole, ' ', 2) ELSE whole END AS name, 'House ' || c_custkey // 4 AS address, 'd' || c_custkey % 200 AS dob,
+    CASE WHEN c_custkey % 4 < 2 THEN '98' || lpad((c_custkey // 4)::VARCHAR, 8, '0') END AS phone, 'DL' || p AS vehicle, c_mktsegment AS case_id
+  FROM called LEFT JOIN v ON v.uid = 'c' || c_custkey
+"""

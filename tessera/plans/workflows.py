@@ -9,7 +9,7 @@ from tessera.functions import geo
 from tessera.functions import text as X
 from tessera.operators import places, resolution, writes
 from tessera.plans import model as M
-from tessera.storage import spread
+from tessera.storage import spread, stored
 from tessera.plans.queries import ALL_ENT, ALL_LIVE, ALL_REL, ENT, INC, ORACLE_SQL, QUERIES, REL, SRV, ZON, _all_adj, _all_live, _all_nodes, dist, query
 from tessera.sources import ingestion
 
@@ -124,11 +124,62 @@ def overview(s, d):
     return out.select("nodes", "edges", (F.col("nodes") - F.col("linked")).alias("isolated"), "top_degree", "leading", "by_status")
 
 
-@query("K12_person_records", f"WITH p AS (SELECT src AS uid, arg_min(dst, (rid, dst)) AS vehicle, count(DISTINCT dst) AS neighbours FROM {REL} GROUP BY src) SELECT e.uid, name, vehicle, coalesce(neighbours, 0)::BIGINT AS neighbours, c_mktsegment AS case_id FROM {ENT} e JOIN customer ON e.uid = 'c' || c_custkey LEFT JOIN p ON p.uid = e.uid")
+@query("K12_person_records", f"SELECT uid, name, address, dob, phone, vehicle, case_id FROM ({M.PERSONS_SQL})")
 def person_records(s, d):
-    near = M.relations(s, d).groupBy(F.col("src").alias("uid")).agg(F.min_by("dst", F.struct("rid", "dst")).alias("vehicle"), F.count_distinct("dst").alias("neighbours"))
-    person = M.table(s, d, "customer").select(M.uid("c", "c_custkey").alias("uid"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("case_id"))
-    return person.join(near, "uid", "left").select("uid", "name", "vehicle", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "case_id")
+    r = resolution.person_records(M.persons(s, d), M.person_edges(s, d), M.held(s, d))
+    return r.select("uid", "name", *(F.col("attributes")[k].alias(k) for k in ("address", "dob", "phone", "vehicle")), F.get("cases", F.lit(0)).alias("case_id"))
+
+
+#: Every proposal between persons, from all pairs that share a blocking key: last names differ in sound exactly where they differ.
+PROPOSALS_SQL = f"""e AS ({M.PERSON_EDGES_SQL}), r AS (SELECT *, lower(name) AS n, split_part(name, ' ', 2) AS last, name[2] = '.' AS abbr, 'c' AS one FROM ({M.PERSONS_SQL})),
+  c AS (SELECT x.uid AS a, y.uid AS b, count(*) AS near FROM e x JOIN e y ON x.neighbour = y.neighbour AND x.uid < y.uid GROUP BY 1, 2),
+  p AS (SELECT a.uid AS a, b.uid AS b, a.n AS na, b.n AS nb, a.last = b.last AS phonetic, a.last = b.last AND a.n <> b.n AND a.n[1] = b.n[1] AND (a.abbr OR b.abbr) AS short,
+      (a.case_id = b.case_id)::INTEGER AS cases, coalesce(a.phone = b.phone, FALSE) AS phone, coalesce(a.vehicle = b.vehicle, FALSE) AS vehicle, a.address = b.address AS address, a.dob = b.dob AS dob
+    FROM r a JOIN r b ON a.uid < b.uid AND (a.last = b.last OR (a.n[1] = b.n[1] AND a.last[1] = b.last[1]) OR a.phone = b.phone OR a.vehicle = b.vehicle)),
+  q AS (SELECT p.*, coalesce(near, 0) AS near, jaro_similarity(na, nb) AS j, 1 - levenshtein(na, nb)::DOUBLE / greatest(length(na), length(nb)) AS edit,
+      len(list_filter(range(1, 5), lambda i: length(na) >= i AND length(nb) >= i AND left(na, i) = left(nb, i))) AS prefix,
+      vehicle::INTEGER + phone::INTEGER + address::INTEGER + dob::INTEGER AS n_ids, vehicle::INTEGER + phone::INTEGER AS n_strong,
+      CASE WHEN vehicle THEN 0.75 WHEN phone THEN 0.72 WHEN address THEN 0.45 WHEN dob THEN 0.35 ELSE 0 END::DOUBLE AS best FROM p LEFT JOIN c ON c.a = p.a AND c.b = p.b),
+  v AS (SELECT *, greatest(j + prefix * 0.1::DOUBLE * (1 - j), edit) AS name, CASE WHEN n_ids = 0 THEN 0 ELSE least(1.0::DOUBLE, best + 0.06::DOUBLE * (n_ids - 1)) END AS ids FROM q),
+  f AS (SELECT *, round(0.26::DOUBLE * name, 4) + CASE WHEN short THEN 0.14::DOUBLE ELSE 0 END + CASE WHEN phonetic THEN 0.05::DOUBLE ELSE 0 END + round(0.33::DOUBLE * ids, 4)
+      + round(0.14::DOUBLE * least(1.0::DOUBLE, near / 3.0::DOUBLE), 4) + round(0.08::DOUBLE * least(1.0::DOUBLE, cases / 2.0::DOUBLE), 4) AS total,
+      short OR near > 0 OR cases > 0 AS contacts, CASE WHEN n_strong > 1 THEN least(0.92::DOUBLE, best + 0.06::DOUBLE * (n_strong - 1)) ELSE best * 0.82::DOUBLE END AS floor FROM v),
+  g AS (SELECT *, CASE WHEN n_strong > 1 OR (n_strong = 1 AND (contacts OR name >= 0.72)) THEN greatest(total, floor) ELSE total END AS raised FROM f),
+  found AS (SELECT a, b, round(least(0.99::DOUBLE, CASE WHEN NOT contacts AND n_ids = 0 THEN least(raised, 0.62::DOUBLE) ELSE raised END), 4) AS score,
+      (name > 0)::BIGINT + short::BIGINT + phonetic::BIGINT + (n_ids > 0)::BIGINT + (near > 0)::BIGINT + (cases > 0)::BIGINT AS n_factors FROM g),
+  proposed AS (SELECT * FROM found WHERE score >= 0.55)"""
+
+
+def _proposed(s, d):
+    """Proposals between persons over blocks of every size."""
+    edges = stored(M.person_edges(s, d), "person_edges")
+    records = stored(resolution.person_records(M.persons(s, d), edges, M.held(s, d)), "persons")
+    return stored(resolution.proposals(records, edges=edges.select("uid", "neighbour"), exact=True), "proposed")
+
+
+@query("K13_person_proposals", f"WITH {PROPOSALS_SQL} SELECT a, b, score, n_factors FROM proposed")
+def person_proposals(s, d):
+    return _proposed(s, d).select("a", "b", "score", F.size("factors").cast("long").alias("n_factors"))
+
+
+#: A queue from earlier: every seventh proposal by the sum of its numbers, decided or pending at a score of 0.5.
+QUEUE_SQL = """asked AS (SELECT *, a[2:]::BIGINT + b[2:]::BIGINT AS k FROM proposed), best AS (SELECT * FROM asked ORDER BY score DESC, a, b LIMIT 60),
+  queue AS (SELECT coalesce(o.a, n.a) AS a, coalesce(o.b, n.b) AS b, CASE o.k % 3 WHEN 1 THEN 'ACCEPTED' WHEN 2 THEN 'REJECTED' ELSE 'PENDING' END AS status,
+      CASE WHEN o.k IS NULL OR (o.k % 3 = 0 AND n.k IS NOT NULL) THEN n.score ELSE 0.5::DOUBLE END AS score, CASE WHEN o.k IS NULL OR (o.k % 3 = 0 AND n.k IS NOT NULL) THEN n.n_factors ELSE 0 END AS n_factors
+    FROM (SELECT * FROM asked WHERE k % 7 = 0) o FULL JOIN best n ON n.a = o.a AND n.b = o.b)"""
+
+
+def _queue(s, d):
+    found = _proposed(s, d)
+    k = F.col("a").substr(2, 20).cast("long") + F.col("b").substr(2, 20).cast("long")
+    status = F.when(k % 3 == 1, "ACCEPTED").when(k % 3 == 2, "REJECTED").otherwise("PENDING")
+    old = found.where(k % 7 == 0).select("a", "b", status.alias("status"), F.lit(0.5).alias("score"), F.slice("factors", 1, 0).alias("factors"))
+    return resolution.refreshed(old, found)
+
+
+@query("K13_refreshed_queue", f"WITH {PROPOSALS_SQL}, {QUEUE_SQL} SELECT a, b, status, score, n_factors FROM queue")
+def refreshed_queue(s, d):
+    return _queue(s, d).select("a", "b", "status", "score", F.size("factors").cast("long").alias("n_factors"))
 
 
 @query("L06_recent_alert_zones", f"SELECT zone_id, count(*) AS alerts FROM {INC} WHERE priority IN ('HIGH', 'CRITICAL') AND type <> 'purchase' AND seen_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND seen_at <= TIMESTAMP '{NOW}' GROUP BY zone_id")
@@ -281,11 +332,10 @@ def ingestion_driver(s, d):
     return ingestion.ingested(rows, "k", None, known, none, "JOB-1", blocks=blocks).stages
 
 
-@query("T12_resolution_queue", f"WITH p AS {PAIRS_SQL} SELECT a, b, name_a, name_b, apart::INTEGER AS apart, (SELECT count(*) FROM p WHERE status = 'PENDING') AS total FROM p WHERE status = 'PENDING' ORDER BY same_type DESC, apart, a, b LIMIT 60")
+@query("T12_resolution_queue", f"WITH {PROPOSALS_SQL}, {QUEUE_SQL} SELECT a, b, x.name AS name_a, y.name AS name_b, score, (SELECT count(*) FROM queue WHERE status = 'PENDING') AS total, (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM queue GROUP BY status)) AS status_counts FROM (SELECT * FROM queue WHERE status = 'PENDING' ORDER BY score DESC, a, b LIMIT 50) JOIN r x ON x.uid = a JOIN r y ON y.uid = b")
 def queue_page(s, d):
-    p = _pairs(s, d).where("status = 'PENDING'")
-    page = p.orderBy(F.desc("same_type"), "apart", "a", "b").limit(60)
-    return page.crossJoin(p.agg(F.count("*").alias("total"))).select("a", "b", "name_a", "name_b", "apart", "total")
+    queue = stored(_queue(s, d), "queue")
+    return resolution.page(queue, M.persons(s, d), "PENDING", limit=50).select("a", "b", "name_a", "name_b", "score", "total", "status_counts")
 
 
 @query("T15_sos_list", f"WITH s AS (SELECT incident_id, CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'P' THEN 'RESPONDING' ELSE 'RECEIVED' END AS status FROM {INC} LEFT JOIN orders ON o_orderkey = incident_id WHERE priority = 'CRITICAL') SELECT incident_id, status, count(*) OVER (PARTITION BY status) AS of_status FROM s")
@@ -310,12 +360,9 @@ def record_summary(s, d):
     return e.join(c, F.col("user_id") == F.col("c_custkey"), "left").join(p, F.col("k") == F.col("p_partkey"), "left").select("event_id", "subject", "device")
 
 
-@query("T30_candidate_payload", f"WITH p AS {PAIRS_SQL}, f AS (SELECT a, b, 'brand' AS factor, 2000 AS part FROM p UNION ALL SELECT a, b, 'size', 100 * (50 - apart) FROM p UNION ALL SELECT a, b, 'type', CASE WHEN same_type THEN 3000 ELSE 0 END FROM p) SELECT a, b, sum(part)::BIGINT AS score, string_agg(factor || ':' || part, ',' ORDER BY part DESC, factor) AS factors FROM f GROUP BY a, b")
+@query("T30_candidate_payload", f"WITH {PROPOSALS_SQL}, {QUEUE_SQL} SELECT a, b, round(score, 3) AS confidence, x.name AS name_a, y.name AS name_b, n_factors, status = 'PENDING' AS review_required FROM queue JOIN r x ON x.uid = a JOIN r y ON y.uid = b")
 def candidate_payload(s, d):
-    factor = lambda name, part: F.struct((-part).cast("int").alias("less"), F.lit(name).alias("factor"))
-    factors = F.array_sort(F.array(factor("brand", F.lit(2000)), factor("size", 100 * (50 - F.col("apart"))), factor("type", F.when(F.col("same_type"), 3000).otherwise(0))))
-    p = _pairs(s, d).withColumn("f", factors)
-    return p.select("a", "b", F.aggregate("f", F.lit(0).cast("long"), lambda x, y: x - y["less"]).alias("score"), F.array_join(F.transform("f", lambda r: F.concat(r["factor"], F.lit(":"), (-r["less"]).cast("string"))), ",").alias("factors"))
+    return resolution.payload(_queue(s, d), M.persons(s, d)).select("a", "b", "confidence", "name_a", "name_b", F.size("factors").cast("long").alias("n_factors"), "review_required")
 
 
 RIGHTS = [("analyst", "click"), ("analyst", "view"), ("officer", "click"), ("officer", "view"), ("officer", "purchase"), ("viewer", "view")]

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,62 @@ def test_writes(spark):
     assert writes.inserted_edges(edges, edges).count() == edges.count()
     refs = writes.allocated(sheet, 41, ["person_b"]).select("ref").collect()
     assert sorted(r.ref for r in refs) == ["REL-000042", "REL-000043"]
+
+
+def random_records(spark, n=150, seed=5):
+    """Records of few names in large blocks, with aliases, shared identifiers, neighbours and cases."""
+    rng = random.Random(seed)
+    first, last = ("Asha", "Anil", "R.", "Ravi", "A.", "Meera K"), ("Sharma", "Verma", "S.", "V", "Sarma")
+    rows = []
+    for i in range(n):
+        name = lambda: f"{rng.choice(first)} {rng.choice(last)}"
+        ids = {k: str(rng.randrange(m)) for k, m in (("address", 12), ("dob", 12), ("phone", 60), ("vehicle", 60), ("id_proof", 90), ("email", 90)) if rng.random() < 0.4}
+        near = sorted({f"n{rng.randrange(40)}" for _ in range(rng.randrange(5))})
+        rows.append((f"u{i:03}", rng.choice(("person", "person", "organization")), name(), [name() for _ in range(rng.randrange(2))], ids, near, [rng.choice("xyz")] if rng.random() < 0.7 else []))
+    rows += [("z1", "person", "", None, None, None, None), ("z2", "person", None, [], {}, [], [])]
+    return spark.createDataFrame(rows, records(spark).schema)
+
+
+def test_exact_pairs_lose_no_proposal(spark):
+    r = random_records(spark).cache()
+    keys = resolution.blocking_keys(r).groupBy("uid", "type").agg(F.collect_set("key").alias("keys"))
+    a, b = (keys.select(F.col("uid").alias(x), "type", F.col("keys").alias(f"k{x}")) for x in "ab")
+    every = a.join(b, "type").where("a < b").where(F.arrays_overlap("ka", "kb")).select("a", "b")
+    scored = {(p.a, p.b): p.score for p in resolution.score_pairs(r, every).collect()}
+    want = {p: s for p, s in scored.items() if s >= resolution.THRESHOLD}
+    got = {(p.a, p.b): p.score for p in resolution.proposals(r, exact=True).collect()}
+    capped = {(p.a, p.b) for p in resolution.candidate_pairs(r, largest=12).collect()}
+    assert got == want and len(want) > 30
+    assert not set(want) <= capped  # a cap of blocks hides some
+    assert resolution.exact_pairs(r).count() < len(scored)
+    with pytest.raises(ValueError):
+        resolution.proposals(r, least=0.5, exact=True)
+
+
+def test_pairs_without_evidence_stay_below_the_threshold():
+    """The bounds behind exact_pairs: full values of all other factors, without what a key asks for."""
+    w = resolution.WEIGHTS
+    weak = max(s for s in resolution.IDENTIFIERS.values() if s < resolution.STRONG)
+    assert [k for k, s in resolution.IDENTIFIERS.items() if s < resolution.STRONG] == ["address", "dob"]
+    rest = w["name"] + w["phonetic"] + w["cases"]
+    assert rest + max(w["abbreviation"], w["neighbours"]) < resolution.THRESHOLD
+    assert rest + w["identifiers"] * weak < resolution.THRESHOLD
+
+
+def test_person_records_take_the_first_phone_and_vehicle(spark):
+    persons = spark.createDataFrame([("a", "A", [], {"phone": "own"}, ["x"]), ("b", "B", None, None, None), ("c", "C", [], {}, [])], "uid string, name string, aliases array<string>, attributes map<string,string>, cases array<string>")
+    edges = spark.createDataFrame([("a", "f1", 1), ("a", "v1", 5), ("a", "v2", 2), ("b", "f2", 7), ("b", "f1", 7), ("b", "n", 0)], "uid string, neighbour string, at long")
+    held = spark.createDataFrame([("f1", "phone", "91"), ("f2", "phone", "92"), ("v1", "vehicle", "DL 1-A"), ("v2", "vehicle", "DL 2-B")], "neighbour string, kind string, value string")
+    got = {r.uid: r.attributes for r in resolution.person_records(persons, edges, held).collect()}
+    assert got == {"a": {"phone": "own", "vehicle": "DL2B"}, "b": {"phone": "91"}, "c": {}}
+
+
+def test_refreshed_queue(spark):
+    kind = "a string, b string, status string, score double, factors array<string>"
+    old = spark.createDataFrame([("a", "b", "PENDING", 0.5, ["old"]), ("a", "c", "REJECTED", 0.5, ["old"]), ("a", "d", "PENDING", 0.6, ["old"])], kind)
+    found = spark.createDataFrame([("a", "b", "", 0.7, ["new"]), ("a", "c", "", 0.9, ["new"]), ("x", "y", "", 0.8, ["new"]), ("x", "z", "", 0.6, ["new"])], kind).drop("status")
+    after = resolution.refreshed(old, found, limit=3)
+    assert {tuple(r)[:4]: r.factors[0] for r in after.collect()} == {("a", "b", "PENDING", 0.7): "new", ("a", "c", "REJECTED", 0.5): "old", ("a", "d", "PENDING", 0.6): "old", ("x", "y", "PENDING", 0.8): "new"}
+    ent = spark.createDataFrame([(u, u.upper(), []) for u in "abcdxy"], "uid string, name string, aliases array<string>")
+    page = resolution.page(after, ent, "pending", limit=2).orderBy(F.desc("score")).collect()
+    assert [(p.name_a, p.name_b, p.total, p.status_counts, p.review_required) for p in page] == [("X", "Y", 3, "PENDING:3,REJECTED:1", True), ("A", "B", 3, "PENDING:3,REJECTED:1", True)]
