@@ -127,14 +127,15 @@ def _short() -> Column:
     return F.exists(_pairwise(_surfaces("ra"), _surfaces("rb"), lambda x, y: T.is_abbreviation(x, y) | T.is_abbreviation(y, x)), lambda v: v)
 
 
-def score_pairs(records: DataFrame, pairs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def score_pairs(records: DataFrame, pairs: DataFrame, edges: DataFrame | None = None, least: float | None = None) -> DataFrame:
     """(a, b, score, factors) of pairs; records also have aliases and cases (arrays), and neighbours unless edges
-    (uid, neighbour; distinct rows) are given."""
+    (uid, neighbour; distinct rows) are given.
+
+    least: only pairs of that score; names, which cost most, are compared where equal ones would reach it.
+    """
     edges = neighbours_of(records) if edges is None else edges
     j = pairs.join(common_neighbours(pairs, edges), ["a", "b"], "left").join(records.alias("ra"), F.col("a") == F.col("ra.uid")).join(records.alias("rb"), F.col("b") == F.col("rb.uid"))
     sa, sb = _surfaces("ra"), _surfaces("rb")
-    name = F.array_max(_pairwise(sa, sb, lambda x, y: F.greatest(T.jaro_winkler(x, y), T.edit_ratio(x, y))))
-    short = _short()
     last = lambda r: F.coalesce(T.sound(F.try_element_at(T.words(F.col(f"{r}.name")), F.lit(-1))), F.lit(""))
     phonetic = (last("ra") != "") & (last("ra") == last("rb"))
     norm = lambda r, k: F.lower(F.trim(F.coalesce(F.col(f"{r}.attributes")[k], F.lit(""))))
@@ -142,23 +143,40 @@ def score_pairs(records: DataFrame, pairs: DataFrame, edges: DataFrame | None =
     shared = F.filter(F.array(*hit), lambda h: h.isNotNull())
     empty = F.array().cast("array<string>")
     common = lambda c: F.size(F.array_intersect(F.coalesce(F.col(f"ra.{c}"), empty), F.coalesce(F.col(f"rb.{c}"), empty)))
-    out = j.select("a", "b", name.alias("name"), short.alias("short"), phonetic.alias("phonetic"), shared.alias("shared"), F.coalesce("n_common", F.lit(0)).cast("int").alias("neighbours"), common("cases").alias("cases"))
+    out = j.select("a", "b", sa.alias("sa"), sb.alias("sb"), _short().alias("short"), phonetic.alias("phonetic"), shared.alias("shared"), F.coalesce("n_common", F.lit(0)).cast("int").alias("neighbours"), common("cases").alias("cases"))
+    if least is not None:  # stored: a filter that moves below a projection works out the costly columns once more for each use
+        out = stored(out, "compared").where(_score(F.lit(1.0), _factors(F.lit(1.0))) >= least)
+    name = F.array_max(_pairwise(F.col("sa"), F.col("sb"), lambda x, y: F.greatest(T.jaro_winkler(x, y), T.edit_ratio(x, y))))
+    out = out.withColumn("name", name)
+    out = out if least is None else stored(out, "named")
+    out = out.withColumn("factors", _factors(F.col("name")))
+    out = out.select("a", "b", _score(F.col("name"), F.col("factors")).alias("score"), "factors")
+    return out if least is None else out.where(F.col("score") >= least)
+
+
+def _factors(name: Column) -> Column:
+    """The factors above 0 of a compared pair, whose names are alike by name."""
     n = F.size("shared")
     identifiers = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.array_max(F.transform("shared", lambda s: s["strength"])) + 0.06 * (n - 1)))
-    values = {"name": F.col("name"), "abbreviation": F.col("short").cast("double"), "phonetic": F.col("phonetic").cast("double"), "identifiers": identifiers, "neighbours": F.least(F.lit(1.0), F.col("neighbours") / 3), "cases": F.least(F.lit(1.0), F.col("cases") / 2)}
+    values = {"name": name, "abbreviation": F.col("short").cast("double"), "phonetic": F.col("phonetic").cast("double"), "identifiers": identifiers, "neighbours": F.least(F.lit(1.0), F.col("neighbours") / 3), "cases": F.least(F.lit(1.0), F.col("cases") / 2)}
     factors = F.array(*(F.struct(F.round(F.lit(w) * values[k], 4).alias("contribution"), F.lit(k).alias("factor"), values[k].alias("value")) for k, w in WEIGHTS.items()))
-    out = out.withColumn("factors", F.sort_array(F.filter(factors, lambda f: f["value"] > 0), asc=False))
-    total = F.aggregate("factors", F.lit(0.0), lambda acc, f: acc + f["contribution"])
+    return F.sort_array(F.filter(factors, lambda f: f["value"] > 0), asc=False)
+
+
+def _score(name: Column, factors: Column) -> Column:
+    """The score of a compared pair: the sum of its factors, with floors and caps; it never falls when names are more alike."""
+    n = F.size("shared")
+    total = F.aggregate(factors, F.lit(0.0), lambda acc, f: acc + f["contribution"])
     strong = F.filter("shared", lambda s: s["strength"] >= STRONG)
     contacts = F.col("short") | (F.col("neighbours") > 0) | (F.col("cases") > 0)
     exclusive = F.exists(strong, lambda s: s["identifier"].isin(*EXCLUSIVE))
-    applies = exclusive | (F.size(strong) > 1) | ((F.size(strong) == 1) & (contacts | (F.col("name") >= LIKE_NAMES)))
+    applies = exclusive | (F.size(strong) > 1) | ((F.size(strong) == 1) & (contacts | (name >= LIKE_NAMES)))
     best = F.array_max(F.transform(strong, lambda s: s["strength"]))
     floor = F.when(F.size(strong) > 1, F.least(F.lit(0.92), best + 0.06 * (F.size(strong) - 1))).when(exclusive, best).otherwise(best * 0.82)
     raised = F.when(applies, F.greatest(total, floor)).otherwise(total)
     # without an identifier or common contacts, likeness of names alone stays below a confident match
     capped = F.when(~contacts & (n == 0), F.least(raised, F.lit(0.62))).otherwise(raised)
-    return out.select("a", "b", F.round(F.least(F.lit(0.99), capped), 4).alias("score"), "factors")
+    return F.round(F.least(F.lit(0.99), capped), 4)
 
 
 def proposals(records: DataFrame, decided: DataFrame | None = None, least: float = THRESHOLD, edges: DataFrame | None = None, exact: bool = False) -> DataFrame:
@@ -171,7 +189,7 @@ def proposals(records: DataFrame, decided: DataFrame | None = None, least: float
     pairs = stored(exact_pairs(records, edges) if exact else candidate_pairs(records), "pairs")  # scores read them twice
     if decided is not None:
         pairs = pairs.join(decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return score_pairs(records, pairs, edges).where(F.col("score") >= least)
+    return score_pairs(records, pairs, edges, least)
 
 
 def refreshed(queue: DataFrame, found: DataFrame, limit: int = LARGEST_QUEUE) -> DataFrame:

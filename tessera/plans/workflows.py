@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import text as X
-from tessera.operators import places, resolution, writes
+from tessera.operators import alerts, places, resolution, writes
 from tessera.plans import model as M
 from tessera.storage import spread, stored
-from tessera.plans.queries import ALL_ENT, ALL_LIVE, ALL_REL, ENT, INC, ORACLE_SQL, QUERIES, REL, SRV, ZON, _all_adj, _all_live, _all_nodes, dist, query
+from tessera.plans.queries import ALL_ENT, ALL_LIVE, ALL_REL, ENT, INC, ORACLE_SQL, QUERIES, REL, SRV, ZON, _all_adj, _calls, _all_live, _all_nodes, dist, query
 from tessera.sources import ingestion
+from tessera.streaming import stateful
 
 NOW = "2024-01-30 12:00:00"
 
@@ -213,19 +214,25 @@ def ranking_page(s, d):
 
 @query(
     "O11_raised_alerts",
-    f"""WITH i AS (SELECT * FROM {INC} WHERE priority = 'CRITICAL' AND lat IS NOT NULL), z AS {ZON}, v AS {SRV},
-  n AS (SELECT incident_id, arg_min(zone_id, (k, zone_id)) AS near_zone FROM (SELECT incident_id, z.zone_id, {dist('lat', 'lng', 'zlat', 'zlng')} AS k FROM i JOIN z ON TRUE) GROUP BY incident_id),
-  c AS (SELECT incident_id, service_id, row_number() OVER (PARTITION BY incident_id ORDER BY k, service_id) AS p FROM (SELECT incident_id, service_id, {dist('lat', 'lng', 'slat', 'slng')} AS k FROM i JOIN v ON TRUE) WHERE k <= 10)
-  SELECT n.incident_id, near_zone, 'NEW' AS status, (SELECT string_agg(service_id::VARCHAR, ',' ORDER BY p) FROM c WHERE c.incident_id = n.incident_id AND p <= 3) AS contacts FROM n""",
+    f"""WITH i AS (SELECT * FROM {INC} WHERE priority = 'CRITICAL'), z AS {ZON}, v AS {SRV},
+  n AS (SELECT incident_id, arg_min(zone_id, (k, zone_id)) AS near_zone FROM (SELECT incident_id, z.zone_id, {dist('lat', 'lng', 'zlat', 'zlng')} AS k FROM i JOIN z ON lat IS NOT NULL) GROUP BY incident_id),
+  c AS (SELECT incident_id, service_id, row_number() OVER (PARTITION BY incident_id ORDER BY k, service_id) AS p FROM (SELECT incident_id, service_id, {dist('lat', 'lng', 'slat', 'slng')} AS k FROM i JOIN v ON lat IS NOT NULL) WHERE k <= 10)
+  SELECT i.incident_id AS sos_id, 'SOS-' || CASE WHEN length(i.incident_id::VARCHAR) < 4 THEN lpad(i.incident_id::VARCHAR, 4, '0') ELSE i.incident_id::VARCHAR END AS sos_ref,
+    'A-SOS-' || CASE WHEN length(i.incident_id::VARCHAR) < 4 THEN lpad(i.incident_id::VARCHAR, 4, '0') ELSE i.incident_id::VARCHAR END AS alert_ref, near_zone AS zone_id, 'RECEIVED' AS sos_status,
+    'RECEIVED' AS to_status, 'CRITICAL' AS priority, 'NEW' AS alert_status, 'SOS raised by ' || coalesce(c_name, 'an unnamed person') AS message,
+    coalesce((SELECT string_agg(service_id::VARCHAR, ',' ORDER BY p) FROM c WHERE c.incident_id = i.incident_id AND p <= 3), '') AS contacts
+  FROM i LEFT JOIN n ON n.incident_id = i.incident_id LEFT JOIN customer ON c_custkey = subject""",
 )
 def raised_alerts(s, d):
-    points = M.incidents(s, d).where("priority = 'CRITICAL' and lat is not null").select("incident_id", "lat", "lng")
-    zones = M.zones(s, d).select(F.col("zone_id").alias("near_zone"), F.col("zlat").alias("clat"), F.col("zlng").alias("clng"))
+    name = M.table(s, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_name").alias("subject_name"))
+    signals = M.incidents(s, d).where("priority = 'CRITICAL'").join(name, "subject", "left")
+    signals = signals.select(F.col("incident_id").alias("sos_id"), "subject_name", F.lit(None).cast("string").alias("note"), "lat", "lng", F.col("seen_at").alias("raised_at"))
+    zones = M.zones(s, d).select("zone_id", F.col("zlat").alias("clat"), F.col("zlng").alias("clng"))
     services = M.services(s, d).select("service_id", F.col("slat").alias("clat"), F.col("slng").alias("clng"))
-    order = Window.partitionBy("incident_id").orderBy("distance", "service_id")
-    three = places.within(points, services, F.lit(10.0)).withColumn("p", F.row_number().over(order)).where("p <= 3")
-    calls = three.groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "service_id"))), lambda r: r["service_id"].cast("string")), ",").alias("contacts"))
-    return places.nearest(points, zones, "incident_id", "near_zone").join(calls, "incident_id", "left").select("incident_id", "near_zone", F.lit("NEW").alias("status"), "contacts")
+    out = alerts.raised(signals, zones, services)
+    rows = out.alerts.select("sos_id", "alert_ref", "sos_ref", "priority", F.col("status").alias("alert_status"), "message")
+    called = F.array_join(F.transform("contacts", lambda c: c.cast("string")), ",").alias("contacts")
+    return rows.join(out.sos.select("sos_id", "zone_id", F.col("status").alias("sos_status"), called), "sos_id").join(out.history.select("sos_id", "to_status"), "sos_id")
 
 
 MERGE_ENTITIES = "SELECT 'c' || c_custkey AS uid, c_mktsegment || ' ' || c_custkey AS name, CASE WHEN c_custkey % 10 IN (1, 2, 3) THEN c_custkey // 10 END AS grp FROM customer"
@@ -290,11 +297,21 @@ def audit_log(s, d):
     return page.crossJoin(f.agg(F.count("*").alias("total"))).select("event_id", "user_id", F.col("event_type").alias("action"), F.when(F.col("event_type") == "error", "DENIED").otherwise("ALLOWED").alias("result"), "total")
 
 
-@query("T04_roster", f"SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, max(ts) >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS active, coalesce(max(ts) FILTER (WHERE event_type = 'error') + INTERVAL 12 HOUR > TIMESTAMP '{NOW}', FALSE) AS locked FROM events WHERE ts <= TIMESTAMP '{NOW}' GROUP BY user_id")
+@query(
+    "T04_roster",
+    f"""WITH r AS ({ORACLE_SQL['O10_lock_out']}), a AS (SELECT r.user_id, r.event_id, r.result, epoch_us(ts) // 1000000 AS seconds FROM r JOIN events e ON e.event_id = r.event_id WHERE ts <= TIMESTAMP '{NOW}'),
+  z AS (SELECT user_id, max((seconds, event_id)) AS last FROM a WHERE result IN ('OK', 'ACCOUNT_LOCKED') GROUP BY user_id)
+  SELECT a.user_id, max(seconds) FILTER (WHERE result = 'OK') AS last_login, max(seconds) FILTER (WHERE result = 'ACCOUNT_LOCKED') + 900 AS locked_until,
+    coalesce(max(seconds) FILTER (WHERE result = 'ACCOUNT_LOCKED') + 900 > epoch_us(TIMESTAMP '{NOW}') // 1000000, FALSE) AS locked, count(*) FILTER (WHERE result = 'FAILED' AND (last IS NULL OR (seconds, event_id) > last)) AS failed_attempts,
+    count(*) FILTER (WHERE result = 'OK' AND seconds > epoch_us(TIMESTAMP '{NOW}') // 1000000 - 43200) AS sessions
+  FROM a LEFT JOIN z ON z.user_id = a.user_id GROUP BY a.user_id""",
+)
 def roster(s, d):
-    e = M.table(s, d, "events").where(F.col("ts") <= _now())
-    failed = F.max(F.when(F.col("event_type") == "error", F.col("ts")))
-    return e.groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"), (F.max("ts") >= _now() - F.make_dt_interval(F.lit(7))).alias("active"), F.coalesce(failed + F.make_dt_interval(F.lit(0), F.lit(12)) > _now(), F.lit(False)).alias("locked"))
+    """Attempts go through the lock-out; a session lasts twelve hours."""
+    now = F.unix_timestamp(_now().cast("timestamp"))
+    calls = _calls(s, d).where(F.col("seconds") <= now).select("user_id", "event_id", "seconds", (~F.col("event_type").isin("error", "view", "click")).alias("success"))
+    done = stateful.folded(calls, "user_id", ["seconds", "event_id"], stateful.lock_out(), "string")
+    return stateful.accounts(done.withColumn("seconds", F.col("seconds").cast("long")), now, session=43200)
 
 
 @query("T10_job_list", "SELECT source, count(*) AS received, count(text) - count(DISTINCT text) AS duplicates, count(*) FILTER (WHERE coalesce(trim(text), '') = '') AS failed, max(doc_id) AS last FROM documents GROUP BY source ORDER BY last DESC")

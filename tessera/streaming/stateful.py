@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,6 +71,23 @@ def lock_out(failures: int = 5, seconds: float = 900.0) -> Step:
     return step
 
 
+def accounts(attempts: DataFrame, now: Column, locked: int = 900, session: int = 43200) -> DataFrame:
+    """Each account's state at `now` after attempts (user_id, event_id, seconds, result) that went through lock_out().
+
+    (user_id, last_login, locked_until, locked, failed_attempts, sessions): failures count since the last success or
+    lock, refused ones don't; a session is a success of the last `session` seconds. Two rounds of partial sums, no row
+    of an account is gathered.
+    """
+    place = F.struct("seconds", "event_id")
+    at = lambda kind: F.max(F.when(F.col("result") == kind, F.col("seconds")))
+    fresh = F.count_if((F.col("result") == "OK") & (F.col("seconds") > now - session))
+    one = attempts.groupBy("user_id").agg(at("OK").alias("last_login"), (at("ACCOUNT_LOCKED") + locked).alias("locked_until"), fresh.alias("sessions"), F.max(F.when(F.col("result").isin("OK", "ACCOUNT_LOCKED"), place)).alias("reset"))
+    since = attempts.where("result = 'FAILED'").join(one.select("user_id", "reset"), "user_id").where(F.col("reset").isNull() | (place > F.col("reset")))
+    failed = since.groupBy("user_id").agg(F.count("*").alias("failed_attempts"))
+    out = one.join(failed, "user_id", "left")
+    return out.select("user_id", "last_login", "locked_until", F.coalesce(F.col("locked_until") > now, F.lit(False)).alias("locked"), F.coalesce("failed_attempts", F.lit(0)).alias("failed_attempts"), "sessions")
+
+
 def folded(rows: DataFrame, key: str, order: list[str], step: Step, kind: str) -> DataFrame:
     """The rows with a column result of type kind: step over each key's rows in order."""
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", result {kind}"

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import alerts, graph
 from tessera.operators.extraction import exploded
 from tessera.operators.ranking import numbered
 from tessera.plans import model as M
@@ -177,3 +177,28 @@ def test_projection_follows_changes(spark, small, tmp_path):
     assert len(calls) == 2
     old = projection.table(spark, path, "pairs", 4)
     assert sorted(map(tuple, old.collect())) == sorted(map(tuple, adj.collect()))  # readers of a version keep it
+
+
+def test_raised_signals_have_a_linked_alert(spark):
+    kind = "sos_id long, subject_name string, note string, lat double, lng double, raised_at string"
+    signals = spark.createDataFrame([(1, "Asha", None, 28.5, 77.0, "t1"), (2, None, "help", None, None, "t2"), (3, "Ravi", "", 0.0, 0.0, "t3")], kind)
+    zones = spark.createDataFrame([(7, 28.5, 77.01), (8, 28.5, 77.01), (9, 29.9, 77.0)], "zone_id int, clat double, clng double")
+    services = spark.createDataFrame([(5, 28.5, 77.02), (4, 28.5, 77.02), (6, 28.5, 77.0), (2, 28.51, 77.05), (1, 30.0, 77.0)], "service_id long, clat double, clng double")
+    out = alerts.raised(signals, zones, services)
+    sos = {r.sos_id: r for r in out.sos.collect()}
+    assert sos[1].zone_id == 7 and sos[1].contacts == [6, 4, 5] and sos[1].status == "RECEIVED"
+    assert sos[2].zone_id is None and sos[2].contacts == [] and sos[3].contacts == []
+    linked = {r.sos_id: (r.alert_ref, r.sos_ref, r.status, r.priority, r.message, r.detail) for r in out.alerts.collect()}
+    assert linked[1] == ("A-SOS-0001", "SOS-0001", "NEW", "CRITICAL", "SOS raised by Asha", "One-tap SOS alert awaiting assignment.")
+    assert linked[2][4:] == ("SOS raised by an unnamed person", "help") and len(linked) == 3
+    assert {tuple(r) for r in out.history.select("sos_id", "from_status", "to_status").collect()} == {(k, None, "RECEIVED") for k in (1, 2, 3)}
+    assert out.alerts.where("false").count() == alerts.raised(signals.where("false"), zones, services).alerts.count() == 0
+
+
+def test_accounts_lock_after_five_failures(spark):
+    tries = [("a", i, 100 + i, False) for i in range(5)] + [("a", 9, 120, True), ("b", 1, 50, False), ("b", 2, 60, True), ("b", 3, 70, False), ("b", 4, 70, False), ("c", 1, 10, False)]
+    rows = spark.createDataFrame(tries, "user_id string, event_id long, seconds long, success boolean")
+    done = S.folded(rows, "user_id", ["seconds", "event_id"], S.lock_out(), "string")
+    got = {r.user_id: tuple(r)[1:] for r in S.accounts(done, F.lit(1003), session=950).collect()}
+    assert got == {"a": (None, 1004, True, 0, 0), "b": (60, None, False, 2, 1), "c": (None, None, False, 1, 0)}
+    assert not any(r.locked for r in S.accounts(done, F.lit(1004)).collect())
