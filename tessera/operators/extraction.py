@@ -1,16 +1,22 @@
 """Entities and relations in narrative text by rules, with DataFrame functions.
 
-Spans are found by splitting at a pattern and adding up lengths, so they have exact places. The gazetteer is a
-table that word n-grams join; overlapping spans are thinned by an ordered fold; a trigger verb joins the nearest
-span before it with the nearest after it in its sentence.
+Spans are found by splitting at a pattern and adding up lengths, so they have exact places. The gazetteer is an index
+of surfaces by their rarest word, which a text's words join; overlapping spans are thinned by an ordered fold; a
+trigger verb joins the nearest span before it with the nearest after it in its sentence.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import reachable
+from tessera.storage import stored
 
 SPAN = "struct<text string, kind string, start int, stop int, confidence double, uid string>"
 # fixed values: names of months in dates
@@ -35,12 +41,16 @@ HONORIFIC = r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt|Sh|Kum|Prof|Insp|SI|ASI|HC|Const)\.?\s+
 HONORIFIC_NAME = HONORIFIC + r"[A-Z][A-Za-z.]*(?:\s+[A-Z][A-Za-z.]*){0,3}"
 CAPITALISED = r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,2}\b"
 # fixed values: capitalised words that begin no name
-NOT_NAMES = (
-    "The This That These Those There Then They Their It Its As At On In By For From With Was Were Has Have Had Been Being And But Not All "
-    "Any Case Report Police Station Sector Phone Number Vehicle Account Bank Transaction Records Record Date Day Time Location Address "
-    "Suspect Victim Witness Accused Complainant Officer Investigation Statement Note Subject Further During After Before While When Where "
-    "According Following Based Both Between Same Also However Additionally Subsequently Later Meanwhile"
-).split()
+NOT_NAMES = [
+    "The", "This", "That", "These", "Those", "There", "Then", "They", "Their", "It", "Its", "As", "At", "On", "In", "By", "For", "From", "With",
+    "Was", "Were", "Has", "Have", "Had", "Been", "Being", "And", "But", "Not", "All", "Any", "Case", "Report", "Police", "Station", "Sector", "Phone",
+    "Number", "Vehicle", "Account", "Bank", "Transaction", "Records", "Record", "Date", "Day", "Time", "Location", "Address", "Suspect", "Victim",
+    "Witness", "Accused", "Complainant", "Officer", "Investigation", "Statement", "Note", "Subject", "Further", "During", "After", "Before", "While",
+    "When", "Where", "According", "Following", "Based", "Both", "Between", "Same", "Also", "However", "Additionally", "Subsequently", "Later",
+    "Meanwhile",
+]
+# fixed values: marks around a word that don't belong to it
+MARKS = ".,;:!?()[]\"'"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 # fixed values: relation types and the verbs that trigger them
 TRIGGERS = {
@@ -61,20 +71,45 @@ TRIGGERS = {
 }
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (text, start, stop) of all matches, start from 0."""
-    kind = "array<struct<text:string,start:int,stop:int>>"
-    between = F.transform(F.split(text, pattern), lambda s: F.length(s))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+def running(sizes: Column, block: int = 64) -> Column:
+    """Array of the sums up to each of the sizes (not empty), by blocks, since an array that grows by one is copied each time.
+
+    sizes must be a lambda's variable: any other expression in a lambda is worked out for each element.
+    """
+    none = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    sums = lambda a: F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: sums(F.slice(sizes, b * block + 1, F.lit(block))))
+    whole = lambda bs: F.flatten(F.zip_with(bs, sums(F.transform(bs, last)), lambda b, total: F.transform(b, lambda x: x + total - last(b))))
+    return F.get(F.transform(F.array(parts), whole), F.lit(0))
+
+
+def all_matches(text: Column, patterns: list[str], few: int = 128) -> Column:
+    """For each pattern the array of (text, start, stop) of all its matches, start from 0. One expression places them all."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,stop:int>>").alias("out"))
+    span = lambda m, start, stop: F.struct(m.alias("text"), start.alias("start"), stop.alias("stop"))
+
+    def found(pattern: str) -> Column:
+        between = F.transform(F.split(text, pattern), lambda s: F.length(s))
+        own = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        paired = F.zip_with(own, F.slice(between, 1, F.greatest(F.size(own), F.lit(1))), lambda m, gap: F.struct(m.alias("text"), gap.alias("gap")))
+        return F.when(text.rlike(pattern), paired).otherwise(F.array().cast("array<struct<text:string,gap:int>>"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
         stop = start + F.length(m["text"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(m["text"].alias("text"), start.alias("start"), stop.alias("stop")))).alias("out"))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span(m["text"], start, stop))).alias("out"))
+
+    def many(p: Column) -> Column:
+        stops = F.transform(F.array(F.transform(p, lambda m: m["gap"] + F.length(m["text"]))), lambda a: running(a))
+        return F.zip_with(p, F.get(stops, F.lit(0)), lambda m, stop: span(m["text"], stop - F.length(m["text"]), stop))
 
-    paired = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), lambda m, gap: F.struct(m.alias("text"), gap.alias("gap")))
-    return F.when(text.rlike(pattern), F.aggregate(paired, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.transform(F.array(*map(found, patterns)), lambda p: F.when(F.size(p) <= few, F.aggregate(p, zero, step, lambda acc: acc["out"])).otherwise(many(p)))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (text, start, stop) of all matches, start from 0."""
+    return F.get(all_matches(text, [pattern]), F.lit(0))
 
 
 def exploded(df: DataFrame, items: Column, name: str, *others: str) -> DataFrame:
@@ -86,14 +121,16 @@ def exploded(df: DataFrame, items: Column, name: str, *others: str) -> DataFrame
     return df.select(*others, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
-def _spans(found: Column, kind: str, confidence: Column | float) -> Column:
+def _spans(found: Column, kind: Column | str, confidence: Column | float) -> Column:
     value = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), value.cast("double").alias("confidence"), F.lit(None).cast("string").alias("uid")))
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), kind.alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), value.cast("double").alias("confidence"), F.lit(None).cast("string").alias("uid")))
 
 
 def rule_spans(text: Column) -> Column:
     """All spans that rules find in a text, overlapping ones included."""
-    parts = [_spans(matches(text, p), kind, c) for kind, p, c in RECOGNISERS]
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence")) for kind, _, c in RECOGNISERS))
+    parts = [F.flatten(F.zip_with(all_matches(text, [p for _, p, _ in RECOGNISERS]), kinds, lambda found, k: _spans(found, k["kind"], k["confidence"])))]
     titled = F.transform(matches(text, HONORIFIC_NAME), lambda m: F.struct(F.regexp_replace(m["text"], "^" + HONORIFIC, "").alias("text"), (m["stop"] - F.length(F.regexp_replace(m["text"], "^" + HONORIFIC, ""))).alias("start"), m["stop"].alias("stop")))
     parts.append(_spans(titled, "person", 0.94))
     names = F.filter(matches(text, CAPITALISED), lambda m: ~F.get(F.split(m["text"], r"\s+"), F.lit(0)).isin(*NOT_NAMES))
@@ -114,18 +151,98 @@ def gazetteer(entities: DataFrame) -> DataFrame:
     return first.union(owned.select("norm", "uid", F.lit("person").alias("kind"), F.lit(True).alias("part")))
 
 
+def surface_index(known: DataFrame, longest: int = 6) -> DataFrame:
+    """(core, norm, uid, kind, part, most): each surface of a gazetteer under the rarest of its words.
+
+    Rare is what few surfaces have (ties: the smaller word); a word counts without marks around it. most is the number
+    of words of the longest surface, at most `longest`; longer surfaces are left out, since no text is searched for them.
+    """
+    named = known.withColumn("words", F.split("norm", " "))
+    most = named.agg(F.least(F.max(F.size("words")), F.lit(longest)).alias("most"))
+    surfaces = named.where(F.size("words") <= longest)
+    cores = F.array_distinct(F.filter(F.transform("words", lambda w: _core(w)), lambda c: c != ""))
+    rows = exploded(surfaces.withColumn("cores", cores), F.col("cores"), "core", "norm", "uid", "kind", "part")
+    common = rows.groupBy("core").agg(F.count("*").alias("n"))
+    rarest = rows.join(common, "core").groupBy("norm", "uid", "kind", "part").agg(F.min(F.struct("n", "core")).alias("r"))
+    return rarest.select("r.core", "norm", "uid", "kind", "part").join(F.broadcast(most))  # one row
+
+
+def _core(word: Column) -> Column:
+    return F.regexp_replace(word, r"""^[.,;:!?()\[\]"']+|[.,;:!?()\[\]"']+$""", "")
+
+
+def listed_spans(text: str | None, surfaces: list[dict]) -> list[dict]:
+    """Spans of the surfaces in a text: of overlapping ones that of more words stays, then the earlier; then parts of names.
+
+    A surface is looked for only where its rarest word stands. Words that are marks alone may lie at a span's ends.
+    """
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "", re.ASCII)]
+    cores = [text[a:z].strip(MARKS).lower() for a, z in words]
+    wanted: dict[str, list[dict]] = {}
+    for s in surfaces:
+        wanted.setdefault(s["core"], []).append(s)
+    hits, parts = {}, []
+    for i, core in enumerate(cores):
+        for s in wanted.get(core, ()):
+            if s["part"]:
+                parts.append((i, s))
+                continue
+            own = s["norm"].split(" ")
+            for at in (k for k, w in enumerate(own) if w.strip(MARKS) == core):
+                first, last = i - at, i - at + len(own) - 1
+                if first < 0 or last >= len(words):
+                    continue
+                room = s["most"] - len(own)
+                before = next((k for k in range(room + 1) if k >= first or cores[first - k - 1]), room)
+                after = next((k for k in range(room + 1) if last + k + 1 >= len(words) or cores[last + k + 1]), room)
+                for k in range(before + 1):
+                    for m in range(min(after, room - k) + 1):
+                        a, z = words[first - k][0], words[last + m][1]
+                        clean = text[a:z].strip(MARKS)
+                        if len(clean) >= 2 and re.sub(r"\s+", " ", clean, flags=re.ASCII).strip(" ").lower().rstrip(".") == s["norm"]:
+                            hits[first - k, last + m] = (s, clean, a + text[a:z].find(clean))
+    taken: set[int] = set()
+    out = []
+    for (first, last), (s, clean, start) in sorted(hits.items(), key=lambda h: (h[0][0] - h[0][1], h[0][0])):
+        if taken.isdisjoint(range(first, last + 1)):
+            taken.update(range(first, last + 1))
+            out.append({"text": clean, "kind": s["kind"], "start": start, "stop": start + len(clean), "confidence": 0.97, "uid": s["uid"]})
+    for i, s in parts:
+        a, z = words[i]
+        clean = text[a:z].strip(MARKS)
+        if i not in taken and len(clean) >= 3 and clean[0].isupper() and clean.lower() == s["norm"]:
+            start = a + text[a:z].find(clean)
+            out.append({"text": clean, "kind": s["kind"], "start": start, "stop": start + len(clean), "confidence": 0.86, "uid": s["uid"]})
+    return out
+
+
+def _listed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, surfaces in batches:
+        yield pd.Series([listed_spans(t, [] if s is None else list(s)) for t, s in zip(texts, surfaces, strict=True)])
+
+
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, surfaces): the surfaces whose rarest word a text of (id, text) has.
+
+    A row for each different word of a text meets the index; where that is small enough for Spark to broadcast it,
+    only hits are shuffled. Texts aren't.
+    """
+    cores = F.array_distinct(F.transform(F.split("text", r"\s+"), lambda w: F.lower(_core(w))))
+    words = exploded(docs.select("id", cores.alias("cores")), F.col("cores"), "core", "id").where("core <> ''")
+    return words.join(index, "core").groupBy("id").agg(F.collect_list(F.struct(*index.columns)).alias("surfaces"))
+
+
 def gazetteer_spans(docs: DataFrame, known: DataFrame, longest: int = 6) -> DataFrame:
-    """(id, span) of known surfaces among the word n-grams of (id, text), longest first, each word once."""
-    grouped = docs.select("id", "text", matches(F.col("text"), r"\S+").alias("tokens"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.size("tokens") - n), lambda i: F.struct(n.alias("n"), i.alias("i"), F.get("tokens", i)["start"].alias("from"), F.get("tokens", i + n - 1)["stop"].alias("to")))).otherwise(F.array().cast("array<struct<n:int,i:int,from:int,to:int>>"))))
-    rows = exploded(grouped, grams, "g", "id", "text").select("id", "g.*", F.expr("substring(text, g.from + 1, g.to - g.from)").alias("surface"))
-    clean = F.expr("trim(BOTH '.,;:!?()[]\"''' FROM surface)")
-    rows = rows.withColumn("clean", clean).where(F.length("clean") >= 2).withColumn("norm", T.normal_name(F.col("clean")))
-    upper = F.substring("clean", 1, 1) != F.lower(F.substring("clean", 1, 1))
-    hit = rows.join(known, "norm").where(~F.col("part") | ((F.col("n") == 1) & (F.length("clean") >= 3) & upper))
-    start = F.col("from") + F.expr("length(surface) - length(trim(LEADING '.,;:!?()[]\"\'\'' FROM surface))")
-    hit = hit.select("id", F.struct(F.col("clean").alias("text"), F.col("kind"), start.alias("start"), (start + F.length("clean")).alias("stop"), F.when(F.col("part"), 0.86).otherwise(0.97).alias("confidence"), "uid").alias("span"))
-    return hit
+    """(id, text, listed): documents (id, text) with the spans of known surfaces, each word in one span at most.
+
+    Rows without id or with an id that other rows have are searched for the surfaces of all rows of that id: the
+    result is the same. Null texts hold no span.
+    """
+    reachable(docs.sparkSession)
+    listed = F.pandas_udf(_listed, f"array<{SPAN}>")
+    found = candidates(docs, stored(surface_index(known, longest), "surfaces")).withColumnRenamed("id", "of")
+    both = docs.select("id", "text").join(found, F.col("id").eqNullSafe(F.col("of")), "left")
+    return both.select("id", "text", F.when(F.col("surfaces").isNotNull(), listed("text", "surfaces")).otherwise(F.array().cast(f"array<{SPAN}>")).alias("listed"))
 
 
 def thinned(spans: Column) -> Column:
@@ -146,19 +263,28 @@ def sentences(text: Column) -> Column:
 
 
 def entities_in(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(id, text, spans) of documents (id, text)."""
+    """(id, text, spans) of documents (id, text).
+
+    With a gazetteer, known surfaces are spans too, and a span of a rule whose normal form (for its kind) is a known
+    surface gets that entity's uid and kind.
+    """
     own = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    found = own.withColumn("rules", rule_spans(F.col("text")).cast(f"array<{SPAN}>"))
     if known is None:
-        return found.select("id", "text", thinned(F.col("rules")).alias("spans"))
-    listed = gazetteer_spans(own, known).groupBy("id").agg(F.collect_list(F.col("span").cast(SPAN)).alias("listed"))
-    both = found.join(listed, "id", "left")
-    return both.select("id", "text", thinned(F.concat("rules", F.coalesce("listed", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+        return own.select("id", "text", thinned(rule_spans(F.col("text")).cast(f"array<{SPAN}>")).alias("spans"))
+    found = gazetteer_spans(own, known).select("id", "text", thinned(F.concat(rule_spans(F.col("text")).cast(f"array<{SPAN}>"), "listed")).alias("spans"))
+    return _linked(stored(found, "spans"), known)
 
 
-def _trigger(kind: str):
-    at = F.col("s.start")
-    return lambda m: F.struct(F.lit(kind).alias("type"), (m["start"] + at).alias("start"), (m["stop"] + at).alias("stop"))
+def _linked(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, text, spans), where spans without a uid have that of the surface equal to their normal form."""
+    form = lambda s: T.normal(s["text"], s["kind"])
+    forms = F.array_distinct(F.transform(F.filter("spans", lambda s: s["uid"].isNull()), form))
+    rows = exploded(found.select("id", forms.alias("forms")), F.col("forms"), "norm", "id").distinct()
+    hits = rows.join(known.where("not part"), "norm").groupBy(F.col("id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("norm", F.struct("uid", "kind")))).alias("hits"))
+    both = found.join(hits, F.col("id").eqNullSafe(F.col("of")), "left")
+    hit = lambda s: F.when(s["uid"].isNull(), F.try_element_at("hits", form(s)))
+    named = F.transform("spans", lambda s: F.struct(s["text"].alias("text"), F.coalesce(hit(s)["kind"], s["kind"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["confidence"].alias("confidence"), F.coalesce(s["uid"], hit(s)["uid"]).alias("uid")).cast(SPAN))
+    return both.select("id", "text", F.when(F.col("hits").isNull(), F.col("spans")).otherwise(named).alias("spans"))
 
 
 def relations_in(found: DataFrame) -> DataFrame:
@@ -166,7 +292,9 @@ def relations_in(found: DataFrame) -> DataFrame:
     s = exploded(found, sentences(F.col("text")), "s", "id", "spans")
     inside = F.filter("spans", lambda e: (e["start"] >= F.col("s.start")) & (e["stop"] <= F.col("s.stop")))
     s = s.select("id", "s", inside.alias("spans")).where(F.size("spans") >= 2)
-    verbs = F.concat(*(F.transform(matches(F.col("s.text"), f"(?i){p}"), _trigger(k)) for k, p in TRIGGERS.items()))
+    at, kinds = F.col("s.start"), F.array(*map(F.lit, TRIGGERS))
+    triggers = all_matches(F.col("s.text"), [f"(?i){p}" for p in TRIGGERS.values()])
+    verbs = F.flatten(F.zip_with(triggers, kinds, lambda found, k: F.transform(found, lambda m: F.struct(k.alias("type"), (m["start"] + at).alias("start"), (m["stop"] + at).alias("stop")))))
     t = exploded(s, verbs, "t", "id", "s", "spans")
     before = F.filter("spans", lambda e: e["stop"] <= F.col("t.start"))
     after = F.filter("spans", lambda e: e["start"] >= F.col("t.stop"))

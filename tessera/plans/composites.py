@@ -231,6 +231,22 @@ def gazetteer(s, d):
     return extraction.gazetteer(e).where("not part").select("norm", "uid")
 
 
+@query(
+    "J06_known_spans",
+    f"""WITH row AS ({M.NARRATIVE_ROWS_SQL}), doc AS (SELECT id, string_split({M.NARRATIVE_TEXT_SQL}, ' ') AS w FROM row),
+  ent AS (SELECT uid, 'person' AS kind, name FROM ({M.PERSONS_SQL}) UNION ALL SELECT DISTINCT 'f-' || firm, 'organization', firm FROM row),
+  known AS (SELECT lower(name) AS norm, min(uid) AS uid, min(kind) AS kind FROM ent GROUP BY 1),
+  gram AS (SELECT id, length(array_to_string(w[1:i], ' ')) + CASE WHEN i > 0 THEN 1 ELSE 0 END AS start, trim(w[i + 1] || ' ' || w[i + 2], '.') AS text FROM doc, unnest(range(len(w) - 1)) AS u(i))
+  SELECT id, text, kind, start::INTEGER AS start, (start + length(text))::INTEGER AS stop, 0.97::DOUBLE AS confidence, uid FROM gram JOIN known ON lower(text) = norm""",
+)
+def known_spans(s, d):
+    docs = M.narratives(s, d)
+    firms = docs.select(F.concat(F.lit("f-"), "firm").alias("uid"), F.lit("organization").alias("type"), F.col("firm").alias("name"), F.array().cast("array<string>").alias("aliases")).distinct()
+    named = M.persons(s, d).select("uid", F.lit("person").alias("type"), "name", "aliases").unionByName(firms)
+    found = extraction.gazetteer_spans(spread(docs.select("id", "text")), extraction.gazetteer(named))
+    return extraction.exploded(found, F.col("listed"), "s", "id").select("id", "s.text", "s.kind", "s.start", "s.stop", "s.confidence", "s.uid")
+
+
 @query("J13_extraction_summary")
 def extraction_summary(s, d):
     found = stored(extraction.entities_in(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))), "spans")
