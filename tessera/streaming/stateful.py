@@ -6,12 +6,15 @@ goes through them with only the present key's state in memory. In a stream, the
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.session import reachable
@@ -41,6 +44,8 @@ def rate_limit(limit: int, seconds: float = 60.0) -> Step:
             return tuple(recent), False
         return (*recent, now), True
 
+    # accepted calls count up to `seconds` after the last of them
+    step.expires = lambda state: state[-1] + seconds if state else 0.0
     return step
 
 
@@ -68,6 +73,8 @@ def lock_out(failures: int = 5, seconds: float = 900.0) -> Step:
             return (0, row.seconds + seconds), "ACCOUNT_LOCKED"
         return (count + 1, 0.0), "FAILED"
 
+    # failures count until a success or a lock, however old; a lock ends at its time
+    step.expires = lambda state: None if state[0] else state[1]
     return step
 
 
@@ -112,8 +119,6 @@ def folded(rows: DataFrame, key: str, order: list[str], step: Step, kind: str) -
 
 def folded_stream(rows: DataFrame, key: str, order: list[str], step: Step, kind: str, state_kind: str) -> DataFrame:
     """As folded(), on a stream: each micro-batch's rows of a key go on from its stored state, a JSON string."""
-    import json
-
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", result {kind}"
     names = rows.columns
 
@@ -131,6 +136,55 @@ def folded_stream(rows: DataFrame, key: str, order: list[str], step: Step, kind:
     return rows.groupBy(key).applyInPandasWithState(work, schema, state_kind, "append", GroupStateTimeout.NoTimeout)
 
 
+class _Fold(StatefulProcessor):
+    """A step over the rows of a key; a timer clears the state when it no longer differs from none."""
+
+    def __init__(self, order: list[str], step: Step, columns: list[str]) -> None:
+        self.order, self.step, self.columns = order, step, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = tuple(json.loads(self.state.get()[0])) if self.state.exists() else None
+        b = pd.concat(list(rows)).sort_values(self.order)
+        out = []
+        for row in b.itertuples(index=False):
+            state, result = self.step(state, row)
+            out.append(result)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        until = self.step.expires(state)
+        if until is None:
+            self.state.update((json.dumps(state),))
+        elif until <= 0:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(state),))
+            self.handle.registerTimer(math.ceil(until * 1000) + 1)
+        yield b.assign(result=out)[self.columns]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def timed_stream(rows: DataFrame, key: str, at: str, delay: str, order: list[str], step: Step, kind: str) -> DataFrame:
+    """As folded_stream(), but keys whose state has run out by the watermark leave the state store.
+
+    `at` is the rows' time, of which `seconds` are the seconds since 1970; rows later than `delay` are dropped. The step
+    must say by `expires` when its state runs out. The session's state store must be RocksDB's.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", result {kind}"
+    reachable(rows.sparkSession)
+    own = rows.where(F.col(key).isNotNull()).withWatermark(at, delay)
+    return own.groupBy(key).transformWithStateInPandas(_Fold(order, step, [*rows.columns, "result"]), schema, "Append", "EventTime")
+
+
 def history(accepted: DataFrame, key: str, at: str) -> DataFrame:
     """Accepted changes numbered by key, with the status before."""
     from pyspark.sql import Window

@@ -126,6 +126,76 @@ def test_feeds(spark, tmp_path):
     assert S.replay(feed, 4).count() == 2
 
 
+def test_feed_restarts_and_polls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "RING", 3)
+    inbox, path, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "feed", "checkpoint"))
+
+    def run(first, number):
+        spark.range(first, first + number).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("id bigint").parquet(inbox)
+        q = feeds.numbered_feed(stream, ["id"], path, checkpoint)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    with pytest.raises(ValueError):
+        feeds.poll(spark, path)
+    for i in range(5):
+        run(i * 10, 4)
+    assert feeds.last_seq(spark, path) == 20 and sorted(feeds._entries(spark, path)) == [3, 4]
+    assert feeds._entries(spark, path)[4] == [[2, 12], [3, 16], [4, 20]]
+    rows = {r.id: r.seq for r in feeds.poll(spark, path).collect()}
+    assert rows == {i * 10 + k: i * 4 + k + 1 for i in range(5) for k in range(4)}
+    for since in range(21):
+        assert sorted(r.seq for r in feeds.poll(spark, path, since).collect()) == list(range(since + 1, 21))
+    assert {r.batch for r in feeds.poll(spark, path, 17).collect()} == {4}
+    # a batch that failed after its rows were written and before they were published isn't seen, and gets the same numbers again
+    for f in (tmp_path / "feed" / "_published").glob("*4*"):
+        f.unlink()
+    for name in ("4", ".4.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    assert feeds.last_seq(spark, path) == 16 and feeds.poll(spark, path).count() == 16
+    run(50, 1)
+    assert {r.id: r.seq for r in feeds.poll(spark, path).collect()} == rows | {50: 21}
+    # the entry before is needed
+    for f in (tmp_path / "feed" / "_published").glob("*"):
+        f.unlink()
+    with pytest.raises(Exception, match="has no entry"):
+        run(60, 1)
+
+
+@pytest.mark.parametrize("step, kind", [(S.rate_limit(3), "boolean"), (S.lock_out(3, 50.0), "string")])
+def test_state_leaves_when_it_has_run_out(spark, tmp_path, step, kind):
+    schema = "key string, at timestamp, seconds double, success boolean, id int"
+    times = [[("a", 0), ("b", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5)], [("a", 30), ("a", 61), ("c", 62), ("e", 63), ("e", 64), ("e", 65)], [("d", 500)], [("d", 501)], [("a", 502), ("b", 503)]]
+    batches, n = [], 0
+    for part in times:
+        batches.append([(k, 1000 + t, k == "d", n + i) for i, (k, t) in enumerate(part)])
+        n += len(part)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got, sizes = {}, []
+    make = lambda rows: spark.createDataFrame(rows, "key string, t int, success boolean, id int").select("key", F.timestamp_seconds("t").alias("at"), F.col("t").cast("double").alias("seconds"), "success", "id")
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        (tmp_path / "in").mkdir()
+        out = S.timed_stream(stream, "key", "at", "0 seconds", ["seconds", "id"], step, kind)
+        q = out.writeStream.foreachBatch(lambda b, _: got.update({r.id: r.result for r in b.collect()})).option("checkpointLocation", f"{tmp_path}/state").start()
+        try:
+            for i, rows in enumerate(batches):
+                make(rows).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+                q.processAllAvailable()
+                sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+        finally:
+            q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    whole = S.folded(make([r for b in batches for r in b]), "key", ["seconds", "id"], step, kind)
+    assert got == {r.id: r.result for r in whole.collect()}
+    assert sizes[2] < sizes[1], sizes
+
+
 def test_spread(spark):
     one, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
     cores = spark.sparkContext.defaultParallelism
