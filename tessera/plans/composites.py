@@ -9,6 +9,7 @@ from tessera.functions import geo
 from tessera.functions import text as X
 from tessera.operators import extraction, graph, patterns, places, writes
 from tessera.plans import model as M
+from tessera.sources import cases
 from tessera.storage import spread, stored
 from tessera.plans.queries import ALL_LIVE, ALL_REL, ENT, INC, SRV, ZON, _adj, _all_adj, _all_hubs, _all_live, _all_nodes, _hubs, dist, machine_sql, paths_sql, query
 from tessera.streaming import stateful
@@ -231,6 +232,45 @@ def gazetteer(s, d):
     return extraction.gazetteer(e).where("not part").select("norm", "uid")
 
 
+def _order_files(s, d):
+    """A case file rendered from each order: its customer and parts as entities, its lines (at most seven) as relationships."""
+    line = M.table(s, d, "lineitem").join(M.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    customer = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    relation = F.struct(
+        F.col("l_linenumber").alias("n"), F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("id"), customer.alias("from"), part.alias("to"), F.lit("ORDERED").alias("relationship"),
+        F.when(F.col("l_returnflag") == "R", "inferred").otherwise("observed").alias("evidence_type"), (1 - F.col("l_discount")).alias("confidence"),
+        F.concat(F.lit("Day "), (F.col("l_linenumber") * 2).cast("string")).alias("time"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("FIR "), part)).alias("source"),
+    )
+    rows = line.groupBy("l_orderkey", customer.alias("customer")).agg(F.array_sort(F.collect_list(relation)).alias("relationships"), F.collect_set(part).alias("parts"))
+    entity = lambda uid, kind, role: F.struct(uid.alias("id"), F.lit(kind).alias("type"), role.alias("role"))
+    listed = F.concat(F.array(entity(F.col("customer"), "person", F.lit("witness"))), F.transform("parts", lambda p: entity(p, "case", F.lit(None).cast("string"))))
+    text = F.to_json(F.struct(F.struct(F.col("customer").alias("title")).alias("metadata"), listed.alias("entities"), "relationships"))
+    return rows.select(F.col("l_orderkey").alias("case_id"), text.alias("text"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("-")).alias("prefix"), F.to_date(F.lit("2026-01-01")).alias("day_one"))
+
+
+@query(
+    "A10_case_relationships",
+    """SELECT l_orderkey AS case_id, 'R' || l_linenumber AS rel_id, 'o' || l_orderkey || '-c' || o_custkey AS source, 'o' || l_orderkey || '-p' || l_partkey AS target, 'ORDERED' AS type,
+  CASE WHEN l_returnflag = 'R' THEN 'INFERRED' ELSE 'OBSERVED' END AS status, 1 - l_discount AS confidence, (DATE '2026-01-01' + (2 * l_linenumber - 1)::INTEGER)::DATE AS day, 'Day ' || 2 * l_linenumber AS time_label,
+  CASE WHEN l_linestatus = 'O' THEN 'FIR p' || l_partkey ELSE 'Case file' END AS source_ref, CASE WHEN l_linestatus = 'O' THEN 'FIR' ELSE 'Records' END AS source_type,
+  'EV-' || lpad((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey, l_returnflag <> 'R', 1 - l_discount, l_linestatus = 'O'))::VARCHAR, 4, '0') AS evidence_ref FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def case_relationships(s, d):
+    parts = stored(cases.sections(_order_files(s, d)), "sections")
+    return cases.relationships(parts, cases.entities(parts))
+
+
+@query(
+    "A10_case_entities",
+    """SELECT DISTINCT l_orderkey AS case_id, 'o' || l_orderkey || '-p' || l_partkey AS uid, 'case_record' AS type, NULL AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT DISTINCT l_orderkey, 'o' || l_orderkey || '-c' || o_custkey, 'person', 'Witness' FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def case_entities(s, d):
+    found = cases.entities(cases.sections(_order_files(s, d)))
+    return found.select("case_id", "uid", "type", F.try_element_at("attributes", F.lit("role")).alias("role"))
+
+
 @query(
     "J06_known_spans",
     f"""WITH row AS ({M.NARRATIVE_ROWS_SQL}), doc AS (SELECT id, string_split({M.NARRATIVE_TEXT_SQL}, ' ') AS w FROM row),
