@@ -7,7 +7,7 @@ import random
 
 import duckdb
 
-from tessera.plans import workflows
+from tessera.plans import composites, workflows
 from tessera.plans.queries import ORACLE_SQL
 from tessera.sources import cases
 
@@ -36,3 +36,7 @@ def test_roster_leaves_out_the_rest_of_a_second(spark, tmp_path):
         expected = con.execute(ORACLE_SQL["T04_roster"]).fetchall()
     got = [tuple(r) for r in workflows.roster(spark, str(tmp_path)).collect()]
     assert got == expected and [(r[0], r[4]) for r in got] == [(7, 1)]
+
+
+def test_role_visibility_deals_no_relations_by_status(spark, small):
+    assert "SortMergeJoin" not in plan(composites.role_visibility(spark, small))  # most relations have one status
