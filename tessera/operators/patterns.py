@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 
 def shared(incidents: DataFrame, key: Column, kind: str, least: int, cap: float, base: float, step: float, per_place: float = 0.0) -> DataFrame:
     """Groups of at least `least` incidents with one key; confidence grows with the incidents and their places."""
@@ -35,6 +39,32 @@ def findings(incidents: DataFrame, vehicle: Column, device: Column, place: Colum
     return shared_vehicle(incidents, vehicle).union(shared_device(incidents, device)).union(concentration(incidents, place)).union(common_subject(incidents, subject))
 
 
+#: Encounters that a cell of encounters() holds about, and the blocks of ids at least.
+CELL_PAIRS, LEAST_BLOCKS = 2_000_000, 4
+
+
+def encounters(slots: DataFrame, largest: int = CELL_PAIRS) -> DataFrame:
+    """(cell, a, b, location, day, time) for a < b in one slot; slots: different (uid, location, day) with a time, the earlier of two stays.
+
+    All rows of a pair are in one cell, and a cell in one task, so sums by (cell, a, b) need no shuffle. Ids are
+    dealt to blocks by hash, and a cell holds the slots of two blocks: shuffled are the slots, once for each block, in
+    place of the pairs, which grow with the square of a slot's ids. A crowded slot is dealt evenly over all cells.
+    """
+    slots = stored(slots.where("uid is not null and location is not null and day is not null"), "slots")
+    pairs = slots.groupBy("location", "day").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(2 * pairs / largest)))
+    own = slots.withColumn("own", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = F.col("own") <= F.col("other")
+    dealt = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("same"), first.alias("first"), "uid", "location", "day", "time")
+    dealt = dealt.repartition(blocks * (blocks + 1) // 2, "cell")
+    one = F.struct("uid", "time")
+    met = dealt.groupBy("cell", "location", "day").agg(F.first("same").alias("same"), F.collect_list(F.when(F.col("first"), one)).alias("xs"), F.collect_list(F.when(~F.col("first"), one)).alias("ys"))
+    met = met.select("cell", "location", "day", "same", F.explode("xs").alias("x"), F.when(F.col("same"), F.col("xs")).otherwise(F.col("ys")).alias("ys"))
+    met = met.select("cell", "location", "day", "same", "x", F.explode("ys").alias("y")).where("not same or x.uid < y.uid")
+    return met.select("cell", F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"), "location", "day", F.least("x.time", "y.time").alias("time"))
+
+
 def repeated_encounters(events: DataFrame, linked: DataFrame | Column, least: float = 0.55) -> DataFrame:
     """Events (uid, location, at) to pairs that met again and again though they aren't linked: rows (a, b), or a rule over a and b.
 
@@ -42,20 +72,14 @@ def repeated_encounters(events: DataFrame, linked: DataFrame | Column, least: fl
     earlier half. Confidence: .28 + .14 a location + .09 a day + .08 if escalating, at most .90.
     """
     slots = events.select("uid", "location", F.to_date("seen_at").alias("day"), F.col("seen_at").alias("time")).groupBy("uid", "location", "day").agg(F.min("time").alias("time"))
-    a = slots.select(F.col("uid").alias("a"), "location", "day", F.col("time").alias("ta"))
-    b = slots.select(F.col("uid").alias("b"), "location", "day", F.col("time").alias("tb"))
-    met = a.join(b, ["location", "day"]).where("a < b")
+    met = encounters(slots.withColumn("time", F.unix_seconds(F.col("time").cast("timestamp"))))
     if isinstance(linked, Column):
         met = met.where(~linked)
-    else:
-        met = met.join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    met = met.select("a", "b", "location", "day", F.unix_seconds(F.least("ta", "tb").cast("timestamp")).alias("time"))
-    grouped = met.groupBy("a", "b").agg(
-        F.count("*").alias("slots"),
-        F.count_distinct("location").alias("locations"),
-        F.count_distinct("day").alias("days"),
-        F.sort_array(F.collect_list("time")).alias("times"),
-    )
+    grouped = met.groupBy("cell", "a", "b").agg(F.collect_list(F.struct("time", "location", "day")).alias("met")).where(F.size("met") >= 2)
+    different = lambda c: F.size(F.array_distinct(F.col(f"met.{c}"))).cast("long").alias(f"{c}s")
+    grouped = grouped.select("a", "b", F.size("met").cast("long").alias("slots"), different("location"), different("day"), F.sort_array("met.time").alias("times"))
+    if not isinstance(linked, Column):
+        grouped = grouped.join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     t, n = F.col("times"), F.size("times")
     mid = F.element_at(t, (F.floor(n / 2) + 1).cast("int"))
     span = lambda x: F.when(F.floor(x / 86_400) == 0, 1).otherwise(F.floor(x / 86_400))

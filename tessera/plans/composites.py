@@ -64,7 +64,8 @@ def services_per_zone(s, d):
 @query("C20_colocation", f"WITH e AS (SELECT DISTINCT subject, zone_id, CAST(seen_at AS DATE) AS day FROM {INC} WHERE priority = 'CRITICAL') SELECT a.subject AS a, b.subject AS b, count(*) AS n FROM e a JOIN e b ON a.zone_id = b.zone_id AND a.day = b.day AND a.subject < b.subject GROUP BY 1, 2")
 def colocation(s, d):
     e = M.incidents(s, d).where("priority = 'CRITICAL'").select("subject", "zone_id", F.to_date("seen_at").alias("day")).distinct()
-    return e.withColumnRenamed("subject", "a").join(e.withColumnRenamed("subject", "b"), ["zone_id", "day"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = patterns.encounters(e.select(F.col("subject").alias("uid"), F.col("zone_id").alias("location"), "day", F.lit(0).alias("time")))
+    return met.groupBy("cell", "a", "b").agg(F.count("*").alias("n")).drop("cell")
 
 
 @query("C22_supporting_records", f"SELECT a, b, string_agg(rid::VARCHAR, ',' ORDER BY rid) AS records FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, rid FROM {ALL_REL}) GROUP BY a, b")

@@ -8,6 +8,7 @@ import random
 import duckdb
 
 from tessera.plans import composites, workflows
+from tessera.operators import patterns
 from tessera.plans.queries import ORACLE_SQL
 from tessera.sources import cases
 
@@ -40,3 +41,14 @@ def test_roster_leaves_out_the_rest_of_a_second(spark, tmp_path):
 
 def test_role_visibility_deals_no_relations_by_status(spark, small):
     assert "SortMergeJoin" not in plan(composites.role_visibility(spark, small))  # most relations have one status
+
+
+def test_encounters_are_those_of_all_pairs(spark):
+    draw = random.Random(5)
+    rows = sorted({(draw.randrange(40), draw.randrange(3), datetime.date(2024, 1, 1 + draw.randrange(3)), 0) for _ in range(300)} | {(u, 9, datetime.date(2024, 1, 9), 0) for u in range(100)})
+    met = patterns.encounters(spark.createDataFrame(rows, "uid long, location int, day date, time int"), largest=200)
+    got = sorted((r.a, r.b, r.location, r.day) for r in met.collect())
+    assert got == sorted((x[0], y[0], x[1], x[2]) for x, y in itertools.product(rows, rows) if x[0] < y[0] and x[1:3] == y[1:3])
+    sums = met.groupBy("cell", "a", "b").count()
+    assert sums.groupBy("a", "b").count().where("count > 1").isEmpty()
+    assert plan(sums).count("Exchange") == 1  # the slots; pairs aren't shuffled
