@@ -6,9 +6,10 @@ import json
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tessera.plans import composites, workflows
-from tessera.operators import patterns
+from tessera.operators import patterns, resolution
 from tessera.plans.queries import ORACLE_SQL
 from tessera.sources import cases
 
@@ -52,3 +53,16 @@ def test_encounters_are_those_of_all_pairs(spark):
     sums = met.groupBy("cell", "a", "b").count()
     assert sums.groupBy("a", "b").count().where("count > 1").isEmpty()
     assert plan(sums).count("Exchange") == 1  # the slots; pairs aren't shuffled
+
+
+def test_exact_pairs_meet_at_no_hub(spark):
+    """Each record has one place that all share; two with an abbreviation share a second one, which is enough."""
+    empty, none = [], {}
+    rows = [(f"p{i:03}", "person", f"{chr(65 + i % 26)}{chr(97 + i % 25)}n Rao", empty, none, ["c"]) for i in range(300)] + [("q1", "person", "Asha Rao", empty, none, ["c"]), ("q2", "person", "A. Rao", empty, none, ["c"])]
+    records = spark.createDataFrame(rows, "uid string, type string, name string, aliases array<string>, attributes map<string,string>, cases array<string>")
+    edges = spark.createDataFrame([(r[0], "hub") for r in rows] + [("q1", "x"), ("q2", "x"), ("p000", "y")], "uid string, neighbour string")
+    assert [(r.a, r.b) for r in resolution.exact_pairs(records, edges).collect()] == [("q1", "q2")]
+    two = records.withColumn("cases", F.array(F.lit("c"), F.lit("d")))  # one common neighbour is enough with two cases
+    got = {(r.a, r.b) for r in resolution.exact_pairs(two, edges).collect()}
+    assert ("q1", "q2") in got and ("p000", "q2") in got
+    assert got == {tuple(r) for r in resolution._abbreviated(two.select("uid", "name", "aliases", F.lit(1).alias("key"), F.lit(0).alias("role")), 1000).collect()}
