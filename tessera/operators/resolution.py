@@ -131,7 +131,8 @@ def _abbreviated(rows: DataFrame, many: int = MANY) -> DataFrame:
     rows = stored(rows, "ended")
     large = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key"), "large")
     roles = "(ra.role = 0 and rb.role = 0) or ra.role + rb.role = 3"
-    small = rows.join(large, "key", "left_anti")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, costly comparisons: not to be merged into few tasks
+    small = rows.join(large, "key", "left_anti").repartition(parts, "key")
     direct = small.alias("ra").join(small.alias("rb"), F.col("ra.key") == F.col("rb.key")).where("ra.uid < rb.uid").where(roles).where(_short()).select(F.col("ra.uid").alias("a"), F.col("rb.uid").alias("b"))
     crowd = rows.join(large, "key", "left_semi")
     named = stored(crowd.select("key", "role", "name", "aliases").distinct(), "names")
