@@ -9,8 +9,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.plans import composites, workflows
-from tessera.operators import patterns, resolution
-from tessera.plans.queries import ORACLE_SQL
+from tessera.operators import graph, patterns, resolution
+from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources import cases
 
 
@@ -66,3 +66,28 @@ def test_exact_pairs_meet_at_no_hub(spark):
     got = {(r.a, r.b) for r in resolution.exact_pairs(two, edges).collect()}
     assert ("q1", "q2") in got and ("p000", "q2") in got
     assert got == {tuple(r) for r in resolution._abbreviated(two.select("uid", "name", "aliases", F.lit(1).alias("key"), F.lit(0).alias("role")), 1000).collect()}
+
+
+def _plain_modularity(edges, label):
+    total = {}
+    for e in edges:
+        for n in e:
+            total[label[n]] = total.get(label[n], 0) + 1
+    return sum(label[a] == label[b] for a, b in edges) / len(edges) - sum((t / (2 * len(edges))) ** 2 for t in total.values())
+
+
+def test_small_components_take_no_rounds_of_moves(spark, small, monkeypatch):
+    """Rings of twelve in threes, and a larger component: only its rows go by rounds, and all get communities."""
+    rings = [(f"r{i}-{j}", f"r{i}-{(j + 1) % 12}") for i in range(8) for j in range(12)]
+    draw = random.Random(4)
+    large = sorted({(f"g{a}", f"g{b}") for a, b in (sorted(draw.sample(range(40), 2)) for _ in range(120))} | {("g0", f"g{i}") for i in range(1, 40)})
+    adj = graph.adjacency(spark.createDataFrame(rings + large, "src string, dst string"))
+    seen, inner = [], graph.moves
+    monkeypatch.setattr(graph, "moves", lambda adj_, *rest: seen.append({r.u[0] for r in adj_.select("u").distinct().collect()}) or inner(adj_, *rest))
+    found = {r.node: r.community for r in graph.modularity_communities(adj, whole=100).collect()}
+    assert seen and set().union(*seen) == {"g"}
+    assert found.keys() == {n for e in rings + large for n in e} and all(found[a].split("-")[0] == a.split("-")[0] or a[0] == found[a][0] == "g" for a in found)
+    assert _plain_modularity(rings + large, found) >= _plain_modularity(rings + large, {a: a.split("-")[0] if a[0] == "r" else "g" for a in found}) - 1e-9
+    seen.clear()
+    assert QUERIES["I12_communities"](spark, small).count() == QUERIES["I10_components"](spark, small).count()
+    assert not seen
