@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import places
@@ -26,8 +26,7 @@ def raised(signals: DataFrame, zones: DataFrame, services: DataFrame) -> Raised:
     neither. Every signal has one row in each table.
     """
     at = signals.where("lat is not null and lng is not null").select("sos_id", "lat", "lng")
-    order = Window.partitionBy("sos_id").orderBy("distance", "service_id")
-    three = places.within(at, services, F.lit(REACH_KM)).withColumn("p", F.row_number().over(order)).where(F.col("p") <= CONTACTS)
+    three = places.closest(at, services, "sos_id", "service_id", CONTACTS, REACH_KM)
     called = three.groupBy("sos_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "service_id"))), lambda r: r["service_id"]).alias("contacts"))
     near = places.nearest(at, zones, "sos_id", "zone_id").select("sos_id", "zone_id")
     sos = signals.join(near, "sos_id", "left").join(called, "sos_id", "left").withColumn("status", F.lit("RECEIVED")).withColumn("sos_ref", F.format_string("SOS-%04d", "sos_id"))

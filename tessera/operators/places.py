@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.storage import stored
 
 
 def _cells(value: Column, reach: Column, degrees: float) -> Column:
@@ -40,6 +43,34 @@ def nearest(points: DataFrame, centres: DataFrame, key: str, ident: str, reaches
     return found
 
 
+#: Places that the first reach of closest() holds about, where they stand closest.
+FIRST_PLACES = 12
+
+
+def closest(points: DataFrame, centres: DataFrame, key: str, ident: str, k: int, reach: float) -> DataFrame:
+    """(key, ident, distance, p): the k nearest centres (ident, clat, clng) of each point within reach km, p from 1; ties go to the smaller ident.
+
+    Of centres at one place only the k smallest can be among them. The first reach is chosen by how close places stand, and
+    points with fewer than k centres in a reach go on to one twice as long, so the pairs of a point don't grow with the centres.
+    """
+    first = Window.partitionBy("clat", "clng").orderBy(ident)
+    centres = stored(centres.withColumn("p", F.row_number().over(first)).where(F.col("p") <= k).drop("p"), "centres")
+    cell = centres.select("clat", "clng").distinct().groupBy(geo.cell(F.col("clat"), 0.05).alias("x"), geo.cell(F.col("clng"), 0.05).alias("y")).count()
+    most = cell.agg(F.max("count")).first()[0] or 1
+    halves = max(0, math.floor(math.log2(reach / (0.05 * geo.KM_PER_DEGREE * math.sqrt(FIRST_PLACES / (math.pi * most))))))
+    order = Window.partitionBy(key).orderBy("distance", ident)
+    found, left = None, stored(points, "points")
+    for step in range(halves, -1, -1):
+        limit = reach / 2**step
+        near = within(left, centres, F.lit(limit), min(0.05, 2 * limit / geo.KM_PER_DEGREE)).withColumn("p", F.row_number().over(order)).where(F.col("p") <= k)
+        best = stored(near.select(key, ident, "distance", "p"), "closest")
+        done = best.where(F.col("p") == k).select(key)
+        own = best.join(done, key, "left_semi") if step else best
+        found = own if found is None else found.union(own)
+        left = left.join(done, key, "left_anti")
+    return found
+
+
 def heatmap(incidents: DataFrame, zones: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted kernel density of each zone, its share of the largest, and bands.
 

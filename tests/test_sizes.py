@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.plans import composites, workflows
-from tessera.operators import graph, patterns, resolution
+from tessera.operators import alerts, graph, patterns, places, resolution
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources import cases
 
@@ -105,3 +105,29 @@ def test_undecided_pairs_are_not_shuffled(spark, tmp_path, monkeypatch):
     out = workflows.undecided(spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == expected
     assert plan(out).split("SortMergeJoin")[0].count("Exchange") == 0
+
+
+def test_contacts_meet_few_services_of_a_crowd(spark, monkeypatch):
+    """Services crowded in one quarter, 100 of them at one place: the nearest three within reach, as from all pairs."""
+    draw = random.Random(6)
+    spots = [(28.5 + draw.random() * 0.04, 77.0 + draw.random() * 0.04) for _ in range(300)] + [(28.52, 77.02)] * 100 + [(28.7, 77.3), (28.7, 77.31)]
+    services = [(i, *at) for i, at in enumerate(spots)]
+    signals = [(i, None, None, 28.5 + draw.random() * 0.04, 77.0 + draw.random() * 0.04, None) for i in range(40)]
+    signals += [(40, None, None, 28.7, 77.3, None), (41, None, None, 10.0, 10.0, None), (42, None, None, None, None, None), (43, None, None, 28.52, 77.02, None)]
+    made, inner = [], places.within
+
+    def watched(points, centres, *rest):
+        out = inner(points, centres, *rest)
+        if "service_id" in centres.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(places, "within", watched)
+    s = spark.createDataFrame(signals, "sos_id long, subject_name string, note string, lat double, lng double, raised_at timestamp_ntz")
+    v = spark.createDataFrame(services, "service_id long, clat double, clng double")
+    z = spark.createDataFrame([(1, 28.5, 77.0)], "zone_id int, clat double, clng double")
+    got = {r.sos_id: r.contacts for r in alerts.raised(s, z, v).sos.collect()}
+    far = inner(s, v, F.lit(alerts.REACH_KM)).select("sos_id", "distance", "service_id").collect()
+    want = {r[0]: [x[2] for x in sorted(r2 for r2 in map(tuple, far) if r2[0] == r[0])[:3]] for r in signals}
+    assert got == want and want[43] == [300, 301, 302] and len(want[40]) == 2 and want[41] == []
+    assert sum(made) < len(far) / 8
