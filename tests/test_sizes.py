@@ -131,3 +131,20 @@ def test_contacts_meet_few_services_of_a_crowd(spark, monkeypatch):
     want = {r[0]: [x[2] for x in sorted(r2 for r2 in map(tuple, far) if r2[0] == r[0])[:3]] for r in signals}
     assert got == want and want[43] == [300, 301, 302] and len(want[40]) == 2 and want[41] == []
     assert sum(made) < len(far) / 8
+
+
+def test_levels_and_ids_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (plans.append((name, plan(df))), keep(df, name))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    adj = keep(graph.adjacency(edges), "adjacency")
+    nodes = adj.select(F.col("u").alias("uid")).distinct()
+    close = {r.uid: r.closeness for r in graph.closeness(nodes, adj, whole=0).collect()}
+    between = {r.uid: r.betweenness for r in graph.betweenness(nodes, adj, whole=0).collect()}
+    assert close == {"a": 0.5, "b": 0.75, "c": 0.75, "d": 0.5} and between["a"] == 0 and between["b"] > 0.6
+    seen = [p for name, p in plans if name in ("steps", "level", "delta")]
+    assert len(seen) > 8 and not any("BroadcastHashJoin" in p for p in seen)  # a level's file looks small, and rounds add up
+    entities = keep(nodes.withColumn("active", F.lit(True)), "entities")
+    relations = keep(edges.withColumn("status", F.lit("OBSERVED")), "relations")
+    assert "BroadcastHashJoin" not in plan(graph.project(entities, relations))
