@@ -284,13 +284,13 @@ def known_spans(s, d):
     docs = M.narratives(s, d)
     firms = docs.select(F.concat(F.lit("f-"), "firm").alias("uid"), F.lit("organization").alias("type"), F.col("firm").alias("name"), F.array().cast("array<string>").alias("aliases")).distinct()
     named = M.persons(s, d).select("uid", F.lit("person").alias("type"), "name", "aliases").unionByName(firms)
-    found = extraction.gazetteer_spans(spread(docs.select("id", "text")), extraction.gazetteer(named))
+    found = extraction.gazetteer_spans(spread(docs.select("id", "text"), extraction.TASKS), extraction.gazetteer(named))
     return extraction.exploded(found, F.col("listed"), "s", "id").select("id", "s.text", "s.kind", "s.start", "s.stop", "s.confidence", "s.uid")
 
 
 @query("J13_extraction_summary")
 def extraction_summary(s, d):
-    found = stored(extraction.entities_in(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))), "spans")
+    found = stored(extraction.entities_in(spread(M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), extraction.TASKS)), "spans")
     return extraction.summary(found, extraction.relations_in(found)).withColumn("confidence", F.round("confidence", 4))
 
 
