@@ -74,6 +74,23 @@ def removed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(keys, on, "left_anti")
 
 
+#: Rows that a task looks for keys in, so that its memory stays the same for a larger table.
+TASK_ROWS = 500_000
+
+
+def unmatched(rows: DataFrame, wanted: Column, known: Column, on: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The different keys of rows that are wanted and that no known row has (wanted, known: conditions on rows).
+
+    Both kinds are dealt by their key in one shuffle, over as many tasks as the rows ask for, and marked in an aggregate:
+    nothing is sorted or collapsed before. A key with a null equals none, as in NOT EXISTS.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // task_rows))
+    both = rows.where(wanted | known).select(*on, wanted.alias("wanted"), known.alias("known")).repartition(tasks, *on)
+    marked = both.groupBy(*on).agg(F.bool_or("wanted").alias("wanted"), F.bool_or("known").alias("known"))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    return marked.where(F.col("wanted") & ~(F.coalesce("known", F.lit(False)) & whole)).select(*on)
+
+
 def replaced(rows: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     """Delete by key set, then insert: all rows of keys that the new rows have give way to them."""
     return rows.join(new.select(*on).distinct(), on, "left_anti").unionByName(new)

@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.plans import composites, workflows
-from tessera.operators import alerts, extraction, graph, patterns, places, resolution
+from tessera.operators import alerts, extraction, graph, patterns, places, resolution, writes
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources import cases
 
@@ -168,3 +168,12 @@ def test_live_relations_are_found_once(spark, small):
     semi = lambda name: plan(QUERIES[name](spark, small)).count("LeftSemi")
     assert semi("B17_typed_subgraph") == 8  # two for each of four kinds of relations; twice as many before
     assert semi("I29_overview") == 0 and semi("I18_neighbourhood") == 2  # of the stored live ones; before once more for each use
+
+
+def test_new_edges_are_dealt_over_tasks_by_their_number(spark, small):
+    rows = spark.createDataFrame([("a", "b", "new"), ("a", "b", "new"), ("c", "d", "new"), ("c", "d", "known"), (None, "e", "new"), (None, "e", "known"), ("f", "g", "known"), ("h", "i", "other"), ("j", "k", None)], "src string, dst string, status string")
+    found = writes.unmatched(rows, F.col("status") == "new", F.col("status") == "known", ["src", "dst"], task_rows=1)
+    assert found.rdd.getNumPartitions() == 9
+    assert {tuple(r) for r in found.collect()} == {("a", "b"), (None, "e")} and found.count() == 2
+    text = plan(QUERIES["C11_new_edges"](spark, small))
+    assert "Join" not in text and "Sort" not in text and text.count("Exchange") == 1  # a join and a distinct held all rows of a shuffle's fixed partitions
