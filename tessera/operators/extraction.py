@@ -40,6 +40,8 @@ RECOGNISERS: tuple[tuple[str, str, float], ...] = (
 )
 # fixed values: the characters that each recogniser's matches may begin with
 BEGINS = (r"+\d", "A-Z", r"₹RrIi\d", "A-Za-z", "@", r"A-Za-z0-9._%+\-", r"Ii\d", r"\dJFMASONDjfmasond", "Dd", "A-Z", "A-Z")
+# fixed values: what each recogniser's matches hold in any case, a digit or @; other texts aren't searched
+HOLD = ("[0-9]", "[0-9]", "[0-9]", "[0-9]", "@", "@", "[0-9]", "[0-9]", "[0-9]", "", "")
 # fixed values: a title before a name, and the form of a name
 HONORIFIC = r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt|Sh|Kum|Prof|Insp|SI|ASI|HC|Const)\.?\s+"
 HONORIFIC_NAME = HONORIFIC + r"[A-Z][A-Za-z.]*(?:\s+[A-Z][A-Za-z.]*){0,3}"
@@ -145,8 +147,12 @@ def _spans(found: Column, kind: Column | str, confidence: Column | float) -> Col
 
 def rule_spans(text: Column) -> Column:
     """All spans that rules find in a text, overlapping ones included."""
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence")) for kind, _, c in RECOGNISERS))
-    parts = [F.flatten(F.zip_with(all_matches(text, [begun(p, first) for (_, p, _), first in zip(RECOGNISERS, BEGINS, strict=True)]), kinds, lambda found, k: _spans(found, k["kind"], k["confidence"])))]
+    parts = []
+    for held in dict.fromkeys(HOLD):
+        own = [(r, first) for r, first, h in zip(RECOGNISERS, BEGINS, HOLD, strict=True) if h == held]
+        kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence")) for (kind, _, c), _ in own))
+        spans = F.flatten(F.zip_with(all_matches(text, [begun(p, first) for (_, p, _), first in own]), kinds, lambda found, k: _spans(found, k["kind"], k["confidence"])))
+        parts.append(F.when(text.rlike(held), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if held else spans)
     titled = F.transform(matches(text, begun(HONORIFIC_NAME, "MDSKPIAHC")), lambda m: F.struct(F.regexp_replace(m["text"], "^" + HONORIFIC, "").alias("text"), (m["stop"] - F.length(F.regexp_replace(m["text"], "^" + HONORIFIC, ""))).alias("start"), m["stop"].alias("stop")))
     parts.append(_spans(titled, "person", 0.94))
     names = F.filter(matches(text, begun(CAPITALISED, "A-Z")), lambda m: ~F.regexp_extract(m["text"], r"^\S+", 0).isin(*NOT_NAMES))
@@ -303,19 +309,24 @@ def _linked(found: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("id", "text", F.when(F.col("hits").isNull(), F.col("spans")).otherwise(named).alias("spans"))
 
 
-def relations_in(found: DataFrame) -> DataFrame:
-    """(id, source, target, type, confidence, source_uid, target_uid, trigger_start) of documents (id, text, spans)."""
-    s = exploded(found, sentences(F.col("text")), "s", "id", "spans")
+def relations_in(found: DataFrame, kinds: bool = False) -> DataFrame:
+    """(id, source, target, type, confidence, source_uid, target_uid, trigger_start) of documents (id, text, spans).
+
+    With kinds also source_kind and target_kind: that of the text's first span of those letters, whatever their case.
+    """
+    every = ["every"] if kinds else []
+    found = found.where(F.size("spans") >= 2).select("id", "text", "spans", *(F.col("spans").alias(c) for c in every))
+    s = exploded(found, sentences(F.col("text")), "s", "id", "spans", *every)
     inside = F.filter("spans", lambda e: (e["start"] >= F.col("s.start")) & (e["stop"] <= F.col("s.stop")))
-    s = s.select("id", "s", inside.alias("spans")).where(F.size("spans") >= 2)
-    at, kinds = F.col("s.start"), F.array(*map(F.lit, TRIGGERS))
+    s = s.select("id", "s", inside.alias("spans"), *every).where(F.size("spans") >= 2)
+    at, types = F.col("s.start"), F.array(*map(F.lit, TRIGGERS))
     triggers = all_matches(F.col("s.text"), [one_bound(p) for p in TRIGGERS.values()])
-    verbs = F.flatten(F.zip_with(triggers, kinds, lambda found, k: F.transform(found, lambda m: F.struct(k.alias("type"), (m["start"] + at).alias("start"), (m["stop"] + at).alias("stop")))))
-    t = exploded(s, verbs, "t", "id", "s", "spans")
+    verbs = F.flatten(F.zip_with(triggers, types, lambda found, k: F.transform(found, lambda m: F.struct(k.alias("type"), (m["start"] + at).alias("start"), (m["stop"] + at).alias("stop")))))
+    t = exploded(s, verbs, "t", "id", "s", "spans", *every)
     before = F.filter("spans", lambda e: e["stop"] <= F.col("t.start"))
     after = F.filter("spans", lambda e: e["start"] >= F.col("t.stop"))
-    t = t.select("id", "s", "t", before.alias("before"), after.alias("after")).where((F.size("before") > 0) & (F.size("after") > 0))
-    t = t.select("id", "s", "t", F.try_element_at("before", F.lit(-1)).alias("x"), F.get("after", F.lit(0)).alias("y"), "after")
+    t = t.select("id", "s", "t", before.alias("before"), after.alias("after"), *every).where((F.size("before") > 0) & (F.size("after") > 0))
+    t = t.select("id", "s", "t", F.try_element_at("before", F.lit(-1)).alias("x"), F.get("after", F.lit(0)).alias("y"), "after", *every)
     near = F.greatest(F.lit(0.4), 1 - (F.col("y.start") - F.col("x.stop")) / 220)
     sure = F.round(F.least(F.lit(0.95), 0.55 + 0.35 * near) * (F.col("x.confidence") + F.col("y.confidence")) / 2, 3)
     t = t.withColumn("confidence", sure)
@@ -325,7 +336,9 @@ def relations_in(found: DataFrame) -> DataFrame:
     between = F.expr("substring(s.text, y.stop - s.start + 1, payee.start - y.stop)")
     paid = F.col("payee").isNotNull() & between.rlike(r"(?i)\b(?:to|into|towards|in favour of)\b")
     rows = F.when(paid, F.array(row(F.col("y"), F.col("confidence")), row(F.col("payee"), F.round(F.col("confidence") * 0.97, 3)))).otherwise(F.array(row(F.col("y"), F.col("confidence"))))
-    out = t.select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    out = t.select("id", F.explode(rows).alias("r"), *every)
+    kind = lambda end: F.get(F.filter("every", lambda e: F.lower(e["text"]) == F.lower(F.col(f"r.{end}"))), F.lit(0))["kind"].alias(f"{end}_kind")
+    out = out.select("id", "r.*", *(kind(end) for end in ("source", "target") if kinds))
     best = Window.partitionBy("id", F.lower("source"), "type", F.lower("target")).orderBy(F.desc("confidence"), "trigger_start")
     return out.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 

@@ -26,9 +26,9 @@ def deduplicated(rows: DataFrame, columns: list[str], order: str, stored: DataFr
 def upserted_entities(mentions: DataFrame, known: DataFrame, prefix: str) -> DataFrame:
     """(type, norm, uid, created) of mentions (type, name): known (type, norm, uid) ones, else new ids by norm's hash.
 
-    An id from a hash needs no counter and no order over all mentions.
+    An id from a hash needs no counter and no order over all mentions. A name is made normal once for all its mentions.
     """
-    own = mentions.select("type", T.normal(F.col("name"), F.col("type")).alias("norm")).where("norm <> ''").distinct()
+    own = mentions.select("type", "name").distinct().select("type", T.normal(F.col("name"), F.col("type")).alias("norm")).where("norm <> ''").distinct()
     out = own.join(known.select("type", "norm", F.col("uid").alias("old")), ["type", "norm"], "left")
     new = F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", "type", "norm"), 256), 1, 16))
     return out.select("type", "norm", F.coalesce("old", new).alias("uid"), F.col("old").isNull().alias("created"))

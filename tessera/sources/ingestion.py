@@ -105,11 +105,8 @@ def row_facts(records: DataFrame, source_type: str, filename: str) -> DataFrame:
 
 def stated(found: DataFrame, filename: str) -> DataFrame:
     """NAMED_EDGE of the relations that texts (id, text, spans) state: inferred ones, at no time of their own."""
-    first = F.aggregate("spans", F.create_map().cast("map<string,string>"), lambda m, s: F.when(F.map_contains_key(m, F.lower(s["text"])), m).otherwise(F.map_concat(m, F.create_map(F.lower(s["text"]), s["kind"]))))
-    kinds = found.select("id", first.alias("kinds"))
-    r = extraction.relations_in(found).join(kinds, "id")
-    ends = [F.col("kinds")[F.lower(c)].alias(f"{name}_type") for c, name in (("source", "src"), ("target", "dst"))]
-    r = r.select(ends[0], F.col("source").alias("src"), ends[1], F.col("target").alias("dst"), "type", F.lit("INFERRED").alias("status"), "confidence", F.lit(f"NLP extraction from {filename}").alias("source"), F.lit(None).cast("timestamp").alias("occurred_at"))
+    r = extraction.relations_in(found, kinds=True)
+    r = r.select(F.col("source_kind").alias("src_type"), F.col("source").alias("src"), F.col("target_kind").alias("dst_type"), F.col("target").alias("dst"), "type", F.lit("INFERRED").alias("status"), "confidence", F.lit(f"NLP extraction from {filename}").alias("source"), F.lit(None).cast("timestamp").alias("occurred_at"))
     return r.where("src_type <> 'event' and dst_type <> 'event'")
 
 
@@ -120,14 +117,19 @@ def mentions(records: DataFrame) -> DataFrame:
 
 
 def linked(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """NAMED_EDGE rows as edges between entities (type, norm, uid), one of equal ones (the most certain), without loops."""
+    """NAMED_EDGE rows as edges between entities (type, norm, uid), one of equal ones (the most certain), without loops.
+
+    Rows equal by name collapse before they are made normal. Rows that a largest struct is taken of are dealt by their key
+    first, so they are sorted once: aggregates of structs sort, and would do so before the shuffle too.
+    """
+    edges = edges.groupBy(*NAMED_EDGE[:-1]).agg(F.max("occurred_at").alias("occurred_at"))
     for end in ("src", "dst"):
         edges = edges.withColumn(f"{end}_norm", T.normal(F.col(end), F.col(f"{end}_type")))
     key = ["src_type", "src_norm", "dst_type", "dst_norm", "type"]
-    edges = edges.groupBy(*key).agg(F.max(F.struct("confidence", "status", "source", "occurred_at")).alias("b"))
+    edges = edges.repartition(*key).groupBy(*key).agg(F.max(F.struct("confidence", "status", "source", "occurred_at")).alias("b"))
     for end in ("src", "dst"):
         edges = edges.join(entities.select(F.col("type").alias(f"{end}_type"), F.col("norm").alias(f"{end}_norm"), F.col("uid").alias(end)), [f"{end}_type", f"{end}_norm"])
-    return edges.where("src <> dst").groupBy("src", "dst", "type").agg(F.max("b").alias("b")).select("src", "dst", "type", "b.status", "b.confidence", "b.source", "b.occurred_at")
+    return edges.where("src <> dst").repartition("src", "dst", "type").groupBy("src", "dst", "type").agg(F.max("b").alias("b")).select("src", "dst", "type", "b.status", "b.confidence", "b.source", "b.occurred_at")
 
 
 def ingested(rows: DataFrame | None, key: str, known_hashes: DataFrame | None, known_entities: DataFrame, known_edges: DataFrame, job_id: str, source_type: str = "FIR", filename: str = "upload", blocks: DataFrame | None = None, size: int = 0) -> Ingested:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.plans import composites, workflows
 from tessera.operators import alerts, extraction, graph, patterns, places, resolution, writes
 from tessera.plans.queries import ORACLE_SQL, QUERIES
-from tessera.sources import cases
+from tessera.sources import cases, ingestion
 
 
 def plan(df):
@@ -177,3 +177,20 @@ def test_new_edges_are_dealt_over_tasks_by_their_number(spark, small):
     assert {tuple(r) for r in found.collect()} == {("a", "b"), (None, "e")} and found.count() == 2
     text = plan(QUERIES["C11_new_edges"](spark, small))
     assert "Join" not in text and "Sort" not in text and text.count("Exchange") == 1  # a join and a distinct held all rows of a shuffle's fixed partitions
+
+
+def test_stated_facts_have_the_kind_of_the_first_span_without_a_join(spark):
+    rows = [(1, "Asha met ORIENT. Orient rang.", [("Asha", "person", 0, 4, 0.9, None), ("ORIENT", "organization", 9, 15, 0.9, None), ("Orient", "person", 17, 23, 0.9, None)]), (2, "Asha rang.", [("Asha", "person", 0, 4, 0.9, None)]), (3, "", [])]
+    facts = ingestion.stated(spark.createDataFrame(rows, f"id long, text string, spans array<{extraction.SPAN}>"), "f.txt")
+    assert "Join" not in plan(facts)  # texts met their relations again for the kinds
+    assert [(r.src_type, r.src, r.type, r.dst_type, r.dst) for r in facts.collect()] == [("person", "Asha", "MET", "organization", "ORIENT")]
+
+
+def test_texts_without_digits_or_at_lose_no_span(spark):
+    texts = ["Mr Rahul Sharma met Orient Traders.", "call 9812345678 or asha@mail.in, @asha_r, Rs 5,000", "DL 8C AA 1234 on 10 January 2024, FIR 12/2024, Day 3", "R. Verma, 2 lakh", "", "\u0665 lakh @\u0967"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = F.array(*(F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))) for _, p, _ in extraction.RECOGNISERS))
+    n = F.aggregate(every, F.lit(0), lambda a, x: a + x).alias("n")
+    ruled = F.size(F.filter(extraction.rule_spans(F.col("text")), lambda s: ~s["confidence"].isin(0.68, 0.76, 0.94) | (s["kind"] == "transaction"))).alias("ruled")
+    got = docs.select(n, ruled).collect()
+    assert all(r.n == r.ruled for r in got) and sum(r.n for r in got) >= 9
