@@ -194,3 +194,25 @@ def test_texts_without_digits_or_at_lose_no_span(spark):
     ruled = F.size(F.filter(extraction.rule_spans(F.col("text")), lambda s: ~s["confidence"].isin(0.68, 0.76, 0.94) | (s["kind"] == "transaction"))).alias("ruled")
     got = docs.select(n, ruled).collect()
     assert all(r.n == r.ruled for r in got) and sum(r.n for r in got) >= 9
+
+
+def test_proposals_of_a_crowd_are_told_from_few_rows(spark, monkeypatch):
+    """A crowd of one birthday whose names stand for each other, each with a case and a place of its own, and records of many cases and places; against all pairs."""
+    draw = random.Random(4)
+    rows = [(f"p{i:03}", "person", "A. Rao" if i % 2 else "Asha Rao", None, {"dob": "d"}, [f"c{i}"]) for i in range(120)]
+    edges = [(r[0], r[0]) for r in rows]
+    for i in range(40):
+        name = f"{draw.choice(('Ravi', 'R.', 'Meera', 'M. K.', 'Anil K'))} {draw.choice(('Verma', 'V.', 'Nair'))}"
+        ids = {k: draw.choice("xyz") for k in ("address", "dob") if draw.random() < 0.5}
+        rows.append((f"q{i:03}", "person", name, [name.lower()] if i % 9 == 0 else [], ids, draw.sample("uvw", draw.randrange(4))))
+        edges += [(f"q{i:03}", n) for n in {"hub", *draw.sample("abcdef", draw.randrange(4))} if n != "hub" or i % 7]
+    records = spark.createDataFrame(rows, "uid string, type string, name string, aliases array<string>, attributes map<string,string>, cases array<string>").cache()
+    near = spark.createDataFrame(edges, "uid string, neighbour string").cache()
+    sizes, kept = [], resolution.stored
+    monkeypatch.setattr(resolution, "stored", lambda df, name: sizes.append(kept(df, name)) or sizes[-1])
+    got = {tuple(r) for r in resolution.proposals(records, edges=near, exact=True).select("a", "b", "score").collect()}
+    assert max(t.count() for t in sizes) < 1000  # of 3,600 pairs of such names in the crowd
+    key = resolution.blocking_keys(records)
+    every = key.alias("x").join(key.alias("y"), "key").where("x.uid < y.uid").selectExpr("x.uid as a", "y.uid as b").distinct()
+    want = {tuple(r) for r in resolution.score_pairs(records, every, near).where(F.col("score") >= resolution.THRESHOLD).select("a", "b", "score").collect()}
+    assert got == want and len(want) > 5
