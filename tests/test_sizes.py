@@ -216,3 +216,48 @@ def test_proposals_of_a_crowd_are_told_from_few_rows(spark, monkeypatch):
     every = key.alias("x").join(key.alias("y"), "key").where("x.uid < y.uid").selectExpr("x.uid as a", "y.uid as b").distinct()
     want = {tuple(r) for r in resolution.score_pairs(records, every, near).where(F.col("score") >= resolution.THRESHOLD).select("a", "b", "score").collect()}
     assert got == want and len(want) > 5
+
+
+def test_centralities_take_all_sources_of_graphs_of_any_size(spark, monkeypatch):
+    """A tree of 729 with cross edges and a small graph: as by Brandes' sums in Python, in tasks by component, and the tree by levels in passes."""
+    edges = [(f"r{i // 27:03}", f"r{i:03}") for i in range(1, 729)] + [(f"r{i:03}", f"r{i + 1:03}") for i in range(30, 60)] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "w")]
+    adj = graph.adjacency(spark.createDataFrame(edges, "src string, dst string")).cache()
+    nodes = adj.select(F.col("u").alias("uid")).distinct().cache()
+    steps = {}
+    for a, b in edges:
+        steps.setdefault(a, set()).add(b)
+        steps.setdefault(b, set()).add(a)
+    between, close = dict.fromkeys(steps, 0.0), {}
+    for start in steps:
+        order, distance, paths, depend = [start], {start: 0}, {start: 1}, dict.fromkeys(steps, 0.0)
+        for u in order:
+            for v in steps[u]:
+                if v not in distance:
+                    distance[v], paths[v] = distance[u] + 1, 0
+                    order.append(v)
+                if distance[v] == distance[u] + 1:
+                    paths[v] += paths[u]
+        for v in reversed(order[1:]):
+            for u in steps[v]:
+                if distance[u] == distance[v] - 1:
+                    depend[u] += paths[u] / paths[v] * (1 + depend[v])
+            between[v] += depend[v]
+        far = sum(distance.values())
+        close[start] = (len(order) - 1) / far * (len(order) - 1) / (len(steps) - 1)
+    n = len(steps)
+    assert n > 700
+    between = {u: round(x / ((n - 1) * (n - 2)), 10) for u, x in between.items()}
+    close = {u: round(x, 10) for u, x in close.items()}
+    monkeypatch.setattr(graph, "LEVEL_ROWS", 250_000)  # three passes
+    for whole in (graph.WHOLE_GRAPH, 100):
+        assert {r.uid: round(r.betweenness, 10) for r in graph.betweenness(nodes, adj, whole=whole).collect()} == between
+        assert {r.uid: round(r.closeness, 10) for r in graph.closeness(nodes, adj, whole=whole).collect()} == close
+
+
+def test_no_switch_by_size_in_centralities(spark, small, monkeypatch):
+    asked = []
+    for name in ("betweenness", "closeness"):
+        monkeypatch.setattr(graph, name, lambda nodes, adj, sources=None, **_: asked.append(sources) or nodes.selectExpr("uid", "0.0 as betweenness", "0.0 as closeness"))
+    monkeypatch.setattr(graph, "EXACT_NODES", 1)
+    QUERIES["I07_betweenness"](spark, small), QUERIES["I08_closeness"](spark, small)
+    assert asked == [None, None] and not any("LIMIT" in ORACLE_SQL[q] for q in ("I07_betweenness", "I08_closeness"))
