@@ -261,3 +261,21 @@ def test_no_switch_by_size_in_centralities(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "EXACT_NODES", 1)
     QUERIES["I07_betweenness"](spark, small), QUERIES["I08_closeness"](spark, small)
     assert asked == [None, None] and not any("LIMIT" in ORACLE_SQL[q] for q in ("I07_betweenness", "I08_closeness"))
+
+
+def test_ids_that_met_twice_are_found_without_all_that_met_once(spark, monkeypatch):
+    """Crowds of many slots, each id in few: the same pairs as those of all encounters, with times, from far fewer rows."""
+    draw = random.Random(6)
+    rows = sorted({(u, f"l{draw.randrange(3)}", datetime.datetime(2024, 1, 1 + draw.randrange(5), draw.randrange(24))) for u in range(120) for _ in range(3)} | {(7, None, datetime.datetime(2024, 1, 1)), (9, "l1", None)}, key=str)
+    events = spark.createDataFrame(rows, "uid long, location string, seen_at timestamp_ntz").cache()
+    linked = F.col("a") % 10 == F.col("b") % 10
+    order = lambda found: sorted(map(tuple, found.select("a", "b", "slots", "locations", "days", "escalating", F.round("confidence", 6)).collect()))
+    asked = []
+    monkeypatch.setattr(patterns, "encounters", lambda slots: asked.append(slots))
+    got = order(patterns.repeated_encounters(events, linked, 0.0))
+    few = order(patterns.repeated_encounters(events, linked))
+    assert not asked and got
+    monkeypatch.undo()
+    monkeypatch.setattr(patterns, "_met_twice", lambda *args: None)
+    assert order(patterns.repeated_encounters(events, linked, 0.0)) == got
+    assert order(patterns.repeated_encounters(events, linked)) == few
